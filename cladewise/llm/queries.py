@@ -1,10 +1,13 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import cost_packing, ogg
+from . import cost_packing, mixing, ogg
 
 QUERIES = {
     "op2_ogg_media": ogg.op2_ogg_media,
+    "op7_source_mix": mixing.op7_source_mix,
     "op10_cost_balanced_packing": cost_packing.op10_cost_balanced_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_source_mix": mixing.OP7_SQL,
+}
