@@ -90,8 +90,8 @@ def pack_by_cost(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         end = np.array([] if end_id is None else [end_id], np.uint32)
         ids, tokens, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens.append(np.concatenate((tok.ids(text.as_py()), end)))
+            for doc_id, own in zip(batch.column(0).to_pylist(), tok.batch(batch.column(1).to_pylist()), strict=True):
+                tokens.append(np.concatenate((own, end)))
                 ids.append(doc_id)
                 size += len(tokens[-1])
                 if size >= block_tokens:

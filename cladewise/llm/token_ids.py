@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -21,8 +23,10 @@ DIGITS = "0-9²³¹¼½¾"
 SPACES = "\t-\r "
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
-#: Words remembered at most, and the longest of them; then the memory starts anew.
-REMEMBERED, LONGEST = 300_000, 64
+#: Words in each of two generations of memory, and the longest that is kept. A full generation replaces the older one.
+REMEMBERED, LONGEST = 400_000, 64
+#: Characters of text cut into words at once.
+STEP = 1 << 21
 
 
 def tokenizer_file(name: str) -> str:
@@ -38,29 +42,52 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Makes the words known; returns those too long to keep."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = words.difference(young)
+        for word in new.intersection(old):
+            young[word] = old[word]
+        strange = list(new.difference(old)) if old else list(new)
+        for word, e in zip(strange, self.whole.encode_batch_fast(strange, add_special_tokens=False), strict=True):
+            young[word] = array("I", e.ids).tobytes()
+        return [w for w in strange if len(w) > LONGEST]
+
+    def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; null has none."""
+        group: list[list[str] | np.ndarray] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if UNSURE.search(text) or any(s in text for s in self.special):
+                group.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4"))
+            else:
+                group.append(WORD.findall(text))
+            size += len(text)
+            if size >= STEP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[str] | np.ndarray]) -> Iterator[np.ndarray]:
+        words: set[str] = set()
+        for x in group:
+            if isinstance(x, list):
+                words.update(x)
+        long = self._learn(words)
+        find = self.young.__getitem__
+        for x in group:
+            yield np.frombuffer(b"".join(map(find, x)), "<u4") if isinstance(x, list) else x
+        for word in long:
+            del self.young[word]
 
     def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if UNSURE.search(text) or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        words, known = WORD.findall(text), self.known
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for word, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = e.ids
-        out: list[int] = []
-        for word in words:
-            out += known[word]
-        if any(len(w) > LONGEST for w in new):
-            for w in new:
-                if len(w) > LONGEST:
-                    known.pop(w, None)
-        return np.array(out, np.uint32)
+        return next(self.batch([text]))
 
 
 _OPEN: dict[str, WordTokenizer] = {}
