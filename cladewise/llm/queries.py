@@ -1,13 +1,15 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import cost_packing, mixing, ogg
+from . import cost_packing, minhash, mixing, ogg
 
 QUERIES = {
     "op2_ogg_media": ogg.op2_ogg_media,
+    "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op7_source_mix": mixing.op7_source_mix,
     "op10_cost_balanced_packing": cost_packing.op10_cost_balanced_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_minhash_near_dedup": minhash.OP5_SQL,
     "op7_source_mix": mixing.OP7_SQL,
 }
