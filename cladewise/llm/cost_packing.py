@@ -76,24 +76,24 @@ def pack_by_cost(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian, 32 bits each)."""
     path = tokenizer_path or tokenizer_file("byte_bpe_50k.json")
 
-    def pack(ids: list, tokens: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
-        pieces, n = balance([len(t) for t in tokens], capacity, linear, quadratic)
+    def pack(ids: list, tokens: list[bytes], first: int) -> tuple[pa.RecordBatch, int]:
+        pieces, n = balance([len(t) // 4 for t in tokens], capacity, linear, quadratic)
         doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-        blobs = [tokens[d][s : s + m].astype("<u4").tobytes() for d, s, m, _, _ in pieces]
-        sizes = np.array([len(t) for t in tokens], np.int64)
+        blobs = [tokens[d][4 * s : 4 * (s + m)] for d, s, m, _, _ in pieces]
+        sizes = np.array([len(t) // 4 for t in tokens], np.int64)
         columns = [pa.array([ids[d] for d in doc], pa.int64()), *map(pa.array, (start, length, sizes[doc], seq + first, offset)), pa.array(blobs, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]), first + n
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         first = TaskContext.get().partitionId() * PER_TASK
-        end = np.array([] if end_id is None else [end_id], np.uint32)
+        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         ids, tokens, size = [], [], 0
         for batch in batches:
             for doc_id, own in zip(batch.column(0).to_pylist(), tok.batch(batch.column(1).to_pylist()), strict=True):
-                tokens.append(np.concatenate((own, end)))
+                tokens.append(own + end)
                 ids.append(doc_id)
-                size += len(tokens[-1])
+                size += len(tokens[-1]) // 4
                 if size >= block_tokens:
                     out, first = pack(ids, tokens, first)
                     yield out

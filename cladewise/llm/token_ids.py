@@ -45,27 +45,23 @@ class WordTokenizer:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> list[str]:
-        """Makes the words known; returns those too long to keep."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = words.difference(young)
-        for word in new.intersection(old):
+    def _learn(self, words: set[str]) -> None:
+        """Makes words known that are not among the young."""
+        old, young = self.old, self.young
+        for word in words.intersection(old):
             young[word] = old[word]
-        strange = list(new.difference(old)) if old else list(new)
+        strange = list(words.difference(old)) if old else list(words)
         for word, e in zip(strange, self.whole.encode_batch_fast(strange, add_special_tokens=False), strict=True):
             young[word] = array("I", e.ids).tobytes()
-        return [w for w in strange if len(w) > LONGEST]
 
-    def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text; null has none."""
-        group: list[list[str] | np.ndarray] = []
+    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, 32 bits each, little-endian; null has none."""
+        group: list[list[str] | bytes] = []
         size = 0
         for text in texts:
             text = text or ""
             if UNSURE.search(text) or any(s in text for s in self.special):
-                group.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4"))
+                group.append(array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes())
             else:
                 group.append(WORD.findall(text))
             size += len(text)
@@ -74,20 +70,33 @@ class WordTokenizer:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[list[str] | np.ndarray]) -> Iterator[np.ndarray]:
-        words: set[str] = set()
-        for x in group:
-            if isinstance(x, list):
-                words.update(x)
-        long = self._learn(words)
-        find = self.young.__getitem__
-        for x in group:
-            yield np.frombuffer(b"".join(map(find, x)), "<u4") if isinstance(x, list) else x
-        for word in long:
-            del self.young[word]
+    def _group(self, group: list[list[str] | bytes]) -> Iterator[bytes]:
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, new, parts = self.young, set(), []
+        for words in group:
+            if isinstance(words, list):
+                got = list(map(young.get, words))
+                unknown = [i for i, b in enumerate(got) if b is None]
+                new.update([words[i] for i in unknown])
+                parts.append((words, got, unknown))
+            else:
+                parts.append(words)
+        self._learn(new)
+        for x in parts:
+            if isinstance(x, tuple):
+                words, got, unknown = x
+                for i in unknown:
+                    got[i] = young[words[i]]
+                yield b"".join(got)
+            else:
+                yield x
+        for word in new:
+            if len(word) > LONGEST:
+                del young[word]
 
     def ids(self, text: str | None) -> np.ndarray:
-        return next(self.batch([text]))
+        return np.frombuffer(next(self.batch([text])), "<u4")
 
 
 _OPEN: dict[str, WordTokenizer] = {}
