@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import cost_packing, minhash, mixing, ogg
+from . import cost_packing, minhash, mixing, ogg, pii
 
 QUERIES = {
     "op2_ogg_media": ogg.op2_ogg_media,
+    "op4_contextual_pii": pii.op4_contextual_pii,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op7_source_mix": mixing.op7_source_mix,
     "op10_cost_balanced_packing": cost_packing.op10_cost_balanced_packing,
