@@ -99,7 +99,7 @@ def sign_documents(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 def _bucket_pairs(classes: DataFrame) -> DataFrame:
     """Distinct pairs of each bucket's classes with its least class and with the next in order of signature."""
-    rows = classes.select("node", F.xxhash64("signature").alias("order"), F.explode("bands").alias("band"))
+    rows = classes.select("node", F.hash("signature").alias("order"), F.explode("bands").alias("band"))
     least = rows.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least")
     return rows, least
 
@@ -179,7 +179,8 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, k: int, percent: int, bl
         return pd.DataFrame(forest(items, pdf["node"].to_numpy(), percent, side), columns=["a", "b"], dtype="int64")
 
     wanted = groups.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).select("node", "set_id", "grp", "blocks")
-    texts = docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "set_id", "grp", "blocks", "text")
+    # Both sides grow with the input, so neither is ever broadcast.
+    texts = docs.hint("merge").join(wanted, docs["doc_id"] == wanted["node"]).select("node", "set_id", "grp", "blocks", "text")
     with_sets = texts.mapInArrow(sets, "node long, grp long, blocks int, items binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
@@ -187,7 +188,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, k: int, percent: int, bl
     return dealt.groupBy("grp", "i", "j").applyInPandas(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -196,18 +197,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows_, least = _bucket_pairs(classes)
     buckets = scratch.save(least)
-    shared = rows_.join(buckets, "band")
+    shared = rows_.hint("merge").join(buckets, "band")
     star = shared.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     # The next in order of signature: buckets are cut into pieces by the order, so that no task sorts a large one alone.
-    piece = shared.withColumn("piece", F.shiftrightunsigned("order", 56))
+    piece = shared.withColumn("piece", F.shiftrightunsigned("order", 24))
     after = F.lead("node").over(Window.partitionBy("band", "piece").orderBy("order", "node"))
     chain = piece.select(F.col("node").alias("a"), after.alias("b")).filter("b is not null and a <> b")
     pairs = scratch.save(star.unionByName(chain).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sign = classes.select("node", "signature").groupBy("node").agg(F.first("signature").alias("signature"))
     sign = scratch.save(sign)
     near = (
-        pairs.join(sign.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
-        .join(sign.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+        pairs.hint("merge").join(sign.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
+        .hint("merge").join(sign.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
         .filter(_near("sa", "sb", percent / 100 - SLACK))
         .select("a", "b")
     )
