@@ -1,8 +1,9 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import cost_packing, minhash, mixing, ogg, pii
+from . import cost_packing, minhash, mixing, ogg, pii, voronoi_knn
 
 QUERIES = {
+    "op1_voronoi_knn": voronoi_knn.op1_voronoi_knn,
     "op2_ogg_media": ogg.op2_ogg_media,
     "op4_contextual_pii": pii.op4_contextual_pii,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
@@ -11,6 +12,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_voronoi_knn": voronoi_knn.OP1_SQL,
     "op5_minhash_near_dedup": minhash.OP5_SQL,
     "op7_source_mix": mixing.OP7_SQL,
 }
