@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import cost_packing, minhash, mixing, ogg, pii, voronoi_knn
+from . import cost_packing, kneser_ney, minhash, mixing, ogg, pii, voronoi_knn
 
 QUERIES = {
     "op1_voronoi_knn": voronoi_knn.op1_voronoi_knn,
     "op2_ogg_media": ogg.op2_ogg_media,
+    "op3_kneser_ney_quality": kneser_ney.op3_kneser_ney_quality,
     "op4_contextual_pii": pii.op4_contextual_pii,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op7_source_mix": mixing.op7_source_mix,
