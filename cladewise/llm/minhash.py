@@ -226,6 +226,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without those that are not kept, and with one row for each id that is (which of several is any). Rows without id stay."""
+    scratch = Scratch(docs.sparkSession, "dedup")
+    gone = scratch.save(near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    named = docs.filter(F.col(id_col).isNotNull())
+    kept = named.join(gone, named[id_col] == gone["_gone"], "left_anti").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4)
 

@@ -117,6 +117,21 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
+PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs as the mix takes them: a row for each whole pass, and one with its first words for the partial pass."""
+    scratch = Scratch(docs.sparkSession, "mixed")
+    keyed = with_keys(docs, text_col=text_col, **options)
+    small = scratch.save(keyed.select("_id", "_source", "_size", "_key"))
+    taken = apply_plan(keyed, plan(small, scratch))
+    passes = F.concat(F.array_repeat("_size", F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    rows = taken.withColumn("_words", F.explode(passes))
+    head = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(PIECE), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    return rows.withColumn(text_col, F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col(text_col))).select(docs.columns)
+
+
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import cost_packing, kneser_ney, minhash, mixing, ogg, pii, voronoi_knn
+from . import best_fit_packing, cost_packing, kneser_ney, licenses, minhash, mixing, ogg, pii, preferences, voronoi_knn
 
 QUERIES = {
     "op1_voronoi_knn": voronoi_knn.op1_voronoi_knn,
@@ -8,12 +8,17 @@ QUERIES = {
     "op3_kneser_ney_quality": kneser_ney.op3_kneser_ney_quality,
     "op4_contextual_pii": pii.op4_contextual_pii,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
+    "op6_license_rules": licenses.op6_license_rules,
     "op7_source_mix": mixing.op7_source_mix,
+    "op8_best_fit_packing": best_fit_packing.op8_best_fit_packing,
+    "op9_preference_pairs": preferences.op9_preference_pairs,
     "op10_cost_balanced_packing": cost_packing.op10_cost_balanced_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op1_voronoi_knn": voronoi_knn.OP1_SQL,
     "op5_minhash_near_dedup": minhash.OP5_SQL,
+    "op6_license_rules": licenses.OP6_SQL,
     "op7_source_mix": mixing.OP7_SQL,
+    "op9_preference_pairs": preferences.OP9_SQL,
 }
