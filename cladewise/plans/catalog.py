@@ -1,4 +1,4 @@
 """Every query of the library by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cladewise.plans import lineage_queries  # noqa: F401
+from cladewise.plans.registry import ORACLES, QUERIES  # noqa: F401
