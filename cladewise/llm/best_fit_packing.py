@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .token_ids import tokenizer_file
 
 SCHEMA = "sequence_id long, tokens int, ids binary, cu_lengths array<int>, positions binary, doc_ids array<long>, starts array<long>"
@@ -156,7 +157,7 @@ def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tok = _tokenizer(ranks, fallback)
         first = TaskContext.get().partitionId() * PER_TASK
         ids, tokens, size = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens.append(np.array([*tok.ids(text), end_id], kind))
                 ids.append(doc_id)

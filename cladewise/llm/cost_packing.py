@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .token_ids import tokenizer, tokenizer_file
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -89,7 +90,7 @@ def pack_by_cost(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         first = TaskContext.get().partitionId() * PER_TASK
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         ids, tokens, size = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, own in zip(batch.column(0).to_pylist(), tok.batch(batch.column(1).to_pylist()), strict=True):
                 tokens.append(own + end)
                 ids.append(doc_id)

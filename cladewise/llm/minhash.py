@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .components import components
 from .scratch import Scratch
 from .wordhash import mix, shingles, word_hashes
@@ -74,7 +75,7 @@ def sign_documents(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, addends = universal(bands * rows)
         salt = np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids, signs, keys, seen = [], [], [], [], {}
             for s in _sets(batch.column(1).to_pylist(), k):
                 n.append(len(s))
@@ -164,7 +165,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, k: int, percent: int, bl
     """Spanning links (a, b) of the true components. groups: node (a document id), set_id, grp, size of grp."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for start, group in word_hashes(batch.column("text").to_pylist()):
                 made = [shingles(w, k) for w in group]
                 part = batch.slice(start, len(made))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes handled at once. Longer texts are cut at white space.
-STEP = 1 << 20
+STEP = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
