@@ -11,14 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.functions import lineage as L
+from cladewise.operators.lineage_cut import cut
 
 KEY = ["query", "path", "depth", "rank", "level", "name"]
 
 
 def summarise(trees: DataFrame, *flags: str) -> DataFrame:
-    """query, path, depth, rank, level, name, cnt and one count for each boolean flag column. trees: query, lineage, flags."""
-    counts = [F.count(F.lit(1)).alias("cnt"), *(F.count_if(F.col(f)).alias(f) for f in flags)]
-    whole = trees.groupBy("query", "lineage").agg(*counts)
+    """query, path, depth, rank, level, name, cnt and one count for each boolean flag column. trees: query, lineage, flags; or cnt, already counted."""
+    if "cnt" in trees.columns:
+        whole = trees.select("query", "lineage", "cnt", *flags)
+    else:
+        whole = trees.groupBy("query", "lineage").agg(F.count(F.lit(1)).alias("cnt"), *(F.count_if(F.col(f)).alias(f) for f in flags))
     rows = whole.filter(F.size("lineage") > 0).select("query", F.explode(L.prefixes(F.col("lineage"))).alias("p"), "cnt", *flags)
     last = F.try_element_at("p", F.lit(-1))
     rows = rows.select("query", L.path(F.col("p")).alias("path"), F.size("p").alias("depth"), last["rank"].alias("rank"), last["level"].alias("level"), last["name"].alias("name"), "cnt", *flags)
@@ -75,15 +78,17 @@ def consolidate(trees: DataFrame, levels: tuple[str, ...], prune_level: float, f
 
     Under each parent, if fillers count less than ``prune_level`` times what the
     real names count, the fillers' trees end there; else the rank is dropped for
-    that parent and its children move up. One grouped pass for each level.
+    that parent and its children move up. Equal lineages are counted first; each
+    level is one aggregate over these, whose plan is cut so that it runs once.
+    Returns query, lineage and cnt, the number of trees.
     """
-    out = densify(trees, levels, filler).withColumn("done", F.array().cast(L.ENTRY_ARRAY))
+    out = densify(trees, levels, filler).groupBy("query", "lineage").agg(F.count(F.lit(1)).alias("cnt")).withColumn("done", F.array().cast(L.ENTRY_ARRAY))
     for level in levels:
         head = F.get("lineage", F.lit(0))
         at = F.coalesce(head["level"] == level, F.lit(False))
         parent = L.path(F.col("done"))
         out = out.withColumn("_parent", parent).withColumn("_at", at).withColumn("_fill", at & (head["name"] == filler))
-        tally = out.filter("_at").groupBy("query", "_parent").agg(F.count_if("_fill").alias("_fillers"), F.count_if(~F.col("_fill")).alias("_real")).filter("_fillers > 0")
+        tally = out.filter("_at").groupBy("query", "_parent").agg(F.sum(F.when(F.col("_fill"), F.col("cnt")).otherwise(0)).alias("_fillers"), F.sum(F.when(F.col("_fill"), 0).otherwise(F.col("cnt"))).alias("_real")).filter("_fillers > 0")
         out = out.join(tally, ["query", "_parent"], "left")
         prune = F.col("_fillers") < F.col("_real") * F.lit(prune_level)
         rest = F.slice("lineage", F.lit(2), F.greatest(F.size("lineage") - 1, F.lit(0)))
@@ -95,7 +100,8 @@ def consolidate(trees: DataFrame, levels: tuple[str, ...], prune_level: float, f
             .withColumn("done", F.col("_done"))
             .drop("_parent", "_at", "_fill", "_fillers", "_real", "_prune", "_done")
         )
-    return out.withColumn("lineage", F.col("done")).drop("done")
+        out = cut(out)
+    return out.groupBy("query", F.col("done").alias("lineage")).agg(F.sum("cnt").alias("cnt"))
 
 
 def significant_ranks(post: DataFrame, cutoffs: DataFrame) -> DataFrame:

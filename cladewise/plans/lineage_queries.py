@@ -74,12 +74,12 @@ SELECT query, path, count(*)::BIGINT AS cnt FROM y GROUP BY query, path"""
 
 @query(_consolidated(0.0))
 def collapse_rank(spark, d):
-    return R.consolidate(lineages(spark, d), L.MAIN, 0.0).groupBy("query", L.path(F.col("lineage")).alias("path")).agg(F.count(F.lit(1)).alias("cnt"))
+    return R.consolidate(lineages(spark, d), L.MAIN, 0.0).groupBy("query", L.path(F.col("lineage")).alias("path")).agg(F.sum("cnt").alias("cnt"))
 
 
 @query(_consolidated(0.5))
 def prune_placeholder(spark, d):
-    return R.consolidate(lineages(spark, d), L.MAIN, 0.5).groupBy("query", L.path(F.col("lineage")).alias("path")).agg(F.count(F.lit(1)).alias("cnt"))
+    return R.consolidate(lineages(spark, d), L.MAIN, 0.5).groupBy("query", L.path(F.col("lineage")).alias("path")).agg(F.sum("cnt").alias("cnt"))
 
 
 @query(f"WITH {PATHS} SELECT query, path, cnt::BIGINT AS cnt FROM u")
