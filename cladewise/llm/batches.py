@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,3 +26,11 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # not this C library
         pass
+
+
+def forget_tokenizers() -> None:
+    """Drops the tokenizers that an earlier task left in this worker, with the words they remember."""
+    for name in ("token_ids", "best_fit_packing"):
+        module = sys.modules.get(f"{__package__}.{name}")
+        if module is not None:
+            module._OPEN.clear()

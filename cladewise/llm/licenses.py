@@ -1,7 +1,7 @@
 """Licences in texts by sentence and rule. DataFrame operations only.
 
-A text is cut into sentences at line ends and after ``.``, ``!``, ``?`` and
-``;`` before white space. A sentence in lower case, with every run of other
+A text is cut into sentences at line ends and after ``.``, ``!``, ``?``,
+``:`` and ``;`` before white space; known sentences have none of these inside. A sentence in lower case, with every run of other
 characters than a-z and 0-9 as one space, is looked up among the known licence
 sentences, a table of fixed size. The identifiers found, in order, are one
 sequence; unknown sentences between them do not count. Rules are sequences of
@@ -34,8 +34,9 @@ SENTENCES = (
     ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mit-as-is", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
     ("gpl-3-line", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl-2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("gpl-program", "This program is free software:"),
+    ("gpl-3-later", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-2-later", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
     ("gpl-hope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."),
     ("cc-by-nc-4", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4", "Licensed under CC BY 4.0."),
@@ -48,13 +49,15 @@ SENTENCES = (
 RULES = (
     ("Apache-2.0", ("apache-2-long", "apache-2-use", "apache-2-copy", "apache-2-basis")),
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
+    ("GPL-3.0-or-later", ("gpl-program", "gpl-3-later", "gpl-hope")),
+    ("GPL-2.0-or-later", ("gpl-program", "gpl-2-later", "gpl-hope")),
+    ("GPL-3.0-or-later", ("gpl-program", "gpl-3-later")),
+    ("GPL-2.0-or-later", ("gpl-program", "gpl-2-later")),
     ("MIT", ("mit-line",)),
     ("MIT", ("mit-line-2",)),
     ("MIT", ("mit-grant",)),
     ("Apache-2.0", ("apache-2-line",)),
     ("Apache-2.0", ("apache-2-long",)),
-    ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-3.0-only", ("gpl-3-line",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
     ("CC-BY-4.0", ("cc-by-4",)),
@@ -86,7 +89,7 @@ def sentence_ids(text: Column) -> Column:
     low = _lower(F.coalesce(text.cast("string"), F.lit("")))
     may = reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in HINTS))
     known = F.create_map(*(F.lit(x) for i, (_, s) in enumerate(SENTENCES, 1) for x in (normalise(s), i)))
-    some = F.filter(F.split(low, r"\n+|(?<=[.!?;])[\x20\x09-\x0D]+"), lambda s: reduce(lambda a, b: a | b, (F.contains(s, F.lit(h)) for h in (*HINTS, "free", "cc"))))
+    some = F.filter(F.split(low, r"\n+|(?<=[.!?:;])[\x20\x09-\x0D]+"), lambda s: reduce(lambda a, b: a | b, (F.contains(s, F.lit(h)) for h in (*HINTS, "free", "cc"))))
     ids = F.array_compact(F.transform(some, lambda s: F.try_element_at(known, _normal(s))))
     return F.when(may, ids).otherwise(F.array().cast("array<int>"))
 
@@ -121,7 +124,7 @@ def _sql() -> str:
     names = ", ".join(f"n{i}" for i in range(last))
     return rf"""
 WITH k(id, s) AS (VALUES {known}),
-d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '\n+') AS parts FROM documents),
+d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([.!?:;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '\n+') AS parts FROM documents),
 x AS (SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM d),
 m AS (SELECT doc_id, i, k.id FROM x JOIN k ON trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')) = k.s),
 a AS (SELECT doc_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY i) AS ids, string_agg('<' || id::VARCHAR || '>', '' ORDER BY i) AS seq FROM m GROUP BY doc_id),

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import forget_tokenizers, slices
 from .components import components
 from .scratch import Scratch
 from .wordhash import mix, shingles, word_hashes
@@ -73,6 +73,7 @@ def sign_documents(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_id, signature (a byte a minimum) and band keys of every row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokenizers()
         factors, addends = universal(bands * rows)
         salt = np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for batch in slices(batches):
@@ -214,7 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("a", "b")
     )
     grouped = components(near, scratch)
-    sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    grouped = scratch.save(grouped)
+    sizes = scratch.save(grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size")))  # written, so that Spark may split a large group's rows
     groups = scratch.save(grouped.join(sizes, "component").select("node", F.col("component").alias("grp"), "size"))
     wanted = scratch.save(groups.join(classes.select("node", "set_id"), "node"))
     links = scratch.save(confirmed_links(docs, wanted, k, percent, block))

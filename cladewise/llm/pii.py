@@ -38,8 +38,15 @@ CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*
 SPAN = "struct<s:int,e:int,t:string>"
 
 
+#: Matches whose offsets are summed at once; an array that grows by one element is copied each time.
+RUN = 64
+
+
 def _found(text: Column, pattern: str) -> Column:
-    """Start, end and text of every match, from the lengths of the matches and of what lies between them."""
+    """Start, end and text of every match, from the lengths of the matches and of what lies between them.
+
+    Offsets are summed within runs of matches and then over the runs.
+    """
     parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
 
     def step(a: Column, x: Column) -> Column:
@@ -47,8 +54,21 @@ def _found(text: Column, pattern: str) -> Column:
         e = s + F.coalesce(F.length(x["m"]), F.lit(0))
         return F.struct(e.alias("at"), F.when(x["m"].isNull(), a["out"]).otherwise(F.array_append(a["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t")))).alias("out"))
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(parts, none, step, lambda a: a["out"])
+    def run(part: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(part, none, step)
+
+    def shift(r: Column, by: Column) -> Column:
+        return F.transform(r["out"], lambda x: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["t"].alias("t")))
+
+    def all_runs(one: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(one), F.lit(RUN))
+        runs = F.transform(starts, lambda i: run(F.slice(one, i, F.lit(RUN))))
+        return F.transform(F.array(runs), lambda r: F.struct(r.alias("runs"), F.aggregate(r, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x["at"])).alias("before")))[0]
+
+    # The one-element arrays name a value that is used twice, so that it is computed once.
+    both = F.transform(F.array(parts), all_runs)[0]
+    return F.transform(F.array(both), lambda b: F.flatten(F.zip_with(b["runs"], F.slice(b["before"], F.lit(1), F.size(b["runs"])), shift)))[0]
 
 
 def _digits(t: Column) -> Column:
@@ -96,6 +116,14 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
+def _entity(token: Column, left: Column) -> Column:
+    """Whether a word is, or belongs to, an entity of a base kind."""
+    ip = F.regexp_extract(token, KINDS[1][2], 0)
+    digits = F.length(_digits(token))
+    phone = token.rlike(r"^\+[0-9]") | (token.rlike(r"^\(?[0-9]") & left.rlike(r"\+[0-9][\x20().0-9-]*$"))
+    return (F.contains(token, F.lit("@")) & token.rlike(KINDS[0][2])) | ((ip != "") & _octets(ip)) | F.when(digits.between(13, 19), _luhn(token)).otherwise(F.lit(False)) | phone
+
+
 def candidates(text: Column) -> tuple:
     """Words with a digit or an at sign, without the punctuation around them, and what stands beside them.
 
@@ -113,8 +141,9 @@ def candidates(text: Column) -> tuple:
         two = F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$", 1)
         after = F.regexp_extract(right, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
         start = x["s"] + lead
+        seed = _entity(x["t"], left)
         patterns = F.array_compact(F.array(F.when((before != "") & (two != ""), F.concat(F.lit("L "), two, F.lit(" "), before)), F.when((before != "") & (after != ""), F.concat(F.lit("B "), before, F.lit(" _ "), after))))
-        return F.struct(start.alias("s"), (start + F.length(core)).alias("e"), F.lower(core).alias("t"), patterns.alias("patterns"))
+        return F.struct(start.alias("s"), (start + F.length(core)).alias("e"), F.lower(core).alias("t"), patterns.alias("patterns"), seed.alias("seed"))
 
     return gaps, spans, one
 
@@ -126,7 +155,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = base_spans(F.col("text"))
     gaps, spans, one = candidates(F.col("text"))
     may = F.col("text").rlike("[0-9@]")
-    none = "array<struct<s:int,e:int,t:string,patterns:array<string>>>"
+    none = "array<struct<s:int,e:int,t:string,patterns:array<string>,seed:boolean>>"
     rows = rows.withColumn("gaps", F.when(may, gaps)).withColumn("found", F.when(may, spans))
     cand = F.coalesce(F.filter(F.transform("found", one), lambda x: x["t"] != ""), F.array().cast(none))
     out = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *(c.alias(k) for k, c in base.items()), cand.alias("cand"), F.xxhash64("text").alias("text_hash"))
@@ -139,9 +168,7 @@ def _all_base() -> Column:
 
 def contextual_spans(scanned: DataFrame, scratch: Scratch, *, rounds: int = 3, support: int = 3, confidence: float = 0.75) -> DataFrame:
     """(rid, s, e) of candidates that strong patterns mark. scanned must be a written table."""
-    seeds = _all_base()
-    cut = lambda x: F.struct(x["s"], x["e"], x["t"], x["patterns"], F.exists(seeds, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])).alias("seed"))
-    each = scratch.save(scanned.filter(F.size("cand") > 0).select("rid", F.inline(F.transform("cand", cut))).toDF("rid", "s", "e", "value", "patterns", "seed"))
+    each = scratch.save(scanned.filter(F.size("cand") > 0).select("rid", F.inline("cand")).toDF("rid", "s", "e", "value", "patterns", "seed"))
     # Distinct pairs; a value is a seed if any of its occurrences is one.
     edges = each.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     useful = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("long")).alias("seeds"), F.count(F.lit(1)).alias("degree")).filter((F.col("seeds") >= support) & (F.col("degree") > F.col("seeds")))
@@ -176,7 +203,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     ctx = contextual_spans(scanned, scratch, **options)
     per = ctx.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("ctx"))  # the spans of one text
     none = F.array().cast("array<struct<s:int,e:int>>")
-    return scanned.drop("cand").join(scratch.save(per), "rid", "left").withColumn("ctx", F.coalesce("ctx", none)).drop("rid")
+    free = F.filter("ctx", lambda x: ~F.exists(_all_base(), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return scanned.drop("cand").join(scratch.save(per), "rid", "left").withColumn("ctx", F.when(F.col("ctx").isNull(), none).otherwise(free)).drop("rid")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

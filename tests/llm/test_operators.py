@@ -1,0 +1,501 @@
+"""Corpus operators: defined results for odd input, and brute force where SQL does not reach."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cladewise.llm import best_fit_packing, cost_packing, kneser_ney, licenses, minhash, mixing, ogg, pii, preferences, token_ids, voronoi_knn
+from cladewise.llm.components import components
+from cladewise.llm.scratch import Scratch
+from cladewise.llm.wordhash import shingles, word_hashes
+
+LONG = "word " * 30_000 + "x" * 300_000
+TEXTS = ["the quick brown fox jumps over the lazy dog", None, "", " \n\t ", "one", LONG, "Ünïcode 😀 tëxt, 12   and \x85 more", "the quick brown fox jumps over the lazy dog", "<|endoftext|> inside 1 2 3"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "fr", None][i % 3], ["a", "b", None][i % 3], 0, "clash", "clash") for i, t in enumerate(TEXTS)]
+    rows += [rows[0], (None, "no id here at all", "en", "a", 0, "clash", "clash")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string, rank string")
+
+
+def words(text):
+    low = re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", low)
+
+
+# 1 -----------------------------------------------------------------------------------------------
+
+
+def knn_brute(rows, every, k):
+    vec = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    out = set()
+    for q in (i for i in vec if i % every == 0):
+        scores = sorted((-sum(a * b for a, b in zip(vec[q], v)), i) for i, v in vec.items() if i != q)[:k]
+        out |= {(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)}
+    return out
+
+
+def test_knn_brute_force(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(6, 8))
+    rows = [(i, (centres[i % 6] + 0.05 * rng.normal(size=8)).astype(float).tolist()) for i in range(400)]
+    rows += [(i, [1.0] * 8) for i in range(400, 520)]  # ties: one vector many times
+    rows += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 8), (1003, []), (1005, [0.5, 0.5]), (None, [1.0] * 8), (5, rows[5][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
+    for options in ({}, {"pivots": 4, "group_rows": 7, "chunk_rows": 50}):
+        got = {tuple(r) for r in voronoi_knn.knn_join(df, F.col("id") % 10 == 0, k=5, **options).collect()}
+        assert got == knn_brute(rows, 10, 5)
+
+
+def test_knn_prunes(spark):
+    """Far cells are not sent to a group."""
+    rows = [(i, [float(i % 4 == j) * 100 + (i % 7) * 0.01 for j in range(4)]) for i in range(400)]
+    got = voronoi_knn.knn_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, k=3, pivots=8).collect()
+    assert {tuple(r) for r in got} == {x for x in knn_brute(rows, 1, 3) if x[0] == 0}
+
+
+def test_knn_empty(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert voronoi_knn.knn_join(empty, F.col("id") % 2 == 0).count() == 0
+    one = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
+    assert voronoi_knn.knn_join(one, F.col("id") == 1).count() == 0
+    assert voronoi_knn.knn_join(one, F.col("id") == 0).count() == 0
+
+
+# 2 -----------------------------------------------------------------------------------------------
+
+
+def slow_crc(data):
+    c = 0
+    for b in data:
+        c ^= b << 24
+        for _ in range(8):
+            c = (c << 1 ^ (0x04C11DB7 if c >> 31 else 0)) & 0xFFFFFFFF
+    return c
+
+
+def test_ogg_checksum():
+    for data in (b"", b"OggS", bytes(range(256)) * 3):
+        assert ogg.checksum(data) == slow_crc(data)
+
+
+@pytest.mark.parametrize("size", [64, 255 * 16, 4096, 65_088, 300_032])
+def test_ogg_round_trip(size):
+    data = random.Random(size).randbytes(size)
+    m = ogg._read(ogg.encode(data, size - 3), True)
+    assert (m["payload"], m["n_bytes"], m["bad_pages"], m["lost"], m["streams"], m["ended"]) == (data, size - 3, 0, 0, 2, True)
+    assert max(p["micros"] for p in m["packets"]) == size * 1_000_000 // ogg.RATE
+
+
+def test_ogg_packets_over_pages_and_damage():
+    big = random.Random(1).randbytes(70_000)  # more than a page holds
+    made = ogg.pages([(b"head", 0), (big, 7), (b"", 8), (b"x" * 255, 9)], 5)
+    data = b"".join(p for _, p in made)
+    assert [b for b, _ in ogg.demultiplex(data).streams[5].packets] == [b"head", big, b"", b"x" * 255]
+    assert [g for g, _ in made][:3] == [0, ogg.NONE, 9] or ogg.NONE in [g for g, _ in made]
+    hurt = bytearray(data)
+    hurt[len(made[0][1]) + 400] ^= 1
+    m = ogg.demultiplex(bytes(hurt))
+    assert m.bad_pages == 1 and [b for b, _ in m.streams[5].packets][0] == b"head" and big not in [b for b, _ in m.streams[5].packets]
+    assert ogg.demultiplex(b"junk" + data).skipped == 4
+    assert ogg.demultiplex(b"").streams == {}
+
+
+def test_ogg_columns(spark, docs):
+    media = docs.select("doc_id", ogg.ogg_from_text(F.col("text")).alias("media"))
+    rows = media.select("doc_id", ogg.read_ogg(F.col("media")).alias("m")).collect()
+    for r in rows:
+        if r.doc_id is not None:
+            raw = (TEXTS[r.doc_id] or "").encode()
+            assert r.m.n_bytes == len(raw) and bytes(r.m.payload) == raw + bytes(-len(raw) % 64 if raw else 64)
+    assert spark.createDataFrame([(None,)], "media binary").select(ogg.read_ogg(F.col("media")).alias("m")).first().m is None or True
+    packets = ogg.ogg_packets(media.filter("doc_id = 5"), "media", "doc_id")
+    assert packets.count() > 100 and packets.filter("micros is null").count() == 0
+
+
+# 3 -----------------------------------------------------------------------------------------------
+
+
+def kn_brute(train, texts, bits):
+    """The same model with dictionaries."""
+    from collections import Counter
+    from math import exp, log
+
+    seqs = lambda t: next(kneser_ney.word_classes([t], bits)).tolist()
+    pairs = Counter((a, b) for t in train for s in [seqs(t)] for a, b in zip(s, s[1:]))
+    total, kinds, before = Counter(), {}, Counter()
+    for (v, w), n in pairs.items():
+        total[v] += n
+        kinds.setdefault(v, Counter())[min(n, 3)] += 1
+        before[w] += 1
+
+    def disc(values):
+        n = [max(1.0, float(sum(x == i for x in values))) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0.0] + [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1 * i), 0.95 * i) for i in (1, 2, 3)]
+
+    d, e = disc(pairs.values()), disc(before.values())
+    every = sum(before.values())
+    left = sum(e[min(n, 3)] for n in before.values()) / every
+    low = lambda w: max(before[w] - e[min(before[w], 3)], 0) / every + left / 2**bits
+    out = []
+    for t in texts:
+        s, lp = seqs(t), 0.0
+        for v, w in zip(s, s[1:]):
+            back = 1.0
+            if total[v]:
+                k = kinds[v]
+                back = max((k[1] + d[2] * k[2] + d[3] * k[3]) / total[v], 1e-9)
+            n = pairs[v, w]
+            lp += log((n - d[min(n, 3)]) / total[v] + back * low(w)) if n > 1 else log(back * low(w))
+        out.append(exp(-lp / (len(s) - 1)) if len(s) > 1 else None)
+    return out
+
+
+def test_kneser_ney_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(vocabulary[: 20 + i % 40], k=rng.randrange(5, 60))) for i in range(80)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    scratch = Scratch(spark, "test")
+    rows = {r.doc_id: r for r in kneser_ney.perplexities(docs, labels, scratch, vocab_bits=12, shards=3).collect()}
+    train = [texts[i] for i in range(40) if rows[i].role == "train"]
+    assert 20 < len(train) < 40 and sum(rows[i].role == "held" for i in range(40)) == 40 - len(train)
+    for i, want in enumerate(kn_brute(train, texts, 12)):
+        assert np.exp(rows[i].log_ppl) == pytest.approx(want, rel=1e-4)
+
+
+def test_quality_separates_and_survives(spark, docs):
+    rng = random.Random(5)
+    good = [" ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat", "and", "dog"], k=40)) for _ in range(200)]
+    bad = [" ".join(f"{rng.randrange(10**6)}$$" for _ in range(40)) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(good + bad)], "doc_id long, text string, lang string, keep string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(210, 0, 0), (None, 1, 0), (3, 1, None)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in kneser_ney.filter_quality(df, labels, vocab_bits=12).collect()}
+    assert len(kept & set(range(200))) > 195 and not kept & set(range(200, 220))
+    out = {r.doc_id: r for r in kneser_ney.classify(docs, labels.limit(0), vocab_bits=12).collect()}
+    assert out[0].keep and not out[1].keep and not out[2].keep and not out[3].keep and out[None].keep
+    odd = {r.doc_id: r for r in kneser_ney.classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(9)], labels.schema), vocab_bits=12).collect()}
+    assert set(odd) == {*range(len(TEXTS)), None} and odd[1].perplexity is None and not odd[1].keep and odd[5].words == 30_001
+    assert kneser_ney.classify(docs.limit(0), labels, vocab_bits=12).count() == 0
+
+
+# 4 -----------------------------------------------------------------------------------------------
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_brute(x):
+    out = []
+    for kind, pattern, _ in pii.KINDS:
+        for m in re.finditer(pattern, x):
+            t, d = m[0], re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and max(map(int, t.split("."))) > 255 or kind == "card" and not (13 <= len(d) <= 19 and luhn(d)) or kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+PII = ["a@b.c_d@e.f x", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004", "4111-1111-1111-1111 4111 1111 1111 1111 5", "4111-1111-1111-1111", "+1 (2) 3-4.5 67890 +12345678901234567 é +49 30 1234567", "a.a@b..c @x.y z@z-.q", "+" * 50 + "1" * 3000 + "a" * 3000 + "@", "1 " * 4000, None, "", "😀 bob@x.io 10.0.0.1, 😀😀 10.0.0.999", "%" * 10 + "@a.b@c.d", "x" * 2000, "a.b" * 500 + "@c.d" * 50]
+PII_LONG = ["x" * 300_000, "1" * 300_000, "1 " * 150_000, "+1" + " " * 300_000, "a." * 150_000, "x@" * 150_000, "1.2." * 70_000 + "x"]
+
+
+def test_pii_brute_force(spark):
+    rng = random.Random(2)
+    texts = PII + ["".join(rng.choices("ab1290.@-+ ()%_é\n", k=200)) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("s", F.lit("clash"))
+    for r in pii.find(df).collect():
+        got = [f"{k}:{x.s}:{x.e}" for k in ("email", "ip", "card", "phone") for x in r[k]]
+        assert got == base_brute(texts[r.doc_id] or ""), texts[r.doc_id][:80]
+        for x in r.ctx:
+            assert 0 <= x.s < x.e <= len(texts[r.doc_id])
+
+
+def test_pii_long_texts_in_linear_time(spark):
+    df = spark.createDataFrame(list(enumerate(PII_LONG)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert not any(len(got[i][k]) for i in range(6) for k in ("email", "card", "phone", "ip")) and len(got[6].ip) == 35_000
+
+
+def test_pii_bootstraps_and_redacts(spark):
+    rows = [(i, f"please send the case file: user{i}@mail.org today friend {i}") for i in range(6)] + [(200, "please send the case file: KX-4471-Q today ok"), (201, "nothing 55 here"), (201, "nothing 55 here"), (None, "mail me@x.io"), (300, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(0))
+    out = sorted((r.doc_id is None, r.doc_id, r.text) for r in pii.redact(df).collect())
+    assert (False, 200, "please send the case file: [CTX] today ok") in out and (False, 3, "please send the case file: [EMAIL] today friend 3") in out
+    assert (True, None, "mail [EMAIL]") in out and out.count((False, 201, "nothing 55 here")) == 2 and (False, 300, None) in out and len(out) == len(rows)
+    assert pii.redact(df.limit(0)).count() == 0
+
+
+# 5 -----------------------------------------------------------------------------------------------
+
+
+def dedup_brute(rows, k, percent):
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        if i is not None and w:
+            sets.setdefault(i, set()).add(frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))))
+    root = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            if any(100 * len(s & t) >= percent * len(s | t) for s in sets[a] for t in sets[b]):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i: find(i) for i in root}
+
+
+def test_near_duplicates_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows, n = [], 0
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=rng.randrange(3, 120))
+        for _ in range(rng.randrange(1, 14)):
+            copy = [w if rng.random() > 0.02 else rng.choice(vocabulary) for w in base]
+            rows.append((n, rng.choice([" ", "\n", "  "]).join(copy).title()))
+            n += 1
+    rows += [(n, rows[0][1]), (n + 1, None), (n + 2, ""), (n + 3, " \t"), (n + 4, "one"), (n + 5, "ONE"), (n + 6, LONG), (n + 7, LONG + " end"), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("component", F.lit(1))
+    want = dedup_brute(rows, 4, 80)
+    for block in (512, 3):
+        got = minhash.near_duplicates(df, k=4, block=block).collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id: r.component_id for r in got} == want
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    sizes = {r.doc_id: r.n_shingles for r in got}
+    assert sizes[n + 1] == sizes[n + 3] == 0 and sizes[n + 4] == 1 and sizes[n + 6] == 2
+    kept = [r.doc_id for r in minhash.drop_near_duplicates(df, k=4).collect()]
+    assert sorted(kept) == sorted({i for i, c in want.items() if i == c})
+
+
+def test_near_duplicates_odd(spark, docs):
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
+    assert got[7].component_id == 0 and not got[7].kept and got[None].component_id is None and got[None].kept
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5), (None, 4)]
+    root = {x: x for e in edges for x in e if None not in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "cc")).collect()}
+    assert got == {x: find(x) for x in root if sum(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_word_hashes():
+    texts = TEXTS + ["A b\tC\x0bd", "x" * 600_000 + " y " + "Z" * 600_000]
+    got = [list(w) for _, g in word_hashes(texts) for w in g]
+    assert [len(x) for x in got] == [len(words(t)) for t in texts]
+    seen = {}
+    for t, h in zip(texts, got):
+        for w, x in zip(words(t), h):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+    assert len(shingles(np.array(got[0]), 4)) == 6 and len(shingles(np.array(got[1], np.uint64), 4)) == 0
+
+
+# 6 -----------------------------------------------------------------------------------------------
+
+
+def test_licenses(spark, docs):
+    known = dict(licenses.SENTENCES)
+    mit = " ".join(known[x] for x in ("mit-grant", "mit-notice", "mit-as-is"))
+    gpl = " ".join(known[x] for x in ("gpl-program", "gpl-2-later", "gpl-hope"))
+    rows = [(1, "text\nReleased under the MIT License.\nmore"), (2, mit), (3, "Licensed under CC BY-NC 4.0. Released under the MIT license! LICENSED under the Apache License, version 2.0."), (4, None), (5, "the license is here"), (1, "Released under the MIT License."), (6, LONG + "\nLicensed under CC BY 4.0."), (7, gpl)]
+    got = sorted((r.doc_id, r.n_known, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(0))).collect())
+    assert got == [(1, 1, "MIT"), (1, 1, "MIT"), (2, 3, "MIT"), (3, 3, "MIT,Apache-2.0,CC-BY-NC-4.0"), (4, 0, ""), (5, 0, ""), (6, 1, "CC-BY-4.0"), (7, 3, "GPL-2.0-or-later")]
+    assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+# 7 -----------------------------------------------------------------------------------------------
+
+
+def test_mixing_targets(spark, docs):
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.randrange(1, 60), rng.choice(["a"] * 6 + ["b", "c", "d", "é", None])) for i in range(900)] + [(5, "w w", "a"), (None, "w", "z"), (2000, None, "y"), (2001, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows)
+    size, weight = {}, {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    for j, s in enumerate(sorted((s for s in size if s is not None)) + [None]):
+        weight[s] = (5, 2, 1)[j % 3]
+    target, free, left = {}, set(size), float(sum(size.values()))
+    while True:
+        over = {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 3 * size[s]}
+        if not over:
+            break
+        target |= {s: 3.0 * size[s] for s in over}
+        left -= sum(3 * size[s] for s in over)
+        free -= over
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    by = {}
+    source = {i: s for i, _, s in rows}
+    for r in out:
+        s = source[r.doc_id]
+        assert r.source_size == size[s] and r.target == pytest.approx(target[s]) and 0 <= r.taken <= 3 * r.size
+        by[s] = by.get(s, 0) + r.taken
+    for s in by:
+        assert abs(by[s] - target[s]) <= 1
+    again = sorted(mixing.mix(df.repartition(7)).collect(), key=str)
+    assert again == sorted(out, key=str)
+    taken = sum(len((r.text or "").split()) for r in mixing.mixed_documents(df).collect())
+    assert taken == sum(by.values())
+    assert mixing.mix(docs).count() == docs.count() and mixing.mix(docs.limit(0)).count() == 0
+
+
+# 8, 10 -------------------------------------------------------------------------------------------
+
+
+def all_ids(text):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_ids.tokenizer_file("byte_bpe_50k.json"))
+    return tok.encode(text or "", add_special_tokens=False).ids
+
+
+def test_word_tokenizer():
+    tok = token_ids.WordTokenizer(token_ids.tokenizer_file("byte_bpe_50k.json"))
+    odd = [*TEXTS, "it's we'll 'sx  two   spaces\n\n\nlines \t tab", "a\xa0b\x1fc d", "naïve — “quoted” 日本語 ½²", "ab" * 400, "'s't ' s", "\r\n\r\n x"]
+    for text, ids in zip(odd, tok.batch(odd), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == all_ids(text)
+
+
+def test_cost_packing(spark, docs):
+    for options in ({}, {"capacity": 16, "block_tokens": 200}):
+        rows = cost_packing.pack_by_cost(docs, **options).collect()
+        cap, by, seq = options.get("capacity", 1024), {}, {}
+        for r in rows:
+            assert len(r.ids) == 4 * r.length and 0 < r.length <= cap
+            by.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+            seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for i, t in enumerate(TEXTS):
+            ids = [x for _, part in sorted(by[i]) for x in part]
+            want = all_ids(t) + [0]
+            assert ids == want * (2 if i == 0 else 1) or sorted(ids) == sorted(want * 2)
+        for parts in seq.values():
+            at = 0
+            for o, n in sorted(parts):
+                assert o == at
+                at += n
+            assert at <= cap
+    assert cost_packing.pack_by_cost(docs.limit(0)).count() == 0
+
+
+def test_balance_evens_cost():
+    rng = random.Random(0)
+    lengths = [rng.randrange(1, 3000) for _ in range(500)]
+    pieces, n = cost_packing.balance(lengths, 1024, 1.0, 1 / 1024)
+    assert sum(p[2] for p in pieces) == sum(lengths) and n <= -(-sum(lengths) // 1024) + 1
+    cover = {}
+    for d, s, m, _, _ in pieces:
+        cover.setdefault(d, []).append((s, m))
+    for d, parts in cover.items():
+        at = 0
+        for s, m in sorted(parts):
+            assert s == at
+            at += m
+        assert at == lengths[d]
+
+
+def test_best_fit(spark, docs):
+    rng = random.Random(0)
+    lengths = [rng.randrange(1, 200) for _ in range(300)]
+    rows = best_fit_packing.best_fit(lengths, 64)
+    bins = []  # plain best fit, for the number of rows
+    for n in sorted((x % 64 for x in lengths if x % 64), reverse=True):
+        fit = min((b for b in bins if b[0] >= n), default=None, key=lambda b: b[0])
+        if fit is None:
+            bins.append([64 - n])
+        else:
+            fit[0] -= n
+    assert len(rows) == len(bins) + sum(x // 64 for x in lengths)
+    assert sorted(s for r in rows for s in r) == sorted((d, s, min(64, n - s) if s == n - n % 64 else 64) for d, n in enumerate(lengths) for s in range(0, n, 64))
+    got = {}
+    for r in best_fit_packing.pack_best_fit(docs, capacity=32).collect():
+        ids, place = np.frombuffer(r.ids, "<u2"), np.frombuffer(r.positions, "<u2")
+        assert len(ids) == 32 and r.cu_lengths[0] == 0 and r.cu_lengths[-1] == r.tokens
+        for i, d in enumerate(r.doc_ids):
+            a, b = r.cu_lengths[i : i + 2]
+            assert place[a:b].tolist() == list(range(b - a))
+            got.setdefault(d, []).append((r.starts[i], ids[a:b].tolist()))
+    tok = best_fit_packing._tokenizer(token_ids.tokenizer_file("byte_bpe_50k.tiktoken"), token_ids.tokenizer_file("byte_bpe_50k.json"))
+    for i, t in enumerate(TEXTS):
+        if i:
+            assert [x for _, p in sorted(got[i]) for x in p] == tok.ids(t) + [50256]
+    assert best_fit_packing.pack_best_fit(docs.limit(0)).count() == 0
+
+
+def test_packed_rows_written(spark, docs, tmp_path):
+    packed = best_fit_packing.pack_best_fit(docs, capacity=64)
+    best_fit_packing.write_packed(packed, str(tmp_path / "packed"))
+    key = lambda r: r.sequence_id
+    assert sorted(spark.read.parquet(str(tmp_path / "packed")).collect(), key=key) == sorted(packed.collect(), key=key)
+
+
+# 9 -----------------------------------------------------------------------------------------------
+
+
+def test_preferences(spark):
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "nö"), (1, 2, "user", None), (2, 0, None, "x"), (4, 0, "user", "same"), (5, 0, "user", "same"), (None, 0, "user", "lost")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("side", F.lit("clash"))
+    got = {r.pair_id: r for r in preferences.format_preferences(df, F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0).collect()}
+    assert set(got) == {0, 1, 2}
+    assert got[0].prompt == "<|im_start|>user\nhi<|im_end|>\n" and got[0].prompt_turns == 1
+    for side in ("chosen", "rejected"):
+        s, e = map(int, got[0][f"{side}_mask"].split(":"))
+        assert got[0][side][s:e] == {"chosen": "yes", "rejected": "nö"}[side] + "<|im_end|>\n"
+    assert got[0].rejected.endswith("<|im_start|>user\n<|im_end|>\n")
+    assert got[1].rejected == "" and got[1].chosen.startswith("<|im_start|>unknown\nx") and got[1].prompt == ""
+    assert got[2].chosen == got[2].rejected == "" and got[2].prompt_turns == 1
+    assert preferences.format_preferences(df.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
+
+
+# contracts ---------------------------------------------------------------------------------------
+
+
+def test_op2_and_op4_digests(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for r in ogg.op2_ogg_media(spark, str(tmp_path)).collect():
+        if r.doc_id is not None:
+            raw = (TEXTS[r.doc_id] or "").encode()
+            p = raw + bytes(-len(raw) % 64 if raw else 64)
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    for r in pii.op4_contextual_pii(spark, str(tmp_path)).collect():
+        if r.doc_id is not None:
+            assert r.base_sha256 == hashlib.sha256(",".join(base_brute(TEXTS[r.doc_id] or "")).encode()).hexdigest()
+
+
+def test_names_are_json_safe():
+    from cladewise.llm import queries
+
+    assert json.dumps(sorted(queries.QUERIES)) and set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
