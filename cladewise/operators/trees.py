@@ -120,7 +120,8 @@ def sister_groups(clades: DataFrame, members: DataFrame, leaf: str = "query_leaf
     ``query_leaf``, the name of the query's own leaf.
     """
     names = members.groupBy("query").agg(F.sort_array(F.collect_set("name")).alias("names"), F.first(leaf).alias("leaf"))
-    has = clades.join(names, "query").filter(F.array_contains("clade", F.col("leaf")))
+    around = F.when(F.array_contains("clade", F.col("leaf")), F.col("clade")).otherwise(F.array_except("names", F.col("clade")))  # trees have no root: a clade is one side of a split
+    has = clades.join(names, "query").withColumn("clade", F.sort_array(around)).filter(F.size("clade") > 1)
     least = has.groupBy("query", "rep").agg(F.min_by("clade", F.struct(F.size("clade"), F.array_join("clade", ","))).alias("clade"), F.first("names").alias("names"), F.first("leaf").alias("leaf"))
     own = F.array(F.col("leaf"))
     side = F.array(F.array_except("clade", own), F.array_except("names", F.col("clade")))

@@ -74,7 +74,7 @@ def nexus_trees(spark: SparkSession, path: str) -> DataFrame:
 
 def nexus_matrix(spark: SparkSession, path: str) -> DataFrame:
     """file, name, aligned from the matrix of a Nexus file; interleaved blocks of a name are joined in order."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_extract("value", r"(?is)\bmatrix\b(.*?);", 1).alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_extract("value", r"(?is)\bmatrix\b(.*?);", 1).alias("m"))
     rows = raw.select("file", F.posexplode(F.split("m", "\n"))).select("file", "pos", F.trim("col").alias("line")).filter("line <> ''")
     parts = rows.select("file", "pos", F.regexp_extract("line", r"^'?([^'\s]+)'?\s+(.*)$", 1).alias("name"), F.regexp_replace(F.regexp_extract("line", r"^'?([^'\s]+)'?\s+(.*)$", 2), r"\s", "").alias("part"))
     return parts.groupBy("file", "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias("aligned"))
