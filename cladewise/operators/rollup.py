@@ -158,3 +158,20 @@ def consensus(members: DataFrame, group: list[str]) -> DataFrame:
     entries = some.select(*group, F.inline("lineage")).groupBy(*group, "rank", "level", "name").agg(F.count(F.lit(1)).alias("_k"))
     kept = entries.join(size, group).filter("_k = _n")
     return kept.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rank", "level", "name"))).alias("lineage"))
+
+
+def significance_tree(post: DataFrame, cutoff: float) -> DataFrame:
+    """The certain lineages of all queries as one summary, each query a leaf one rank below: path, cnt."""
+    sure = significant_lineage(post, cutoff)
+    parts = F.split("path", "/")
+    nodes = sure.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("path"))
+    leaves_ = sure.select(F.concat_ws("/", "path", F.concat(F.lit("query:"), F.col("query"))).alias("path"))
+    return nodes.unionByName(leaves_).groupBy("path").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def benchmark(post: DataFrame, truth: DataFrame) -> DataFrame:
+    """query, level, name, prob, correct, prob_true. truth: query, level, name. Names that end in ``sp.`` are left out."""
+    best = most_probable(post).filter(~F.col("name").rlike(r"sp\.$"))
+    true = truth.select("query", "level", F.col("name").alias("true_name"))
+    of_true = post.join(true, ["query", "level"]).filter("name = true_name").groupBy("query", "level").agg(F.sum("prob").alias("prob_true"))
+    return best.join(true, ["query", "level"]).join(of_true, ["query", "level"], "left").select("query", "level", "name", "prob", (F.col("name") == F.col("true_name")).alias("correct"), F.coalesce("prob_true", F.lit(0.0)).alias("prob_true"))

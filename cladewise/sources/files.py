@@ -92,3 +92,28 @@ def constraints(spark: SparkSession, path: str) -> DataFrame:
     names = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
     out = spark.read.text(path).filter(F.size(sides) == 2).select(names(sides[0]).alias("left"), names(sides[1]).alias("right"))
     return out.filter((F.size("left") >= 2) & (F.size("right") >= 2))
+
+
+TAXON = "TaxId string, ScientificName string, LineageEx struct<Taxon:array<struct<TaxId:string,ScientificName:string,Rank:string>>>"
+#: Ranks that say nothing, and names that are no taxa.
+EMPTY_RANKS = ("no rank", "clade")
+UNCLASSIFIED = "unclassified|BOLD:"
+
+
+def taxonomy_rows(taxa: DataFrame) -> DataFrame:
+    """taxid, organism, lineage, complete from parsed taxonomy records.
+
+    Ranks that say nothing, unclassified names and varieties go; of several
+    names of one rank the first stays. A species comes from the organism's
+    first two words if none is given. ``complete`` asks for five levels.
+    """
+    all_ = F.filter("LineageEx.Taxon", lambda t: ~t["Rank"].isin(*EMPTY_RANKS) & ~t["ScientificName"].rlike(UNCLASSIFIED) & (t["Rank"] != "varietas") & L.rank_of(t["Rank"]).isNotNull())
+    first = F.filter(all_, lambda t, i: F.size(F.filter(F.slice(all_, F.lit(1), i), lambda u: u["Rank"] == t["Rank"])) == 0)
+    made = F.transform(first, lambda t: F.struct(L.rank_of(t["Rank"]).alias("rank"), t["Rank"].alias("level"), F.regexp_replace(t["ScientificName"], "[:;,]", "").alias("name")))
+    own = F.when(F.exists(made, lambda e: e["level"] == "species"), made).otherwise(F.concat(made, F.array(L.entry("species", L.two_words(F.col("ScientificName"))))))
+    out = taxa.select(F.col("TaxId").alias("taxid"), F.regexp_replace("ScientificName", r"[^\w\s]", "_").alias("organism"), F.array_sort(own).alias("lineage"))
+    return out.withColumn("complete", L.minimal(F.col("lineage")))
+
+
+def taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    return taxonomy_rows(spark.read.format("xml").option("rowTag", "Taxon").schema(TAXON).load(path))
