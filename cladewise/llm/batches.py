@@ -11,11 +11,11 @@ import pyarrow as pa
 ROWS = 256
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ROWS rows; what the worker no longer needs goes back to the system at the end."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows; what the worker no longer needs goes back to the system at the end."""
     for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            yield batch.slice(start, ROWS)
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
     release()
 
 

@@ -90,7 +90,7 @@ def pack_by_cost(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         first = TaskContext.get().partitionId() * PER_TASK
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         ids, tokens, size = [], [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):  # the more text at once, the fewer words are looked up twice
             for doc_id, own in zip(batch.column(0).to_pylist(), tok.batch(batch.column(1).to_pylist()), strict=True):
                 tokens.append(own + end)
                 ids.append(doc_id)
