@@ -136,7 +136,8 @@ def prior(k: Column, n: Column) -> Column:
 
 
 def bayes_factor(p: Column, prior_: Column) -> Column:
-    return F.when(p == 1, F.lit(float("inf"))).otherwise((p / (1 - p)) / (prior_ / (1 - prior_)))
+    """Posterior odds over prior odds: infinite for a certain clade, 0 where only the prior is certain."""
+    return F.when(p == 1, F.lit(float("inf"))).when(prior_ == 1, F.lit(0.0)).otherwise((p / (1 - p)) / (prior_ / (1 - prior_)))
 
 
 def level_counts(assigned: DataFrame, analysed: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def significant_lineage(spark, d):
 
 
 @query(f"""WITH {PATHS}, w AS (SELECT query, path, level, prob, cnt, n_trees, CASE WHEN cnt = n_trees THEN 1.0::DOUBLE ELSE (2 * cnt - 1)::DOUBLE / (2 * n_trees - 3) END AS prior FROM post)
-SELECT query, path, prior, CASE WHEN prob = 1 THEN 'Infinity'::DOUBLE ELSE prob / (1 - prob) / (prior / (1 - prior)) END AS factor FROM w""")
+SELECT query, path, prior, CASE WHEN prob = 1 THEN 'Infinity'::DOUBLE WHEN prior = 1 THEN 0.0 ELSE prob / (1 - prob) / (prior / (1 - prior)) END AS factor FROM w""")
 def prior_bayes_factor(spark, d):
     p = _post(spark, d).withColumn("prior", R.prior(F.col("cnt"), F.col("n_trees")))
     return p.select("query", "path", "prior", R.bayes_factor(F.col("prob"), F.col("prior")).alias("factor"))
