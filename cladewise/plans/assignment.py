@@ -97,7 +97,7 @@ def _items(spark, d):
 
 @query()
 def assign_end_to_end(spark, d):
-    """Items against each other through every stage, with few replicates; checked in tests on sequences of a known tree."""
+    """Items against each other through every stage, with few replicates. Tests cover the stages, not this query as a whole."""
     records = _items(spark, d)
     queries = records.select(F.concat(F.lit("q"), F.substring("id", 2, 9)).alias("id"), F.col("seq"))
     quotas = X.Quotas(nrsignificant=1, alignmentlimit=8, besthits=8, relbitscore=0.0)

@@ -191,7 +191,7 @@ def fasta_records(spark, d):
 
 @query()
 def greedy_select(spark, d):
-    """The sequential scan over each user's events as hits; tests compare it with a plain loop."""
+    """The sequential scan over each user's events as hits. No SQL: each hit depends on what was accepted before."""
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("query"), F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")).alias("ord"), F.col("event_id").cast("string").alias("id"), F.col("value").alias("score"), (F.lit(1.0) / (1 + F.col("value"))).alias("significance"), F.concat("event_type", F.col("event_id").cast("string")).alias("seq"), "event_type")
     h = e.select("query", "ord", "id", "score", "significance", "seq", F.concat_ws(" ", "event_type", (F.col("id").cast("long") % 40).cast("string")).alias("species"), F.concat_ws(" ", "event_type", (F.col("id").cast("long") % 10).cast("string")).alias("genus"), F.col("event_type").alias("family"), F.col("event_type").alias("order"), F.lit("c").alias("class"), F.lit("p").alias("phylum"))
     return X.select_homologues(h)
