@@ -5,10 +5,12 @@
 2. ``bands * rows`` universal hashes give minima. Each band of minima is a
    bucket key. With 32 bands of 5 rows two sets with a similarity of 0.8 miss
    every bucket with a probability of (1 - 0.8**5)**32, about 3 in a million.
-3. Every class of a bucket is paired with the bucket's least class and with the
-   next one in order of the signature: two pairs a member, never all pairs.
-   Pairs are verified on one byte of each minimum: those whose estimate is far
-   below the threshold go. What stays joins classes into groups.
+3. Classes are compared on one byte of each minimum: pairs whose estimate is
+   far below the threshold go, what stays joins classes into groups. First
+   every class of a bucket is compared with the bucket's least class. Buckets
+   whose classes are not in one group by then are dealt out over pairs of
+   blocks, and there every two classes of different groups are compared, or
+   joined by others that passed. Only spanning links leave a task.
 4. In each group links are confirmed on the full sets, exactly. Groups larger
    than ``block`` are dealt out over pairs of blocks, each a task of its own.
    Within a task a search from class to class compares only with what has not
@@ -30,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import forget_tokenizers, slices
@@ -99,11 +101,9 @@ def sign_documents(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(task, SIGNED)
 
 
-def _bucket_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs of each bucket's classes with its least class and with the next in order of signature."""
-    rows = classes.select("node", F.hash("signature").alias("order"), F.explode("bands").alias("band"))
-    least = rows.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least")
-    return rows, least
+def _agreement(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Estimated similarity by rows of signature bytes, less the chance of equal bytes."""
+    return ((p == q).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
 def _near(a: str, b: str, at_least: float) -> F.Column:
@@ -114,11 +114,60 @@ def _near(a: str, b: str, at_least: float) -> F.Column:
             return pd.Series([], dtype=bool)
         p = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)
         q = np.frombuffer(b"".join(y), np.uint8).reshape(len(y), -1)
-        return pd.Series(((p == q).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= at_least)
+        return pd.Series(_agreement(p, q) >= at_least)
 
     return F.pandas_udf(agree, "boolean")(F.col(a), F.col(b))
 
 
+def near_forest(signs: np.ndarray, known: np.ndarray, at_least: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of rows that agree and, with rows of equal ``known`` taken as joined, span the components of all such pairs.
+
+    side: with two blocks, 0 or 1 for each row; only pairs between the blocks count then.
+    """
+    links = []
+    _, known = np.unique(known, return_inverse=True)
+    by_known = np.split(np.argsort(known, kind="stable"), np.cumsum(np.bincount(known))[:-1])
+    open_ = np.ones(len(known), bool)
+    for first in by_known:
+        if not open_[first[0]]:
+            continue
+        open_[first] = False
+        queue = first.tolist()
+        while queue:
+            at = queue.pop()
+            left = np.flatnonzero(open_ if side is None else open_ & (side != side[at]))
+            if not len(left):
+                continue
+            for j in left[_agreement(signs[left], signs[at]) >= at_least].tolist():
+                if open_[j]:
+                    links.append((at, j))
+                    own = by_known[known[j]]
+                    open_[own] = False
+                    queue.extend(own.tolist())
+    return links
+
+
+def bucket_links(shared: DataFrame, sign: DataFrame, joined: DataFrame, at_least: float, block: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that span what all pairs of each bucket's classes would join. shared: band, node; sign: node, signature; joined: node, component of what has been joined before."""
+    rows = scratch.save(shared.hint("merge").join(joined.hint("merge"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("known")))
+    # Two classes have been compared already, as one of them is the least.
+    apart = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("known").alias("low"), F.max("known").alias("high")).filter("n > 2 and low < high")
+    apart = scratch.save(apart.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    open_ = scratch.save(rows.hint("merge").join(apart, "band").withColumn("own", own))
+    dealt = open_.hint("merge").join(sign, "node").select("band", "node", "known", "own", "signature", F.inline(pairs))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        signs = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
+        side = None if pdf["i"].iloc[0] == pdf["j"].iloc[0] else (pdf["own"] == pdf["j"]).to_numpy()
+        nodes = pdf["node"].to_numpy()
+        found = near_forest(signs, pdf["known"].to_numpy(), at_least, side)
+        return pd.DataFrame([(int(nodes[a]), int(nodes[b])) for a, b in found], columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("band", "i", "j").applyInPandas(link, "a long, b long")
+
+
 def forest(items: list[np.ndarray], nodes: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span the components of the sets under ``100 * both >= percent * either``.
 
@@ -197,24 +246,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch.save(sign_documents(docs, k, bands, rows))
     classes = scratch.save(signed.filter("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
 
-    rows_, least = _bucket_pairs(classes)
-    buckets = scratch.save(least)
-    shared = rows_.hint("merge").join(buckets, "band")
-    star = shared.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    # The next in order of signature: buckets are cut into pieces by the order, so that no task sorts a large one alone.
-    piece = shared.withColumn("piece", F.shiftrightunsigned("order", 24))
-    after = F.lead("node").over(Window.partitionBy("band", "piece").orderBy("order", "node"))
-    chain = piece.select(F.col("node").alias("a"), after.alias("b")).filter("b is not null and a <> b")
-    pairs = scratch.save(star.unionByName(chain).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rows_ = classes.select("node", F.explode("bands").alias("band"))
+    buckets = scratch.save(rows_.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least"))
+    shared = scratch.save(rows_.hint("merge").join(buckets, "band"))
+    pairs = scratch.save(shared.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     sign = classes.select("node", "signature").groupBy("node").agg(F.first("signature").alias("signature"))
     sign = scratch.save(sign)
+    at_least = percent / 100 - SLACK
     near = (
         pairs.hint("merge").join(sign.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
         .hint("merge").join(sign.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-        .filter(_near("sa", "sb", percent / 100 - SLACK))
+        .filter(_near("sa", "sb", at_least))
         .select("a", "b")
     )
-    grouped = components(near, scratch)
+    joined = scratch.save(components(near, scratch))
+    more = scratch.save(bucket_links(shared.select("band", "node"), sign, joined, at_least, block, scratch))
+    grouped = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), scratch)
     grouped = scratch.save(grouped)
     sizes = scratch.save(grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size")))  # written, so that Spark may split a large group's rows
     groups = scratch.save(grouped.join(sizes, "component").select("node", F.col("component").alias("grp"), "size"))

@@ -286,6 +286,39 @@ def test_near_duplicates_brute_force(spark):
     assert sorted(kept) == sorted({i for i, c in want.items() if i == c})
 
 
+def test_near_duplicates_among_even_overlaps(spark):
+    """All documents share 0.3 of their words evenly, so that the least class of nearly every bucket is none of two near copies."""
+    rng = random.Random(7)
+    pool = [f"w{i}" for i in range(1000)]
+    sets = [rng.sample(pool, 460) for _ in range(600)]
+    sets += [[*s[20:], *(f"y{i}_{j}" for j in range(20))] for i, s in enumerate(sets[-30:])]
+    rows = [(i, " ".join(s)) for i, s in enumerate(sets)]
+    want = dedup_brute(rows, 1, 80)
+    assert sum(i != c for i, c in want.items()) == 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, k=1, bands=160, rows=1, block=100).collect()}
+    assert got == want
+
+
+def test_near_forest():
+    rng = np.random.default_rng(8)
+    for trial in range(30):
+        base = rng.integers(0, 256, (6, 160), dtype=np.uint8)
+        signs = np.where(rng.random((40, 160)) < 0.3, rng.integers(0, 256, (40, 160), dtype=np.uint8), base[rng.integers(0, 6, 40)])
+        known, side = rng.integers(0, 60, 40), [None, rng.integers(0, 2, 40)][trial % 2]
+        agree = np.array([minhash._agreement(signs, x) >= 0.45 for x in signs]) & (True if side is None else side[:, None] != side[None, :])
+
+        def parts(pairs):
+            label = known.copy()
+            for _ in range(40):
+                for a, b in pairs:
+                    label[(label == label[a]) | (label == label[b])] = min(label[a], label[b])
+            return label.tolist()
+
+        got = minhash.near_forest(signs, known, 0.45, side)
+        assert all(agree[a, b] for a, b in got) and parts(got) == parts(np.argwhere(agree).tolist())
+
+
 def test_near_duplicates_odd(spark, docs):
     got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
     assert got[7].component_id == 0 and not got[7].kept and got[None].component_id is None and got[None].kept
