@@ -2,8 +2,9 @@
 
 A segment of n tokens costs ``linear * n + quadratic * n * n``: attention does
 not cross segments. Documents go longest first to the sequence of lowest cost
-that can take them whole; where none of the cheapest can, the document is cut
-and the cheapest open sequence is filled. Nothing is dropped.
+that can take them whole; only where no open sequence can, the document is cut
+and the cheapest open sequence is filled. Nothing is dropped. A segment tree
+over used tokens, its leaves heaps of costs, finds the sequence.
 
 Each task packs what it reads, ``block_tokens`` at a time, so there is no
 shuffle, no group, and memory does not depend on the input. A repeated task
@@ -33,7 +34,7 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 PER_TASK = 1 << 33
 
 
-def balance(lengths: list[int], capacity: int, linear: float, quadratic: float, probes: int = 16) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def balance(lengths: list[int], capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Pieces (document, start, length, sequence, offset) and the number of sequences."""
     out: list[tuple[int, int, int, int, int]] = []
     count, rest = 0, []
@@ -45,31 +46,47 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float,
             rest.append((-(n % capacity), doc, n - n % capacity))
     heapq.heapify(rest)
     need = -(-sum(-x[0] for x in rest) // capacity)
-    sequences = [(0.0, count + i) for i in range(need)]  # in order, so a heap
-    used = dict.fromkeys(range(count, count + need), 0)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity)]
+    heaps[0] = [(0.0, count + i) for i in range(need)]  # in order, so a heap
+    base = 1 << capacity.bit_length()
+    none = (float("inf"), -1)
+    tree = [none] * (2 * base)
+    where = [0] * need  # used tokens
+
+    def renew(used: int) -> None:
+        i = base + used
+        tree[i] = heaps[used][0] if heaps[used] else none
+        while i > 1:
+            i >>= 1
+            least = min(tree[2 * i], tree[2 * i + 1])
+            if tree[i] == least:
+                break
+            tree[i] = least
+
+    if need:
+        renew(0)
     while rest:
         n, doc, start = heapq.heappop(rest)
         n = -n
-        tried = []
-        chosen = None
-        while sequences and len(tried) < probes:
-            cost, k = heapq.heappop(sequences)
-            if capacity - used[k] >= n:
-                chosen = (cost, k)
-                break
-            tried.append((cost, k))
-        if chosen is None:  # cut it: fill the cheapest
-            chosen = tried.pop(0)
-            part = capacity - used[chosen[1]]
+        chosen, i = none, base + capacity - n + 1  # the least of those that use at most capacity - n
+        while i > 1:
+            if i & 1 and tree[i - 1] < chosen:
+                chosen = tree[i - 1]
+            i >>= 1
+        if chosen is none:  # cut it: fill the cheapest
+            chosen = tree[1]
+            part = capacity - where[chosen[1] - count]
             heapq.heappush(rest, (part - n, doc, start + part))
             n = part
-        for x in tried:
-            heapq.heappush(sequences, x)
         cost, k = chosen
-        out.append((doc, start, n, k, used[k]))
-        used[k] += n
-        if used[k] < capacity:
-            heapq.heappush(sequences, (cost + linear * n + quadratic * n * n, k))
+        used = where[k - count]
+        heapq.heappop(heaps[used])
+        renew(used)
+        out.append((doc, start, n, k, used))
+        where[k - count] = used + n
+        if used + n < capacity:
+            heapq.heappush(heaps[used + n], (cost + linear * n + quadratic * n * n, k))
+            renew(used + n)
     return out, count + need
 
 

@@ -460,6 +460,30 @@ def test_balance_evens_cost():
         assert at == lengths[d]
 
 
+def test_balance_cuts_only_where_nothing_fits():
+    rng = random.Random(9)
+    for trial in range(40):
+        capacity = rng.choice([1, 2, 16, 100, 1024])
+        lengths = [rng.randrange(0, 2 * capacity) if trial % 2 else 1 + int(capacity * rng.random() ** 4) for _ in range(300)]
+        left = sorted((-(n % capacity), d, n - n % capacity) for d, n in enumerate(lengths) if n % capacity)
+        full = sum(n // capacity for n in lengths)
+        state = {full + i: [0.0, 0] for i in range(-(-sum(-x[0] for x in left) // capacity))}
+        want = []
+        while left:
+            n, doc, start = left.pop(0)
+            n = -n
+            room = [(c, k) for k, (c, used) in state.items() if used < capacity and capacity - used >= n]
+            _, k = min(room or [(c, k) for k, (c, used) in state.items() if used < capacity])
+            if not room:
+                part = capacity - state[k][1]
+                left = sorted([*left, (part - n, doc, start + part)])
+                n = part
+            want.append((doc, start, n, k, state[k][1]))
+            state[k] = [state[k][0] + 1.0 * n + 0.001 * n * n, state[k][1] + n]
+        got, sequences = cost_packing.balance(lengths, capacity, 1.0, 0.001)
+        assert got[full:] == want and sequences == full + len(state)
+
+
 def test_best_fit(spark, docs):
     rng = random.Random(0)
     lengths = [rng.randrange(1, 200) for _ in range(300)]
