@@ -1,9 +1,12 @@
 """Licences in texts by sentence and rule. DataFrame operations only.
 
 A text is cut into sentences at line ends and after ``.``, ``!``, ``?``,
-``:`` and ``;`` before white space; known sentences have none of these inside. A sentence in lower case, with every run of other
-characters than a-z and 0-9 as one space, is looked up among the known licence
-sentences, a table of fixed size. The identifiers found, in order, are one
+``:`` and ``;`` before white space; known sentences have none of these inside.
+A single line end, with comment marks after it, may also stand inside a
+sentence, so that wrapped texts are read; a blank line may not, but before an
+address. A sentence in lower case, with every run of other characters than a-z
+and 0-9 as one space, is looked up among the known licence sentences, a table
+of fixed size, the longest first. The identifiers found, in order, are one
 sequence; unknown sentences between them do not count. Rules are sequences of
 identifiers under a licence's name, the longest first; what a rule matches is
 used up.
@@ -84,13 +87,22 @@ def normalise(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def _known_pattern() -> str:
+    """Known sentences between two marks, the longest first."""
+    each = sorted((normalise(s) for _, s in SENTENCES), key=len, reverse=True)
+    gaps = ("[ L]+http".join(part.replace(" ", "(?: | ?L ?)") for part in s.split(" http")) for s in each)
+    return f"(?<=[SL]|[SL] )(?:{'|'.join(gaps)})(?= ?[SL])"
+
+
 def sentence_ids(text: Column) -> Column:
     """Numbers (from 1) of the known sentences of a text, in order."""
     low = _lower(F.coalesce(text.cast("string"), F.lit("")))
     may = reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in HINTS))
     known = F.create_map(*(F.lit(x) for i, (_, s) in enumerate(SENTENCES, 1) for x in (normalise(s), i)))
-    some = F.filter(F.split(low, r"\n+|(?<=[.!?:;])[\x20\x09-\x0D]+"), lambda s: reduce(lambda a, b: a | b, (F.contains(s, F.lit(h)) for h in (*HINTS, "free", "cc"))))
-    ids = F.array_compact(F.transform(some, lambda s: F.try_element_at(known, _normal(s))))
+    # Capitals are free as marks: S after a sentence, L for a line end.
+    marked = F.translate(F.regexp_replace(low, r"(?<=[.!?:;])[\x20\x09-\x0D]+", "S"), "\n", "L")
+    line = F.concat(F.lit("S"), F.regexp_replace(marked, "[^a-z0-9SL]+", " "), F.lit("S"))
+    ids = F.transform(F.regexp_extract_all(line, F.lit(_known_pattern()), F.lit(0)), lambda s: F.element_at(known, F.regexp_replace(s, "[ L]+", " ")))
     return F.when(may, ids).otherwise(F.array().cast("array<int>"))
 
 

@@ -368,6 +368,25 @@ def test_licenses(spark, docs):
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_in_wrapped_texts(spark):
+    import textwrap
+
+    known = dict(licenses.SENTENCES)
+    wrap = {name: [known[x] for x in rule] for name, rule in (("MIT", ("mit-grant", "mit-notice", "mit-as-is")), ("BSD", ("bsd-grant",)), ("GPL-3.0-or-later", ("gpl-program", "gpl-3-later", "gpl-hope")), ("Apache-2.0", ("apache-2-long", "apache-2-use", "apache-2-copy", "apache-2-basis")))}
+    rows = []
+    for name, sentences in wrap.items():
+        for mark in ("", "# ", " * ", "// "):
+            lines = ["Copyright 2020 Somebody", *textwrap.wrap(" ".join(sentences), 70)]
+            rows.append((len(rows), "\n".join(mark + x for x in lines) + "\n", name, len(sentences)))
+    url = "Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless"
+    rows.append((len(rows), "# " + url, "Apache-2.0", 3))
+    rows.append((len(rows), "Released under\n\nthe MIT License.", "", 0))
+    rows.append((len(rows), "A title\nReleased under the MIT License.\nmore\nReleased under the MIT\r\nLicense.", "MIT", 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string, n long")
+    got = {r.doc_id: (r.licenses, r.n_known) for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: (name, n) for i, _, name, n in rows}
+
+
 # 7 -----------------------------------------------------------------------------------------------
 
 
