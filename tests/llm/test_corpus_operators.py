@@ -153,9 +153,9 @@ def kn_brute(train, texts, bits):
             back = 1.0
             if total[v]:
                 k = kinds[v]
-                back = max((k[1] + d[2] * k[2] + d[3] * k[3]) / total[v], 1e-9)
+                back = max((d[1] * k[1] + d[2] * k[2] + d[3] * k[3]) / total[v], 1e-9)
             n = pairs[v, w]
-            lp += log((n - d[min(n, 3)]) / total[v] + back * low(w)) if n > 1 else log(back * low(w))
+            lp += log((n - d[min(n, 3)]) / total[v] + back * low(w)) if n else log(back * low(w))
         out.append(exp(-lp / (len(s) - 1)) if len(s) > 1 else None)
     return out
 
