@@ -5,15 +5,19 @@ of digits). The patterns given to Spark match what the plain ones below match,
 leftmost and not overlapping, in time linear in the text: quantifiers never
 give back, and a match only begins where a run begins or the last match ended.
 
-The contextual part starts from these entities as seeds. Candidates are words
-with a digit or an at sign. Each has lexical patterns: the two words before it,
-and the word before with the word after. Patterns and candidate values form a
-bipartite graph of distinct pairs; in each round a pattern's confidence is the
-smoothed mean score of its values, and the score of a value that is no seed is
-the noisy-or of its patterns' confidences. Patterns that end with a high
-confidence from enough distinct seeds mark their other candidates as ``ctx``.
-The graph is aggregated before it is shuffled, nothing is collected, and each
-round's scores are written out.
+The contextual part starts from seeds: these entities, and values that a label
+word with ``=`` or ``:`` introduces. Candidates are words with a digit or an at
+sign, without the punctuation around them. Each has lexical patterns: the two
+words before it (L), the word before and the word after (B), the label that
+introduces it (N) and its shape, if it has eight characters or more (S).
+Patterns and candidate values form a bipartite graph of distinct pairs. In each
+round a pattern's confidence is the smoothed mean score of its values, and the
+score of a value that is no seed is the mean confidence of its patterns.
+Patterns that end with a high confidence and enough distinct seeds mark their
+candidates as ``ctx``, labelled or not, known as seeds or not. Patterns and
+values are 64-bit hashes in the graph, so that long words cost no more than
+others. The graph is aggregated before it is shuffled, nothing is collected,
+and each round's scores are written out.
 
 Offsets count code points; ends are exclusive. Defined results: a null or empty
 text has no spans; rows that repeat each have their own result; null ids and
@@ -116,36 +120,77 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def _entity(token: Column, left: Column) -> Column:
+#: Words that name the value after them, and words that number one.
+LABELS = ("account", "acct", "api_key", "apikey", "auth", "card", "credential", "iban", "id", "key", "login", "passport", "passwd", "password", "phone", "pin", "secret", "serial", "ssn", "tax", "token", "user")
+NUMBER = ("no", "nr", "num", "number")
+#: What is taken off a candidate at either side.
+LEADING, TRAILING = "\"'([{<=:,;#$%&*|~", "\"')]}>,;:.!?#$%&*|~"
+_W, _S = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+#: The last word of a text, the one before it and the first, each in linear time.
+LAST, LAST_BUT_ONE, NEXT = rf"(?<!{_W})({_W}++){_S}*+\z", rf"(?<!{_W})({_W}++){_S}++{_W}++{_S}*+\z", rf"^{_S}*+({_W}++)"
+#: A label that is written in one word with its value.
+INNER = r"^[A-Za-z_][A-Za-z_-]*+[=:](?!/)[\"'(\[]*+"
+SHORTEST_SHAPE, LONGEST_SHAPE = 8, 64
+
+
+def _entity(token: Column) -> Column:
     """Whether a word is, or belongs to, an entity of a base kind."""
     ip = F.regexp_extract(token, KINDS[1][2], 0)
-    digits = F.length(_digits(token))
-    phone = token.rlike(r"^\+[0-9]") | (token.rlike(r"^\(?[0-9]") & left.rlike(r"\+[0-9][\x20().0-9-]*$"))
-    return (F.contains(token, F.lit("@")) & token.rlike(KINDS[0][2])) | ((ip != "") & _octets(ip)) | F.when(digits.between(13, 19), _luhn(token)).otherwise(F.lit(False)) | phone
+    card = F.when(F.length(_digits(token)).between(13, 19), _luhn(token)).otherwise(F.lit(False))
+    return (F.contains(token, F.lit("@")) & token.rlike(KINDS[0][2])) | ((ip != "") & _octets(ip)) | card | token.rlike(r"^\+[0-9]")
+
+
+def _letters(word: Column) -> Column:
+    return F.regexp_replace(word, "[^a-z_]+", "")
+
+
+def _label(before: Column, two: Column) -> Column:
+    """The word that introduces a value, '' if none does."""
+    bare = F.when(before.rlike("^[=:]+$"), two).otherwise(before)
+    own = _letters(bare)
+    named = F.when(own.isin(*NUMBER), _letters(two)).otherwise(own)
+    return F.when(before.rlike("[=:][\"'(\\[]*+$"), named).otherwise(F.lit(""))
+
+
+def _shape(core: Column) -> Column:
+    """Digits as 9, runs of letters as a; mixed runs by their length alone."""
+    mixed = core.rlike(r"^(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{12,}+$")
+    plain = F.regexp_replace(F.regexp_replace(core, "[0-9]", "9"), "[A-Za-z]+", "a")
+    return F.when(mixed | (F.length(core) > LONGEST_SHAPE), F.concat(F.lit("x"), F.length(core).cast("string"))).otherwise(plain)
 
 
 def candidates(text: Column) -> tuple:
-    """Words with a digit or an at sign, without the punctuation around them, and what stands beside them.
+    """What stands between candidates, candidates, and how one becomes offsets, value, patterns and whether it is a base entity or a seed.
 
-    Only the 60 characters on either side, and no other candidate, make the context.
+    Words that are candidates themselves are no context.
     """
     gaps = F.split(text, CANDIDATE, -1)
     spans = _found(text, CANDIDATE)
 
-    def one(x: Column, i: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["t"], r"^[\"'(\[{<=:,;]*", 0))
-        core = F.regexp_extract(x["t"], r"^[\"'(\[{<=:,;]*(.*?)[\"')\]}>,;:.!?]*$", 1)
-        left = F.lower(F.right(F.get(F.col("gaps"), i), F.lit(60)))
-        right = F.lower(F.left(F.get(F.col("gaps"), i + 1), F.lit(60)))
-        before = F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-        two = F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$", 1)
-        after = F.regexp_extract(right, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
-        start = x["s"] + lead
-        seed = _entity(x["t"], left)
-        patterns = F.array_compact(F.array(F.when((before != "") & (two != ""), F.concat(F.lit("L "), two, F.lit(" "), before)), F.when((before != "") & (after != ""), F.concat(F.lit("B "), before, F.lit(" _ "), after))))
-        return F.struct(start.alias("s"), (start + F.length(core)).alias("e"), F.lower(core).alias("t"), patterns.alias("patterns"), seed.alias("seed"))
-
-    return gaps, spans, one
+    def parts(x: Column, i: Column) -> Column:
+        right = F.ltrim(x["t"], F.lit(LEADING))
+        inner = F.regexp_extract(right, INNER, 0)
+        core = F.rtrim(F.substring(right, F.length(inner) + 1, F.length(right)), F.lit(TRAILING))
+        left = F.get(F.col("gaps"), i)
+        last = F.lower(F.regexp_extract(left, LAST, 1))
+        within = inner != ""
+        before = F.when(within, F.lower(inner)).otherwise(last)
+        two = F.when(within, last).otherwise(F.lower(F.regexp_extract(left, LAST_BUT_ONE, 1)))
+        after = F.lower(F.regexp_extract(F.get(F.col("gaps"), i + 1), NEXT, 1))
+        start = x["s"] + F.length(x["t"]) - F.length(right) + F.length(inner)
+        return F.struct(start.alias("s"), core.alias("core"), before.alias("before"), two.alias("two"), after.alias("after"), _label(before, two).alias("label"), _entity(x["t"]).alias("base"))
+
+    def one(y: Column) -> Column:
+        patterns = F.array_compact(F.array(
+            F.when((y["before"] != "") & (y["two"] != ""), F.xxhash64(F.lit("L"), y["two"], y["before"])),
+            F.when((y["before"] != "") & (y["after"] != ""), F.xxhash64(F.lit("B"), y["before"], y["after"])),
+            F.when(y["label"] != "", F.xxhash64(F.lit("N"), y["label"])),
+            F.when(F.length(y["core"]) >= SHORTEST_SHAPE, F.xxhash64(F.lit("S"), _shape(y["core"]))),
+        ))
+        seed = y["base"] | y["label"].isin(*LABELS)
+        return F.struct(y["s"].alias("s"), (y["s"] + F.length(y["core"])).alias("e"), F.xxhash64(F.lower(y["core"])).alias("value"), patterns.alias("patterns"), y["base"].alias("base"), seed.alias("seed"))
+
+    return gaps, spans, parts, one
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -153,13 +198,12 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     base = base_spans(F.col("text"))
-    gaps, spans, one = candidates(F.col("text"))
+    gaps, spans, parts, one = candidates(F.col("text"))
     may = F.col("text").rlike("[0-9@]")
-    none = "array<struct<s:int,e:int,t:string,patterns:array<string>,seed:boolean>>"
-    rows = rows.withColumn("gaps", F.when(may, gaps)).withColumn("found", F.when(may, spans))
-    cand = F.coalesce(F.filter(F.transform("found", one), lambda x: x["t"] != ""), F.array().cast(none))
-    out = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *(c.alias(k) for k, c in base.items()), cand.alias("cand"), F.xxhash64("text").alias("text_hash"))
-    return out
+    none = "array<struct<s:int,e:int,value:bigint,patterns:array<bigint>,base:boolean,seed:boolean>>"
+    rows = rows.withColumn("gaps", F.when(may, gaps)).withColumn("found", F.when(may, spans)).withColumn("parts", F.transform("found", parts))
+    cand = F.coalesce(F.transform(F.filter("parts", lambda y: y["core"] != ""), one), F.array().cast(none))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *(c.alias(k) for k, c in base.items()), cand.alias("cand"), F.xxhash64("text").alias("text_hash"))
 
 
 def _all_base() -> Column:
@@ -168,23 +212,24 @@ def _all_base() -> Column:
 
 def contextual_spans(scanned: DataFrame, scratch: Scratch, *, rounds: int = 3, support: int = 3, confidence: float = 0.75) -> DataFrame:
     """(rid, s, e) of candidates that strong patterns mark. scanned must be a written table."""
-    each = scratch.save(scanned.filter(F.size("cand") > 0).select("rid", F.inline("cand")).toDF("rid", "s", "e", "value", "patterns", "seed"))
-    # Distinct pairs; a value is a seed if any of its occurrences is one.
-    edges = each.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    useful = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("long")).alias("seeds"), F.count(F.lit(1)).alias("degree")).filter((F.col("seeds") >= support) & (F.col("degree") > F.col("seeds")))
+    each = scratch.save(scanned.filter(F.size("cand") > 0).select("rid", F.inline("cand")))
+    # Distinct pairs; a value is a seed, or a base entity, if any of its occurrences is one.
+    edges = each.select(F.explode("patterns").alias("pattern"), "value", "seed", "base").groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.max("base").alias("base"))
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    useful = edges.groupBy("pattern").agg(count("seed").alias("seeds"), count("base").alias("known"), F.count(F.lit(1)).alias("degree")).filter((F.col("seeds") >= support) & (F.col("degree") > F.col("known")))
     useful = scratch.save(useful.select("pattern"))
-    edges = scratch.save(edges.join(useful, "pattern", "left_semi"))
+    edges = scratch.save(edges.join(useful, "pattern", "left_semi").select("pattern", "value", "seed"))
     scores = scratch.save(edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed")))
     strength = None
     for _ in range(rounds):
-        mean = edges.join(scores.select("value", "score"), "value").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + F.lit(1.0))).alias("strength"))
+        mean = edges.select("pattern", "value").join(scores.select("value", "score"), "value").groupBy("pattern").agg(F.round(F.sum("score") / (F.count(F.lit(1)) + F.lit(1.0)), 9).alias("strength"))
         new = scratch.save(mean)
-        noisy = edges.select("pattern", "value").join(new, "pattern").groupBy("value").agg((F.lit(1.0) - F.exp(F.sum(F.log1p(-F.col("strength"))))).alias("risen"))
-        risen = scratch.save(scores.join(noisy, "value").select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("risen")).alias("score"), "seed"))
+        risen = edges.select("pattern", "value").join(new, "pattern").groupBy("value").agg(F.round(F.avg("strength"), 9).alias("risen"))
+        risen = scratch.save(scores.join(risen, "value").select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("risen")).alias("score"), "seed"))
         scratch.drop(scores, *([strength] if strength is not None else []))
         scores, strength = risen, new
     strong = scratch.save(strength.filter(F.col("strength") >= confidence).select("pattern"))
-    marked = each.filter("not seed").select("rid", "s", "e", F.explode("patterns").alias("pattern")).join(strong, "pattern", "left_semi")
+    marked = each.filter("not base").select("rid", "s", "e", F.explode("patterns").alias("pattern")).join(strong, "pattern", "left_semi")
     return marked.select("rid", "s", "e").distinct()
 
 
@@ -232,4 +277,4 @@ def op4_contextual_pii(spark, sf_dir: str) -> DataFrame:
     base = [k for k, _, _ in KINDS]
     of = {k: _joined(k, F.col(k)) for k in (*base, "ctx")}
     joined = F.array_join(F.concat(*(of[k] for k in base)), ",")
-    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in base), F.sha2(joined, 256).alias("base_sha256"), F.array_join(F.concat(*of.values()), ",").alias("spans"), F.size("ctx").cast("long").alias("n_ctx"))
+    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in base), F.sha2(joined, 256).alias("base_sha256"), F.array_join(F.concat(*of.values()), ",").alias("spans"), F.size("ctx").cast("long").alias("n_ctx"), sum((F.size(k) for k in of), F.lit(0)).cast("long").alias("n_spans"))

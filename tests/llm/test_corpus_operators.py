@@ -208,7 +208,7 @@ def base_brute(x):
 
 
 PII = ["a@b.c_d@e.f x", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004", "4111-1111-1111-1111 4111 1111 1111 1111 5", "4111-1111-1111-1111", "+1 (2) 3-4.5 67890 +12345678901234567 é +49 30 1234567", "a.a@b..c @x.y z@z-.q", "+" * 50 + "1" * 3000 + "a" * 3000 + "@", "1 " * 4000, None, "", "😀 bob@x.io 10.0.0.1, 😀😀 10.0.0.999", "%" * 10 + "@a.b@c.d", "x" * 2000, "a.b" * 500 + "@c.d" * 50]
-PII_LONG = ["x" * 300_000, "1" * 300_000, "1 " * 150_000, "+1" + " " * 300_000, "a." * 150_000, "x@" * 150_000, "1.2." * 70_000 + "x"]
+PII_LONG = ["x" * 300_000, "1" * 300_000, "1 " * 150_000, "+1" + " " * 300_000, "a." * 150_000, "x@" * 150_000, "1.2." * 70_000 + "x", "key=" + "1" + "," * 300_000 + "x", "x" * 300_000 + " y: 5", "9" + "(" * 300_000 + " z", "a=" * 150_000 + "1"]
 
 
 def test_pii_brute_force(spark):
@@ -222,6 +222,100 @@ def test_pii_brute_force(spark):
             assert 0 <= x.s < x.e <= len(texts[r.doc_id])
 
 
+W = r"[^\x20\x09-\x0D]"
+
+
+def ctx_brute(texts, rounds=3, support=3, confidence=0.75):
+    """Spans by document, from the statement of the method: plain words, strings and dictionaries."""
+    seen, graph, seeds, known = [], {}, set(), set()
+    letters = lambda w: re.sub("[^a-z_]", "", w)
+    for doc, text in enumerate(texts):
+        words = [(m.start(), m[0]) for m in re.finditer(f"{W}+", text or "")]
+        plain = [None if re.search("[0-9@]", w) else w.lower() for _, w in words]
+        at = lambda i: plain[i] if 0 <= i < len(plain) else None  # noqa: E731, B023
+        for i, (start, word) in enumerate(words):
+            if plain[i] is not None:
+                continue
+            right = word.lstrip(pii.LEADING)
+            inner = re.match(r"[A-Za-z_][A-Za-z_-]*[=:](?!/)[\"'(\[]*", right)
+            inner = inner[0] if inner else ""
+            core = right[len(inner) :].rstrip(pii.TRAILING)
+            if not core:
+                continue
+            last = at(i - 1) or ""
+            before, two = (inner.lower(), last) if inner else (last, (at(i - 2) or "") if last else "")
+            after, label = at(i + 1) or "", ""
+            if re.search(r"[=:][\"'(\[]*$", before):
+                label = letters(two if re.fullmatch("[=:]+", before) else before)
+                label = letters(two) if label in pii.NUMBER else label
+            digits = re.sub("[^0-9]", "", word)
+            base = bool(re.search(pii.KINDS[0][1], word)) or word[0] == "+" and word[1:2].isdigit()
+            base |= 13 <= len(digits) <= 19 and luhn(digits)
+            ip = re.search(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", word)
+            base |= bool(ip) and all(int(x) <= 255 for x in ip[0].split("."))
+            value, patterns = core.lower(), []
+            if before and two:
+                patterns.append(("L", two, before))
+            if before and after:
+                patterns.append(("B", before, after))
+            if label:
+                patterns.append(("N", label))
+            if len(core) >= 8:
+                mixed = re.fullmatch("[A-Za-z0-9]{12,}", core) and re.search("[0-9]", core) and re.search("[A-Za-z]", core)
+                patterns.append(("S", f"x{len(core)}" if mixed or len(core) > 64 else re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "9", core))))
+            s = start + word.index(right) + len(inner) if right else start
+            seen.append((doc, s, s + len(core), base, patterns))
+            for p in patterns:
+                graph.setdefault(p, set()).add(value)
+                if base or label in pii.LABELS:
+                    seeds.add((p, value))
+                if base:
+                    known.add((p, value))
+    useful = {p: v for p, v in graph.items() if sum((p, x) in seeds for x in v) >= support and any((p, x) not in known for x in v)}
+    seed = {x for p, v in useful.items() for x in v if (p, x) in seeds}
+    score = {x: float(x in seed) for v in useful.values() for x in v}
+    strength = {}
+    for _ in range(rounds):
+        strength = {p: sum(score[x] for x in v) / (len(v) + 1) for p, v in useful.items()}
+        for x in score:
+            own = [strength[p] for p, v in useful.items() if x in v]
+            score[x] = 1.0 if x in seed else sum(own) / len(own)
+    out = {}
+    for doc, s, e, base, patterns in seen:
+        if not base and any(strength.get(p, 0) >= confidence for p in patterns):
+            out.setdefault(doc, set()).add((s, e))
+    return out
+
+
+def test_pii_context_brute_force(spark):
+    rng = random.Random(8)
+    some = ["ssn: 12-34-{}", "account no: {}{}", 'token = "ab{}cd{}"', "key={}x{}", "card 4111111111111111", "mail u{}@x.org now", "see 10.0.0.{} there", "call +4930{}5678 soon", "year {} was", "(id:{}{}9)", "ref {}aaaaaa{}aaaa##", "see host {} there"]
+    words_ = ["the", "a", "see", "mail", "Ref", "é"]
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(6)):
+            parts += rng.choices(words_, k=rng.randrange(3)) + [rng.choice(some).replace("{}", str(rng.randrange(40, 99)), 1).replace("{}", str(rng.randrange(10, 99)))]
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, found = ctx_brute(texts), 0
+    for r in pii.find(df).collect():
+        base = [(x.s, x.e) for k in ("email", "ip", "card", "phone") for x in r[k]]
+        free = {(s, e) for s, e in want.get(r.doc_id, ()) if not any(a < e and s < b for a, b in base)}
+        assert {(x.s, x.e) for x in r.ctx} == free, texts[r.doc_id]
+        found += len(free)
+    assert found > 50
+
+
+def test_pii_finds_labelled_secrets(spark):
+    """Values under a label are found, and others of the same shape without one; numbers of other shapes are left alone."""
+    rng = random.Random(9)
+    token = lambda: "".join(rng.choices("0123456789abcdef", k=39)) + "7f"[rng.randrange(2)]
+    rows = [f'some words token = "{token()}" and {rng.randrange(100)} more' for _ in range(8)] + [f"bare {token()} here", "in 1999 or 2.0 there"]
+    got = {r.doc_id: [(x.s, x.e) for x in r.ctx] for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[i] == [(20, 60)] for i in range(8)) and got[8] == [(5, 45)] and got[9] == []
+
+
 def test_pii_long_texts_in_linear_time(spark):
     df = spark.createDataFrame(list(enumerate(PII_LONG)), "doc_id long, text string")
     got = {r.doc_id: r for r in pii.find(df).collect()}
