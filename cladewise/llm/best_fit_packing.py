@@ -20,6 +20,7 @@ opened.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,8 +94,12 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int
     return rows
 
 
+#: White space of this length is more than the pattern of the ranks' engine is given.
+LONG_RUN = re.compile(r"\s{1000}")
+
+
 class RankTokenizer:
-    """Byte-level BPE from a file of ranks; texts that its pattern cannot cut are cut by the tokenizer of the same vocabulary."""
+    """Byte-level BPE from a file of ranks; texts with long runs of white space go to the tokenizer of the same vocabulary."""
 
     def __init__(self, ranks_path: str, fallback_path: str, pattern: str) -> None:
         import tiktoken
@@ -102,16 +107,14 @@ class RankTokenizer:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.largest = max(ranks.values(), default=0)
         self.fallback_path, self.fallback = fallback_path, None
 
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []
-        try:
+        if not LONG_RUN.search(text):
             return self.fast.encode_ordinary(text)
-        except Exception as error:  # the pattern's engine has a limit for long runs
-            if "stack" not in str(error).lower() and "backtrack" not in str(error).lower():
-                raise
         if self.fallback is None:
             from tokenizers import Tokenizer
 
@@ -135,10 +138,9 @@ def _tokenizer(ranks_path: str, fallback_path: str) -> RankTokenizer:
 def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1024, ranks_path: str | None = None, fallback_path: str | None = None, end_id: int = 50256, pad_id: int = 50256, block_tokens: int = 1 << 20) -> DataFrame:
     """A row for each packed sequence."""
     ranks, fallback = ranks_path or tokenizer_file("byte_bpe_50k.tiktoken"), fallback_path or tokenizer_file("byte_bpe_50k.json")
-    kind = "<u2" if max(end_id, pad_id) < 1 << 16 else "<u4"
     ramp = np.arange(capacity, dtype="<u2" if capacity <= 1 << 16 else "<u4")
 
-    def pack(ids: list, tokens: list[np.ndarray], first: int) -> pa.RecordBatch:
+    def pack(ids: list, tokens: list[np.ndarray], first: int, kind: str) -> pa.RecordBatch:
         rows = best_fit([len(t) for t in tokens], capacity)
         out = {k: [] for k in ("sequence_id", "tokens", "ids", "cu_lengths", "positions", "doc_ids", "starts")}
         for i, row in enumerate(rows):
@@ -155,6 +157,7 @@ def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(ranks, fallback)
+        kind = "<u2" if max(end_id, pad_id, tok.largest) < 1 << 16 else "<u4"
         first = TaskContext.get().partitionId() * PER_TASK
         ids, tokens, size = [], [], 0
         for batch in slices(batches):
@@ -163,12 +166,12 @@ def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ids.append(doc_id)
                 size += len(tokens[-1])
                 if size >= block_tokens:
-                    out = pack(ids, tokens, first)
+                    out = pack(ids, tokens, first, kind)
                     first += out.num_rows
                     yield out
                     ids, tokens, size = [], [], 0
         if size:
-            yield pack(ids, tokens, first)
+            yield pack(ids, tokens, first, kind)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, SCHEMA)
 
