@@ -2,8 +2,13 @@
 
 Reading verifies each page's checksum, puts packets together from lacing
 values (also across pages), separates logical streams by serial number and
-dates packets by granule position. All of it follows RFC 3533; there is no
-audio codec: the sample stream carries unsigned 8-bit samples as they are.
+dates packets by granule position. All of it follows RFC 3533: a page's granule
+position belongs to the last packet that ends on it. Packets that end before it
+on the page are dated by counting back the durations of those after them, which
+is possible where the stream's codec tells durations; else they have no date.
+There is no audio codec: the sample stream carries unsigned 8-bit samples as
+they are, so a packet lasts as many samples as it has bytes. Other streams,
+such as notes, have a date for the last packet of each page only.
 
 Defined results: a null medium gives null; bytes that are not an Ogg page are
 skipped up to the next capture pattern and counted; a page whose checksum is
@@ -86,7 +91,8 @@ def encode(payload: bytes, n_bytes: int, rate: int = RATE) -> bytes:
 @dataclass
 class Stream:
     serial: int
-    packets: list[tuple[bytes, int]] = field(default_factory=list)  # bytes, granule of the page it ends on
+    packets: list[bytes] = field(default_factory=list)
+    ends: list[tuple[int, int]] = field(default_factory=list)  # for each page on which packets end: number of packets so far, granule
     pages: int = 0
     lost: int = 0
     ended: bool = False
@@ -138,36 +144,67 @@ def demultiplex(data: bytes) -> Medium:
                 if skip:
                     skip = False
                 else:
-                    s.packets.append((bytes(part), granule))
+                    s.packets.append(bytes(part))
                 part = bytearray()
         s._part = part if open_ and not skip else None
+        if granule != NONE and len(s.packets) > (s.ends[-1][0] if s.ends else 0):
+            s.ends.append((len(s.packets), granule))
         at = end
     return out
 
 
+def granules(s: Stream, duration=None) -> list[int | None]:
+    """The granule position at which each packet ends. duration: samples of a packet, if the codec tells."""
+    out: list[int | None] = [None] * len(s.packets)
+    first = 0
+    for end, granule in s.ends:
+        out[end - 1] = granule
+        if duration is not None:
+            for i in range(end - 2, first - 1, -1):
+                out[i] = out[i + 1] - duration(s.packets[i + 1])
+        first = end
+    return out
+
+
 PACKETS = "array<struct<serial:long,packet:int,granule:long,micros:long,body:binary>>"
-SUMMARY = f"struct<streams:int,pages:int,bad_pages:int,skipped:long,lost:int,ended:boolean,rate:int,n_bytes:long,payload:binary>"
-FIELDS = ["streams", "pages", "bad_pages", "skipped", "lost", "ended", "rate", "n_bytes", "payload"]
+SUMMARY = "struct<streams:int,pages:int,bad_pages:int,skipped:long,lost:int,ended:boolean,rate:int,n_bytes:long,packets:int,micros:long,payload:binary>"
+FIELDS = ["streams", "pages", "bad_pages", "skipped", "lost", "ended", "rate", "n_bytes", "packets", "micros", "payload"]
+
+
+def _samples(s: Stream) -> int | None:
+    """The rate of a stream of samples, None for another."""
+    head = s.packets[0] if s.packets else b""
+    return struct.unpack("<8sBBI", head)[3] if head.startswith(b"PCMU8   ") and len(head) == 14 else None
+
+
+def _dated(medium: Medium) -> list[dict]:
+    """All packets, by serial number and order, with their times."""
+    streams = sorted(medium.streams.values(), key=lambda s: s.serial)
+    rate = next((r for r in map(_samples, streams) if r), None)
+    out = []
+    for s in streams:
+        at = granules(s, len if _samples(s) else None)
+        if _samples(s):
+            at[0] = 0  # the header takes no time
+        out += [{"serial": s.serial, "packet": i, "granule": g, "micros": None if g is None or not rate else g * 1_000_000 // rate, "body": b} for i, (b, g) in enumerate(zip(s.packets, at, strict=True))]
+    return out
 
 
-def _read(data: bytes | None, with_packets: bool) -> dict | None:
+def _read(data: bytes | None) -> dict | None:
     if data is None:
         return None
     medium = demultiplex(data)
-    rate, n_bytes, payload, packets = None, None, [], []
+    rate, n_bytes, payload = None, None, []
     for s in sorted(medium.streams.values(), key=lambda s: s.serial):
-        head = s.packets[0][0] if s.packets else b""
-        if head.startswith(b"PCMU8   ") and len(head) == 14:
-            rate = struct.unpack("<8sBBI", head)[3]
-            payload += [p for p, _ in s.packets[1:]]
-        elif head.startswith(b"NOTES   ") and len(s.packets) > 1 and len(s.packets[1][0]) == 12:
-            n_bytes = struct.unpack("<QI", s.packets[1][0])[0]
-        if with_packets:
-            packets += [{"serial": s.serial, "packet": i, "granule": None if g == NONE else g, "body": b} for i, (b, g) in enumerate(s.packets)]
-    for p in packets:
-        p["micros"] = None if p["granule"] is None or not rate else p["granule"] * 1_000_000 // rate
+        head = s.packets[0] if s.packets else b""
+        if _samples(s) is not None:
+            rate = _samples(s)
+            payload += s.packets[1:]
+        elif head.startswith(b"NOTES   ") and len(s.packets) > 1 and len(s.packets[1]) == 12:
+            n_bytes = struct.unpack("<QI", s.packets[1])[0]
     every = medium.streams.values()
-    return {"streams": len(every), "pages": sum(s.pages for s in every), "bad_pages": medium.bad_pages, "skipped": medium.skipped, "lost": sum(s.lost + (s._part is not None) for s in every), "ended": all(s.ended for s in every), "rate": rate, "n_bytes": n_bytes, "payload": b"".join(payload)} | ({"packets": packets} if with_packets else {})
+    times = [p["micros"] for p in _dated(medium) if p["micros"] is not None]
+    return {"streams": len(every), "pages": sum(s.pages for s in every), "bad_pages": medium.bad_pages, "skipped": medium.skipped, "lost": sum(s.lost + (s._part is not None) for s in every), "ended": all(s.ended for s in every), "rate": rate, "n_bytes": n_bytes, "packets": sum(len(s.packets) for s in every), "micros": max(times, default=None), "payload": b"".join(payload)}
 
 
 def _texts_to_media(texts: pd.Series) -> pd.Series:
@@ -179,11 +216,11 @@ def _texts_to_media(texts: pd.Series) -> pd.Series:
 
 
 def _media_to_summaries(media: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_read(x, False) or dict.fromkeys(FIELDS) for x in media], columns=FIELDS, dtype=object)
+    return pd.DataFrame([_read(x) or dict.fromkeys(FIELDS) for x in media], columns=FIELDS, dtype=object)
 
 
 def _media_to_packets(media: pd.Series) -> pd.Series:
-    return media.map(lambda x: None if x is None else _read(x, True)["packets"], na_action=None)
+    return media.map(lambda x: None if x is None else _dated(demultiplex(x)), na_action=None)
 
 
 def ogg_from_text(texts: Column) -> Column:
@@ -192,12 +229,12 @@ def ogg_from_text(texts: Column) -> Column:
 
 
 def read_ogg(media: Column) -> Column:
-    """What a medium holds: counts, sample rate, and the payload put together again."""
+    """What a medium holds: counts, sample rate, the time at which its last dated packet ends, and the payload put together again."""
     return F.pandas_udf(_media_to_summaries, SUMMARY)(media)
 
 
 def ogg_packets(df: DataFrame, media_col: str, *keep: str) -> DataFrame:
-    """A row for each packet of each logical stream, dated from its granule position."""
+    """A row for each packet of each logical stream, with the granule position and the time at which it ends."""
     return df.select(*keep, F.inline(F.pandas_udf(_media_to_packets, PACKETS)(F.col(media_col))))
 
 
@@ -213,5 +250,5 @@ def op2_ogg_media(spark, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(p, -64, 64)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.format_string("streams=%d pages=%d bad=%d lost=%d micros=%d", "m.streams", "m.pages", "m.bad_pages", "m.lost", F.expr("cast(length(m.payload) as long) * 1000000 div m.rate")).alias("feature"),
+        F.format_string("streams=%d pages=%d packets=%d bad=%d lost=%d micros=%d", "m.streams", "m.pages", "m.packets", "m.bad_pages", "m.lost", "m.micros").alias("feature"),
     )
