@@ -7,21 +7,24 @@
    every bucket with a probability of (1 - 0.8**5)**32, about 3 in a million.
 3. Classes are compared on one byte of each minimum: pairs whose estimate is
    far below the threshold go, what stays joins classes into groups. First
-   every class of a bucket is compared with the bucket's least class. Buckets
-   whose classes are not in one group by then are dealt out over pairs of
-   blocks, and there every two classes of different groups are compared, or
-   joined by others that passed. Only spanning links leave a task.
-4. In each group links are confirmed on the full sets, exactly. Groups larger
-   than ``block`` are dealt out over pairs of blocks, each a task of its own.
+   every class of a bucket is compared with the bucket's least class. Then, in
+   buckets whose classes are not in one group yet, those that are not joined to
+   the least are compared with every class of the bucket that is not in their
+   own group. Only spanning links leave a task.
+4. In each group links are confirmed on the full sets, exactly, in blocks of at
+   most ``block`` classes: first within each block and with the group's least
+   class, which stands in every block. Classes that are not linked to the
+   largest part of their group by then meet all others, block by block. A group
+   that hangs together costs as much as it has classes, not the square of it.
    Within a task a search from class to class compares only with what has not
    been reached yet, and yields a spanning forest, not all links.
 5. Components of the confirmed links, by large-star and small-star.
 
 Defined results: a null or empty text, or one without words, has no shingles
 and stays alone; with fewer words than a shingle the whole sequence is one
-shingle; rows of one id are one document for linking and each keep a row; rows
-without id are not linked, have no component and are kept; an empty table
-gives no rows. Columns of other names do not matter.
+shingle; rows of one id, whatever their texts, are one document for linking and
+each keep a row; rows without id are not linked, have no component and are
+kept; an empty table gives no rows. Columns of other names do not matter.
 """
 
 from __future__ import annotations
@@ -147,51 +150,69 @@ def near_forest(signs: np.ndarray, known: np.ndarray, at_least: float, side: np.
     return links
 
 
+def dealt(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """rows (by, node, open and others) for tasks (by, i, j), with side 0 or 1: every row stands in a block i of its group, every open one in a block j of the open ones as well, and each i meets each j.
+
+    rows must be a written table.
+    """
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.count_if("open").alias("_m"))
+    blocks = sizes.select(by, F.ceil(F.col("_n") / block).cast("int").alias("_n"), F.ceil(F.col("_m") / block).cast("int").alias("_m"))
+    x = rows.hint("merge").join(blocks, by).withColumn("_h", F.xxhash64("node"))
+    place, every = lambda n: F.pmod(F.col("_h"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    zero = x.withColumn("i", place("_n")).withColumn("j", every("_m")).withColumn("side", F.lit(0))
+    one = x.filter("open").withColumn("j", place("_m")).withColumn("i", every("_n")).withColumn("side", F.lit(1))
+    return zero.unionByName(one.select(zero.columns)).drop("_n", "_m", "_h", "open")
+
+
 def bucket_links(shared: DataFrame, sign: DataFrame, joined: DataFrame, at_least: float, block: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that span what all pairs of each bucket's classes would join. shared: band, node; sign: node, signature; joined: node, component of what has been joined before."""
-    rows = scratch.save(shared.hint("merge").join(joined.hint("merge"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("known")))
+    """Links (a, b) that span what all pairs of each bucket's classes would join. shared: band, node, least; sign: node, signature; joined: node, component of what has been joined before."""
+    known = joined.select("node", F.col("component").alias("_c"))
+    rows = shared.hint("merge").join(known.hint("merge"), "node", "left").select("band", "node", "least", F.coalesce("_c", "node").alias("known"))
+    rows = rows.hint("merge").join(known.withColumnRenamed("node", "least").withColumnRenamed("_c", "_l").hint("merge"), "least", "left")
+    rows = scratch.save(rows.select("band", "node", "known", (F.col("known") != F.coalesce("_l", "least")).alias("open")))
     # Two classes have been compared already, as one of them is the least.
-    apart = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("known").alias("low"), F.max("known").alias("high")).filter("n > 2 and low < high")
-    apart = scratch.save(apart.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    open_ = scratch.save(rows.hint("merge").join(apart, "band").withColumn("own", own))
-    dealt = open_.hint("merge").join(sign, "node").select("band", "node", "known", "own", "signature", F.inline(pairs))
+    apart = scratch.save(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).filter("n > 2 and some").select("band"))
+    rows = scratch.save(rows.hint("merge").join(apart, "band", "left_semi"))
+    pairs = dealt(rows, "band", block).hint("merge").join(sign, "node")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         signs = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
-        side = None if pdf["i"].iloc[0] == pdf["j"].iloc[0] else (pdf["own"] == pdf["j"]).to_numpy()
         nodes = pdf["node"].to_numpy()
-        found = near_forest(signs, pdf["known"].to_numpy(), at_least, side)
+        found = near_forest(signs, pdf["known"].to_numpy(), at_least, pdf["side"].to_numpy())
         return pd.DataFrame([(int(nodes[a]), int(nodes[b])) for a, b in found], columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("band", "i", "j").applyInPandas(link, "a long, b long")
+    return pairs.groupBy("band", "i", "j").applyInPandas(link, "a long, b long")
 
 
-def forest(items: list[np.ndarray], nodes: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of the sets under ``100 * both >= percent * either``.
+def forest(items: list[np.ndarray], nodes: np.ndarray, percent: int, known: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that, with rows of equal ``known`` taken as joined, span the components of the sets under ``100 * both >= percent * either``.
 
     side: with two blocks, 0 or 1 for each set; only links between the blocks count then.
     """
     n, links = len(items), []
     sizes = np.array([len(x) for x in items], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    left = list(order)
     every = np.concatenate(items) if n else np.zeros(0, np.uint64)
     start = np.concatenate(([0], np.cumsum(sizes)))
     owner = np.repeat(np.arange(n), sizes)
-    known, every_id = np.unique(every, return_inverse=True)
+    words, every_id = np.unique(every, return_inverse=True)
+    _, known = np.unique(np.arange(n) if known is None else known, return_inverse=True)
+    together = np.split(np.argsort(known, kind="stable"), np.cumsum(np.bincount(known))[:-1]) if n else []
     open_ = np.ones(n, bool)
-    live, live_owner = every_id, owner
-    gone = 0
-    mark = np.zeros(len(known), bool)
-    for first in left:
+    live, live_owner, gone = every_id, owner, 0
+    mark = np.zeros(len(words), bool)
+    for first in np.argsort(sizes, kind="stable"):
         if not open_[first]:
             continue
-        open_[first] = False
-        queue = [first]
+        queue = together[known[first]].tolist()
+        open_[queue] = False
+        gone += len(queue)
         while queue:
             at = queue.pop()
+            if 4 * gone > n:  # what has been reached need not be looked at again
+                stay = open_[live_owner]
+                live, live_owner, gone = live[stay], live_owner[stay], 0
+            if not len(live):
+                break
             mine = every_id[start[at] : start[at + 1]]
             mark[mine] = True
             both = np.bincount(live_owner[mark[live]], minlength=n)
@@ -199,20 +220,18 @@ def forest(items: list[np.ndarray], nodes: np.ndarray, percent: int, side: np.nd
             hit = open_ & (100 * both >= percent * (sizes + sizes[at] - both))
             if side is not None:
                 hit &= side != side[at]
-            found = np.flatnonzero(hit)
-            for j in found:
-                links.append((int(nodes[at]), int(nodes[j])))
-            open_[found] = False
-            queue.extend(found.tolist())
-            gone += len(found) + 1
-            if 4 * gone > n:  # what has been reached need not be looked at again
-                stay = open_[live_owner]
-                live, live_owner, gone = live[stay], live_owner[stay], 0
+            for j in np.flatnonzero(hit):
+                if open_[j]:
+                    links.append((int(nodes[at]), int(nodes[j])))
+                    own = together[known[j]]
+                    open_[own] = False
+                    queue.extend(own.tolist())
+                    gone += len(own)
     return links
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, k: int, percent: int, block: int) -> DataFrame:
-    """Spanning links (a, b) of the true components. groups: node (a document id), set_id, grp, size of grp."""
+def full_sets(docs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """node, grp, items of every class of groups. groups: node, least (a document id of the class), set_id, grp."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -221,22 +240,41 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, k: int, percent: int, bl
                 part = batch.slice(start, len(made))
                 same = [i for i, (s, want) in enumerate(zip(made, part.column("set_id").to_pylist(), strict=True)) if len(s) and _set_id(s) == want]
                 part = part.take(pa.array(same, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("grp"), part.column("blocks"), pa.array([made[i].tobytes() for i in same], pa.binary())], ["node", "grp", "blocks", "items"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("grp"), pa.array([made[i].tobytes() for i in same], pa.binary())], ["node", "grp", "items"])
+
+    # Both sides grow with the input, so neither is ever broadcast.
+    texts = docs.hint("merge").join(groups.select("node", "least", "set_id", "grp"), docs["doc_id"] == groups["least"]).select("node", "set_id", "grp", "text")
+    return texts.mapInArrow(sets, "node long, grp long, items binary")
+
+
+def confirmed_links(sets: DataFrame, percent: int, block: int, scratch: Scratch) -> DataFrame:
+    """Spanning links (a, b) of the true components. sets: node, grp, items, a written table; an equal row may stand twice."""
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node").drop_duplicates("node")
+        by = ["node", "side"] if "side" in pdf else ["node"]
+        pdf = pdf.sort_values(by).drop_duplicates(by)
         items = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
-        side = None if pdf["i"].iloc[0] == pdf["j"].iloc[0] else (pdf["own"] == pdf["j"]).to_numpy().astype(int)
-        return pd.DataFrame(forest(items, pdf["node"].to_numpy(), percent, side), columns=["a", "b"], dtype="int64")
+        extra = (pdf["known"].to_numpy(), pdf["side"].to_numpy()) if "side" in pdf else ()
+        return pd.DataFrame(forest(items, pdf["node"].to_numpy(), percent, *extra), columns=["a", "b"], dtype="int64")
 
-    wanted = groups.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).select("node", "set_id", "grp", "blocks")
-    # Both sides grow with the input, so neither is ever broadcast.
-    texts = docs.hint("merge").join(wanted, docs["doc_id"] == wanted["node"]).select("node", "set_id", "grp", "blocks", "text")
-    with_sets = texts.mapInArrow(sets, "node long, grp long, blocks int, items binary")
+    sizes = scratch.save(sets.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("node").alias("least")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    dealt = with_sets.withColumn("own", own).select("node", "grp", "own", "items", F.inline(pairs))
-    return dealt.groupBy("grp", "i", "j").applyInPandas(link, "a long, b long")
+    place = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    in_blocks = sets.hint("merge").join(sizes, "grp").select("grp", F.explode(place).alias("i"), "node", "items")
+    links = scratch.save(in_blocks.groupBy("grp", "i").applyInPandas(link, "a long, b long"))
+
+    # Groups of one block are done.
+    large = scratch.save(sets.hint("merge").join(sizes.filter("blocks > 1").select("grp"), "grp", "left_semi").select("grp", "node"))
+    if large.isEmpty():
+        return links
+    parts = components(links, scratch).select("node", F.col("component").alias("_c"))
+    parts = scratch.save(large.hint("merge").join(parts.hint("merge"), "node", "left").select("grp", "node", F.coalesce("_c", "node").alias("known")))
+    most = parts.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    open_ = parts.join(most.filter("parts > 1").select("grp", "main"), "grp").select("grp", F.col("node").alias("_node"), "known", (F.col("known") != F.col("main")).alias("open"))
+    open_ = scratch.save(open_.distinct())
+    rows = scratch.save(open_.withColumnRenamed("_node", "node"))
+    again = dealt(rows, "grp", block).hint("merge").join(sets.select("node", "items"), "node")
+    return links.unionByName(again.groupBy("grp", "i", "j").applyInPandas(link, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 512) -> DataFrame:
@@ -244,14 +282,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.save(sign_documents(docs, k, bands, rows))
-    classes = scratch.save(signed.filter("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
+    classes = signed.filter("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    # A number of its own, fixed as it is written: one id may stand for several classes.
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()))
 
     rows_ = classes.select("node", F.explode("bands").alias("band"))
     buckets = scratch.save(rows_.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least"))
     shared = scratch.save(rows_.hint("merge").join(buckets, "band"))
     pairs = scratch.save(shared.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    sign = classes.select("node", "signature").groupBy("node").agg(F.first("signature").alias("signature"))
-    sign = scratch.save(sign)
+    sign = classes.select("node", "signature")
     at_least = percent / 100 - SLACK
     near = (
         pairs.hint("merge").join(sign.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
@@ -260,19 +299,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("a", "b")
     )
     joined = scratch.save(components(near, scratch))
-    more = scratch.save(bucket_links(shared.select("band", "node"), sign, joined, at_least, block, scratch))
-    grouped = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), scratch)
-    grouped = scratch.save(grouped)
-    sizes = scratch.save(grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size")))  # written, so that Spark may split a large group's rows
-    groups = scratch.save(grouped.join(sizes, "component").select("node", F.col("component").alias("grp"), "size"))
-    wanted = scratch.save(groups.join(classes.select("node", "set_id"), "node"))
-    links = scratch.save(confirmed_links(docs, wanted, k, percent, block))
-
-    # Rows of one id are one document: the classes of its rows are linked.
-    same = signed.filter("doc_id is not null and set_id is not null").select("doc_id", "set_id").join(classes.select("set_id", "node"), "set_id").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    more = scratch.save(bucket_links(shared, sign, joined, at_least, block, scratch))
+    grouped = scratch.save(components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), scratch))
+    groups = scratch.save(grouped.select("node", F.col("component").alias("grp")).join(classes.select("node", "least", "set_id"), "node"))
+    sets = scratch.save(full_sets(docs, groups, k))
+    links = scratch.save(confirmed_links(sets, percent, block, scratch))
+    scratch.drop(sets)
+
+    # Rows of one id are one document: the classes of its rows are linked. Few ids have more than one text.
+    of_id = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("one"), F.max("set_id").alias("other"), F.count_if(F.col("set_id").isNull()).alias("bare"))
+    several = scratch.save(of_id.filter("one is not null and (one <> other or bare > 0)").select("doc_id", "one"))
+    texts = scratch.save(signed.select("doc_id", "set_id").join(several, "doc_id").filter("set_id is not null").distinct())
+    number = lambda c: classes.select(F.col("set_id").alias(c), F.col("node").alias(f"{c}_node"))
+    same = texts.filter("set_id <> one").join(number("one"), "one").join(number("set_id"), "set_id").select(F.col("one_node").alias("a"), F.col("set_id_node").alias("b"))
     found = scratch.save(components(links.unionByName(same), scratch))
-    out = signed.join(found, signed["doc_id"] == found["node"], "left")
-    component = F.coalesce(F.col("component"), F.col("doc_id"))
+
+    ids = found.hint("merge").join(classes.select("node", "least"), "node")
+    lowest = ids.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = scratch.save(found.hint("merge").join(lowest.hint("merge"), "component").select("node", "component_id"))
+    label = classes.select("node", "set_id", "least").hint("merge").join(named.hint("merge"), "node", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"))
+    label = scratch.save(label)
+    out = signed.select("doc_id", "n_shingles", "set_id").hint("merge").join(label.hint("merge"), "set_id", "left")
+    bare = scratch.save(texts.join(label, "set_id").groupBy("doc_id").agg(F.min("component_id").alias("_of_id")))
+    out = out.join(bare, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "_of_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 

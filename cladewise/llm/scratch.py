@@ -1,7 +1,8 @@
 """Tables written to the folder that all executors share, to cut lineage.
 
 The folder is what the session names in ``spark.checkpoint.dir``. Only where
-that is unset (tests, a laptop) a temporary folder is made and set.
+that is unset and everything runs on one machine (tests, a laptop) a temporary
+folder is made and set.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; set to a new temporary one where the session has none."""
+    """The shared folder; a new temporary one takes its place on a single machine that has none."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {KEY} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cladewise-")
         spark.conf.set(KEY, found)
     return found.rstrip("/")
