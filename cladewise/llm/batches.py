@@ -29,8 +29,7 @@ def release() -> None:
 
 
 def forget_tokenizers() -> None:
-    """Drops the tokenizers that an earlier task left in this worker, with the words they remember."""
-    for name in ("token_ids", "best_fit_packing"):
-        module = sys.modules.get(f"{__package__}.{name}")
-        if module is not None:
-            module._OPEN.clear()
+    """Drops the tokenizers that an earlier task left in this worker."""
+    module = sys.modules.get(f"{__package__}.token_ids")
+    if module is not None:
+        module._OPEN.clear()

@@ -19,8 +19,6 @@ opened.
 
 from __future__ import annotations
 
-import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .token_ids import tokenizer_file
+from .token_ids import tokenizer
 
 SCHEMA = "sequence_id long, tokens int, ids binary, cu_lengths array<int>, positions binary, doc_ids array<long>, starts array<long>"
 PER_TASK = 1 << 33
@@ -94,50 +92,8 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int
     return rows
 
 
-#: White space of this length is more than the pattern of the ranks' engine is given.
-LONG_RUN = re.compile(r"\s{1000}")
-
-
-class RankTokenizer:
-    """Byte-level BPE from a file of ranks; texts with long runs of white space go to the tokenizer of the same vocabulary."""
-
-    def __init__(self, ranks_path: str, fallback_path: str, pattern: str) -> None:
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.largest = max(ranks.values(), default=0)
-        self.fallback_path, self.fallback = fallback_path, None
-
-    def ids(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if not LONG_RUN.search(text):
-            return self.fast.encode_ordinary(text)
-        if self.fallback is None:
-            from tokenizers import Tokenizer
-
-            self.fallback = Tokenizer.from_file(self.fallback_path)
-            self.fallback.encode_special_tokens = True
-        return self.fallback.encode(text, add_special_tokens=False).ids
-
-
-_OPEN: dict[tuple[str, str], RankTokenizer] = {}
-
-
-def _tokenizer(ranks_path: str, fallback_path: str) -> RankTokenizer:
-    key = ranks_path, fallback_path
-    if key not in _OPEN:
-        import public_tokenizers
-
-        _OPEN[key] = RankTokenizer(ranks_path, fallback_path, public_tokenizers.PATTERN)
-    return _OPEN[key]
-
-
-def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1024, ranks_path: str | None = None, fallback_path: str | None = None, end_id: int = 50256, pad_id: int = 50256, block_tokens: int = 1 << 20) -> DataFrame:
+def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1024, ranks_path: str | None = None, merges_path: str | None = None, end_id: int = 50256, pad_id: int = 50256, block_tokens: int = 1 << 20) -> DataFrame:
     """A row for each packed sequence."""
-    ranks, fallback = ranks_path or tokenizer_file("byte_bpe_50k.tiktoken"), fallback_path or tokenizer_file("byte_bpe_50k.json")
     ramp = np.arange(capacity, dtype="<u2" if capacity <= 1 << 16 else "<u4")
 
     def pack(ids: list, tokens: list[np.ndarray], first: int, kind: str) -> pa.RecordBatch:
@@ -156,13 +112,13 @@ def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(ranks, fallback)
+        tok = tokenizer(ranks_path, merges_path, special=False)
         kind = "<u2" if max(end_id, pad_id, tok.largest) < 1 << 16 else "<u4"
         first = TaskContext.get().partitionId() * PER_TASK
         ids, tokens, size = [], [], 0
         for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens.append(np.array([*tok.ids(text), end_id], kind))
+                tokens.append(np.append(tok.ids(text), np.uint32(end_id)).astype(kind))
                 ids.append(doc_id)
                 size += len(tokens[-1])
                 if size >= block_tokens:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .token_ids import tokenizer, tokenizer_file
+from .token_ids import tokenizer
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Sequences that one task can number.
@@ -90,9 +90,8 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float)
     return out, count + need
 
 
-def pack_by_cost(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1024, tokenizer_path: str | None = None, end_id: int | None = 0, linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 1 << 20) -> DataFrame:
+def pack_by_cost(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1024, ranks_path: str | None = None, merges_path: str | None = None, end_id: int | None = 0, linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 1 << 20) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian, 32 bits each)."""
-    path = tokenizer_path or tokenizer_file("byte_bpe_50k.json")
 
     def pack(ids: list, tokens: list[bytes], first: int) -> tuple[pa.RecordBatch, int]:
         pieces, n = balance([len(t) // 4 for t in tokens], capacity, linear, quadratic)
@@ -103,13 +102,13 @@ def pack_by_cost(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]), first + n
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok = tokenizer(ranks_path, merges_path)
         first = TaskContext.get().partitionId() * PER_TASK
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         ids, tokens, size = [], [], 0
-        for batch in slices(batches, 1024):  # the more text at once, the fewer words are looked up twice
-            for doc_id, own in zip(batch.column(0).to_pylist(), tok.batch(batch.column(1).to_pylist()), strict=True):
-                tokens.append(own + end)
+        for batch in slices(batches):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens.append(tok.ids(text).astype("<u4", copy=False).tobytes() + end)
                 ids.append(doc_id)
                 size += len(tokens[-1]) // 4
                 if size >= block_tokens:

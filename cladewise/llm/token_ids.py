@@ -1,32 +1,30 @@
-"""Token ids of whole texts by a public tokenizer, one word at a time and remembered.
-
-``WordTokenizer`` gives what ``Tokenizer.encode(text, add_special_tokens=False)``
-gives for a byte-level BPE with the usual word pattern, several times faster:
-such a tokenizer cuts a text into words first and encodes each word alone, so
-the ids of a word need finding once. Words are cut here only in texts made of
-characters whose class is the same in every Unicode version; other texts, and
-those that hold a special token's string, go to the tokenizer whole.
+"""Token ids of whole texts by a public byte-level BPE.
+
+``TextTokenizer`` gives what ``Tokenizer.encode(text, add_special_tokens=False)``
+gives, several times faster. The vocabulary stands in two files: for one library
+as merges and for another as ranks, which is faster. Both cut a text into words
+by one pattern of letters, numbers, white space and the rest. Texts in which
+every character's class is the same in each Unicode version go by the ranks;
+others, those that hold a special token's string, and those with runs of white
+space that are too long for the pattern's engine there go by the merges.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 import re
-from array import array
-from collections.abc import Iterator
+import sys
+import unicodedata
+from functools import cache
 
 import numpy as np
 
-#: Characters below U+0250 that are letters, and those that are other digits than 0-9.
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-DIGITS = "0-9²³¹¼½¾"
-SPACES = "\t-\r "
-WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-UNSURE = re.compile("[\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
-#: Words in each of two generations of memory, and the longest that is kept. A full generation replaces the older one.
-REMEMBERED, LONGEST = 400_000, 64
-#: Characters of text cut into words at once.
-STEP = 1 << 21
+#: White space of this length is more than the pattern's engine is given.
+LONGEST_RUN = 1000
+_RUN, _TWO = re.compile(rf"\s{{{LONGEST_RUN}}}"), re.compile(r"\s\s")
+#: Characters of this and above have no old class to compare with.
+END = 0x30000
 
 
 def tokenizer_file(name: str) -> str:
@@ -35,75 +33,72 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokenizer:
-    def __init__(self, path: str) -> None:
+def _class(category: str) -> str:
+    return category[0] if category[0] in "LNZ" else "C" if category == "Cn" else "other"
+
+
+def _ranges(points: list[int]) -> str:
+    edges = [i for i in range(1, len(points)) if points[i] != points[i - 1] + 1]
+    return "".join(f"{re.escape(chr(part[0]))}-{re.escape(chr(part[-1]))}" for part in np.split(np.array(points), edges))
+
+
+@cache
+def _unsure() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Unsure characters below U+10000, characters from there on, and unsure ones among these. Apart, as classes of the first kind are looked up and others searched."""
+    old, bad = unicodedata.ucd_3_2_0, []
+    for c in range(0x80, END):
+        now, then = _class(unicodedata.category(chr(c))), old.category(chr(c))
+        safe = now == _class(then) and now != "C" if then != "Cn" else now == "other"
+        if not safe:
+            bad.append(c)
+    low, high = [c for c in bad if c < 0x10000], [c for c in bad if c >= 0x10000]
+    return re.compile(f"[\x1c-\x1f\x85{_ranges(low)}]"), re.compile(f"[\U00010000-{chr(sys.maxunicode)}]"), re.compile(f"[{_ranges(high)}{chr(END)}-{chr(sys.maxunicode)}]")
+
+
+def unsure(text: str) -> bool:
+    """Whether some character's class may depend on the Unicode version: not assigned, or assigned late as letter, number or space, or changed since Unicode 3.2; or a control that only some count as white space."""
+    low, far, high = _unsure()
+    return bool(low.search(text)) or (not text.isascii() and bool(high.search("".join(set(far.findall(text))))))
+
+
+def has_long_run(text: str) -> bool:
+    """A long run covers two neighbours among the characters at every 500th place, so most texts need no search."""
+    return bool(_TWO.search(text[:: LONGEST_RUN // 2])) and bool(_RUN.search(text))
+
+
+class TextTokenizer:
+    """special: whether a special token's string in a text is that token. Else it is ordinary text."""
+
+    def __init__(self, ranks_path: str, merges_path: str, pattern: str, special: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        """Makes words known that are not among the young."""
-        old, young = self.old, self.young
-        for word in words.intersection(old):
-            young[word] = old[word]
-        strange = list(words.difference(old)) if old else list(words)
-        for word, e in zip(strange, self.whole.encode_batch_fast(strange, add_special_tokens=False), strict=True):
-            young[word] = array("I", e.ids).tobytes()
-
-    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text, 32 bits each, little-endian; null has none."""
-        group: list[list[str] | bytes] = []
-        size = 0
-        for text in texts:
-            text = text or ""
-            if UNSURE.search(text) or any(s in text for s in self.special):
-                group.append(array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes())
-            else:
-                group.append(WORD.findall(text))
-            size += len(text)
-            if size >= STEP:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[list[str] | bytes]) -> Iterator[bytes]:
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        young, new, parts = self.young, set(), []
-        for words in group:
-            if isinstance(words, list):
-                got = list(map(young.get, words))
-                unknown = [i for i, b in enumerate(got) if b is None]
-                new.update([words[i] for i in unknown])
-                parts.append((words, got, unknown))
-            else:
-                parts.append(words)
-        self._learn(new)
-        for x in parts:
-            if isinstance(x, tuple):
-                words, got, unknown = x
-                for i in unknown:
-                    got[i] = young[words[i]]
-                yield b"".join(got)
-            else:
-                yield x
-        for word in new:
-            if len(word) > LONGEST:
-                del young[word]
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.largest = max(ranks.values(), default=0)
+        self.whole = Tokenizer.from_file(merges_path)
+        self.whole.encode_special_tokens = not special
+        self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()] if special else []
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(next(self.batch([text])), "<u4")
+        """The ids of a text, 32 bits each; null has none."""
+        if not text:
+            return np.zeros(0, np.uint32)
+        if unsure(text) or has_long_run(text) or any(s in text for s in self.special):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
 
+_OPEN: dict[tuple, TextTokenizer] = {}
 
-_OPEN: dict[str, WordTokenizer] = {}
 
+def tokenizer(ranks_path: str | None = None, merges_path: str | None = None, special: bool = True) -> TextTokenizer:
+    """One for each worker process and kind."""
+    import public_tokenizers
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process."""
-    if path not in _OPEN:
-        _OPEN[path] = WordTokenizer(path)
-    return _OPEN[path]
+    key = ranks_path or tokenizer_file("byte_bpe_50k.tiktoken"), merges_path or tokenizer_file("byte_bpe_50k.json"), special
+    if key not in _OPEN:
+        _OPEN[key] = TextTokenizer(key[0], key[1], public_tokenizers.PATTERN, special)
+    return _OPEN[key]

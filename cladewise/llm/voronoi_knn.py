@@ -5,7 +5,8 @@ nearest by distance the highest by inner product: data y get
 ``sqrt(M**2 - |y|**2)`` with M the greatest length, queries get 0, and then
 ``|q - y|**2 = |q|**2 + M**2 - 2 q.y``.
 
-1. Pivots: a bounded sample of data vectors (at most ``pivots`` of them).
+1. Pivots: a sample of data vectors, as many as the root of their number, 64 to
+   1024, or ``pivots``.
 2. Data and queries go to their nearest pivot's cell. A summary of each data
    cell keeps its k + 1 least distances to the pivot, one of each query cell
    its radius. From these alone follows, for each query cell, a distance within
@@ -13,15 +14,15 @@ nearest by distance the highest by inner product: data y get
 3. A data vector goes to a group of query cells only if the triangle inequality
    leaves it within that distance of one of them. Large query cells are split,
    small ones share a group, so a group has at most ``group_rows`` queries.
-4. Groups are cut by a hash of the data id into chunks of bounded size. Each
-   chunk is solved by one matrix product, exactly; the best k of each query and
-   chunk meet in a window.
+4. Groups are cut by a hash of the data id into as many chunks of bounded size
+   as the data sent to them ask for. Each chunk is solved by one matrix product,
+   exactly; the best k of each query and chunk meet in a window.
 
 A cell that holds most of the data is spread over the chunks like any other.
 
 Defined results: vectors that are null, or hold a null or a component that is
 not finite, take no part, nor do rows without id; rows that repeat an id count
-once (the least vector in order of bytes); vectors of different lengths
+once (the least vector); vectors of different lengths
 compare as if the shorter one ended in zeros; an empty vector scores 0; with
 fewer than k candidates all are returned; ties go to the smaller id; components
 beyond 64 bits saturate and scores beyond 64 bits wrap; an empty table gives no
@@ -30,6 +31,7 @@ rows; columns of other names do not matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,32 +46,29 @@ from .scratch import Scratch
 SLACK = 1e-6
 
 
-def _vectors(raw: list[bytes], dim: int) -> np.ndarray:
-    if all(len(x) == 8 * dim for x in raw):
-        return np.frombuffer(b"".join(raw), "<i8").reshape(len(raw), dim)
-    return np.frombuffer(b"".join(x.ljust(8 * dim, b"\0") for x in raw), "<i8").reshape(len(raw), dim)
+def _vectors(raw, dim: int) -> np.ndarray:
+    """Arrays of integers, or an Arrow column of them, as rows of one matrix; shorter ones end in zeros."""
+    if isinstance(raw, pa.Array):
+        flat, ends = raw.flatten().to_numpy(zero_copy_only=False), np.diff(raw.offsets.to_numpy())
+        if (ends == dim).all():
+            return flat.reshape(len(raw), dim)
+        raw = np.split(flat, np.cumsum(ends)[:-1])
+    out = np.zeros((len(raw), dim), np.int64)
+    for i, x in enumerate(raw):
+        out[i, : len(x)] = x
+    return out
 
 
 def integers(df: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """id, v (64-bit little-endian integers), norm2, for each row with a whole vector."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out, norms = [], [], []
-            for i, vec in zip(batch.column(0), batch.column(1), strict=True):
-                if not i.is_valid or not vec.is_valid or vec.values.null_count:
-                    continue
-                x = np.asarray(vec.values, np.float64)
-                if not np.isfinite(x).all():
-                    continue
-                x = np.clip(np.floor(x * scale), -(2.0**63), 2.0**63 - 1024)
-                ids.append(i.as_py())
-                out.append(x.astype("<i8").tobytes())
-                norms.append(float(x @ x))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(norms, pa.float64())], ["id", "v", "norm2"])
-
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(task, "id long, v binary, norm2 double")
-    return rows.groupBy("id").agg(F.min("v").alias("v"), F.min_by("norm2", "v").alias("norm2"))
+    """id, v (64-bit integers), norm2, for each row with a whole vector."""
+    x = F.col("x")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"))
+    # A null component makes the test null, and a comparison with NaN or infinity fails: NaN is the greatest double.
+    whole = F.forall(x, lambda c: c.isNotNull() & (F.abs(c) < F.lit(float("inf"))))
+    rows = rows.filter(F.col("id").isNotNull() & F.coalesce(whole, F.lit(False)))
+    rows = rows.select("id", F.transform("x", lambda c: F.floor(c * F.lit(float(scale)))).cast("array<bigint>").alias("v"))
+    norm = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    return rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("norm2", norm)
 
 
 def _to_pivots(x: np.ndarray, own: np.ndarray, pivots: np.ndarray, own_pivots: np.ndarray) -> np.ndarray:
@@ -106,18 +105,19 @@ def best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids:
     return query_ids[rows], data_ids[cols], score[rows, cols]
 
 
-def knn_join(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 5, scale: float = 256.0, pivots: int = 64, group_rows: int = 2048, chunk_rows: int | None = None, seed: int = 7) -> DataFrame:
+def knn_join(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 5, scale: float = 256.0, pivots: int | None = None, group_rows: int = 2048, chunk_rows: int | None = None, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a condition on ``id``."""
     spark = df.sparkSession
     scratch = Scratch(spark, "knn")
     rows = scratch.save(integers(df, id_col, vec_col, scale))
-    n, width, m2 = rows.agg(F.count(F.lit(1)), F.max(F.length("v")), F.max("norm2")).first()
+    n, width, m2 = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max("norm2")).first()
     result = "query_id long, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, m2 = max(1, width // 8), float(m2)
+    dim, m2 = max(1, width), float(m2)
+    pivots = pivots or min(1024, max(64, math.isqrt(n)))
     sample = rows.select("v", "norm2").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(4 * pivots).collect()  # bounded
-    chosen = list({bytes(r["v"]): r["norm2"] for r in sample}.items())[:pivots]
+    chosen = list({tuple(r["v"]): r["norm2"] for r in sample}.items())[:pivots]
     p = _vectors([v for v, _ in chosen], dim).astype(np.float64)
     own_p = np.sqrt(np.maximum(m2 - np.array([x for _, x in chosen]), 0))
 
@@ -126,7 +126,7 @@ def knn_join(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = _vectors(batch.column(1).to_pylist(), dim)
+                x = _vectors(batch.column(1), dim)
                 own = np.sqrt(np.maximum(m2 - batch.column(2).to_numpy(), 0)) if data else np.zeros(batch.num_rows)
                 d = _to_pivots(x, own, p, own_p)
                 cell = d.argmin(1)
@@ -134,7 +134,7 @@ def knn_join(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
 
         return task
 
-    schema = "id long, v binary, cell int, dist double"
+    schema = "id long, v array<long>, cell int, dist double"
     data = scratch.save(rows.mapInArrow(assign(True), schema))
     queries = scratch.save(rows.filter(is_query).mapInArrow(assign(False), schema))
 
@@ -163,7 +163,6 @@ def knn_join(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
             room -= size
     wanted = sorted(groups)
     chunk = chunk_rows or min(32768, max(512, -(-n // 48)))
-    chunks = -(-n // chunk)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,10 +171,17 @@ def knn_join(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
             to = [sorted({g for j in np.flatnonzero(row) for g in groups[wanted[j]]}) for row in need]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(to, pa.list_(pa.int32()))], ["id", "v", "groups"])
 
-    left = data.mapInArrow(spread, "id long, v binary, groups array<int>").select(F.explode("groups").alias("grp"), F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), "id", "v")
+    sent = data.mapInArrow(spread, "id long, v array<long>, groups array<int>").select(F.explode("groups").alias("grp"), "id", "v")
+    # As many chunks for a group as the data that its bounds let in ask for; a row for each group.
+    chunks = {r["grp"]: -(-r["n"] // chunk) for r in sent.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not chunks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    of_group = F.create_map(*(F.lit(x) for kv in sorted(chunks.items()) for x in kv))
+    left = sent.select("grp", F.pmod(F.xxhash64("id"), of_group[F.col("grp")]).alias("chunk"), "id", "v")
     parts = F.create_map(*(F.lit(x) for i in wanted for x in (i, groups[i][0]))), F.create_map(*(F.lit(x) for i in wanted for x in (i, len(groups[i]))))
     grp = (parts[0][F.col("cell")] + F.pmod(F.xxhash64("id", F.lit(seed)), parts[1][F.col("cell")])).cast("int")
-    right = queries.select(grp.alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")).alias("chunk"), "id", "v")
+    asked = queries.select(grp.alias("grp"), "id", "v").filter(of_group[F.col("grp")].isNotNull())
+    right = asked.select("grp", F.explode(F.sequence(F.lit(0), of_group[F.col("grp")] - 1).cast("array<bigint>")).alias("chunk"), "id", "v")
 
     def solve(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(q):

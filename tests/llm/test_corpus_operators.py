@@ -55,11 +55,24 @@ def test_knn_brute_force(spark):
         assert got == knn_brute(rows, 10, 5)
 
 
-def test_knn_prunes(spark):
-    """Far cells are not sent to a group."""
+def test_knn_prunes(spark, monkeypatch):
+    """Far cells are not sent to a group: of four clusters, queries of one see that one."""
     rows = [(i, [float(i % 4 == j) * 100 + (i % 7) * 0.01 for j in range(4)]) for i in range(400)]
-    got = voronoi_knn.knn_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, k=3, pivots=8).collect()
-    assert {tuple(r) for r in got} == {x for x in knn_brute(rows, 1, 3) if x[0] == 0}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent = []
+    first = type(df).mapInArrow
+
+    def seen(self, f, schema, *a, **b):
+        out = first(self, f, schema, *a, **b)
+        if "groups" in schema:
+            sent.append(out)
+        return out
+
+    monkeypatch.setattr(type(df), "mapInArrow", seen)
+    got = voronoi_knn.knn_join(df, F.col("id") % 4 == 0, k=3, pivots=8).collect()
+    want = {x for x in knn_brute(rows, 1, 3) if x[0] % 4 == 0}
+    assert {tuple(r) for r in got} == want
+    assert sent and sent[0].filter(F.size("groups") > 0).count() == 100
 
 
 def test_knn_empty(spark):
@@ -678,11 +691,31 @@ def all_ids(text):
     return tok.encode(text or "", add_special_tokens=False).ids
 
 
-def test_word_tokenizer():
-    tok = token_ids.WordTokenizer(token_ids.tokenizer_file("byte_bpe_50k.json"))
-    odd = [*TEXTS, "it's we'll 'sx  two   spaces\n\n\nlines \t tab", "a\xa0b\x1fc d", "naïve — “quoted” 日本語 ½²", "ab" * 400, "'s't ' s", "\r\n\r\n x"]
-    for text, ids in zip(odd, tok.batch(odd), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == all_ids(text)
+def test_text_tokenizer():
+    tok, plain = token_ids.tokenizer(), token_ids.tokenizer(special=False)
+    odd = [*TEXTS, "it's we'll 'sx  two   spaces\n\n\nlines \t tab", "a\xa0b\x1fc d", "naïve — “quoted” 日本語 ½² 😀😀 ₿ \u3000x", "ab" * 400, "'s't ' s", "\r\n\r\n x", "\U0001fae8 \u0378 ꟁ a\u200bb", "x" + " " * 5000 + "y"]
+    for text in odd:
+        assert tok.ids(text).tolist() == all_ids(text) and plain.ids(text).tolist() == plain_ids(text)
+    for i in (0, 2, 5, 7):
+        assert not token_ids.unsure(TEXTS[i])
+    assert token_ids.unsure("\x1f") and token_ids.unsure("\u0378") and token_ids.unsure("😀\U0001fa10\U0001e5d0") and not token_ids.unsure("é中жאあ😀—“”\xa0")
+
+
+def test_both_libraries_cut_alike():
+    """Every character that goes by the ranks, among letters, digits, blanks and marks; and words of random letters, whose merges must agree."""
+    from tokenizers import Tokenizer
+
+    tok = token_ids.tokenizer(special=False)
+    whole = Tokenizer.from_file(token_ids.tokenizer_file("byte_bpe_50k.json"))
+    chars = [chr(c) for c in range(1, token_ids.END) if not 0xD800 <= c < 0xE000]
+    chars = [c for c in chars if not token_ids.unsure(c)]
+    assert len(chars) > 90_000
+    rng = random.Random(11)
+    texts = ["".join(f"a{c}b1{c}2 {c} {c}{c}!{c}. " for c in chars[i : i + 50]) for i in range(0, len(chars), 50)]
+    texts += [" ".join("".join(rng.choices("etaoinshrdlucmfwypvbgkjqxzETAS", k=rng.randrange(1, 14))) for _ in range(400)) for _ in range(300)]
+    texts += ["".join(rng.choices("ab ,.\n\t'12éß—", k=500)) for _ in range(300)]
+    for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert tok.ids(text).tolist() == want.ids, text[:60]
 
 
 def test_cost_packing(spark, docs):
