@@ -76,9 +76,14 @@ def more_specific(a: Column, b: Column) -> Column:
     return F.when(F.size(a) > F.size(b), a).when(F.size(b) > F.size(a), b).otherwise(common(a, b))
 
 
+def escaped(name: Column) -> Column:
+    """A name as part of a path: its slashes do not count as steps."""
+    return F.replace(F.replace(name, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+
+
 def path(lineage: Column) -> Column:
-    """``level:name`` joined by slashes; of a prefix, a key that sorts parents before children."""
-    return F.array_join(F.transform(lineage, lambda e: F.concat(e["level"], F.lit(":"), e["name"])), "/")
+    """``level:name`` joined by slashes, those of names escaped; of a prefix, a key that sorts parents before children."""
+    return F.array_join(F.transform(lineage, lambda e: F.concat(e["level"], F.lit(":"), escaped(e["name"]))), "/")
 
 
 def prefixes(lineage: Column) -> Column:

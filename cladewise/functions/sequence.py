@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The nucleotide codes, and the 4-bit mask of each (A=1, C=2, G=4, T=8).
+#: The nucleotide codes in capitals, and the 4-bit mask of each (A=1, C=2, G=4, T=8).
 CODES = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "M": 3, "R": 5, "W": 9, "S": 6, "Y": 10, "K": 12, "V": 7, "H": 11, "D": 13, "B": 14, "N": 15}
 LONGEST_NAME = 150
 
 
+#: Marks that become underscores, and marks that go.
+SEPARATORS, MARKS = r"[-/\\()|<>.,:;\[\] ]", "[!@#$%^&*+?~`\"']"
+
+
 def safe_name(s: Column) -> Column:
     """A name usable in files and trees: separators become underscores, other marks go."""
-    return F.regexp_replace(F.regexp_replace(F.trim(s), r"[-/\\()|<>.,:;\[\] ]", "_"), "[!@#$%^&*+?~`\"']", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(s), SEPARATORS, "_"), MARKS, "")
 
 
 def base_name(s: Column) -> Column:
@@ -83,35 +91,84 @@ def hit_window(q_start: Column, q_len: Column, q_strand: Column, s_start: Column
     return F.struct(F.greatest(F.lit(0), s_start - before - flanks).alias("start"), F.least(size, s_start + s_len + after + flanks).alias("end"))
 
 
-def _sites(a: Column, b: Column) -> Column:
+_GAP = ord("-")
+_BASE = np.zeros(256, np.uint8)
+_BASE[list(b"AGCT")] = [1, 2, 4, 8]  # purines are 1 and 2
+
+
+def _codes(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """Both strings as arrays of one number a character."""
+    if a.isascii() and b.isascii():
+        return np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
+    return np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
+
+
+def _shared(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
     """Sites of both within the window that both cover."""
-    start = F.greatest(leading_gaps(a), leading_gaps(b))
-    end = F.least(F.length(a) - trailing_gaps(a), F.length(b) - trailing_gaps(b))
-    n = F.greatest(F.lit(0), end - start)
-    return F.zip_with(F.split(F.substring(a, start + 1, n), ""), F.split(F.substring(b, start + 1, n), ""), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    start = max(len(x) - len(x.lstrip("-")) for x in (a, b))
+    end = max(start, min(len(x.rstrip("-")) for x in (a, b)))
+    return _codes(a[start:end], b[start:end])
+
+
+def _of_pairs(kernel: Callable, kind: str) -> Callable[[Column, Column], Column]:
+    """A column function of two strings from a function of two str; null with a null. Arrow batches, numpy within."""
+
+    def apply(a: Column, b: Column) -> Column:
+        def run(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series([None if p is None or q is None else kernel(p, q) for p, q in zip(x, y, strict=True)], dtype=object)
+
+        def run_struct(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([(None,) * 3 if p is None or q is None else kernel(p, q) for p, q in zip(x, y, strict=True)], columns=["aligned", "transitions", "transversions"], dtype="Int64")
 
+        if kind.startswith("struct"):
+            return F.pandas_udf(run_struct, kind)(a, b)
+        run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+        return F.pandas_udf(run, kind)(a, b)
 
-def _count(sites: Column, test) -> Column:
-    return F.size(F.filter(sites, lambda p: test(p["x"], p["y"])))
+    return apply
+
+
+def _similarity(a: str, b: str) -> float | None:
+    x, y = _shared(a, b)
+    some = int(((x != _GAP) | (y != _GAP)).sum())
+    return int(((x == y) & (x != _GAP)).sum()) / some if some else None
+
+
+def _identity(a: str, b: str) -> float | None:
+    x, y = _shared(a, b)
+    return int((x == y).sum()) / len(x) if len(x) else None
+
+
+def _substitutions(a: str, b: str) -> tuple[int, int, int]:
+    n = min(len(a), len(b))
+    x, y = (np.where(c < 256, _BASE[np.minimum(c, 255)], 0) for c in _codes(a[:n], b[:n]))
+    both = (x > 0) & (y > 0)
+    same_kind = (x < 4) == (y < 4)
+    return int(both.sum()), int((both & (x != y) & same_kind).sum()), int((both & ~same_kind).sum())
+
+
+def _mark(seq: str, query: str) -> str:
+    n = min(len(seq), len(query))
+    x, y = _codes(seq[:n], query[:n])
+    if x.dtype == np.uint8:
+        capital = (x == y) & (x >= 65) & (x <= 90)
+        return (x + np.where(capital, 32, 0).astype(np.uint8)).tobytes().decode() + seq[n:]
+    return "".join(p.lower() if p == q else p for p, q in zip(seq[:n], query[:n], strict=True)) + seq[n:]
 
 
 def similarity(a: Column, b: Column) -> Column:
     """Equal sites over sites that are not a gap in both, within the common window; null without any."""
-    sites = F.filter(_sites(a, b), lambda p: (p["x"] != "") & (p["y"] != ""))
-    some = _count(sites, lambda x, y: (x != "-") | (y != "-"))
-    return F.try_divide(_count(sites, lambda x, y: (x == y) & (x != "-")).cast("double"), some)
+    return _of_pairs(_similarity, "double")(a, b)
 
 
 def identity(a: Column, b: Column) -> Column:
     """Equal sites, gaps included, over the length of the common window; null if it is empty."""
-    sites = F.filter(_sites(a, b), lambda p: (p["x"] != "") & (p["y"] != ""))
-    return F.try_divide(_count(sites, lambda x, y: x == y).cast("double"), F.size(sites))
+    return _of_pairs(_identity, "double")(a, b)
 
 
 def substitutions(a: Column, b: Column) -> Column:
     """aligned, transitions, transversions over sites where both are plain bases."""
-    pairs = F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.concat(x, y)), lambda p: p.rlike("^[ACGT][ACGT]$"))
-    return F.struct(F.size(pairs).cast("long").alias("aligned"), F.size(F.filter(pairs, lambda p: p.isin("AG", "GA", "CT", "TC"))).cast("long").alias("transitions"), F.size(F.filter(pairs, lambda p: p.rlike("^([AG][CT]|[CT][AG])$"))).cast("long").alias("transversions"))
+    return _of_pairs(_substitutions, "struct<aligned:long,transitions:long,transversions:long>")(a, b)
 
 
 #: Distance of a saturated pair, and the least number of aligned bases.
@@ -130,9 +187,14 @@ def code_mask(base: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv)), base)
 
 
+def base_of(mask: Column) -> Column:
+    """The code of a mask; U, which has the mask of T, is not told from it."""
+    return F.element_at(F.create_map(*(F.lit(x) for k, v in CODES.items() if k != "U" for x in (v, k))), mask)
+
+
 def mark_matches(seq: Column, query: Column) -> Column:
     """Sites equal to the query's in lower case."""
-    return F.array_join(F.zip_with(F.split(seq, ""), F.split(query, ""), lambda x, y: F.when(x == y, F.lower(x)).otherwise(x)), "")
+    return _of_pairs(_mark, "string")(seq, query)
 
 
 def similarity_colour(score: Column) -> Column:

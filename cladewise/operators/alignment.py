@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.functions import sequence as S
+from cladewise.operators.tables import neighbours
 
 
 def sites(aligned: DataFrame) -> DataFrame:
@@ -33,41 +34,40 @@ def site_patterns(aligned: DataFrame) -> DataFrame:
 
 
 def align_pair(a: str, b: str, match: float = 1.0, mismatch: float = 0.0, gap_open: float = -10.0, gap_extend: float = -0.5) -> tuple[str, str, float]:
-    """Global alignment with affine gaps, a row of the matrix at a time."""
+    """Global alignment with affine gaps, a row of the matrix at a time. One byte a cell is kept for the way back."""
     n, m = len(a), len(b)
     x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
     low = -1e18
     best, gap_a = np.full(m + 1, low), np.full(m + 1, low)
     steps = np.arange(m + 1)
     best[0], best[1:] = 0.0, gap_open + gap_extend * steps[:-1]
-    from_ = np.zeros((n + 1, m + 1), np.int8)  # 0 both, 1 a alone, 2 b alone
-    long_a = np.zeros((n + 1, m + 1), bool)
-    start_b = np.zeros((n + 1, m + 1), np.int32)
-    from_[0, 1:], start_b[0, 1:] = 2, 0
+    way = np.zeros((n + 1, m + 1), np.uint8)  # 0 both, 1 a alone, 2 b alone; 4: the gap in b goes on, 8: the gap in a does
+    way[0, 1:] = 2 | 8
     for i in range(1, n + 1):
         opened = best + gap_open
-        long_a[i] = gap_a + gap_extend > opened
-        gap_a = np.where(long_a[i], gap_a + gap_extend, opened)
+        longer = gap_a + gap_extend > opened
+        gap_a = np.where(longer, gap_a + gap_extend, opened)
         diagonal = np.full(m + 1, low)
         diagonal[1:] = best[:-1] + np.where(x[i - 1] == y, match, mismatch)
         row = np.maximum(diagonal, gap_a)
-        # b alone: the best start j of a gap that ends here, by a running maximum
+        # b alone: the best start of a gap that ends here, by a running maximum
         lead = np.concatenate(([low], row[:-1] + gap_open - gap_extend * steps[:-1]))
         run = np.maximum.accumulate(lead)
         where = np.maximum.accumulate(np.where(lead >= run, steps, 0))
         gap_b = run + gap_extend * (steps - 1)
-        from_[i] = np.where(gap_b > row, 2, np.where(gap_a > diagonal, 1, 0))
-        start_b[i] = where - 1
+        way[i] = np.where(gap_b > row, 2, np.where(gap_a > diagonal, 1, 0)) | 4 * longer | 8 * (where != steps)
         best = np.maximum(row, gap_b)
     out_a, out_b, i, j = [], [], n, m
     while i or j:
-        if i == 0 or (j and from_[i, j] == 2):
-            s = 0 if i == 0 else start_b[i, j]
-            out_a.append("-" * (j - s))
-            out_b.append(b[s:j][::-1])
-            j = s
-        elif j == 0 or from_[i, j] == 1:
-            while i > 1 and long_a[i, j] and j:
+        if i == 0 or (j and way[i, j] & 3 == 2):
+            going = True
+            while going and j:
+                going = i == 0 or bool(way[i, j] & 8)
+                out_a.append("-")
+                out_b.append(b[j - 1])
+                j -= 1
+        elif j == 0 or way[i, j] & 3 == 1:
+            while i > 1 and way[i, j] & 4 and j:
                 out_a.append(a[i - 1])
                 out_b.append("-")
                 i -= 1
@@ -105,11 +105,28 @@ def distances(aligned: DataFrame) -> DataFrame:
     return x.select("query", "i", "j", S.k2p(F.col("s.aligned"), F.col("s.transitions"), F.col("s.transversions")).alias("d"))
 
 
-def mean_difference(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Mean of 1 - identity over pairs: diversity within a group or divergence between groups."""
-    return pairs.groupBy(*by).agg(F.avg(1 - F.col("identity")).alias("difference"), F.count(F.lit(1)).alias("pairs"))
+def allele_counts(states: DataFrame, by: list[str]) -> DataFrame:
+    """by, site, ones, n: how many of a group have a site's state. states: by, site, state (boolean)."""
+    return states.groupBy(*by, "site").agg(F.count_if("state").alias("ones"), F.count(F.lit(1)).alias("n"))
 
 
-def neighbours_in_order(df: DataFrame, by: list[str], order: list[str], seq: str) -> DataFrame:
-    """Each row with the sequence that follows it in its group."""
-    return df.withColumn("next_seq", F.lead(seq).over(Window.partitionBy(*by).orderBy(*order)))
+def mean_difference_within(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Mean share of sites that differ over all pairs of a group's members, from counts by site: no pair is formed. Sums are of whole numbers."""
+    differing = F.sum(F.col("ones") * (F.col("n") - F.col("ones")))
+    pairs = F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    return counts.groupBy(*by).agg(F.try_divide(differing.cast("double"), pairs).alias("difference"), (F.max("n") * (F.max("n") - 1) / 2).cast("long").alias("pairs"))
+
+
+def mean_difference_between(counts: DataFrame, group: str) -> DataFrame:
+    """a, b, difference over all pairs of one member of each of two groups, a < b, from counts by site."""
+    a, b = (counts.select("site", F.col(group).alias(s), F.col("ones").alias(f"ones_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    x = a.join(b, "site").filter("a < b")
+    differing = F.sum(F.col("ones_a") * (F.col("n_b") - F.col("ones_b")) + F.col("ones_b") * (F.col("n_a") - F.col("ones_a")))
+    return x.groupBy("a", "b").agg((differing.cast("double") / F.sum(F.col("n_a") * F.col("n_b"))).alias("difference"))
+
+
+def neighbours_in_order(df: DataFrame, by: list[str], ident: str, seq: str) -> DataFrame:
+    """Each row with the sequence that follows it in its group, in order of a unique id. Only ids are dealt out in order; sequences are joined by id."""
+    pairs = neighbours(df, by, [ident], ident).select(F.col(ident).alias("_id"), F.col(f"next_{ident}").alias("_next")).filter("_next is not null")
+    other = df.select(F.col(ident).alias("_next"), F.col(seq).alias(f"next_{seq}"))
+    return df.join(pairs, df[ident] == F.col("_id")).join(other, "_next").drop("_id", "_next")

@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+KEY = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. A temporary one takes its place only where everything runs on one machine."""
+    found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {KEY} to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="cladewise-")
+        spark.conf.set(KEY, found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that does not exist yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once. Sets a temporary folder only where the session names none."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="cladewise-"))
-    return df.checkpoint()
+    """The same rows, computed once and written as Parquet."""
+    path = new_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

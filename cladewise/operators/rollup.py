@@ -50,6 +50,7 @@ def repair(summary: DataFrame) -> DataFrame:
     depth = summary.agg(F.max("depth")).first()[0] or 0
     out = summary
     for d in range(depth - 1, 0, -1):
+        out = cut(out) if d % 4 == 0 else out  # else the plan doubles with each depth
         below = out.filter(F.col("depth") == d + 1).groupBy("query", parent_path(F.col("path")).alias("path")).agg(F.sum("cnt").alias("_below"))
         out = out.join(below, ["query", "path"], "left").withColumn("cnt", F.when(F.col("depth") == d, F.greatest("cnt", F.coalesce("_below", F.lit(0)))).otherwise(F.col("cnt"))).drop("_below")
     return out
@@ -82,10 +83,16 @@ def consolidate(trees: DataFrame, levels: tuple[str, ...], prune_level: float, f
     level is one aggregate over these, whose plan is cut so that it runs once.
     Returns query, lineage and cnt, the number of trees.
     """
-    out = densify(trees, levels, filler).groupBy("query", "lineage").agg(F.count(F.lit(1)).alias("cnt")).withColumn("done", F.array().cast(L.ENTRY_ARRAY))
+    out = cut(densify(trees, levels, filler).groupBy("query", "lineage").agg(F.count(F.lit(1)).alias("cnt")).withColumn("done", F.array().cast(L.ENTRY_ARRAY)))
+    # Ranks at which there is a filler at all; at others there is nothing to do but to pass on.
+    filled = {r[0] for r in out.select(F.explode(F.array_distinct(F.transform(F.filter("lineage", lambda e: e["name"] == filler), lambda e: e["level"])))).distinct().collect()}
     for level in levels:
         head = F.get("lineage", F.lit(0))
         at = F.coalesce(head["level"] == level, F.lit(False))
+        if level not in filled:
+            on = F.slice("lineage", F.lit(2), F.greatest(F.size("lineage") - 1, F.lit(0)))
+            out = out.select("query", F.when(at, on).otherwise(F.col("lineage")).alias("lineage"), "cnt", F.when(at, F.concat("done", F.array(head))).otherwise(F.col("done")).alias("done"))
+            continue
         parent = L.path(F.col("done"))
         out = out.withColumn("_parent", parent).withColumn("_at", at).withColumn("_fill", at & (head["name"] == filler))
         tally = out.filter("_at").groupBy("query", "_parent").agg(F.sum(F.when(F.col("_fill"), F.col("cnt")).otherwise(0)).alias("_fillers"), F.sum(F.when(F.col("_fill"), 0).otherwise(F.col("cnt"))).alias("_real")).filter("_fillers > 0")
@@ -140,6 +147,25 @@ def bayes_factor(p: Column, prior_: Column) -> Column:
     return F.when(p == 1, F.lit(float("inf"))).when(prior_ == 1, F.lit(0.0)).otherwise((p / (1 - p)) / (prior_ / (1 - prior_)))
 
 
+def prior_counts(summary: DataFrame) -> DataFrame:
+    """Adds ``prior_cnt``, found by name alone; a name that has several counts has none."""
+    s = summary.groupBy("query", "name").agg(F.min("cnt").alias("_lo"), F.max("cnt").alias("_hi"))
+    return summary.join(s, ["query", "name"]).withColumn("prior_cnt", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))).drop("_lo", "_hi")
+
+
+def unique_cutoffs(cutoffs: Column) -> Column:
+    """In ascending order, each once."""
+    return F.array_sort(F.array_distinct(cutoffs))
+
+
+def leaf_sets(summary: DataFrame) -> DataFrame:
+    """query, path, n, leaves of every node: a leaf's path is cut into its own ancestors, so there is no join on prefixes."""
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    below = leaves(summary).select("query", F.explode(up).alias("node"), "path")
+    return below.groupBy("query", F.col("node").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("path")).alias("leaves"))
+
+
 def level_counts(assigned: DataFrame, analysed: DataFrame) -> DataFrame:
     """How many queries have a name at a rank and cutoff, and their share of those analysed."""
     total = analysed.agg(F.count_distinct("query").alias("analysed"))
@@ -166,7 +192,7 @@ def significance_tree(post: DataFrame, cutoff: float) -> DataFrame:
     sure = significant_lineage(post, cutoff)
     parts = F.split("path", "/")
     nodes = sure.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("path"))
-    leaves_ = sure.select(F.concat_ws("/", "path", F.concat(F.lit("query:"), F.col("query"))).alias("path"))
+    leaves_ = sure.select(F.concat_ws("/", "path", F.concat(F.lit("query:"), L.escaped(F.col("query")))).alias("path"))
     return nodes.unionByName(leaves_).groupBy("path").agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.operators.lineage_cut import cut
+
 
 def with_status(ids: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """Left join; status ``(l)`` where a record was found, else ``(l!?)``."""
@@ -44,9 +48,39 @@ def contained(candidates: DataFrame, accepted: DataFrame, by: list[str], seq: st
     return candidates.join(a, [*same, F.contains(F.col("_seq"), F.upper(F.col(seq)))], "left_semi")
 
 
+def include_minus_exclude(included: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among the excluded ones."""
+    return included.join(excluded.select(key).distinct(), key, "left_anti")
+
+
+def failed(queries: DataFrame, assigned: DataFrame, aside: DataFrame | None, key: str) -> DataFrame:
+    """Queries that no later stage knows and that are not set aside, as duplicates are."""
+    known = assigned.select(key) if aside is None else assigned.select(key).union(aside.select(key))
+    return include_minus_exclude(queries, known, key)
+
+
+def not_contained(rows: DataFrame, others: DataFrame, by: list[str], ident: str = "id", seq: str = "seq") -> DataFrame:
+    """Rows whose sequence is not part of another one's (by id) in the same group; case does not count."""
+    o = others.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(ident).alias("_id"), F.upper(seq).alias("_seq"))
+    same = [F.col(c) == F.col(f"_{c}") for c in by]
+    return rows.join(o, [*same, F.col(ident) != F.col("_id"), F.contains(F.col("_seq"), F.upper(F.col(seq)))], "left_anti")
+
+
+def novel(df: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
+    """Adds ``novel``: whether a row is the first of its name in its group. A null name always is."""
+    i = F.row_number().over(Window.partitionBy(*by, name).orderBy(*order))
+    return df.withColumn("novel", F.col(name).isNull() | (i == 1))
+
+
+def exhaustion(known: DataFrame, seen: DataFrame, ident: str, by: str) -> DataFrame:
+    """by, known, seen, not_reached: how many of a group's known ids have been seen, and whether some have not."""
+    x = known.join(seen.select(ident).distinct().withColumn("_seen", F.lit(1)), ident, "left")
+    return x.groupBy(by).agg(F.count(F.lit(1)).alias("known"), F.count("_seen").alias("seen")).withColumn("not_reached", F.col("seen") < F.col("known"))
+
+
 @dataclass(frozen=True)
 class Quotas:
-    """Limits of the sequential scan, with the usual values."""
+    """Limits of the sequential scan, with the usual values. fill_in: 'balanced', 'all' or 'none'."""
 
     significance: float = 0.1
     nrsignificant: int = 5
@@ -59,71 +93,230 @@ class Quotas:
     orders: int = 5
     families: int = 6
     genera: int = 10
+    minidentity: float = 0.0
+    fill_in: str = "balanced"
 
 
 RANKS = (("genus", "genera"), ("family", "families"), ("order", "orders"), ("class", "classes"), ("phylum", "phyla"))
-SELECTED = "query string, ord int, id string, place int, status string"
+HIT = "struct<id:string,ord:int,round:int,significance:double,seq:string,species:string,genus:string,family:string,`order`:string,class:string,phylum:string>"
+STATE = f"query string, taken array<{HIT}>, spare array<{HIT}>, best double, names array<string>, reason string"
+SELECTED = "query string, ord int, id string, place int, round int, status string, reason string"
+_FIELDS = ("id", "ord", "round", "significance", "seq", "species", "genus", "family", "order", "class", "phylum")
+
 
+def _inside(hit: dict, taken: list[dict]) -> bool:
+    """Whether a hit's sequence is part of one of its species that has been taken."""
+    return any(t["species"] == hit["species"] and hit["seq"].upper() in t["seq"].upper() for t in taken)
 
-def scan_hits(pdf: pd.DataFrame, q: Quotas) -> pd.DataFrame:
-    """One query's hits in order. Each depends on what was accepted before, so this is a scan."""
-    seen: dict[str, set] = {r: set() for r, _ in RANKS}
-    per_species: dict[str, int] = {}
-    sequences: dict[str, list[str]] = {}
-    taken, best, significant, last_one, out = set(), 0.0, 0, False, []
-    for h in pdf.sort_values(["ord", "id"]).to_dict("records"):
-        if h["id"] in taken or h["id"] == h["query"]:
+
+def _next_names(taken: list[dict], seen: dict[str, set], q: Quotas) -> list[str]:
+    """What the next search leaves out: the species so far while there are too few hits, then the names of the lowest rank with too few, at last the phyla."""
+    species = {h["species"] for h in taken} - {None}
+    if species and len(taken) < q.besthits:
+        return sorted(species)
+    for rank, quota in RANKS:
+        if 0 < len(seen[rank]) < getattr(q, quota):
+            return sorted(seen[rank])
+    return sorted(seen["phylum"])
+
+
+def scan_round(state: dict, hits: list[dict], q: Quotas) -> dict:
+    """One search's hits, in order, on top of what a query has. Each depends on what was accepted before, so this is a scan."""
+    taken, spare, best = list(state["taken"]), list(state["spare"]), state["best"]
+    have = {h["id"] for h in taken}
+    seen = {rank: {h[rank] for h in taken} - {None} for rank, _ in RANKS}
+    count = Counter(h["species"] for h in taken)
+    significant = sum(h["significance"] <= q.significance for h in taken)
+    reason, last_one = "" if hits else "no more hits", False
+    for h in hits:
+        tag = h["species"]
+        if h["id"] in have or h["id"] == state["query"]:
             continue
         best = max(best, h["score"])
-        exhausted = h["score"] < best * q.relbitscore and len(taken) >= max(3, q.nrsignificant)
+        last_one = last_one or (h["score"] < best * q.relbitscore and len(taken) >= max(3, q.nrsignificant))
         if len(taken) >= q.alignmentlimit:
+            reason = "limit"
+            break
+        if not taken and h.get("identity") is not None and h["identity"] < q.minidentity:
+            reason = "identity"
             break
-        if per_species.get(h["species"], 0) >= q.individuals:
+        if tag is not None and count[tag] >= q.individuals:
+            own = [i for i, x in enumerate(spare) if x["species"] == tag]
+            # With several individuals the worst match of a species stays the last one.
+            spare.insert(own[-1] if own and count[tag] > 1 else len(spare), h)
             continue
-        if len(taken) >= q.besthits:
-            new = next((r for r, quota in RANKS if len(seen[r]) < getattr(q, quota) and (h[r] is None or h[r] not in seen[r])), None)
-            if new is None:
-                continue
-        s = h["seq"].upper()
-        if any(s in t for t in sequences.get(h["species"], ())):
+        if len(taken) >= q.besthits and all(h[rank] in seen[rank] for rank, _ in RANKS):
             continue
-        if h["significance"] > q.significance and significant < q.nrsignificant:
+        if _inside(h, taken):
+            continue
+        taken.append(h)
+        have.add(h["id"])
+        count[tag] += 1
+        for rank, _ in RANKS:
+            seen[rank] |= {h[rank]} - {None}
+        if h["significance"] <= q.significance:
+            significant += 1
+        elif significant < q.nrsignificant:
+            reason = "not significant"
             break
-        significant += h["significance"] <= q.significance
-        taken.add(h["id"])
-        for r, _ in RANKS:
-            if h[r] is not None:
-                seen[r].add(h[r])
-        per_species[h["species"]] = per_species.get(h["species"], 0) + 1
-        sequences.setdefault(h["species"], []).append(s)
-        out.append((h["query"], h["ord"], h["id"], len(taken)))
         if last_one:
             break
-        last_one = exhausted
-    enough = significant >= q.nrsignificant and len(taken) >= 3
-    return pd.DataFrame([(*x, "ok" if enough else "too few") for x in out], columns=["query", "ord", "id", "place", "status"])
+    names = _next_names(taken, seen, q)
+    if not reason:
+        reason = "exhausted" if last_one else "no news" if not names or names == list(state["names"]) else ""
+    return {"query": state["query"], "taken": taken, "spare": spare, "best": best, "names": names, "reason": reason}
+
+
+def finish(state: dict, forced: list[dict], q: Quotas) -> list[tuple]:
+    """Forced ones replace those of their species that are part of them; then spare ones fill in, one more of each species a round."""
+    taken, spare = list(state["taken"]), list(state["spare"])
+    for f in forced:
+        if f["id"] not in {t["id"] for t in taken} and not _inside(f, taken):
+            taken = [t for t in taken if not _inside(t, [f])] + [f]
+    if state["reason"] != "limit" and q.fill_in != "none":
+        while spare:
+            add = []
+            for tag in dict.fromkeys(h["species"] for h in spare):
+                while tag is not None and (own := next((h for h in spare if h["species"] == tag), None)):
+                    spare.remove(own)
+                    if own["id"] not in {t["id"] for t in taken} and not _inside(own, taken):
+                        add.append(own)
+                        break
+            every = len({t["species"] for t in taken} - {None})
+            if not add or len(taken) + len(add) >= q.alignmentlimit or (q.fill_in == "balanced" and len(add) != every):
+                break
+            taken += add
+    enough = sum(t["significance"] <= q.significance for t in taken) >= q.nrsignificant and len(taken) >= 3
+    status = "identity" if state["reason"] == "identity" else "ok" if enough else "too few"
+    return [(state["query"], t["ord"], t["id"], i, t["round"], status, state["reason"]) for i, t in enumerate(taken, 1)]
+
 
+def _plain(pdf: pd.DataFrame) -> list[dict]:
+    return pdf.astype(object).where(pdf.notna(), None).to_dict("records")
 
-def select_homologues(hits: DataFrame, quotas: Quotas = Quotas(), most_hits: int = 200) -> DataFrame:
-    """Accepted hits of every query. hits: query, ord, id, score, significance, seq, species and the five ranks.
 
-    Only a query's first ``most_hits`` hits reach its group, as a search returns no more.
+def _hits_in(rows) -> list[dict]:
+    return [{k: x[k] for k in _FIELDS} for x in rows] if rows is not None else []
+
+
+def select_homologues(hits: DataFrame, quotas: Quotas = Quotas(), most_hits: int = 200, *, forced: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """Accepted hits of every query: query, ord, id, place, round, status, reason.
+
+    hits: query, ord, id, score, significance, seq, species and the five ranks,
+    and identity where ``minidentity`` is to be asked for; all hits of a search
+    without limit. forced: the same for what is forced in. excluded: ids never
+    taken. Each round is a search without the names that a query has enough of:
+    its first ``most_hits`` hits, as a search returns no more. A query's state is
+    one row of bounded size; rounds go on while any query needs one, and each
+    must change what is left out, so there are at most a few more rounds than
+    ``alignmentlimit``.
     """
-    first = top(hits, ["query"], [F.col("ord"), F.col("id")], most_hits)
+    kept = hits if excluded is None else include_minus_exclude(hits, excluded, "id")
+    kept = cut(kept)
+    ranks = [rank for rank, _ in RANKS]
+    number, order = 0, [F.col("ord"), F.col("id")]
+    none = [F.array().cast(f"array<{HIT}>").alias("taken"), F.array().cast(f"array<{HIT}>").alias("spare"), F.lit(0.0).alias("best"), F.array().cast("array<string>").alias("names"), F.lit("").alias("reason")]
+    state = kept.select("query").distinct().select("query", *none)
+    while True:
+        going = state.filter("reason = ''")
+        left = kept
+        if number:
+            own = F.array_compact(F.array("species", *ranks))
+            left = kept.join(going.select("query", "names"), "query").filter(~F.arrays_overlap(own, "names")).drop("names")
+        first = top(left, ["query"], order, most_hits)
+        at = number
+
+        def step(key: tuple, now: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            if not len(now):
+                return pd.DataFrame(columns=["query", "taken", "spare", "best", "names", "reason"])
+            row = now.iloc[0]
+            old = {"query": row["query"], "taken": _hits_in(row["taken"]), "spare": _hits_in(row["spare"]), "best": row["best"], "names": list(row["names"])}
+            rows = [h | {"round": at} for h in _plain(found.sort_values(["ord", "id"]))]
+            new = scan_round(old, rows, quotas)
+            return pd.DataFrame([new | {"taken": _hits_in(new["taken"]), "spare": _hits_in(new["spare"])}], columns=["query", "taken", "spare", "best", "names", "reason"])
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        return scan_hits(pdf.astype(object).where(pdf.notna(), None), quotas)
+        stepped = going.groupBy("query").cogroup(first.groupBy("query")).applyInPandas(step, STATE)
+        state = cut(stepped.unionByName(state.filter("reason <> ''")) if number else stepped)
+        number += 1
+        if state.filter("reason = ''").isEmpty():
+            break
+
+    def end(key: tuple, now: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in now.to_dict("records"):
+            extra = [{**h, "round": -1} for h in _plain(more.sort_values(["ord", "id"]))]
+            out += finish(row | {"taken": _hits_in(row["taken"]), "spare": _hits_in(row["spare"])}, _hits_in(extra), quotas)
+        return pd.DataFrame(out, columns=["query", "ord", "id", "place", "round", "status", "reason"])
 
-    return first.groupBy("query").applyInPandas(scan, SELECTED)
+    more = kept.limit(0) if forced is None else forced
+    return state.groupBy("query").cogroup(more.select("query", "ord", "id", "significance", "seq", "species", *ranks).groupBy("query")).applyInPandas(end, SELECTED)
 
 
-def kmer_search(queries: DataFrame, records: DataFrame, k: int = 8, most: int = 200) -> DataFrame:
-    """query, id, score (distinct k-mers in common), ord. Both: id, seq. An equi-join of k-mers, then the best of each query."""
+def _kmers(df: DataFrame, k: int) -> DataFrame:
+    """id, kmers: the distinct k-mers of a sequence as hashes, of a shorter one the whole."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("seq") - k + 1, F.lit(1)))
+    return df.select("id", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("seq"), i, F.lit(k))))).alias("kmers"))
 
-    def kmers(df: DataFrame, name: str) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("seq") - k + 1, F.lit(1)))
-        return df.select(F.col("id").alias(name), F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("seq", i, F.lit(k))))).alias("kmer"))
 
-    scores = kmers(queries, "query").join(kmers(records, "id"), "kmer").groupBy("query", "id").agg(F.count(F.lit(1)).alias("score"))
+def kmer_search(queries: DataFrame, records: DataFrame, k: int = 8, most: int | None = 200, *, common: int = 1000, block: int = 4096) -> DataFrame:
+    """query, id, score (distinct k-mers in common), ord. Both: id, seq.
+
+    K-mers of at most ``common`` records are joined. Those of more would join
+    nearly everything with everything; they only count where a pair shares a
+    rarer one, by intersecting the two sets of such pairs. A record that shares
+    none with a query scores at most the number of the query's common k-mers, so
+    a query whose last place scores more than that is done. The rest meets all
+    records in blocks, and only the best of each block leave it. Without
+    ``most`` every pair that shares a k-mer is returned, in blocks for all
+    queries that have a common one.
+    """
+    q, r = cut(_kmers(queries, k)), cut(_kmers(records, k))
+    often = cut(r.select(F.explode("kmers").alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > common).select("kmer"))
+    each = q.select(F.col("id").alias("query"), F.explode("kmers").alias("kmer"))
+    rare = each.join(often, "kmer", "left_anti")
+    pairs = rare.join(r.select("id", F.explode("kmers").alias("kmer")).join(often, "kmer", "left_anti"), "kmer").groupBy("query", "id").agg(F.count(F.lit(1)).alias("rare"))
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
-    return scores.withColumn("ord", F.row_number().over(w)).filter(F.col("ord") <= most)
+    if often.isEmpty():
+        scored = pairs.withColumnRenamed("rare", "score")
+        return _ranked(scored, w, most)
+    crowded = cut(each.join(often, "kmer").groupBy("query").agg(F.count(F.lit(1)).alias("bound")))
+    whole = pairs.join(q.select(F.col("id").alias("query"), F.col("kmers").alias("_q")), "query").join(r.select("id", F.col("kmers").alias("_r")), "id")
+    scored = cut(_ranked(whole.select("query", "id", F.size(F.array_intersect("_q", "_r")).cast("long").alias("score")), w, most))
+    if most is None:
+        done = scored.join(crowded, "query", "left_anti")
+        open_ = crowded.select("query")
+    else:
+        last = scored.filter(F.col("ord") == most).select("query", F.col("score").alias("last"))
+        open_ = crowded.join(last, "query", "left").filter(F.coalesce(F.col("last") <= F.col("bound"), F.lit(True))).select("query")
+        done = scored.join(open_, "query", "left_anti")
+    left = cut(q.join(open_, q["id"] == open_["query"], "left_semi"))
+    n, m = left.count(), r.count()
+    deal = lambda df, rows, name: df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows // block)))).cast("int"))
+    over = lambda rows, name: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-rows // block)) - 1))).alias(name)
+    a = deal(left, n, "i").select("id", "kmers", "i", over(m, "j"))
+    b = deal(r, m, "j").select("id", "kmers", "j", over(n, "i"))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            y = y.sort_values("id", ignore_index=True)
+            known, at = np.unique(np.concatenate(y["kmers"].to_list()), return_inverse=True)
+            owner = np.repeat(np.arange(len(y)), y["kmers"].map(len))
+            order = np.argsort(at, kind="stable")
+            owner, start = owner[order], np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(known)))))
+            for ident, kmers in zip(x["id"], x["kmers"], strict=True):
+                p = np.searchsorted(known, kmers)
+                p = p[(p < len(known)) & (known[np.minimum(p, len(known) - 1)] == kmers)]
+                score = np.bincount(np.concatenate([owner[start[i] : start[i + 1]] for i in p]), minlength=len(y)) if len(p) else np.zeros(len(y), int)
+                place = np.lexsort((np.arange(len(y)), -score))[:most]
+                out += [(ident, y["id"][i], int(score[i])) for i in place if score[i]]
+        return pd.DataFrame(out, columns=["query", "id", "score"])
+
+    kind = dict(queries.dtypes)["id"], dict(records.dtypes)["id"]
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(best, f"query {kind[0]}, id {kind[1]}, score long")
+    return done.unionByName(_ranked(found, w, most))
+
+
+def _ranked(scored: DataFrame, w, most: int | None) -> DataFrame:
+    out = scored.select("query", "id", F.col("score").cast("long").alias("score")).withColumn("ord", F.row_number().over(w))
+    return out if most is None else out.filter(F.col("ord") <= most)

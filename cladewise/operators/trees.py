@@ -9,7 +9,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.functions.sequence import LEAST_ALIGNED, SATURATED
@@ -49,7 +49,7 @@ def neighbour_joining(d: np.ndarray, names: list[str], constraints: list[frozens
         n = len(nodes)
         q = (n - 2) * d - d.sum(0)[:, None] - d.sum(1)[None, :]
         q[np.tril_indices(n)] = np.inf
-        for i in range(n):
+        for i in range(n if constraints else 0):
             for j in range(i + 1, n):
                 u = nodes[i] | nodes[j]
                 if any(u & c and not (u <= c or c <= u) for c in constraints):
@@ -75,7 +75,7 @@ CLADES = "query string, rep int, clade array<string>"
 
 
 def bootstrap_clades(aligned: DataFrame, replicates: int = 100, constraints: DataFrame | None = None, seed: int = 1) -> DataFrame:
-    """query, rep, clade (sorted names) for every clade of every replicate's tree.
+    """query, rep, clade (sorted names) for every clade of every replicate's tree; a replicate without a clade has one empty one.
 
     aligned: query, name, aligned. constraints: query, members. The replicate
     is part of the key, so replicates of one query run in parallel; its seed
@@ -99,17 +99,30 @@ def bootstrap_clades(aligned: DataFrame, replicates: int = 100, constraints: Dat
                     d = k2p_matrix(columns[:, rng.integers(columns.shape[1], size=columns.shape[1])])
                     if d is not None:
                         break
-                if d is None:
+                if d is None:  # no draw gave distances of all pairs
+                    out.append((query, rep, []))
                     continue
                 fixed = sorted((frozenset(s) for s in (sets if sets is not None else ())), key=len)
-                out += [(query, rep, sorted(c)) for c in neighbour_joining(d, names, fixed, rng)]
+                found = neighbour_joining(d, names, fixed, rng)
+                out += [(query, rep, sorted(c)) for c in found] or [(query, rep, [])]
             yield pd.DataFrame(out, columns=["query", "rep", "clade"])
 
     return tasks.mapInPandas(run, CLADES)
 
 
 def clade_support(clades: DataFrame, replicates: int) -> DataFrame:
-    return clades.groupBy("query", F.array_join("clade", ",").alias("clade")).agg((F.count_distinct("rep") / F.lit(float(replicates))).alias("support"))
+    """query, clade (names joined by commas), support: the share of replicates that have the clade."""
+    return clades.filter(F.size("clade") > 0).groupBy("query", F.array_join("clade", ",").alias("clade")).agg((F.count_distinct("rep") / F.lit(float(replicates))).alias("support"))
+
+
+def majority_clades(clades: DataFrame, replicates: int) -> DataFrame:
+    """The clades of the majority-rule consensus: those in over half of the replicates."""
+    return clade_support(clades, replicates).filter("support > 0.5")
+
+
+def complementary(a: Column, b: Column, every: Column) -> Column:
+    """Whether two sets of names are the two sides of one split of all names."""
+    return ~F.arrays_overlap(a, b) & (F.size(F.array_union(a, b)) == F.size(F.array_distinct(every)))
 
 
 def sister_groups(clades: DataFrame, members: DataFrame, leaf: str = "query_leaf") -> DataFrame:
@@ -121,7 +134,7 @@ def sister_groups(clades: DataFrame, members: DataFrame, leaf: str = "query_leaf
     """
     names = members.groupBy("query").agg(F.sort_array(F.collect_set("name")).alias("names"), F.first(leaf).alias("leaf"))
     around = F.when(F.array_contains("clade", F.col("leaf")), F.col("clade")).otherwise(F.array_except("names", F.col("clade")))  # trees have no root: a clade is one side of a split
-    has = clades.join(names, "query").withColumn("clade", F.sort_array(around)).filter(F.size("clade") > 1)
+    has = clades.filter(F.size("clade") > 0).join(names, "query").withColumn("clade", F.sort_array(around)).filter(F.size("clade") > 1)
     least = has.groupBy("query", "rep").agg(F.min_by("clade", F.struct(F.size("clade"), F.array_join("clade", ","))).alias("clade"), F.first("names").alias("names"), F.first("leaf").alias("leaf"))
     own = F.array(F.col("leaf"))
     side = F.array(F.array_except("clade", own), F.array_except("names", F.col("clade")))
@@ -133,6 +146,16 @@ def sister_occurrence(sisters: DataFrame) -> DataFrame:
     return sisters.select("query", "rep", F.explode("sister").alias("name")).groupBy("query", "name").agg(F.count_distinct("rep").alias("cnt"))
 
 
+def occurrence_share(occurrence: DataFrame, n_trees: DataFrame) -> DataFrame:
+    """Adds ``share`` of the query's trees. n_trees: query, n_trees."""
+    return occurrence.join(n_trees, "query").withColumn("share", F.col("cnt").cast("double") / F.col("n_trees")).drop("n_trees")
+
+
+def lowest_share(shares: DataFrame) -> DataFrame:
+    """query, lowest: the share of the name that occurs least."""
+    return shares.groupBy("query").agg(F.min("share").alias("lowest"))
+
+
 def four_points(d: np.ndarray, tolerance: float = 1e-9) -> bool:
     """Whether distances fit a tree: of the three sums over any four points the two greatest are equal."""
     from itertools import combinations

@@ -20,16 +20,21 @@ from cladewise.plans.registry import Plugins, query, table
 
 @dataclass(frozen=True)
 class AssignConfig:
-    """Options, with their usual values."""
+    """Options, with their usual values. Cut-offs are put in order, each once."""
 
-    quotas: X.Quotas = field(default_factory=X.Quotas)
+    quotas: X.Quotas = field(default_factory=lambda: X.Quotas(minidentity=0.95))
     most_hits: int = 200
     kmer: int = 8
     replicates: int = 1000
     prune_level: float = 0.0
     cutoffs: tuple[int, ...] = (95,)
     levels: tuple[str, ...] = L.MAIN
+    minimaltaxonomy: int = 5
     exclude: tuple[str, ...] = ()
+    force_include: tuple[str, ...] = ()
+    force_exclude: tuple[str, ...] = ()
+    forceidentity: float = 0.9
+    database: str = "kmer"
     alignment: str = "to-query"
     assignment: str = "neighbour-joining"
     constrained: bool = False
@@ -38,54 +43,132 @@ class AssignConfig:
     def __post_init__(self) -> None:
         if any(c < 50 for c in self.cutoffs):
             raise ValueError("cutoffs are 50 or more")
+        if self.quotas.fill_in not in ("balanced", "all", "none"):
+            raise ValueError("fill_in is balanced, all or none")
+        if not 0 <= self.prune_level <= 1 or self.replicates < 1 or self.kmer < 1:
+            raise ValueError("prune_level is a share; replicates and kmer are at least 1")
+        object.__setattr__(self, "cutoffs", tuple(sorted(set(self.cutoffs))))
+        object.__setattr__(self, "force_include", tuple(x for x in dict.fromkeys(self.force_include) if x not in self.force_exclude))
 
 
+def _prealigned(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("aligned", F.col("seq"))
+
+
+def _by_kmers(queries: DataFrame, records: DataFrame, config: AssignConfig) -> DataFrame:
+    return X.kmer_search(queries, records, config.kmer, None).withColumn("significance", F.lit(0.0))
+
+
+#: A database gives query, id, score, significance and ord, all hits of every query, for queries and records with id and seq.
 PLUGINS = Plugins()
+PLUGINS.add("database", "kmer", _by_kmers)
 PLUGINS.add("alignment", "to-query", A.align_to_query)
-PLUGINS.add("alignment", "prealigned", lambda pairs: pairs.withColumn("aligned", F.col("seq")))
+PLUGINS.add("alignment", "prealigned", _prealigned)
 PLUGINS.add("assignment", "neighbour-joining", lambda aligned, sets, config: N.bootstrap_clades(aligned, config.replicates, sets, config.seed))
 
 
+def _identities(pairs: DataFrame) -> DataFrame:
+    """Adds ``identity``: the similarity of query_seq and seq as they are aligned."""
+    return A.align_to_query(pairs).withColumn("identity", S.similarity(F.col("aligned"), F.col("query_seq"))).drop("aligned")
+
+
 def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = AssignConfig()) -> dict[str, DataFrame]:
-    """queries: id, seq. records: id, seq, organism, lineage. Returns hits, selected, clades, summary, posterior, duplicates.
+    """queries: id, seq. records: id, seq, organism, lineage. Returns duplicates, hits, selected, clades, sisters, summary, posterior, failed.
 
     Each stage is a DataFrame; queries run in parallel all the way, and
-    replicates of one query as well.
+    replicates of one query as well. Records with fewer levels than
+    ``minimaltaxonomy`` or with an excluded name take no part.
     """
     clean = queries.select("id", S.clean_query(F.col("seq")).alias("seq")).filter("seq <> ''")
     all_ = T.first_of_equal(clean, "seq", ["id"], "id")
     unique = all_.filter("id = representative").select("id", S.ungapped(F.col("seq")).alias("seq"))
+    by_id = unique.select(F.col("id").alias("query"), F.col("seq").alias("query_seq"))
+    records = records.filter(L.minimal(F.col("lineage"), config.minimaltaxonomy))
     if config.exclude:
         records = records.filter(~F.arrays_overlap(F.transform("lineage", lambda e: e["name"]), F.array(*map(F.lit, config.exclude))))
-    hits = X.kmer_search(unique, records.select("id", "seq"), config.kmer, config.most_hits)
     level = {k: L.name_at(F.col("lineage"), k) for k in L.MAIN}
-    named = hits.join(records, "id").select("query", "ord", "id", F.col("score").cast("double").alias("score"), F.lit(0.0).alias("significance"), "seq", F.coalesce(level["species"], F.col("organism")).alias("species"), *(level[k].alias(k) for k in ("genus", "family", "order", "class", "phylum")))
-    selected = cut(X.select_homologues(named, config.quotas, config.most_hits).filter("status = 'ok'"))
-    pairs = selected.join(records.select("id", "seq", "lineage"), "id").join(unique.select(F.col("id").alias("query"), F.col("seq").alias("query_seq")), "query")
+    ranked = records.select("id", "seq", F.coalesce(level["species"], F.col("organism")).alias("species"), *(level[k].alias(k) for k in ("genus", "family", "order", "class", "phylum")))
+    found = PLUGINS.find("database", config.database)(unique, records.select("id", "seq"), config)
+    hits = cut(found.join(ranked, "id").withColumn("score", F.col("score").cast("double")))
+    excluded = records.filter(F.col("id").isin(*config.force_exclude)).select("id") if config.force_exclude else None
+    if config.quotas.minidentity > 0:
+        others = hits.filter("id <> query") if excluded is None else X.include_minus_exclude(hits.filter("id <> query"), excluded, "id")
+        first = X.top(others, ["query"], [F.col("ord"), F.col("id")], 1).select("query", "id", "seq").join(by_id, "query")
+        hits = hits.join(_identities(first).select("query", "id", "identity"), ["query", "id"], "left")
+    forced = None
+    if config.force_include:  # a list of the options, so a handful of records
+        pairs = ranked.filter(F.col("id").isin(*config.force_include)).crossJoin(by_id).filter("id <> query")
+        forced = _identities(pairs).filter(F.col("identity") >= config.forceidentity).withColumn("ord", F.lit(0)).withColumn("significance", F.lit(0.0))
+    selected = cut(X.select_homologues(hits, config.quotas, config.most_hits, forced=forced, excluded=excluded))
+    chosen = selected.filter("status = 'ok'")
+    pairs = chosen.join(records.select("id", "seq", "lineage"), "id").join(by_id, "query")
     aligned = PLUGINS.find("alignment", config.alignment)(pairs)
     aligned = cut(aligned.select("query", "query_seq", "id", "aligned", "lineage"))
     rows = aligned.select("query", F.col("id").alias("name"), "aligned", "lineage").unionByName(aligned.select("query", F.col("query").alias("name"), F.col("query_seq").alias("aligned"), F.array().cast(L.ENTRY_ARRAY).alias("lineage")).distinct())
     groups = rows.select("query", F.col("name").alias("leaf"), F.inline("lineage")).filter(F.col("level") != "species")
     sets = groups.groupBy("query", "level", "name").agg(F.sort_array(F.collect_set("leaf")).alias("members")).filter(F.size("members") > 1).select("query", "members") if config.constrained else None
-    clades = PLUGINS.find("assignment", config.assignment)(rows.select("query", "name", "aligned"), sets, config)
-    clades = cut(clades)
-    trees = cut(tree_lineages(clades, rows))
+    clades = cut(PLUGINS.find("assignment", config.assignment)(A.drop_empty_columns(rows.select("query", "name", "aligned")), sets, config))
+    sides = cut(sister_lineages(clades, rows))
+    trees = cut(tree_lineages(clades, sides))
     summary = R.summarise(R.consolidate(trees, config.levels, config.prune_level))
-    return {"duplicates": all_.filter("id <> representative"), "hits": hits, "selected": selected, "clades": clades, "summary": summary, "posterior": R.posteriors(summary, R.tree_counts(trees))}
+    return {
+        "duplicates": all_.filter("id <> representative"),
+        "hits": hits,
+        "selected": selected,
+        "clades": clades,
+        "sisters": chosen_sisters(sides),
+        "summary": summary,
+        "posterior": R.posteriors(summary, R.tree_counts(trees)),
+        "failed": X.failed(queries.select("id"), chosen.select(F.col("query").alias("id")), all_.filter("id <> representative").select("id"), "id"),
+    }
+
+
+def reports(out: dict[str, DataFrame], names: DataFrame, config: AssignConfig = AssignConfig()) -> dict[str, DataFrame]:
+    """The report tables of an assignment: assignments, taxon_probabilities and querylist. names: file, query, orig."""
+    cuts = names.sparkSession.createDataFrame([(c,) for c in config.cutoffs], "cutoff int")
+    post = out["posterior"]
+    significant = out["selected"].groupBy("query").agg(F.count_if(F.col("status") == "ok").alias("nr_signif"))
+    trees = post.groupBy("query").agg(F.max("n_trees").alias("n_trees"))
+    homologue = N.lowest_share(N.occurrence_share(N.sister_occurrence(out["sisters"]), trees)).withColumnRenamed("lowest", "min_homol")
+    taxon = R.leaves(post).groupBy("query").agg(F.min("prob").alias("min_taxon"))
+    table_ = R.assignment_table(R.significant_ranks(post, cuts)).join(significant, "query", "left").join(homologue, "query", "left").join(taxon, "query", "left")
+    probabilities = post.filter(F.col("level").isin(*L.MAIN)).groupBy("query", "level", "name").agg(F.sum("cnt").alias("cnt"), F.max("n_trees").alias("n")).select("query", "level", "name", (F.col("cnt").cast("double") / F.col("n")).alias("prob"))
+    return {
+        "assignments": names.join(table_, "query").select("file", "cutoff", "query", "orig", *L.MAIN, "nr_signif", "min_homol", "min_taxon"),
+        "taxon_probabilities": names.join(probabilities, "query").select("file", "orig", "level", "name", "prob"),
+        "querylist": names.select("file", "query", "orig"),
+    }
+
+
+def sister_lineages(clades: DataFrame, rows: DataFrame) -> DataFrame:
+    """query, rep, side, names, lineage: what the query's sister group has in common, for either rooting of each tree."""
+    members = rows.select("query", "name", F.col("query").alias("query_leaf"))
+    sides = N.sister_groups(clades, members)
+    each = sides.select("query", "rep", "side", F.explode("sister").alias("name"))
+    common = R.consensus(each.join(rows.select("query", "name", "lineage"), ["query", "name"]), ["query", "rep", "side"])
+    return sides.join(common, ["query", "rep", "side"], "left").select("query", "rep", "side", F.col("sister").alias("names"), F.coalesce("lineage", F.array().cast(L.ENTRY_ARRAY)).alias("lineage"))
 
 
-def tree_lineages(clades: DataFrame, rows: DataFrame) -> DataFrame:
-    """query, rep, lineage: the consensus lineage of the query's sister group in each tree, the more specific of the two rootings."""
-    members = rows.select("query", "name", F.col("query").alias("query_leaf"))
-    sides = N.sister_groups(clades, members).select("query", "rep", "side", F.explode("sister").alias("name"))
-    common = R.consensus(sides.join(rows.select("query", "name", "lineage"), ["query", "name"]), ["query", "rep", "side"])
-    two = common.groupBy("query", "rep").agg(F.max(F.when(F.col("side") == 0, F.col("lineage"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("lineage"))).alias("b"))
+def _both(sides: DataFrame) -> DataFrame:
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    return sides.groupBy("query", "rep").agg(of(0, "lineage").alias("a"), of(1, "lineage").alias("b"), of(0, "names").alias("names_a"), of(1, "names").alias("names_b"))
+
+
+def tree_lineages(clades: DataFrame, sides: DataFrame) -> DataFrame:
+    """query, rep, lineage: of each tree the more specific lineage of the two rootings; trees without one have an empty lineage."""
     none = F.array().cast(L.ENTRY_ARRAY)
-    found = two.select("query", "rep", L.more_specific(F.coalesce("a", none), F.coalesce("b", none)).alias("lineage"))
+    found = _both(sides).select("query", "rep", L.more_specific(F.coalesce("a", none), F.coalesce("b", none)).alias("lineage"))
     every = clades.select("query", "rep").distinct()
     return every.join(found, ["query", "rep"], "left").select("query", "rep", F.coalesce("lineage", none).alias("lineage"))
 
 
+def chosen_sisters(sides: DataFrame) -> DataFrame:
+    """query, rep, sister: the names of the more specific rooting's sister group, of both where they are as specific."""
+    a, b = F.size("a"), F.size("b")
+    both = F.array_union(F.coalesce("names_a", F.array().cast("array<string>")), F.coalesce("names_b", F.array().cast("array<string>")))
+    return _both(sides).select("query", "rep", F.when(a > b, F.col("names_a")).when(b > a, F.col("names_b")).otherwise(both).alias("sister"))
+
+
 def _items(spark, d):
     x = table(spark, d, "benchmark")
     seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BDEFHIJKLMNOPQRSUVWXYZ", "CTACTGACGTACGTACTACGTA")
@@ -97,9 +180,7 @@ def _items(spark, d):
 
 @query()
 def assign_end_to_end(spark, d):
-    """Items against each other through every stage, with few replicates. Tests cover the stages, not this query as a whole."""
+    """All items against each other through every stage, with the usual options. Tests compare with planted trees and a plain run of each step."""
     records = _items(spark, d)
     queries = records.select(F.concat(F.lit("q"), F.substring("id", 2, 9)).alias("id"), F.col("seq"))
-    quotas = X.Quotas(nrsignificant=1, alignmentlimit=8, besthits=8, relbitscore=0.0)
-    out = assign(queries, records, AssignConfig(quotas=quotas, replicates=5, most_hits=12))
-    return out["posterior"].select("query", "path", "cnt", "n_trees", "prob")
+    return assign(queries, records)["posterior"].select("query", "path", "cnt", "n_trees", "prob")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from cladewise.functions import lineage as L
 from cladewise.operators import rollup as R
+from cladewise.operators import selection as X
+from cladewise.operators import trees as N
 from cladewise.plans.adapters import FULL, PATHS, TREES, lineages, trees
 from cladewise.plans.registry import query, table
 
@@ -82,10 +84,17 @@ def prune_placeholder(spark, d):
     return R.consolidate(lineages(spark, d), L.MAIN, 0.5).groupBy("query", L.path(F.col("lineage")).alias("path")).agg(F.sum("cnt").alias("cnt"))
 
 
-@query(f"WITH {PATHS} SELECT query, path, cnt::BIGINT AS cnt FROM u")
+def _repaired() -> str:
+    own = "v AS (SELECT query, path, depth, CASE WHEN depth IN (1, 3) THEN cnt // 3 ELSE cnt END AS cnt FROM u), r6 AS (SELECT * FROM v WHERE depth = 6)"
+    steps = "".join(f", r{k} AS (SELECT v.query, v.path, v.depth, greatest(v.cnt, coalesce(b.s, 0)) AS cnt FROM v LEFT JOIN (SELECT query, regexp_replace(path, '/[^/]*$', '') AS up, sum(cnt) AS s FROM r{k + 1} GROUP BY 1, 2) b ON b.query = v.query AND b.up = v.path WHERE v.depth = {k})" for k in range(5, 0, -1))
+    return f"WITH {PATHS}, {own}{steps} " + " UNION ALL ".join(f"SELECT query, path, cnt::BIGINT AS cnt FROM r{k}" for k in range(1, 7))
+
+
+@query(_repaired())
 def count_repair(spark, d):
-    """Counts of whole lineages' prefixes are consistent already, so repair leaves them as they are."""
-    return R.repair(_summary(spark, d)).select("query", "path", "cnt")
+    """The counts of the first and third rank are cut to a third, so that parents count less than their children, and mended."""
+    low = F.when(F.col("depth").isin(1, 3), F.floor(F.col("cnt") / 3)).otherwise(F.col("cnt"))
+    return R.repair(_summary(spark, d).withColumn("cnt", low)).select("query", "path", "cnt")
 
 
 @query(f"WITH {TREES} SELECT query, coalesce({FULL}, '') AS lineage, count(*)::BIGINT AS cnt, count(*) FILTER (WHERE s IS NOT NULL)::BIGINT AS complete FROM t GROUP BY 1, 2")
@@ -178,9 +187,7 @@ def summary_merge(spark, d):
 SELECT u.query, u.path, u.cnt::BIGINT AS cnt, CASE WHEN lo = hi THEN lo END::BIGINT AS prior_cnt FROM u JOIN s ON s.query = u.query AND s.name = u.name""")
 def prior_by_name(spark, d):
     """Prior counts are joined by name alone; a name with several counts has none."""
-    u = _summary(spark, d)
-    s = u.groupBy("query", "name").agg(F.min("cnt").alias("lo"), F.max("cnt").alias("hi"))
-    return u.join(s, ["query", "name"]).select("query", "path", "cnt", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("prior_cnt"))
+    return R.prior_counts(_summary(spark, d)).select("query", "path", "cnt", "prior_cnt")
 
 
 @query(f"WITH {PATHS} SELECT query, name, count(*)::BIGINT AS nodes, sum(cnt)::BIGINT AS cnt FROM u GROUP BY query, name")
@@ -269,44 +276,54 @@ def consensus_group(spark, d):
     return R.consensus(_items(spark, d), ["l_orderkey"]).select("l_orderkey", L.path(F.col("lineage")).alias("consensus"))
 
 
-# A part is a terminal, an order a tree.
+# An order is a tree, its suppliers the sister group of the one query.
 _OCC = "oc AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS cnt FROM lineitem GROUP BY 1), nt AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem)"
 
 
 def _occurrence(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_orderkey").alias("cnt"))
+    li = table(spark, d, "lineitem")
+    sisters = li.groupBy(F.lit("all").alias("query"), F.col("l_orderkey").alias("rep")).agg(F.collect_set("l_suppkey").alias("sister"))  # the lines of one order
+    n = li.groupBy(F.lit("all").alias("query")).agg(F.count_distinct("l_orderkey").alias("n_trees"))
+    return N.occurrence_share(N.sister_occurrence(sisters), n)
 
 
 @query(f"WITH {_OCC} SELECT l_suppkey, cnt::BIGINT AS cnt, cnt::DOUBLE / n AS share FROM oc CROSS JOIN nt")
 def homolog_occurrence(spark, d):
-    n = table(spark, d, "lineitem").agg(F.count_distinct("l_orderkey").alias("n"))
-    return _occurrence(spark, d).crossJoin(n).select("l_suppkey", "cnt", (F.col("cnt").cast("double") / F.col("n")).alias("share"))
+    return _occurrence(spark, d).select(F.col("name").alias("l_suppkey"), "cnt", "share")
 
 
 @query(f"WITH {_OCC} SELECT min(cnt)::DOUBLE / any_value(n) AS lowest FROM oc CROSS JOIN nt")
 def lowest_homolog_prob(spark, d):
-    n = table(spark, d, "lineitem").agg(F.count_distinct("l_orderkey").alias("n"))
-    return _occurrence(spark, d).crossJoin(n).agg((F.min("cnt").cast("double") / F.first("n")).alias("lowest"))
+    return N.lowest_share(_occurrence(spark, d)).select("lowest")
 
 
 @query("SELECT s_nationkey::BIGINT AS s_nationkey, count(*)::BIGINT AS known, count(l.l_suppkey)::BIGINT AS seen, count(l.l_suppkey) < count(*) AS exhausted FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) l ON l_suppkey = s_suppkey GROUP BY 1")
 def db_exhausted(spark, d):
-    seen = table(spark, d, "lineitem").filter("l_returnflag = 'R' and l_quantity > 45").select("l_suppkey").distinct()
-    x = table(spark, d, "supplier").join(seen, F.col("l_suppkey") == F.col("s_suppkey"), "left").groupBy(F.col("s_nationkey").cast("long").alias("s_nationkey")).agg(F.count(F.lit(1)).alias("known"), F.count("l_suppkey").alias("seen"))
-    return x.withColumn("exhausted", F.col("seen") < F.col("known"))
+    seen = table(spark, d, "lineitem").filter("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_suppkey").alias("id"))
+    known = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("s_nationkey"), F.col("s_suppkey").alias("id"))
+    return X.exhaustion(known, seen, "id", "s_nationkey").withColumnRenamed("not_reached", "exhausted")
 
 
-@query("SELECT a.l_suppkey AS clade_a, r.l_returnflag AS clade_b, count(*)::BIGINT AS rows, count(DISTINCT l_orderkey)::BIGINT AS trees FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_returnflag FROM lineitem) a JOIN (SELECT DISTINCT l_returnflag FROM lineitem) r ON r.l_returnflag = a.l_returnflag GROUP BY 1, 2")
+@query("WITH x AS (SELECT l_returnflag, l_orderkey, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS clade FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, clade, count(*)::DOUBLE / 1000 AS support FROM x GROUP BY 1, 2")
 def clade_support(spark, d):
-    """How many baskets hold a supplier with a return flag."""
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").distinct()
-    return x.groupBy(F.col("l_suppkey").alias("clade_a"), F.col("l_returnflag").alias("clade_b")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("l_orderkey").alias("trees"))
+    """The suppliers of an order under one return flag are a clade of that flag's tree number (the order's key), for a thousand replicates."""
+    x = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("query"), F.col("l_orderkey").alias("rep")).agg(F.sort_array(F.collect_set(F.col("l_suppkey").cast("string"))).alias("clade"))
+    return N.clade_support(x, 1000).select(F.col("query").alias("l_returnflag"), "clade", "support")
+
+
+@query("WITH x AS (SELECT l_returnflag AS f, l_shipmode, l_orderkey FROM (SELECT l_returnflag, l_linestatus AS l_shipmode, l_orderkey FROM lineitem) GROUP BY ALL), n AS (SELECT f, count(DISTINCT l_orderkey) AS n FROM x GROUP BY f) SELECT x.f AS flag, l_shipmode AS clade, count(*)::DOUBLE / 20000 AS support FROM x GROUP BY 1, 2 HAVING count(*)::DOUBLE / 20000 > 0.5")
+def majority_consensus(spark, d):
+    """Line statuses as clades of one name, in over half of 20000 trees."""
+    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("query"), F.col("l_orderkey").alias("rep"), F.array("l_linestatus").alias("clade"))
+    return N.majority_clades(x, 20000).select(F.col("query").alias("flag"), "clade", "support")
 
 
 @query(f"WITH {PATHS}, {LEAVES}, a AS (SELECT DISTINCT e.query, e.path, l.path AS leaf FROM u e JOIN l ON l.query = e.query AND (l.path = e.path OR starts_with(l.path, e.path || '/'))) SELECT query, path, count(*)::BIGINT AS leaves FROM a GROUP BY query, path")
 def partition_list(spark, d):
-    """The leaves below each node; a leaf's path is cut into its own ancestors, so there is no join on prefixes."""
-    leaf = R.leaves(_summary(spark, d)).select("query", "path")
-    parts = F.split("path", "/")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    return leaf.select("query", F.explode(up).alias("node"), "path").groupBy("query", F.col("node").alias("path")).agg(F.count(F.lit(1)).alias("leaves"))
+    return R.leaf_sets(_summary(spark, d)).select("query", "path", F.col("n").alias("leaves"))
+
+
+@query(f"WITH {PATHS}, {LEAVES}, a AS (SELECT DISTINCT e.query, e.path, l.path AS leaf FROM u e JOIN l ON l.query = e.query AND (l.path = e.path OR starts_with(l.path, e.path || '/'))) SELECT query, path, string_agg(leaf, '|' ORDER BY leaf) AS leaves FROM a GROUP BY query, path")
+def leaf_sets(spark, d):
+    """The leaves below each node of a query's summary."""
+    return R.leaf_sets(_summary(spark, d)).select("query", "path", F.array_join("leaves", "|").alias("leaves"))

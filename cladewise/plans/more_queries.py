@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladewise.functions import lineage as L
 from cladewise.functions import sequence as S
 from cladewise.operators import rollup as R
+from cladewise.operators import selection as X
+from cladewise.operators import trees as N
 from cladewise.plans.adapters import PATHS, lineages, trees
 from cladewise.plans.registry import query, table
 from cladewise.sources.files import TAXON, taxonomy_rows
 
 
-
-
 def _post(spark, d):
     return R.posteriors(R.summarise(lineages(spark, d)), R.tree_counts(trees(spark, d)))
 
@@ -42,34 +41,32 @@ def benchmark_stats(spark, d):
 @query("SELECT a.p_partkey FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_type = a.p_type AND b.p_partkey <> a.p_partkey AND contains(lower(b.p_name), lower(a.p_name)))")
 def reverse_containment(spark, d):
     """Parts that no other part of the same brand and type contains by name: what a forced inclusion leaves."""
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_name")
-    o = p.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"), F.lower("p_name").alias("n"))
-    return p.join(o, (F.col("p_brand") == F.col("b")) & (F.col("p_type") == F.col("t")) & (F.col("p_partkey") != F.col("k")) & F.contains(F.col("n"), F.lower("p_name")), "left_anti").select("p_partkey")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", F.col("p_name").alias("seq"))
+    return X.not_contained(p, p, ["p_brand", "p_type"]).select(F.col("id").alias("p_partkey"))
 
 
 @query("""WITH s AS (SELECT n_regionkey AS r, list_sort(list(n_name)) AS inside FROM nation GROUP BY 1), a AS (SELECT r.r_regionkey AS r, list_sort(list(n_name)) AS outside FROM region r JOIN nation n ON n.n_regionkey <> r.r_regionkey GROUP BY 1)
-SELECT s.r::BIGINT AS region, len(s.inside)::BIGINT AS inside, len(a.outside)::BIGINT AS outside, list_has_any(s.inside, a.outside) AS overlap FROM s JOIN a ON a.r = s.r""")
+SELECT s.r::BIGINT AS region, len(s.inside)::BIGINT AS inside, len(a.outside)::BIGINT AS outside, NOT list_has_any(s.inside, a.outside) AND len(s.inside) + len(a.outside) = (SELECT count(*) FROM nation) AS complementary FROM s JOIN a ON a.r = s.r""")
 def complement_partitions(spark, d):
-    """Each region's nations and all the others."""
-    n = table(spark, d, "nation")
-    every = n.agg(F.collect_set("n_name").alias("every"))
-    s = n.groupBy(F.col("n_regionkey").cast("long").alias("region")).agg(F.collect_set("n_name").alias("own")).crossJoin(every)
-    out = F.array_except("every", "own")
-    return s.select("region", F.size("own").cast("long").alias("inside"), F.size(out).cast("long").alias("outside"), F.arrays_overlap("own", out).alias("overlap"))
+    """Each region's nations and those of all the others, two sides of one split. Regions and nations are fixed lists."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region").select(F.col("r_regionkey").alias("r"))
+    side = lambda where, name: r.join(n, where).groupBy("r").agg(F.collect_set("n_name").alias(name))
+    x = side(F.col("r") == F.col("n_regionkey"), "inside").join(side(F.col("r") != F.col("n_regionkey"), "outside"), "r").crossJoin(n.agg(F.collect_set("n_name").alias("every")))
+    return x.select(F.col("r").cast("long").alias("region"), F.size("inside").cast("long").alias("inside"), F.size("outside").cast("long").alias("outside"), N.complementary(F.col("inside"), F.col("outside"), F.col("every")).alias("complementary"))
 
 
 @query("SELECT c_nationkey::BIGINT AS nation, count(*)::BIGINT AS kept FROM customer WHERE c_acctbal > 5000 AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY') GROUP BY 1")
 def include_minus_exclude(spark, d):
-    """Forced ids without excluded ones, as arrays."""
+    """Forced ids without excluded ones, counted by nation."""
     c = table(spark, d, "customer")
-    x = c.groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.collect_set(F.when(F.col("c_acctbal") > 5000, F.col("c_custkey"))).alias("inc"), F.collect_set(F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.col("c_custkey"))).alias("exc"))
-    return x.select("nation", F.size(F.array_except("inc", "exc")).cast("long").alias("kept")).filter("kept > 0")
+    kept = X.include_minus_exclude(c.filter("c_acctbal > 5000"), c.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), "c_custkey")
+    return kept.groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("SELECT n_regionkey::BIGINT AS region, list_sort(list(DISTINCT length(n_name)))::BIGINT[] AS cutoffs FROM nation GROUP BY 1")
 def unique_cutoffs(spark, d):
     n = table(spark, d, "nation")
-    return n.groupBy(F.col("n_regionkey").cast("long").alias("region")).agg(F.collect_list(F.length("n_name").cast("long")).alias("c")).select("region", F.array_sort(F.array_distinct("c")).alias("cutoffs"))
+    return n.groupBy(F.col("n_regionkey").cast("long").alias("region")).agg(F.collect_list(F.length("n_name").cast("long")).alias("c")).select("region", R.unique_cutoffs(F.col("c")).alias("cutoffs"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice >= 50000 THEN o_orderpriority END AS genus FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, genus ORDER BY o_orderkey) AS i FROM o)
@@ -77,8 +74,7 @@ SELECT o_orderkey, genus IS NULL OR i = 1 AS novel FROM r""")
 def null_is_novel(spark, d):
     """A hit without a genus always counts as a new one."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_totalprice") >= 50000, F.col("o_orderpriority")).alias("genus"))
-    i = F.row_number().over(Window.partitionBy("o_custkey", "genus").orderBy("o_orderkey"))
-    return o.select("o_orderkey", (F.col("genus").isNull() | (i == 1)).alias("novel"))
+    return X.novel(o, ["o_custkey"], "genus", ["o_orderkey"]).select("o_orderkey", "novel")
 
 
 @query("""SELECT s_suppkey::VARCHAR AS taxid, regexp_replace(s_name, '[^A-Za-z0-9_\\s]', '_', 'g') AS organism, 'kingdom:' || r_name || '/phylum:' || n_name || CASE WHEN s_acctbal >= 0 THEN '/order:Rich' ELSE '' END || '/species:' || regexp_extract(s_name, '^\\S+( \\S+)?') AS path, false AS complete

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cladewise.functions import sequence as S
+from cladewise.functions import lineage as L
 from cladewise.operators import selection as X
 from cladewise.operators import tables as T
+from cladewise.operators.lineage_cut import new_path
 from cladewise.plans.adapters import HITS, hits
 from cladewise.plans.registry import query, table
-from cladewise.sources.files import hit_rows
+from cladewise.sources import files, sinks
+
 
 def _order():
     return [F.col("score").desc(), F.col("id")]
@@ -94,13 +96,15 @@ def seq_containment_reject(spark, d):
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_acctbal > 0")
 def failed_assignments(spark, d):
     """Queries that no later stage knows and that are not set aside."""
-    return table(spark, d, "customer").filter("c_acctbal > 0").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    known = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    aside = table(spark, d, "customer").filter("not c_acctbal > 0").select("c_custkey")
+    return X.failed(table(spark, d, "customer").select("c_custkey"), known, aside, "c_custkey")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_discount >= 0.1 AND l_quantity = 50)")
 def not_assigned(spark, d):
-    found = table(spark, d, "lineitem").filter("l_discount >= 0.1 and l_quantity = 50")
-    return table(spark, d, "supplier").join(found, F.col("s_suppkey") == F.col("l_suppkey"), "left_anti").select("s_suppkey")
+    found = table(spark, d, "lineitem").filter("l_discount >= 0.1 and l_quantity = 50").select(F.col("l_suppkey").alias("s_suppkey"))
+    return X.failed(table(spark, d, "supplier").select("s_suppkey"), found, None, "s_suppkey")
 
 
 @query("SELECT n_name AS name, n_regionkey::VARCHAR AS n_regionkey, 'NULL' AS r_regionkey FROM nation UNION ALL SELECT r_name, 'NULL', r_regionkey::VARCHAR FROM region")
@@ -122,8 +126,7 @@ def zip_join(spark, d):
 
 @query("SELECT n_name, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 0) AS found FROM nation")
 def row_membership(spark, d):
-    bad = table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("k")).distinct().withColumn("found", F.lit(True))
-    return table(spark, d, "nation").join(bad, F.col("n_nationkey") == F.col("k"), "left").select("n_name", F.coalesce("found", F.lit(False)).alias("found"))
+    return T.with_membership(table(spark, d, "nation"), table(spark, d, "supplier").filter("s_acctbal < 0"), {"n_nationkey": "s_nationkey"}).select("n_name", "found")
 
 
 @query("SELECT n_nationkey::BIGINT AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900")
@@ -131,45 +134,78 @@ def set_difference(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k")).exceptAll(table(spark, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").cast("long").alias("k")).distinct())
 
 
-@query("SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3)::BIGINT AS chunk FROM orders")
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1) // 3)::BIGINT AS chunk FROM orders")
 def chunking(spark, d):
-    """Each customer's orders in chunks of three."""
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return table(spark, d, "orders").select("o_orderkey", F.floor((n - 1) / 3).alias("chunk"))
+    """All orders in chunks of three."""
+    return T.chunks(table(spark, d, "orders").select("o_custkey", "o_orderkey"), 3, [F.col("o_custkey"), F.col("o_orderkey")]).select("o_orderkey", "chunk")
 
 
 @query("SELECT c_custkey, lag(c_custkey) OVER w AS previous, lead(c_custkey) OVER w AS next FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_name, c_custkey)")
 def previous_next(spark, d):
-    w = Window.partitionBy("c_nationkey").orderBy("c_name", "c_custkey")
-    return table(spark, d, "customer").select("c_custkey", F.lag("c_custkey").over(w).alias("previous"), F.lead("c_custkey").over(w).alias("next"))
+    return T.neighbours(table(spark, d, "customer"), ["c_nationkey"], ["c_name", "c_custkey"], "c_custkey").select("c_custkey", F.col("previous_c_custkey").alias("previous"), F.col("next_c_custkey").alias("next"))
 
 
-@query("SELECT event_id, lower(event_type) || '=' || round(value, 2)::DECIMAL(18,2)::VARCHAR AS pair, regexp_extract(props, '^\\{\"([A-Za-z_]+)\"', 1) AS first_key FROM events")
+@query("SELECT event_id, lower(event_type) AS key, round(value, 2)::DECIMAL(18,2)::VARCHAR || '=' || user_id::VARCHAR AS value FROM events")
 def kv_load(spark, d):
-    """Lines key=value, written and split again."""
+    """Lines key=value split at the first mark; lines without one go."""
     e = table(spark, d, "events")
-    text = F.concat(F.lower("event_type"), F.lit("="), F.round("value", 2).cast("decimal(18,2)").cast("string"))
-    parts = F.split(text, "=", 2)
-    return e.select("event_id", F.concat_ws("=", parts[0], parts[1]).alias("pair"), F.regexp_extract("props", '^\\{"([A-Za-z_]+)"', 1).alias("first_key"))
+    lines = e.select("event_id", F.explode(F.array(F.concat(F.lower("event_type"), F.lit("="), F.round("value", 2).cast("decimal(18,2)").cast("string"), F.lit("="), F.col("user_id").cast("string")), F.lit("no mark here"))).alias("value"))
+    return files.key_value_lines(lines).select("event_id", "key", "value")
 
 
-@query("SELECT l_orderkey, l_linenumber, (l_linenumber - 1)::BIGINT AS q_start, l_quantity::BIGINT AS q_len, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END::BIGINT AS s_strand, l_extendedprice AS score FROM lineitem WHERE l_quantity >= 2")
+@query("SELECT l_orderkey, l_linenumber, (l_linenumber - 1)::BIGINT AS q_start, l_quantity::BIGINT AS q_len, CASE WHEN l_returnflag = 'R' AND l_quantity > 1 THEN -1 ELSE 1 END::BIGINT AS s_strand, l_extendedprice AS score FROM lineitem")
 def xml_hits(spark, d):
-    """Search results rendered as XML and read back: positions from 0, strand from the order of the ends, the first segment only."""
-    li = table(spark, d, "lineitem").filter("l_quantity >= 2")
+    """Search results written as XML files and read back: positions from 0, strand from the order of the ends, the first segment only."""
+    li = table(spark, d, "lineitem")
     q1, q2 = F.col("l_linenumber"), F.col("l_linenumber") + F.col("l_quantity").cast("int") - 1
     rev = F.col("l_returnflag") == "R"
-    tag = lambda k, v: F.concat(F.lit(f"<{k}>"), v.cast("string"), F.lit(f"</{k}>"))
-    one = lambda score: F.concat(F.lit("<Hsp>"), tag("Hsp_bit-score", score), tag("Hsp_evalue", F.lit(0.001)), tag("Hsp_query-from", q1), tag("Hsp_query-to", q2), tag("Hsp_hit-from", F.when(rev, q2).otherwise(q1)), tag("Hsp_hit-to", F.when(rev, q1).otherwise(q2)), F.lit("</Hsp>"))
-    xml = F.concat(F.lit("<Hit>"), tag("Hit_id", F.concat_ws(":", "l_orderkey", "l_linenumber")), tag("Hit_len", q2), F.lit("<Hit_hsps>"), one(F.col("l_extendedprice")), one(F.lit(1.0)), F.lit("</Hit_hsps></Hit>"))
-    from cladewise.sources.files import HIT
-
-    read = li.select(F.from_xml(xml, HIT).alias("h")).select("h.*")
-    x = hit_rows(read)
+    one = lambda score: F.struct(score.alias("Hsp_bit-score"), F.lit(0.001).alias("Hsp_evalue"), q1.alias("Hsp_query-from"), q2.alias("Hsp_query-to"), F.when(rev, q2).otherwise(q1).alias("Hsp_hit-from"), F.when(rev, q1).otherwise(q2).alias("Hsp_hit-to"))
+    found = li.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("Hit_id"), q2.alias("Hit_len"), F.struct(F.array(one(F.col("l_extendedprice")), one(F.lit(1.0))).alias("Hsp")).alias("Hit_hsps"))
+    path = new_path(spark, "hits")
+    found.write.format("xml").option("rootTag", "Hits").option("rowTag", "Hit").save(path)
+    x = files.search_results(spark, path)
     key = F.split("id", ":")
     return x.select(key[0].cast("long").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber"), F.col("q_start").cast("long"), F.col("q_len").cast("long"), F.col("s_strand").cast("long"), "score")
 
 
+@query("SELECT p_partkey::VARCHAR || ' ' || p_name AS title, replace(upper(p_name || p_type || p_brand || p_name || p_type || p_brand || p_name || p_type), ' ', '') AS sequence FROM part")
+def fasta_round_trip(spark, d):
+    """Parts written as FASTA with folded lines and read back."""
+    path = new_path(spark, "fasta")
+    seq = F.replace(F.upper(F.concat("p_name", "p_type", "p_brand", "p_name", "p_type", "p_brand", "p_name", "p_type")), F.lit(" "), F.lit(""))
+    sinks.write_fasta(table(spark, d, "part").select(F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name").alias("title"), seq.alias("sequence")), path)
+    return files.fasta(spark, path).select("title", "sequence")
+
+
+@query("SELECT s_suppkey::VARCHAR AS id, 'phylum:' || r_name || '/class:' || n_name AS path, s_name AS organism, 'ACGT' || repeat('N', length(s_name) - 4) AS sequence FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 7 <> 0")
+def native_db_round_trip(spark, d):
+    """Suppliers as records of a sequence database, written as FASTA and built from it; every seventh has no lineage and is rejected."""
+    s, n, r = (table(spark, d, x) for x in ("supplier", "nation", "region"))
+    x = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    lineage = F.when(F.col("s_suppkey") % 7 != 0, F.concat(F.lit("phylum: "), "r_name", F.lit(", class: "), "n_name")).otherwise("none")
+    path = new_path(spark, "database")
+    sinks.write_fasta(x.select(F.concat_ws(" ; ", F.col("s_suppkey").cast("string"), lineage, "s_name").alias("title"), F.concat(F.lit("ac-gt"), F.repeat(F.lit("#"), F.length("s_name") - 4)).alias("sequence")), path)
+    records, _ = files.native_records(files.fasta(spark, path))
+    return records.select("id", L.path(F.col("lineage")).alias("path"), "organism", "sequence")
+
+
+@query("SELECT name, level, count(*)::BIGINT AS ids FROM (SELECT r_name AS name, 'phylum' AS level, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 'class', s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) GROUP BY 1, 2")
+def taxon_index(spark, d):
+    """How many records the inverted index has under each name."""
+    s, n, r = (table(spark, d, x) for x in ("supplier", "nation", "region"))
+    x = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    records = x.select(F.col("s_suppkey").alias("id"), L.from_columns(phylum=F.col("r_name"), **{"class": F.col("n_name")}).alias("lineage"))
+    return files.taxon_index(records).groupBy("name", "level").agg(F.count("id").alias("ids"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def table_round_trip(spark, d):
+    """Orders written as tab-separated text and read back, every cell a string."""
+    path = new_path(spark, "table")
+    sinks.write_table(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), path)
+    return files.table(spark, path)
+
+
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, length(html)::BIGINT AS size FROM pages")
 def page_records(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.length("html").cast("long").alias("size"))
@@ -184,9 +220,7 @@ def kmer_search(spark, d):
 
 @query("SELECT p_partkey, '>' || p_partkey::VARCHAR || chr(10) || upper(p_name) AS record FROM part")
 def fasta_records(spark, d):
-    from cladewise.sources.sinks import fasta_text
-
-    return table(spark, d, "part").select("p_partkey", fasta_text(F.col("p_partkey").cast("string"), F.upper("p_name")).alias("record"))
+    return table(spark, d, "part").select("p_partkey", sinks.fasta_text(F.col("p_partkey").cast("string"), F.upper("p_name")).alias("record"))
 
 
 @query()

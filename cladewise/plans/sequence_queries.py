@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladewise.functions import sequence as S
@@ -106,7 +105,7 @@ _NEXT = f"{SEQUENCES}, n AS (SELECT doc_id, seq AS a, lead(seq) OVER (PARTITION
 
 
 def _next(spark, d):
-    return A.neighbours_in_order(sequences(spark, d), ["source"], ["doc_id"], "seq").filter("next_seq is not null")
+    return A.neighbours_in_order(sequences(spark, d), ["source"], "doc_id", "seq")
 
 
 @query(f"WITH {_NEXT} SELECT doc_id, substr(b, (la + 1)::BIGINT, (length(a) - la - ta)::BIGINT) AS cut FROM v")
@@ -165,10 +164,10 @@ def site_patterns(spark, d):
     return A.site_patterns(_items(spark, d)).select("pattern", "cnt")
 
 
-@query(f"WITH {_ITEMS}, x AS (SELECT item_id, translate(s, 'A', '-') AS s FROM al WHERE item_id < 8), c AS (SELECT item_id, unnest(string_split(s, '')) AS b, generate_subscripts(string_split(s, ''), 1) AS i FROM x), u AS (SELECT DISTINCT i FROM c WHERE b <> '-') SELECT c.item_id, string_agg(b, '' ORDER BY c.i) AS aligned FROM c JOIN u ON u.i = c.i GROUP BY c.item_id")
+@query(f"WITH {_ITEMS}, x AS (SELECT item_id, item_id // 8 AS q, translate(s, 'A', '-') AS s FROM al), c AS (SELECT item_id, q, unnest(string_split(s, '')) AS b, generate_subscripts(string_split(s, ''), 1) AS i FROM x), u AS (SELECT DISTINCT q, i FROM c WHERE b <> '-') SELECT c.item_id, string_agg(b, '' ORDER BY c.i) AS aligned FROM c JOIN u ON u.q = c.q AND u.i = c.i GROUP BY c.item_id")
 def allgap_columns(spark, d):
-    """The first eight items are one query's alignment."""
-    x = _items(spark, d).filter("item_id < 8").withColumn("aligned", F.translate("aligned", "A", "-"))
+    """Every eight items are one query's alignment."""
+    x = _items(spark, d).withColumn("query", F.expr("item_id div 8").cast("string")).withColumn("aligned", F.translate("aligned", "A", "-"))
     return A.drop_empty_columns(x).select("item_id", "aligned")
 
 
@@ -195,25 +194,21 @@ def pairwise_diffs(spark, d):
     return pair.select("a", "b", F.size(same).cast("long").alias("sites"), F.size(F.filter(same, lambda v: v)).cast("long").alias("same"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, unnest(embedding) > 0 AS up, generate_subscripts(embedding, 1) AS i FROM embeddings),
-n AS (SELECT vec_id, label, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings),
-d AS (SELECT n.label, n.vec_id, avg((a.up <> b.up)::INT::DOUBLE) AS diff FROM n JOIN e a ON a.vec_id = n.vec_id JOIN e b ON b.vec_id = n.nxt AND b.i = a.i GROUP BY 1, 2)
-SELECT label::BIGINT AS label, round(avg(diff), 9) AS difference, count(*)::BIGINT AS pairs FROM d GROUP BY label""")
+_SIGNS = "c AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), u AS (SELECT label, i, sum((x > 0)::INT) AS up, count(*) AS n FROM c GROUP BY 1, 2)"
+
+
+def _signs(spark, d):
+    c = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), F.posexplode("embedding").alias("site", "x"))
+    return A.allele_counts(c.withColumn("state", F.col("x") > 0), ["label"])
+
+
+@query(f"WITH {_SIGNS} SELECT label::BIGINT AS label, round(sum(up * (n - up))::DOUBLE / sum(n * (n - 1) // 2), 9) AS difference, (max(n) * (max(n) - 1) // 2)::BIGINT AS pairs FROM u GROUP BY label")
 def theta_within(spark, d):
-    """Diversity of the signs of vectors, over each vector and the next of its group."""
-    e = table(spark, d, "embeddings")
-    x = e.withColumn("nxt", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).filter("nxt is not null")
-    same = F.zip_with("embedding", "nxt", lambda a, b: (a > 0) == (b > 0))
-    x = x.select(F.col("label").cast("long").alias("label"), (F.size(F.filter(same, lambda v: v)).cast("double") / F.size(same)).alias("identity"))
-    return A.mean_difference(x, ["label"]).withColumn("difference", F.round("difference", 9))
+    """Diversity of the signs of vectors, over all pairs of a group."""
+    return A.mean_difference_within(_signs(spark, d), ["label"]).withColumn("difference", F.round("difference", 9))
 
 
-@query("""WITH c AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), u AS (SELECT label, i, sum((x > 0)::INT) AS up, count(*) AS n FROM c GROUP BY 1, 2)
-SELECT a.label::BIGINT AS a, b.label::BIGINT AS b, round(avg((a.up * (b.n - b.up) + b.up * (a.n - a.up))::DOUBLE / (a.n * b.n)), 9) AS divergence FROM u a JOIN u b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2""")
+@query(f"WITH {_SIGNS} SELECT a.label::BIGINT AS a, b.label::BIGINT AS b, round(sum(a.up * (b.n - b.up) + b.up * (a.n - a.up))::DOUBLE / sum(a.n * b.n), 9) AS divergence FROM u a JOIN u b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2")
 def divergence_between(spark, d):
-    """Mean difference of signs over all pairs of vectors of two groups, from counts by component: no pair is formed."""
-    c = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    u = c.groupBy("label", "i").agg(F.count_if(F.col("x") > 0).alias("up"), F.count(F.lit(1)).alias("n"))
-    a, b = (u.select(F.col("i"), F.col("label").cast("long").alias(s), F.col("up").alias(f"u{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
-    diff = (F.col("ua") * (F.col("nb") - F.col("ub")) + F.col("ub") * (F.col("na") - F.col("ua"))).cast("double") / (F.col("na") * F.col("nb"))
-    return a.join(b, "i").filter("a < b").groupBy("a", "b").agg(F.round(F.avg(diff), 9).alias("divergence"))
+    """Mean difference of signs over all pairs of vectors of two groups."""
+    return A.mean_difference_between(_signs(spark, d), "label").select("a", "b", F.round("difference", 9).alias("divergence"))

@@ -59,11 +59,15 @@ def table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, inferSchema=False)
 
 
+def key_value_lines(lines: DataFrame) -> DataFrame:
+    """Adds key and value of lines ``key=value`` in the column ``value``; other lines go."""
+    parts = F.split("value", "=", 2)
+    return lines.withColumn("key", parts[0]).withColumn("value", F.get(parts, F.lit(1))).filter("value is not null")
+
+
 def key_values(spark: SparkSession, path: str) -> DataFrame:
     """file, key, value for lines ``key=value``; pivot where the keys are known."""
-    parts = F.split("value", "=", 2)
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), parts[0].alias("key"), F.get(parts, F.lit(1)).alias("value"))
-    return lines.filter("value is not null")
+    return key_value_lines(spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")).select("file", "key", "value")
 
 
 def nexus_trees(spark: SparkSession, path: str) -> DataFrame:

@@ -23,17 +23,22 @@ def homologue_fasta(homologues: DataFrame) -> DataFrame:
     return homologues.groupBy("query").agg(F.concat_ws("\n", fasta_text(F.first("query"), F.first("query_seq")), F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["t"]), "\n")).alias("text"))
 
 
+def _one_length() -> Column:
+    n = F.length("aligned")
+    return F.when(F.min(n) == F.max(n), F.max(n)).otherwise(F.raise_error(F.lit("sequences differ in length")).cast("int"))
+
+
 def nexus_alignment(aligned: DataFrame) -> DataFrame:
-    """query, text. Raises when it runs if sequences differ in length."""
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "aligned"))), lambda r: F.concat(F.rpad(r["name"], 40, " "), r["aligned"])), "\n")
-    length = F.when(F.min(F.length("aligned")) == F.max(F.length("aligned")), F.max(F.length("aligned"))).otherwise(F.raise_error(F.lit("sequences differ in length")).cast("int"))
-    head = F.format_string("#NEXUS\n\nbegin data;\n   dimensions ntax=%d nchar=%d;\n   format datatype=dna interleave=no gap=-;\n   matrix\n", F.count(F.lit(1)), length)
+    """query, text. Raises when it runs if sequences differ in length. Names are written whole."""
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "aligned"))), lambda r: F.concat(F.rpad(r["name"], F.greatest(F.lit(40), F.length(r["name"]) + 1), " "), r["aligned"])), "\n")
+    head = F.format_string("#NEXUS\n\nbegin data;\n   dimensions ntax=%d nchar=%d;\n   format datatype=dna interleave=no gap=-;\n   matrix\n", F.count(F.lit(1)), _one_length())
     return aligned.groupBy("query").agg(F.concat(head, body, F.lit("\n;\nend;\n")).alias("text"))
 
 
 def phylip_alignment(aligned: DataFrame) -> DataFrame:
+    """query, text. Raises when it runs if sequences differ in length."""
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "aligned"))), lambda r: F.concat(r["name"], F.lit("  "), r["aligned"])), "\n")
-    return aligned.groupBy("query").agg(F.concat(F.format_string("%d %d\n", F.count(F.lit(1)), F.max(F.length("aligned"))), body).alias("text"))
+    return aligned.groupBy("query").agg(F.concat(F.format_string("%d %d\n", F.count(F.lit(1)), _one_length()), body).alias("text"))
 
 
 def newick(summary: DataFrame) -> DataFrame:

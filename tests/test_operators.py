@@ -125,7 +125,7 @@ def test_bootstrap_and_sister_groups(spark):
     assert max(support.get("r1,r2", 0), support.get("l1,l2,q", 0)) > 0.9
     tags = {"l1": lineage(genus="L", species="L a"), "l2": lineage(genus="L", species="L b"), "r1": lineage(genus="R", species="R a"), "r2": lineage(genus="R", species="R b"), "q": []}
     members = spark.createDataFrame([("q", n, tags[n]) for n in tags], f"query string, name string, lineage {L.ENTRY_ARRAY}")
-    trees = assignment.tree_lineages(clades, members)
+    trees = assignment.tree_lineages(clades, assignment.sister_lineages(clades, members))
     post = R.posteriors(R.summarise(trees), R.tree_counts(trees))
     prob = {r.path: r.prob for r in post.collect()}  # where l1 and l2 join first, both rootings are as good and agree on nothing
     assert prob["genus:L"] > 0.6 and prob["genus:L"] > 5 * prob.get("genus:R", 0)
@@ -146,26 +146,157 @@ def test_rollup_demo(spark):
     assert {r.path: r.cnt for r in R.repair(short).collect()} == {"a:A": 3, "a:A/b:B": 3}
 
 
-def brute_scan(hits, q):
-    out = []
-    frame = pd.DataFrame(hits)
-    for _, g in frame.groupby("query"):
-        out += X.scan_hits(g.astype(object).where(g.notna(), None), q).values.tolist()
-    return sorted(map(tuple, out))
-
-
-def test_select_homologues(spark):
-    rng = random.Random(5)
-    hits = [{"query": f"q{i % 3}", "ord": i, "id": f"h{i}", "score": 100.0 - i / 3, "significance": 0.01 * (i % 13), "seq": "".join(rng.choices("ACGT", k=8)), "species": f"s{rng.randrange(20)}", "genus": rng.choice([None, "g1", "g2", "g3"]), "family": "f", "order": "o", "class": "c", "phylum": "p"} for i in range(120)]
+def plain_selection(hits, q, most, forced=(), excluded=()):
+    """The greedy compilation of one query, as stated: search, scan, search again without what there is enough of."""
+    got, kept, best, prev, why = [], {}, 0.0, None, None
+    names = lambda rank: {h[rank] for h in got if h[rank] is not None}
+    same = lambda h: [g["seq"].upper() for g in got if g["species"] == h["species"]]
+    quota = [("genus", q.genera), ("family", q.families), ("order", q.orders), ("class", q.classes), ("phylum", q.phyla)]
+    out_of = []
+    while why is None:
+        ranks = ("species", "genus", "family", "order", "class", "phylum")
+        found = [h for h in sorted(hits, key=lambda h: (h["ord"], h["id"])) if h["id"] not in excluded and not {h[r] for r in ranks} & set(out_of)][:most]
+        if not found:
+            why = "no more hits"
+            break
+        stop = False
+        for h in found:
+            if h["id"] in [g["id"] for g in got] or h["id"] == h["query"]:
+                continue
+            best = max(best, h["score"])
+            if h["score"] < best * q.relbitscore and len(got) >= 3 and len(got) >= q.nrsignificant:
+                stop = True
+            if len(got) >= q.alignmentlimit:
+                why = "limit"
+                break
+            if h["species"] is not None and sum(g["species"] == h["species"] for g in got) >= q.individuals:
+                line = kept.setdefault(h["species"], [])
+                line.insert(max(0, len(line) - 1) if sum(g["species"] == h["species"] for g in got) > 1 and line else len(line), h)
+                continue
+            if len(got) >= q.besthits and not any(h[r] is None or h[r] not in names(r) for r, _ in quota):
+                continue
+            if any(h["seq"].upper() in x for x in same(h)):
+                continue
+            sig = sum(g["significance"] <= q.significance for g in got)
+            got.append(h)
+            if h["significance"] > q.significance and sig < q.nrsignificant:
+                why = "not significant"
+                break
+            if stop:
+                break
+        if why is None and stop:
+            why = "exhausted"
+        low = [r for r, n in quota if 0 < len(names(r)) < n]
+        out_of = sorted(names("species")) if names("species") and len(got) < q.besthits else sorted(names(low[0])) if low else sorted(names("phylum"))
+        if why is None and (not out_of or out_of == prev):
+            why = "no news"
+        prev = out_of
+    for f in forced:
+        if f["id"] not in [g["id"] for g in got] and not any(f["seq"].upper() in x for x in same(f)):
+            got = [g for g in got if not (g["species"] == f["species"] and g["seq"].upper() in f["seq"].upper())] + [f]
+    while why != "limit" and q.fill_in != "none" and any(kept.values()):
+        add = []
+        for line in kept.values():
+            while line:
+                h = line.pop(0)
+                if h["id"] not in [g["id"] for g in got] and not any(h["seq"].upper() in x for x in same(h)):
+                    add.append(h)
+                    break
+        if not add or len(got) + len(add) >= q.alignmentlimit or q.fill_in == "balanced" and len(add) != len(names("species")):
+            break
+        got += add
+    ok = sum(g["significance"] <= q.significance for g in got) >= q.nrsignificant and len(got) >= 3
+    return [g["id"] for g in got], "ok" if ok else "too few", why
+
+
+@pytest.mark.parametrize("quotas", [X.Quotas(), X.Quotas(individuals=3, alignmentlimit=12, besthits=6), X.Quotas(besthits=4, relbitscore=0.0, genera=4, families=3), X.Quotas(significance=0.02, nrsignificant=2, fill_in="all"), X.Quotas(individuals=2, relbitscore=0.0, fill_in="balanced", alignmentlimit=60)])
+def test_select_homologues(spark, quotas):
+    rng = random.Random(quotas.individuals * 100 + quotas.besthits)
+    hits = []
+    for i in range(360):
+        k = rng.randrange(40)
+        species = None if rng.random() < 0.05 else f"s{k}"
+        hits.append({"query": f"q{i % 4}", "ord": i // 4, "id": f"h{i // 4}", "score": 100.0 - i / 5, "significance": 0.001 * (i % 50) * (i % 4), "seq": "".join(rng.choices("ACGT", k=rng.choice([2, 4, 8]))), "species": species, "genus": rng.choice([None, f"g{k % 12}"]), "family": f"f{k % 6}", "order": f"o{k % 4}", "class": f"c{k % 3}", "phylum": f"p{k % 2}"})
+    hits.append({**hits[0], "id": "q0", "ord": 0})
+    forced = [{**h, "id": f"x{i}", "seq": h["seq"] * 2, "significance": 0.0} for i, h in enumerate(hits[:16])]
     df = spark.createDataFrame(pd.DataFrame(hits)).withColumn("ord", F.col("ord").cast("int"))
-    got = X.select_homologues(df).collect()
-    assert sorted(map(tuple, got)) == brute_scan(hits, X.Quotas())
-    species = {}
-    for r in got:
-        s = (r.query, hits[r.ord]["species"])
-        assert s not in species
-        species[s] = 1
-    assert {r.place for r in got if r.query == "q0"} == set(range(1, 1 + sum(r.query == "q0" for r in got)))
+    ff = spark.createDataFrame(pd.DataFrame(forced)).withColumn("ord", F.col("ord").cast("int"))
+    gone = spark.createDataFrame([("h1",), ("h5",)], "id string")
+    for most, more, less in ((200, None, None), (9, ff, gone)):
+        got = {}
+        for r in sorted(X.select_homologues(df, quotas, most, forced=more, excluded=less).collect(), key=lambda r: (r.query, r.place)):
+            got.setdefault(r.query, ([], r.status, r.reason))[0].append(r.id)
+        for query in ("q0", "q1", "q2", "q3"):
+            own = lambda rows: [h for h in rows if h["query"] == query]  # noqa: E731, B023
+            want = plain_selection(own(hits), quotas, most, sorted(own(forced) if more is not None else [], key=lambda h: (h["ord"], h["id"])), ("h1", "h5") if less is not None else ())
+            assert got[query] == want, (query, most)
+
+
+def test_identity_stops_a_search(spark):
+    base = {"score": 9.0, "significance": 0.0, "species": "s", "genus": "g", "family": "f", "order": "o", "class": "c", "phylum": "p"}
+    rows = [{**base, "query": q, "ord": i, "id": f"h{i}", "seq": "ACGT"[i] * 9, "species": f"s{i}", "identity": 0.5 if i == 0 and q == "a" else None} for q in "ab" for i in range(4)]
+    df = spark.createDataFrame(pd.DataFrame(rows)).withColumn("ord", F.col("ord").cast("int")).withColumn("identity", F.nanvl("identity", F.lit(None).cast("double")))
+    got = X.select_homologues(df, X.Quotas(minidentity=0.9, nrsignificant=1)).collect()
+    assert {r.query for r in got} == {"b"} and {r.status for r in got} == {"ok"}
+
+
+def test_kmer_search(spark):
+    rng = random.Random(12)
+    texts = [("COMMONPREFIX" if i % 3 else "") + "".join(rng.choices("ACGT", k=rng.choice([3, 9, 30]))) for i in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, seq string")
+    sets = [{t[j : j + 6] for j in range(max(1, len(t) - 5))} for t in texts]
+    scores = {(a, b): len(x & y) for a, x in enumerate(sets) for b, y in enumerate(sets) if x & y}
+    for most, common, block in ((7, 10, 40), (7, 1000, 4096), (None, 10, 33), (3, 2, 64)):
+        got = {(r.query, r.id): (r.score, r.ord) for r in X.kmer_search(rows, rows, 6, most, common=common, block=block).collect()}
+        want = {}
+        for a in range(150):
+            best = sorted((-n, b) for (x, b), n in scores.items() if x == a)[:most]
+            want |= {(a, b): (-n, i) for i, (n, b) in enumerate(best, 1)}
+        assert got == want
+
+
+def planted(rng, leaves_):
+    """Sequences evolved on a tree of three levels with their lineages."""
+    mutate = lambda seq, n: "".join(rng.choice("ACGT") if rng.random() < n else c for c in seq)
+    root, out = "".join(rng.choices("ACGT", k=300)), []
+    for o in range(3):
+        order = mutate(root, 0.15)
+        for f in range(2):
+            family = mutate(order, 0.08)
+            for g in range(2):
+                genus = mutate(family, 0.04)
+                for s_ in range(leaves_):
+                    out.append((f"r{o}{f}{g}{s_}", mutate(genus, 0.01), f"G{o}{f}{g} s{s_}", lineage(phylum="P/Q", **{"class": "C"}, order=f"O{o}", family=f"F{o}{f}", genus=f"G{o}{f}{g}", species=f"G{o}{f}{g} s{s_}")))
+    return out, mutate
+
+
+def test_assign_on_a_planted_tree(spark):
+    """Queries that are new individuals of known genera are placed in these; one far from all is left out; a copy follows its original."""
+    rng = random.Random(13)
+    records, mutate = planted(rng, 2)
+    queries = [(f"q{i}", mutate(records[i][1], 0.01)) for i in (0, 7, 13)]
+    queries += [("copy", queries[0][1]), ("far", "".join(rng.choices("ACGT", k=300)))]
+    rec = spark.createDataFrame(records, f"id string, seq string, organism string, lineage {L.ENTRY_ARRAY}")
+    qs = spark.createDataFrame(queries, "id string, seq string")
+    config = assignment.AssignConfig(quotas=X.Quotas(minidentity=0.8, relbitscore=0.0, genera=6, individuals=2), replicates=20, cutoffs=(95, 60, 95), force_include=("r2111", "none"), force_exclude=("r0001",))
+    assert config.cutoffs == (60, 95)
+    out = assignment.assign(qs, rec, config)
+    post = {(r.query, r.level, r["name"]): r.prob for r in out["posterior"].collect()}
+    assert {q for q, _, _ in post} <= {"q0", "q7", "q13"} | {"copy"} and ("q0" if ("q0", "order", "O0") in post else "copy", "order", "O0") in post
+    first = "copy"  # of equal sequences the least id stands for both
+    for query, i in ((first, 0), ("q7", 7), ("q13", 13)):
+        genus = records[i][3][4][2]
+        assert post[query, "phylum", "P/Q"] == 1.0 and post.get((query, "genus", genus), 0) > 0.6, (query, genus)
+    selected = out["selected"].collect()
+    assert "r0001" not in {r.id for r in selected} and {r.id for r in out["failed"].collect()} == {"far"}
+    n = {r.query: r.n_trees for r in out["posterior"].select("query", "n_trees").distinct().collect()}
+    assert set(n.values()) == {20}
+    names = spark.createDataFrame([("f.fasta", q, q.upper()) for q, _ in queries], "file string, query string, orig string")
+    tables = assignment.reports(out, names, config)
+    rows = tables["assignments"].collect()
+    assert {(r.query, r.cutoff) for r in rows} >= {(first, 60), ("q7", 60)} and all(r.phylum == "P/Q" and r.nr_signif >= 5 and 0 < r.min_homol <= 1 and 0 < r.min_taxon <= 1 for r in rows)
+    probs = {(r.orig, r.level, r["name"]): r.prob for r in tables["taxon_probabilities"].collect()}
+    assert probs[first.upper(), "phylum", "P/Q"] == 1.0 and tables["querylist"].count() == len(queries)
 
 
 def test_tables(spark):
@@ -176,6 +307,39 @@ def test_tables(spark):
         T.zip_join(a, a.limit(1).select(F.col("v").alias("o")), [F.col("k")], [F.col("o")]).collect()
     names = spark.createDataFrame([("f", "Ab", 1), ("f", "aB", 2), ("f", "c", 3)], "file string, name string, ord int")
     assert [r.unique_name for r in T.unique_names(names, ["file"], "name", ["ord"]).orderBy("ord").collect()] == ["Ab", "aB_1", "c"]
+    many = ["a", "a", "a_1", "A_2", "a", "a_1", "a_x", "a_01", "a"]
+    made = [r.unique_name for r in T.unique_names(spark.createDataFrame([("f", x, i) for i, x in enumerate(many)], "file string, name string, ord int"), ["file"], "name", ["ord"]).orderBy("ord").collect()]
+    assert made == ["a", "a_3", "a_1", "A_2", "a_4", "a_1_1", "a_x", "a_01", "a_5"] and len({x.lower() for x in made}) == len(made)
+    rng = random.Random(1)
+    rows = [(rng.choice("xy") if i % 3 else None, i) for i in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "g string, i int")
+    assert {(r.i, r.n) for r in T.numbered(df, [F.col("i")], "n").collect()} == {(i, n) for n, i in enumerate(sorted(i for _, i in rows), 1)}
+    assert {(r.i, r.chunk) for r in T.chunks(df, 7, [F.col("i")]).collect()} == {(i, n // 7) for n, i in enumerate(sorted(i for _, i in rows))}
+    want = set()
+    for g in ("x", "y", None):
+        own = sorted(i for h, i in rows if h == g)
+        want |= set(zip(own, [None, *own], [*own[1:], None], strict=False))
+    assert {(r.i, r.previous_i, r.next_i) for r in T.neighbours(df, ["g"], ["i"], "i").collect()} == want
+    assert {(r.k, r.found) for r in T.with_membership(a, a.filter("v = 1"), {"k": "k"}).collect()} == {("x", True), ("y", False)}
+
+
+def test_slashes_in_names(spark):
+    trees = spark.createDataFrame([("q", lineage(phylum="A/B", genus="E%/S")), ("q", lineage(phylum="A/B", genus="T"))], f"query string, lineage {L.ENTRY_ARRAY}")
+    summary = R.summarise(trees)
+    assert {r.path for r in R.leaves(summary).collect()} == {"phylum:A%2FB/genus:E%25%2FS", "phylum:A%2FB/genus:T"}
+    low = summary.withColumn("cnt", F.when(F.col("depth") == 1, 0).otherwise(F.col("cnt")))
+    assert {r["name"]: r.cnt for r in R.repair(low).collect()} == {"A/B": 2, "E%/S": 1, "T": 1}
+    assert {r.path: (r.n, len(r.leaves)) for r in R.leaf_sets(summary).collect()}["phylum:A%2FB"] == (2, 2)
+
+
+def test_lost_replicates_count(spark):
+    """Alignments with too few bases give no distances; their replicates still count as trees."""
+    rows = [("q", n, "ACGTACGTAC") for n in ("q", "a", "b", "c")]
+    df = spark.createDataFrame(rows, "query string, name string, aligned string")
+    clades = N.bootstrap_clades(df, 5)
+    assert {(r.rep, len(r.clade)) for r in clades.collect()} == {(i, 0) for i in range(5)} and N.clade_support(clades, 5).count() == 0
+    three = spark.createDataFrame([("q", n, "ACGTACGTAC" * 5) for n in "qab"], "query string, name string, aligned string")
+    assert {(r.rep, len(r.clade)) for r in N.bootstrap_clades(three, 3).collect()} == {(i, 0) for i in range(3)}
 
 
 def test_files(spark, tmp_path):
