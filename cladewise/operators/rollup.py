@@ -86,13 +86,19 @@ def consolidate(trees: DataFrame, levels: tuple[str, ...], prune_level: float, f
     out = cut(densify(trees, levels, filler).groupBy("query", "lineage").agg(F.count(F.lit(1)).alias("cnt")).withColumn("done", F.array().cast(L.ENTRY_ARRAY)))
     # Ranks at which there is a filler at all; at others there is nothing to do but to pass on.
     filled = {r[0] for r in out.select(F.explode(F.array_distinct(F.transform(F.filter("lineage", lambda e: e["name"] == filler), lambda e: e["level"])))).distinct().collect()}
+
+    def passed(rows: DataFrame, run: list[str]) -> DataFrame:
+        inside = lambda e: e["level"].isin(run)
+        return rows.select("query", F.filter("lineage", lambda e: ~inside(e)).alias("lineage"), "cnt", F.concat("done", F.filter("lineage", inside)).alias("done")) if run else rows
+
+    run: list[str] = []
     for level in levels:
-        head = F.get("lineage", F.lit(0))
-        at = F.coalesce(head["level"] == level, F.lit(False))
         if level not in filled:
-            on = F.slice("lineage", F.lit(2), F.greatest(F.size("lineage") - 1, F.lit(0)))
-            out = out.select("query", F.when(at, on).otherwise(F.col("lineage")).alias("lineage"), "cnt", F.when(at, F.concat("done", F.array(head))).otherwise(F.col("done")).alias("done"))
+            run.append(level)
             continue
+        out, run = passed(out, run), []
+        head = F.get("lineage", F.lit(0))
+        at = F.coalesce(head["level"] == level, F.lit(False))
         parent = L.path(F.col("done"))
         out = out.withColumn("_parent", parent).withColumn("_at", at).withColumn("_fill", at & (head["name"] == filler))
         tally = out.filter("_at").groupBy("query", "_parent").agg(F.sum(F.when(F.col("_fill"), F.col("cnt")).otherwise(0)).alias("_fillers"), F.sum(F.when(F.col("_fill"), 0).otherwise(F.col("cnt"))).alias("_real")).filter("_fillers > 0")
@@ -108,7 +114,7 @@ def consolidate(trees: DataFrame, levels: tuple[str, ...], prune_level: float, f
             .drop("_parent", "_at", "_fill", "_fillers", "_real", "_prune", "_done")
         )
         out = cut(out)
-    return out.groupBy("query", F.col("done").alias("lineage")).agg(F.sum("cnt").alias("cnt"))
+    return passed(out, run).groupBy("query", F.col("done").alias("lineage")).agg(F.sum("cnt").alias("cnt"))
 
 
 def significant_ranks(post: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -166,6 +172,20 @@ def leaf_sets(summary: DataFrame) -> DataFrame:
     return below.groupBy("query", F.col("node").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("path")).alias("leaves"))
 
 
+def candidates(post: DataFrame) -> DataFrame:
+    """query, place, species, prob: all species of a query, the most probable first."""
+    by_name = post.filter("level = 'species'").groupBy("query", F.col("name").alias("species")).agg(F.sum("prob").alias("prob"))
+    w = Window.partitionBy("query").orderBy(F.col("prob").desc(), "species")
+    return by_name.withColumn("place", F.row_number().over(w)).select("query", "place", "species", "prob")
+
+
+def ladder(summary: DataFrame) -> DataFrame:
+    """Adds ``leaves`` and ``place``: nodes under one parent in order of their number of leaves, those with fewer first, then by path."""
+    n = leaf_sets(summary).select("query", "path", F.col("n").alias("leaves"))
+    w = Window.partitionBy("query", parent_path(F.col("path"))).orderBy("leaves", "path")
+    return summary.join(n, ["query", "path"]).withColumn("place", F.row_number().over(w))
+
+
 def level_counts(assigned: DataFrame, analysed: DataFrame) -> DataFrame:
     """How many queries have a name at a rank and cutoff, and their share of those analysed."""
     total = analysed.agg(F.count_distinct("query").alias("analysed"))

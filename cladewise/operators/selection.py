@@ -78,6 +78,12 @@ def exhaustion(known: DataFrame, seen: DataFrame, ident: str, by: str) -> DataFr
     return x.groupBy(by).agg(F.count(F.lit(1)).alias("known"), F.count("_seen").alias("seen")).withColumn("not_reached", F.col("seen") < F.col("known"))
 
 
+def display_order(homologues: DataFrame) -> DataFrame:
+    """Adds ``place``: a query's homologues by identity, then by sequence, both from the highest."""
+    w = Window.partitionBy("query").orderBy(F.col("identity").desc(), F.col("seq").desc(), "id")
+    return homologues.withColumn("place", F.row_number().over(w))
+
+
 @dataclass(frozen=True)
 class Quotas:
     """Limits of the sequential scan, with the usual values. fill_in: 'balanced', 'all' or 'none'."""

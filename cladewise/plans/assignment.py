@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.functions import lineage as L
@@ -15,7 +15,8 @@ from cladewise.operators import selection as X
 from cladewise.operators import tables as T
 from cladewise.operators import trees as N
 from cladewise.operators.lineage_cut import cut
-from cladewise.plans.registry import Plugins, query, table
+from cladewise.plans.registry import PluginNotFoundError, Plugins, query, table
+from cladewise.sources import files
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,17 @@ PLUGINS.add("alignment", "prealigned", _prealigned)
 PLUGINS.add("assignment", "neighbour-joining", lambda aligned, sets, config: N.bootstrap_clades(aligned, config.replicates, sets, config.seed))
 
 
+def database_records(spark: SparkSession, name: str) -> DataFrame:
+    """id, lineage, organism, seq: of a registered database of records by name, or of a database FASTA at a path; else it raises."""
+    try:
+        return PLUGINS.find("records", name)(spark)
+    except PluginNotFoundError:
+        if not files.exists(spark, name):
+            raise
+    good, _ = files.native_records(files.fasta(spark, name))
+    return good.withColumnRenamed("sequence", "seq")
+
+
 def _identities(pairs: DataFrame) -> DataFrame:
     """Adds ``identity``: the similarity of query_seq and seq as they are aligned."""
     return A.align_to_query(pairs).withColumn("identity", S.similarity(F.col("aligned"), F.col("query_seq"))).drop("aligned")

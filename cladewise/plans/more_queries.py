@@ -9,9 +9,10 @@ from cladewise.functions import sequence as S
 from cladewise.operators import rollup as R
 from cladewise.operators import selection as X
 from cladewise.operators import trees as N
+from cladewise.operators.lineage_cut import new_path
 from cladewise.plans.adapters import PATHS, lineages, trees
 from cladewise.plans.registry import query, table
-from cladewise.sources.files import TAXON, taxonomy_rows
+from cladewise.sources.files import TAXON, sequence_records, taxonomy_rows, with_taxonomy
 
 
 def _post(spark, d):
@@ -93,3 +94,58 @@ def taxonomy_parse(spark, d):
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN round(l_discount * 100) < 1 THEN '~0%' ELSE round(l_discount * 100)::INT::VARCHAR || '%' END AS share FROM lineitem")
 def percent_format(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.percent(F.col("l_discount")).alias("share"))
+
+
+_TAXIDS = "s AS (SELECT s_suppkey AS id FROM supplier), x AS (SELECT ps AS id, min(n) AS taxid FROM (SELECT l_suppkey AS ps, l_linenumber AS n FROM lineitem WHERE l_quantity > 49) GROUP BY 1), y AS (SELECT n_nationkey AS taxid, min(n_name) AS name FROM nation WHERE n_nationkey <> 3 GROUP BY 1)"
+
+
+def _taxids(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    ids = table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("id"), F.col("l_linenumber").alias("taxid"))
+    tree = table(spark, d, "nation").filter("n_nationkey <> 3").select(F.col("n_nationkey").alias("taxid"), L.from_columns(phylum=F.col("n_name")).alias("lineage"))
+    return with_taxonomy(s, ids, tree)
+
+
+@query(f"WITH {_TAXIDS} SELECT s.id, x.taxid::BIGINT AS taxid, 'phylum:' || y.name AS path FROM s JOIN x ON x.id = s.id JOIN y ON y.taxid = x.taxid")
+def taxid_join(spark, d):
+    """Suppliers by way of a number to a nation's lineage; the least number counts."""
+    return _taxids(spark, d)[0].select("id", F.col("taxid").cast("long").alias("taxid"), L.path(F.col("lineage")).alias("path"))
+
+
+@query(f"WITH {_TAXIDS} SELECT s.id, x.taxid::BIGINT AS taxid FROM s LEFT JOIN x ON x.id = s.id LEFT JOIN y ON y.taxid = x.taxid WHERE y.taxid IS NULL")
+def taxid_rejects(spark, d):
+    return _taxids(spark, d)[1].select("id", F.col("taxid").cast("long").alias("taxid"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS id, s_nationkey::VARCHAR AS taxid, upper(replace(s_name, '#', '')) AS sequence FROM supplier WHERE s_suppkey % 5 <> 0")
+def sequence_xml_parse(spark, d):
+    """Suppliers as sequence records in XML, read back: the last id of its kind, the first taxon; every fifth has no taxon and is rejected."""
+    qualifier = lambda v: F.struct(F.lit("db_xref").alias("GBQualifier_name"), v.alias("GBQualifier_value"))
+    tax = F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("taxon:"), F.col("s_nationkey").cast("string"))).otherwise("BOLD:x")
+    quals = F.array(qualifier(F.lit("other:1")), qualifier(tax), qualifier(F.lit("BOLD:taxon:77")))
+    seqids = F.array(F.lit("gb|ABC"), F.lit("gi|0"), F.concat(F.lit("gi|"), F.col("s_suppkey").cast("string")))
+    x = table(spark, d, "supplier").select(F.replace("s_name", F.lit("#"), F.lit("")).alias("GBSeq_sequence"), F.struct(seqids.alias("GBSeqid")).alias("GBSeq_other-seqids"), F.struct(F.array(F.struct(F.struct(quals.alias("GBQualifier")).alias("GBFeature_quals"))).alias("GBFeature")).alias("GBSeq_feature-table"))
+    path = new_path(spark, "sequences")
+    x.write.format("xml").option("rootTag", "GBSet").option("rowTag", "GBSeq").save(path)
+    return sequence_records(spark, path)[0]
+
+
+@query(f"WITH {PATHS}, b AS (SELECT query, name AS species, sum(cnt)::DOUBLE AS c, any_value(n_trees) AS n FROM post WHERE level = 'species' GROUP BY 1, 2) SELECT query, row_number() OVER (PARTITION BY query ORDER BY c DESC, species)::BIGINT AS place, species, round(c / n, 9) AS prob FROM b")
+def candidate_species(spark, d):
+    """All species of a query, the most probable first."""
+    return R.candidates(_post(spark, d).withColumn("prob", F.round("prob", 12))).select("query", F.col("place").cast("long"), "species", F.round("prob", 9).alias("prob"))
+
+
+@query(f"""WITH {PATHS}, l AS (SELECT query, path FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.query = a.query AND b.depth = a.depth + 1 AND starts_with(b.path, a.path || '/'))),
+n AS (SELECT e.query, e.path, count(DISTINCT l.path) AS leaves FROM u e JOIN l ON l.query = e.query AND (l.path = e.path OR starts_with(l.path, e.path || '/')) GROUP BY 1, 2)
+SELECT query, path, leaves::BIGINT AS leaves, row_number() OVER (PARTITION BY query, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END ORDER BY leaves, path)::BIGINT AS place FROM n""")
+def ladderised_tree(spark, d):
+    """Siblings in order of their number of leaves."""
+    return R.ladder(R.summarise(lineages(spark, d))).select("query", "path", "leaves", F.col("place").cast("long"))
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderpriority DESC, o_orderkey)::BIGINT AS place FROM orders")
+def display_order(spark, d):
+    """A customer's orders by price, then by priority, both from the highest."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("identity"), F.col("o_orderpriority").alias("seq"))
+    return X.display_order(o).select(F.col("query").alias("o_custkey"), F.col("id").alias("o_orderkey"), F.col("place").cast("long"))

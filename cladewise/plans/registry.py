@@ -29,9 +29,9 @@ class PluginNotFoundError(LookupError):
 
 
 class Plugins:
-    """Databases, aligners and tree samplers: functions from DataFrame to DataFrame, by kind and name."""
+    """Sources of records, searches in databases, aligners and tree samplers: functions that return DataFrames, by kind and name."""
 
-    KINDS = ("database", "alignment", "assignment")
+    KINDS = ("records", "database", "alignment", "assignment")
 
     def __init__(self) -> None:
         self._known: dict[tuple[str, str], Callable] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cladewise.functions import lineage as L
 from cladewise.functions import sequence as S
@@ -54,8 +55,15 @@ def hit_rows(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("Hit_id").alias("id"), h["Hsp_bit-score"].alias("score"), h["Hsp_evalue"].alias("significance"), (F.least(q1, q2) - 1).alias("q_start"), (F.abs(q2 - q1) + 1).alias("q_len"), F.when(q1 > q2, -1).otherwise(1).alias("q_strand"), (F.least(s1, s2) - 1).alias("s_start"), (F.abs(s2 - s1) + 1).alias("s_len"), F.when(s1 > s2, -1).otherwise(1).alias("s_strand"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def table(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated, every cell a string."""
+    """Tab-separated, every cell a string. A file that is missing is an empty table without columns."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], StructType([]))
     return spark.read.csv(path, sep="\t", header=True, inferSchema=False)
 
 
@@ -119,5 +127,30 @@ def taxonomy_rows(taxa: DataFrame) -> DataFrame:
     return out.withColumn("complete", L.minimal(F.col("lineage")))
 
 
+def with_taxonomy(sequences: DataFrame, taxids: DataFrame, taxonomy_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sequences with taxid and lineage, and the ids of those without one. sequences: id; taxids: id, taxid; taxonomy: taxid, lineage. Of several taxids or lineages the least taxid and the first lineage in order count."""
+    one = taxids.groupBy("id").agg(F.min("taxid").alias("taxid"))
+    tree = taxonomy_.groupBy("taxid").agg(F.min("lineage").alias("lineage"))
+    all_ = sequences.join(one, "id", "left").join(tree, "taxid", "left")
+    return all_.filter("lineage is not null").select(*sequences.columns, "taxid", "lineage"), all_.filter("lineage is null").select("id", "taxid")
+
+
+SEQUENCE = "GBSeq_sequence string, `GBSeq_other-seqids` struct<GBSeqid:array<string>>, `GBSeq_feature-table` struct<GBFeature:array<struct<GBFeature_quals:struct<GBQualifier:array<struct<GBQualifier_name:string,GBQualifier_value:string>>>>>>"
+
+
+def sequence_rows(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, taxid, sequence) of parsed sequence records, and those without all three: the last id of the form ``gi|number`` and the first qualifier ``taxon:number``."""
+    ids = F.filter("GBSeq_other-seqids.GBSeqid", lambda x: x.rlike(r"^gi\|"))
+    quals = F.flatten(F.transform("GBSeq_feature-table.GBFeature", lambda f: F.coalesce(f["GBFeature_quals"]["GBQualifier"], F.array().cast("array<struct<GBQualifier_name:string,GBQualifier_value:string>>"))))
+    taxa = F.filter(quals, lambda q: q["GBQualifier_value"].rlike("^taxon:"))
+    out = records.select(F.regexp_extract(F.try_element_at(ids, F.lit(-1)), r"^gi\|([^|]+)", 1).alias("id"), F.regexp_extract(F.get(taxa, F.lit(0))["GBQualifier_value"], "^taxon:(.+)$", 1).alias("taxid"), F.upper("GBSeq_sequence").alias("sequence"))
+    good = F.coalesce((F.col("id") != "") & (F.col("taxid") != "") & (F.col("sequence") != ""), F.lit(False))
+    return out.filter(good), out.filter(~good)
+
+
+def sequence_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return sequence_rows(spark.read.format("xml").option("rowTag", "GBSeq").schema(SEQUENCE).load(path))
+
+
 def taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return taxonomy_rows(spark.read.format("xml").option("rowTag", "Taxon").schema(TAXON).load(path))

@@ -352,6 +352,12 @@ def test_files(spark, tmp_path):
     good, bad = files.native_records(rec)
     assert [(r.id, r.sequence, L_) for r in good.collect() for L_ in [r.lineage[0].name]] == [("i1", "ACGN", "G")] and bad.count() == 1
     assert files.taxon_index(good).count() == 2
+    name = "a_name_that_is_longer_than_forty_characters_by_far"
+    text = sinks.nexus_alignment(spark.createDataFrame([("q", name, "AC-T"), ("q", "b", "ACGT")], "query string, name string, aligned string")).first().text
+    (tmp_path / "a.nex").write_text(text)
+    assert {(r.name, r.aligned) for r in files.nexus_matrix(spark, str(tmp_path / "a.nex")).collect()} == {(name, "AC-T"), ("b", "ACGT")}
+    with pytest.raises(Exception, match="differ in length"):
+        sinks.phylip_alignment(spark.createDataFrame([("q", "a", "AC"), ("q", "b", "A")], "query string, name string, aligned string")).collect()
     (tmp_path / "h.xml").write_text("<B><Hit><Hit_id>g1</Hit_id><Hit_len>9</Hit_len><Hit_hsps><Hsp><Hsp_bit-score>50.5</Hsp_bit-score><Hsp_evalue>0.1</Hsp_evalue><Hsp_query-from>3</Hsp_query-from><Hsp_query-to>7</Hsp_query-to><Hsp_hit-from>9</Hsp_hit-from><Hsp_hit-to>5</Hsp_hit-to></Hsp></Hit_hsps></Hit></B>")
     h = files.search_results(spark, str(tmp_path / "h.xml")).first()
     assert (h.id, h.score, h.q_start, h.q_len, h.q_strand, h.s_start, h.s_strand) == ("g1", 50.5, 2, 5, 1, 4, -1)
@@ -381,6 +387,29 @@ def test_sinks(spark, tmp_path):
     assert files.table(spark, str(tmp_path / "tsv")).first().title == "t"
 
 
+def test_database_by_name_or_path(spark, tmp_path):
+    (tmp_path / "db.fasta").write_text(">i1 ; genus: G, species: G s ; G s\nac-gx\n>broken\nAC\n")
+    assert [(r.id, r.seq) for r in assignment.database_records(spark, str(tmp_path / "db.fasta")).collect()] == [("i1", "ACGN")]
+    assignment.PLUGINS.add("records", "Mine", lambda s: s.range(3))
+    assert assignment.database_records(spark, "mine").count() == 3
+    with pytest.raises(PluginNotFoundError):
+        assignment.database_records(spark, str(tmp_path / "none.fasta"))
+    missing = files.table(spark, str(tmp_path / "none.tsv"))
+    assert missing.count() == 0 and missing.columns == []
+
+
+def test_own_database_and_aligner(spark):
+    """An example of plug-ins: a search that knows its hits, and sequences that are aligned already."""
+    seq = ["ACGTACGTAC" * 6, "ACGTACGTAT" * 6, "ACGTTCGTAC" * 6, "TCGTACGAAC" * 6]
+    line = lambda i: lineage(phylum="P", **{"class": "C"}, order="O", family=f"F{i // 2}", genus=f"G{i}", species=f"G{i} s")
+    rec = spark.createDataFrame([(f"r{i}", x, f"G{i} s", line(i)) for i, x in enumerate(seq)], f"id string, seq string, organism string, lineage {L.ENTRY_ARRAY}")
+    qs = spark.createDataFrame([("q", seq[0])], "id string, seq string")
+    all_pairs = lambda q, r, c: q.select(F.col("id").alias("query")).crossJoin(r.select("id")).withColumn("ord", F.substring("id", 2, 1).cast("int")).withColumn("score", F.lit(9.0)).withColumn("significance", F.lit(0.0))
+    assignment.PLUGINS.add("database", "all", all_pairs)
+    out = assignment.assign(qs, rec, assignment.AssignConfig(quotas=X.Quotas(nrsignificant=3), database="all", alignment="prealigned", replicates=3))
+    assert {r["name"]: r.prob for r in out["posterior"].collect()}["P"] == 1.0
+
+
 def test_plugins():
     p = Plugins()
     p.add("database", "Mine", len)
