@@ -174,7 +174,7 @@ def leaf_sets(summary: DataFrame) -> DataFrame:
 
 def candidates(post: DataFrame) -> DataFrame:
     """query, place, species, prob: all species of a query, the most probable first."""
-    by_name = post.filter("level = 'species'").groupBy("query", F.col("name").alias("species")).agg(F.sum("prob").alias("prob"))
+    by_name = post.filter("level = 'species'").groupBy("query", F.col("name").alias("species")).agg((F.sum("cnt").cast("double") / F.max("n_trees")).alias("prob"))
     w = Window.partitionBy("query").orderBy(F.col("prob").desc(), "species")
     return by_name.withColumn("place", F.row_number().over(w)).select("query", "place", "species", "prob")
 

@@ -130,15 +130,15 @@ def sequence_xml_parse(spark, d):
     return sequence_records(spark, path)[0]
 
 
-@query(f"WITH {PATHS}, b AS (SELECT query, name AS species, sum(cnt)::DOUBLE AS c, any_value(n_trees) AS n FROM post WHERE level = 'species' GROUP BY 1, 2) SELECT query, row_number() OVER (PARTITION BY query ORDER BY c DESC, species)::BIGINT AS place, species, round(c / n, 9) AS prob FROM b")
+@query(f"WITH {PATHS}, b AS (SELECT query, name AS species, sum(cnt)::DOUBLE AS c, any_value(n_trees) AS n FROM post WHERE level = 'species' GROUP BY 1, 2) SELECT query, row_number() OVER (PARTITION BY query ORDER BY c / n DESC, species)::BIGINT AS place, species, c / n AS prob FROM b")
 def candidate_species(spark, d):
     """All species of a query, the most probable first."""
-    return R.candidates(_post(spark, d).withColumn("prob", F.round("prob", 12))).select("query", F.col("place").cast("long"), "species", F.round("prob", 9).alias("prob"))
+    return R.candidates(_post(spark, d)).select("query", F.col("place").cast("long"), "species", "prob")
 
 
 @query(f"""WITH {PATHS}, l AS (SELECT query, path FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.query = a.query AND b.depth = a.depth + 1 AND starts_with(b.path, a.path || '/'))),
-n AS (SELECT e.query, e.path, count(DISTINCT l.path) AS leaves FROM u e JOIN l ON l.query = e.query AND (l.path = e.path OR starts_with(l.path, e.path || '/')) GROUP BY 1, 2)
-SELECT query, path, leaves::BIGINT AS leaves, row_number() OVER (PARTITION BY query, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END ORDER BY leaves, path)::BIGINT AS place FROM n""")
+lv AS (SELECT e.query, e.path, count(DISTINCT l.path) AS leaves FROM u e JOIN l ON l.query = e.query AND (l.path = e.path OR starts_with(l.path, e.path || '/')) GROUP BY 1, 2)
+SELECT query, path, leaves::BIGINT AS leaves, row_number() OVER (PARTITION BY query, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END ORDER BY leaves, path)::BIGINT AS place FROM lv""")
 def ladderised_tree(spark, d):
     """Siblings in order of their number of leaves."""
     return R.ladder(R.summarise(lineages(spark, d))).select("query", "path", "leaves", F.col("place").cast("long"))
