@@ -12,7 +12,9 @@ words before it (L), the word before and the word after (B), the label that
 introduces it (N) and its shape, if it has eight characters or more (S).
 Patterns and candidate values form a bipartite graph of distinct pairs. In each
 round a pattern's confidence is the smoothed mean score of its values, and the
-score of a value that is no seed is the mean confidence of its patterns.
+score of a value that is no seed is the mean confidence of its patterns. A value
+that has the form of a card or an address but fails the check is a
+counterexample, unless a label introduces it: it scores 0 and is not marked.
 Patterns that end with a high confidence and enough distinct seeds mark their
 candidates as ``ctx``, labelled or not, known as seeds or not. Patterns and
 values are 64-bit hashes in the graph, so that long words cost no more than
@@ -140,6 +142,11 @@ def _entity(token: Column) -> Column:
     return (F.contains(token, F.lit("@")) & token.rlike(KINDS[0][2])) | ((ip != "") & _octets(ip)) | card | token.rlike(r"^\+[0-9]")
 
 
+def _refused(token: Column, core: Column) -> Column:
+    """Whether a word has the form of a card or an address and fails the check. Of words that are entities this is not asked."""
+    return core.rlike("^[0-9](?:-?[0-9]){12,18}+$") | (F.regexp_extract(token, KINDS[1][2], 0) != "")
+
+
 def _letters(word: Column) -> Column:
     return F.regexp_replace(word, "[^a-z_]+", "")
 
@@ -178,7 +185,7 @@ def candidates(text: Column) -> tuple:
         two = F.when(within, last).otherwise(F.lower(F.regexp_extract(left, LAST_BUT_ONE, 1)))
         after = F.lower(F.regexp_extract(F.get(F.col("gaps"), i + 1), NEXT, 1))
         start = x["s"] + F.length(x["t"]) - F.length(right) + F.length(inner)
-        return F.struct(start.alias("s"), core.alias("core"), before.alias("before"), two.alias("two"), after.alias("after"), _label(before, two).alias("label"), _entity(x["t"]).alias("base"))
+        return F.struct(start.alias("s"), core.alias("core"), before.alias("before"), two.alias("two"), after.alias("after"), _label(before, two).alias("label"), _entity(x["t"]).alias("base"), _refused(x["t"], core).alias("refused"))
 
     def one(y: Column) -> Column:
         patterns = F.array_compact(F.array(
@@ -188,7 +195,7 @@ def candidates(text: Column) -> tuple:
             F.when(F.length(y["core"]) >= SHORTEST_SHAPE, F.xxhash64(F.lit("S"), _shape(y["core"]))),
         ))
         seed = y["base"] | y["label"].isin(*LABELS)
-        return F.struct(y["s"].alias("s"), (y["s"] + F.length(y["core"])).alias("e"), F.xxhash64(F.lower(y["core"])).alias("value"), patterns.alias("patterns"), y["base"].alias("base"), seed.alias("seed"))
+        return F.struct(y["s"].alias("s"), (y["s"] + F.length(y["core"])).alias("e"), F.xxhash64(F.lower(y["core"])).alias("value"), patterns.alias("patterns"), y["base"].alias("base"), seed.alias("seed"), (y["refused"] & ~seed).alias("refused"))
 
     return gaps, spans, parts, one
 
@@ -200,7 +207,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = base_spans(F.col("text"))
     gaps, spans, parts, one = candidates(F.col("text"))
     may = F.col("text").rlike("[0-9@]")
-    none = "array<struct<s:int,e:int,value:bigint,patterns:array<bigint>,base:boolean,seed:boolean>>"
+    none = "array<struct<s:int,e:int,value:bigint,patterns:array<bigint>,base:boolean,seed:boolean,refused:boolean>>"
     rows = rows.withColumn("gaps", F.when(may, gaps)).withColumn("found", F.when(may, spans)).withColumn("parts", F.transform("found", parts))
     cand = F.coalesce(F.transform(F.filter("parts", lambda y: y["core"] != ""), one), F.array().cast(none))
     return rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *(c.alias(k) for k, c in base.items()), cand.alias("cand"), F.xxhash64("text").alias("text_hash"))
@@ -213,23 +220,23 @@ def _all_base() -> Column:
 def contextual_spans(scanned: DataFrame, scratch: Scratch, *, rounds: int = 3, support: int = 3, confidence: float = 0.75) -> DataFrame:
     """(rid, s, e) of candidates that strong patterns mark. scanned must be a written table."""
     each = scratch.save(scanned.filter(F.size("cand") > 0).select("rid", F.inline("cand")))
-    # Distinct pairs; a value is a seed, or a base entity, if any of its occurrences is one.
-    edges = each.select(F.explode("patterns").alias("pattern"), "value", "seed", "base").groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.max("base").alias("base"))
+    # Distinct pairs; a value is a seed, a base entity or refused if any of its occurrences is.
+    edges = each.select(F.explode("patterns").alias("pattern"), "value", "seed", "base", "refused").groupBy("pattern", "value").agg(*(F.max(c).alias(c) for c in ("seed", "base", "refused")))
     count = lambda c: F.sum(F.col(c).cast("long"))
     useful = edges.groupBy("pattern").agg(count("seed").alias("seeds"), count("base").alias("known"), F.count(F.lit(1)).alias("degree")).filter((F.col("seeds") >= support) & (F.col("degree") > F.col("known")))
     useful = scratch.save(useful.select("pattern"))
-    edges = scratch.save(edges.join(useful, "pattern", "left_semi").select("pattern", "value", "seed"))
-    scores = scratch.save(edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed")))
+    edges = scratch.save(edges.join(useful, "pattern", "left_semi").select("pattern", "value", "seed", "refused"))
+    scores = scratch.save(edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed"), F.max("refused").alias("refused")))
     strength = None
     for _ in range(rounds):
         mean = edges.select("pattern", "value").join(scores.select("value", "score"), "value").groupBy("pattern").agg(F.round(F.sum("score") / (F.count(F.lit(1)) + F.lit(1.0)), 9).alias("strength"))
         new = scratch.save(mean)
         risen = edges.select("pattern", "value").join(new, "pattern").groupBy("value").agg(F.round(F.avg("strength"), 9).alias("risen"))
-        risen = scratch.save(scores.join(risen, "value").select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("risen")).alias("score"), "seed"))
+        risen = scratch.save(scores.join(risen, "value").select("value", F.when(F.col("seed"), 1.0).when(F.col("refused"), 0.0).otherwise(F.col("risen")).alias("score"), "seed", "refused"))
         scratch.drop(scores, *([strength] if strength is not None else []))
         scores, strength = risen, new
     strong = scratch.save(strength.filter(F.col("strength") >= confidence).select("pattern"))
-    marked = each.filter("not base").select("rid", "s", "e", F.explode("patterns").alias("pattern")).join(strong, "pattern", "left_semi")
+    marked = each.filter("not base and not refused").select("rid", "s", "e", F.explode("patterns").alias("pattern")).join(strong, "pattern", "left_semi")
     return marked.select("rid", "s", "e").distinct()
 
 

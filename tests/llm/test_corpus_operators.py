@@ -275,7 +275,7 @@ W = r"[^\x20\x09-\x0D]"
 
 def ctx_brute(texts, rounds=3, support=3, confidence=0.75):
     """Spans by document, from the statement of the method: plain words, strings and dictionaries."""
-    seen, graph, seeds, known = [], {}, set(), set()
+    seen, graph, seeds, known, bad = [], {}, set(), set(), set()
     letters = lambda w: re.sub("[^a-z_]", "", w)
     for doc, text in enumerate(texts):
         words = [(m.start(), m[0]) for m in re.finditer(f"{W}+", text or "")]
@@ -301,6 +301,7 @@ def ctx_brute(texts, rounds=3, support=3, confidence=0.75):
             base |= 13 <= len(digits) <= 19 and luhn(digits)
             ip = re.search(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", word)
             base |= bool(ip) and all(int(x) <= 255 for x in ip[0].split("."))
+            refused = not base and label not in pii.LABELS and bool(ip or re.fullmatch("[0-9](-?[0-9]){12,18}", core))
             value, patterns = core.lower(), []
             if before and two:
                 patterns.append(("L", two, before))
@@ -312,22 +313,25 @@ def ctx_brute(texts, rounds=3, support=3, confidence=0.75):
                 mixed = re.fullmatch("[A-Za-z0-9]{12,}", core) and re.search("[0-9]", core) and re.search("[A-Za-z]", core)
                 patterns.append(("S", f"x{len(core)}" if mixed or len(core) > 64 else re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "9", core))))
             s = start + word.index(right) + len(inner) if right else start
-            seen.append((doc, s, s + len(core), base, patterns))
+            seen.append((doc, s, s + len(core), base or refused, patterns))
             for p in patterns:
                 graph.setdefault(p, set()).add(value)
                 if base or label in pii.LABELS:
                     seeds.add((p, value))
                 if base:
                     known.add((p, value))
+                if refused:
+                    bad.add((p, value))
     useful = {p: v for p, v in graph.items() if sum((p, x) in seeds for x in v) >= support and any((p, x) not in known for x in v)}
     seed = {x for p, v in useful.items() for x in v if (p, x) in seeds}
+    refused = {x for p, v in useful.items() for x in v if (p, x) in bad}
     score = {x: float(x in seed) for v in useful.values() for x in v}
     strength = {}
     for _ in range(rounds):
         strength = {p: sum(score[x] for x in v) / (len(v) + 1) for p, v in useful.items()}
         for x in score:
             own = [strength[p] for p, v in useful.items() if x in v]
-            score[x] = 1.0 if x in seed else sum(own) / len(own)
+            score[x] = 1.0 if x in seed else 0.0 if x in refused else sum(own) / len(own)
     out = {}
     for doc, s, e, base, patterns in seen:
         if not base and any(strength.get(p, 0) >= confidence for p in patterns):
@@ -337,7 +341,7 @@ def ctx_brute(texts, rounds=3, support=3, confidence=0.75):
 
 def test_pii_context_brute_force(spark):
     rng = random.Random(8)
-    some = ["ssn: 12-34-{}", "account no: {}{}", 'token = "ab{}cd{}"', "key={}x{}", "card 4111111111111111", "mail u{}@x.org now", "see 10.0.0.{} there", "call +4930{}5678 soon", "year {} was", "(id:{}{}9)", "ref {}aaaaaa{}aaaa##", "see host {} there"]
+    some = ["ssn: 12-34-{}", "account no: {}{}", 'token = "ab{}cd{}"', "key={}x{}", "card 4111111111111111", "mail u{}@x.org now", "see 10.0.0.{} there", "call +4930{}5678 soon", "year {} was", "(id:{}{}9)", "ref {}aaaaaa{}aaaa##", "see host {} there", "card 4111111111111112", "card 50{}{}1234123412", "see 10.0.0.3{} there", "pin: 41111111111111{}"]
     words_ = ["the", "a", "see", "mail", "Ref", "é"]
     texts = []
     for _ in range(150):
