@@ -50,14 +50,15 @@ def draw(doc_id: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """The columns of docs, and _id, _source, _size and _key."""
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", quality_col: str | None = None) -> DataFrame:
+    """The columns of docs, and _id, _source, _size and _key. quality_col: weights instead of those from the length of words; null and NaN count as 1, others as 0.001 at least."""
     text = F.col(text_col).cast("string")
+    weight = quality_weight(F.col("_size"), text) if quality_col is None else F.greatest(F.coalesce(F.nanvl(F.col(quality_col).cast("double"), F.lit(1.0)), F.lit(1.0)), F.lit(0.001))
     return (
         docs.withColumn("_id", F.col(id_col))
         .withColumn("_source", F.col(source_col))
         .withColumn("_size", word_count(text))
-        .withColumn("_key", -F.log(draw(F.col(id_col), seed)) / quality_weight(F.col("_size"), text))
+        .withColumn("_key", -F.log(draw(F.col(id_col), seed)) / weight)
     )
 
 

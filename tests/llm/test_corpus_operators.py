@@ -682,6 +682,11 @@ def test_mixing_targets(spark, docs):
     assert again == sorted(out, key=str)
     taken = sum(len((r.text or "").split()) for r in mixing.mixed_documents(df).collect())
     assert taken == sum(by.values())
+    # A column of weights: of one source's documents the heavy ones come first.
+    heavy = spark.createDataFrame([(i, "w " * 10, "a" if i < 40 else "b", 1000.0 if i % 2 else None) for i in range(80)], "doc_id long, text string, source string, q double")
+    part = {r.doc_id: r.taken for r in mixing.mix(heavy, quality_col="q", source_col="source").collect()}
+    extra = [i for i in range(40) if part[i] > min(part[j] for j in range(40))] or [i for i in range(40, 80) if part[i] > min(part[j] for j in range(40, 80))]
+    assert extra and sum(i % 2 for i in extra) >= len(extra) * 0.9 - 1
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(docs.limit(0)).count() == 0
 
 
