@@ -102,6 +102,14 @@ def same_species(a: Column, b: Column) -> Column:
     return two_words(a) == two_words(b)
 
 
+def subspecies_rule(lineage: Column, subspecies_level: bool) -> Column:
+    """Without subspecies where these do not count; where they do, a human without one gets the usual one."""
+    if not subspecies_level:
+        return without(lineage, "subspecies")
+    bare = (name_at(lineage, "species") == "Homo sapiens") & name_at(lineage, "subspecies").isNull()
+    return F.when(F.coalesce(bare, F.lit(False)), F.array_sort(F.concat(lineage, F.array(entry("subspecies", F.lit("Homo sapiens sapiens")))))).otherwise(lineage)
+
+
 def species_tag(species: Column, subspecies: Column, subspecies_level: bool) -> Column:
     """Subspecies where these count and there is one; a human is always the species."""
     if not subspecies_level:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,7 +87,7 @@ def display_order(homologues: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Quotas:
-    """Limits of the sequential scan, with the usual values. fill_in: 'balanced', 'all' or 'none'."""
+    """Limits of the sequential scan, with the usual values. fill_in: 'balanced', 'all' or 'none'. harddiversity: whether a query that misses a rank's quota is set aside."""
 
     significance: float = 0.1
     nrsignificant: int = 5
@@ -101,6 +102,7 @@ class Quotas:
     genera: int = 10
     minidentity: float = 0.0
     fill_in: str = "balanced"
+    harddiversity: bool = False
 
 
 RANKS = (("genus", "genera"), ("family", "families"), ("order", "orders"), ("class", "classes"), ("phylum", "phyla"))
@@ -193,7 +195,8 @@ def finish(state: dict, forced: list[dict], q: Quotas) -> list[tuple]:
                 break
             taken += add
     enough = sum(t["significance"] <= q.significance for t in taken) >= q.nrsignificant and len(taken) >= 3
-    status = "identity" if state["reason"] == "identity" else "ok" if enough else "too few"
+    alike = q.harddiversity and any(len({t[rank] for t in taken} - {None}) < getattr(q, quota) for rank, quota in RANKS)
+    status = "identity" if state["reason"] == "identity" else "too few" if not enough else "too alike" if alike else "ok"
     return [(state["query"], t["ord"], t["id"], i, t["round"], status, state["reason"]) for i, t in enumerate(taken, 1)]
 
 
@@ -205,31 +208,40 @@ def _hits_in(rows) -> list[dict]:
     return [{k: x[k] for k in _FIELDS} for x in rows] if rows is not None else []
 
 
-def select_homologues(hits: DataFrame, quotas: Quotas = Quotas(), most_hits: int = 200, *, forced: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+def select_homologues(hits: DataFrame | Callable[[DataFrame | None], DataFrame], quotas: Quotas = Quotas(), most_hits: int = 200, *, forced: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """Accepted hits of every query: query, ord, id, place, round, status, reason.
 
     hits: query, ord, id, score, significance, seq, species and the five ranks,
-    and identity where ``minidentity`` is to be asked for; all hits of a search
-    without limit. forced: the same for what is forced in. excluded: ids never
-    taken. Each round is a search without the names that a query has enough of:
-    its first ``most_hits`` hits, as a search returns no more. A query's state is
-    one row of bounded size; rounds go on while any query needs one, and each
-    must change what is left out, so there are at most a few more rounds than
-    ``alignmentlimit``.
+    and identity where ``minidentity`` is to be asked for. Either a table of all
+    hits, or a search: a function that gives the first ``most_hits`` hits of all
+    queries, or, for a table of query and names, of these queries without
+    records that bear one of the names. forced: the same for what is forced in.
+    excluded: ids never taken. Each round is a search without the names that a
+    query has enough of. A query's state is one row of bounded size; rounds go
+    on while any query needs one, and each must change what is left out, so
+    there are at most a few more rounds than ``alignmentlimit``.
     """
-    kept = hits if excluded is None else include_minus_exclude(hits, excluded, "id")
-    kept = cut(kept)
     ranks = [rank for rank, _ in RANKS]
-    number, order = 0, [F.col("ord"), F.col("id")]
+    order = [F.col("ord"), F.col("id")]
+    without_excluded = lambda x: x if excluded is None else include_minus_exclude(x, excluded, "id")
+    kept = None if callable(hits) else cut(without_excluded(hits))
+
+    def search(going: DataFrame | None) -> DataFrame:
+        if callable(hits):
+            return cut(without_excluded(hits(going)))
+        left = kept
+        if going is not None:
+            own = F.array_compact(F.array("species", *ranks))
+            left = kept.join(going, "query").filter(~F.arrays_overlap(own, "names")).drop("names")
+        return top(left, ["query"], order, most_hits)
+
+    number, first = 0, search(None)
     none = [F.array().cast(f"array<{HIT}>").alias("taken"), F.array().cast(f"array<{HIT}>").alias("spare"), F.lit(0.0).alias("best"), F.array().cast("array<string>").alias("names"), F.lit("").alias("reason")]
-    state = kept.select("query").distinct().select("query", *none)
+    state = first.select("query").distinct().select("query", *none)
     while True:
         going = state.filter("reason = ''")
-        left = kept
         if number:
-            own = F.array_compact(F.array("species", *ranks))
-            left = kept.join(going.select("query", "names"), "query").filter(~F.arrays_overlap(own, "names")).drop("names")
-        first = top(left, ["query"], order, most_hits)
+            first = search(going.select("query", "names"))
         at = number
 
         def step(key: tuple, now: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -254,7 +266,7 @@ def select_homologues(hits: DataFrame, quotas: Quotas = Quotas(), most_hits: int
             out += finish(row | {"taken": _hits_in(row["taken"]), "spare": _hits_in(row["spare"])}, _hits_in(extra), quotas)
         return pd.DataFrame(out, columns=["query", "ord", "id", "place", "round", "status", "reason"])
 
-    more = kept.limit(0) if forced is None else forced
+    more = first.limit(0) if forced is None else forced
     return state.groupBy("query").cogroup(more.select("query", "ord", "id", "significance", "seq", "species", *ranks).groupBy("query")).applyInPandas(end, SELECTED)
 
 
@@ -264,43 +276,46 @@ def _kmers(df: DataFrame, k: int) -> DataFrame:
     return df.select("id", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("seq"), i, F.lit(k))))).alias("kmers"))
 
 
-def kmer_search(queries: DataFrame, records: DataFrame, k: int = 8, most: int | None = 200, *, common: int = 1000, block: int = 4096) -> DataFrame:
-    """query, id, score (distinct k-mers in common), ord. Both: id, seq.
+def kmer_search(queries: DataFrame, records: DataFrame, k: int = 8, most: int = 200, *, common: int = 1000, block: int = 4096) -> DataFrame:
+    """query, id, score (distinct k-mers in common), ord: the best ``most`` records of each query. Both: id, seq.
+
+    Where queries have ``left_out`` and records have ``names``, both arrays, a
+    query does not see records that bear a name that it leaves out.
 
     K-mers of at most ``common`` records are joined. Those of more would join
     nearly everything with everything; they only count where a pair shares a
     rarer one, by intersecting the two sets of such pairs. A record that shares
     none with a query scores at most the number of the query's common k-mers, so
     a query whose last place scores more than that is done. The rest meets all
-    records in blocks, and only the best of each block leave it. Without
-    ``most`` every pair that shares a k-mer is returned, in blocks for all
-    queries that have a common one.
+    records in blocks, and only the best of each block leave it.
     """
     q, r = cut(_kmers(queries, k)), cut(_kmers(records, k))
+    bans = "left_out" in queries.columns and "names" in records.columns
     often = cut(r.select(F.explode("kmers").alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > common).select("kmer"))
     each = q.select(F.col("id").alias("query"), F.explode("kmers").alias("kmer"))
     rare = each.join(often, "kmer", "left_anti")
     pairs = rare.join(r.select("id", F.explode("kmers").alias("kmer")).join(often, "kmer", "left_anti"), "kmer").groupBy("query", "id").agg(F.count(F.lit(1)).alias("rare"))
+    if bans:
+        seen = pairs.join(queries.select(F.col("id").alias("query"), "left_out"), "query").join(records.select("id", "names"), "id")
+        pairs = seen.filter(~F.coalesce(F.arrays_overlap("names", "left_out"), F.lit(False))).drop("names", "left_out")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     if often.isEmpty():
-        scored = pairs.withColumnRenamed("rare", "score")
-        return _ranked(scored, w, most)
+        return _ranked(pairs.withColumnRenamed("rare", "score"), w, most)
     crowded = cut(each.join(often, "kmer").groupBy("query").agg(F.count(F.lit(1)).alias("bound")))
     whole = pairs.join(q.select(F.col("id").alias("query"), F.col("kmers").alias("_q")), "query").join(r.select("id", F.col("kmers").alias("_r")), "id")
     scored = cut(_ranked(whole.select("query", "id", F.size(F.array_intersect("_q", "_r")).cast("long").alias("score")), w, most))
-    if most is None:
-        done = scored.join(crowded, "query", "left_anti")
-        open_ = crowded.select("query")
-    else:
-        last = scored.filter(F.col("ord") == most).select("query", F.col("score").alias("last"))
-        open_ = crowded.join(last, "query", "left").filter(F.coalesce(F.col("last") <= F.col("bound"), F.lit(True))).select("query")
-        done = scored.join(open_, "query", "left_anti")
-    left = cut(q.join(open_, q["id"] == open_["query"], "left_semi"))
-    n, m = left.count(), r.count()
+    last = scored.filter(F.col("ord") == most).select("query", F.col("score").alias("last"))
+    open_ = cut(crowded.join(last, "query", "left").filter(F.coalesce(F.col("last") <= F.col("bound"), F.lit(True))).select("query"))
+    done = scored.join(open_, "query", "left_anti")
+    n, m = open_.count(), r.count()
     deal = lambda df, rows, name: df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows // block)))).cast("int"))
     over = lambda rows, name: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-rows // block)) - 1))).alias(name)
-    a = deal(left, n, "i").select("id", "kmers", "i", over(m, "j"))
-    b = deal(r, m, "j").select("id", "kmers", "j", over(n, "i"))
+    left = q.join(open_, q["id"] == open_["query"], "left_semi")
+    if bans:
+        left, r = left.join(queries.select("id", "left_out"), "id"), r.join(records.select("id", "names"), "id")
+    more = [c for c in ("left_out",) if bans], [c for c in ("names",) if bans]
+    a = deal(left, n, "i").select("id", "kmers", *more[0], "i", over(m, "j"))
+    b = deal(r, m, "j").select("id", "kmers", *more[1], "j", over(n, "i"))
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -310,12 +325,18 @@ def kmer_search(queries: DataFrame, records: DataFrame, k: int = 8, most: int |
             owner = np.repeat(np.arange(len(y)), y["kmers"].map(len))
             order = np.argsort(at, kind="stable")
             owner, start = owner[order], np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(known)))))
-            for ident, kmers in zip(x["id"], x["kmers"], strict=True):
+            bearers: dict[str, list[int]] = {}
+            for i, names in enumerate(y["names"] if bans else ()):
+                for name in names:
+                    bearers.setdefault(name, []).append(i)
+            for place, (ident, kmers) in enumerate(zip(x["id"], x["kmers"], strict=True)):
                 p = np.searchsorted(known, kmers)
                 p = p[(p < len(known)) & (known[np.minimum(p, len(known) - 1)] == kmers)]
                 score = np.bincount(np.concatenate([owner[start[i] : start[i + 1]] for i in p]), minlength=len(y)) if len(p) else np.zeros(len(y), int)
-                place = np.lexsort((np.arange(len(y)), -score))[:most]
-                out += [(ident, y["id"][i], int(score[i])) for i in place if score[i]]
+                for name in x["left_out"].iloc[place] if bans else ():
+                    score[bearers.get(name, [])] = 0
+                first = np.lexsort((np.arange(len(y)), -score))[:most]
+                out += [(ident, y["id"][i], int(score[i])) for i in first if score[i]]
         return pd.DataFrame(out, columns=["query", "id", "score"])
 
     kind = dict(queries.dtypes)["id"], dict(records.dtypes)["id"]
@@ -323,6 +344,6 @@ def kmer_search(queries: DataFrame, records: DataFrame, k: int = 8, most: int |
     return done.unionByName(_ranked(found, w, most))
 
 
-def _ranked(scored: DataFrame, w, most: int | None) -> DataFrame:
+def _ranked(scored: DataFrame, w, most: int) -> DataFrame:
     out = scored.select("query", "id", F.col("score").cast("long").alias("score")).withColumn("ord", F.row_number().over(w))
-    return out if most is None else out.filter(F.col("ord") <= most)
+    return out.filter(F.col("ord") <= most)

@@ -31,6 +31,7 @@ class AssignConfig:
     cutoffs: tuple[int, ...] = (95,)
     levels: tuple[str, ...] = L.MAIN
     minimaltaxonomy: int = 5
+    subspecieslevel: bool = False
     exclude: tuple[str, ...] = ()
     force_include: tuple[str, ...] = ()
     force_exclude: tuple[str, ...] = ()
@@ -57,10 +58,10 @@ def _prealigned(pairs: DataFrame) -> DataFrame:
 
 
 def _by_kmers(queries: DataFrame, records: DataFrame, config: AssignConfig) -> DataFrame:
-    return X.kmer_search(queries, records, config.kmer, None).withColumn("significance", F.lit(0.0))
+    return X.kmer_search(queries, records, config.kmer, config.most_hits).withColumn("significance", F.lit(0.0))
 
 
-#: A database gives query, id, score, significance and ord, all hits of every query, for queries and records with id and seq.
+#: A database gives query, id, score, significance and ord, the first hits of every query, for queries (id, seq, left_out) and records (id, seq, names): no records that bear a name that the query leaves out.
 PLUGINS = Plugins()
 PLUGINS.add("database", "kmer", _by_kmers)
 PLUGINS.add("alignment", "to-query", A.align_to_query)
@@ -85,7 +86,7 @@ def _identities(pairs: DataFrame) -> DataFrame:
 
 
 def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = AssignConfig()) -> dict[str, DataFrame]:
-    """queries: id, seq. records: id, seq, organism, lineage. Returns duplicates, hits, selected, clades, sisters, summary, posterior, failed.
+    """queries: id, seq. records: id, seq, organism, lineage. Returns duplicates, selected, clades, sisters, summary, posterior, failed.
 
     Each stage is a DataFrame; queries run in parallel all the way, and
     replicates of one query as well. Records with fewer levels than
@@ -95,23 +96,30 @@ def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = Assign
     all_ = T.first_of_equal(clean, "seq", ["id"], "id")
     unique = all_.filter("id = representative").select("id", S.ungapped(F.col("seq")).alias("seq"))
     by_id = unique.select(F.col("id").alias("query"), F.col("seq").alias("query_seq"))
-    records = records.filter(L.minimal(F.col("lineage"), config.minimaltaxonomy))
+    records = records.filter(L.minimal(F.col("lineage"), config.minimaltaxonomy)).withColumn("lineage", L.subspecies_rule(F.col("lineage"), config.subspecieslevel))
     if config.exclude:
         records = records.filter(~F.arrays_overlap(F.transform("lineage", lambda e: e["name"]), F.array(*map(F.lit, config.exclude))))
     level = {k: L.name_at(F.col("lineage"), k) for k in L.MAIN}
-    ranked = records.select("id", "seq", F.coalesce(level["species"], F.col("organism")).alias("species"), *(level[k].alias(k) for k in ("genus", "family", "order", "class", "phylum")))
-    found = PLUGINS.find("database", config.database)(unique, records.select("id", "seq"), config)
-    hits = cut(found.join(ranked, "id").withColumn("score", F.col("score").cast("double")))
+    ranked = records.select("id", "seq", F.coalesce(L.species_tag(level["species"], L.name_at(F.col("lineage"), "subspecies"), config.subspecieslevel), F.col("organism")).alias("species"), *(level[k].alias(k) for k in ("genus", "family", "order", "class", "phylum")))
+    names = F.array_compact(F.array("species", *(r for r, _ in X.RANKS)))
+    searched = cut(ranked.select("id", "seq", names.alias("names")))
     excluded = records.filter(F.col("id").isin(*config.force_exclude)).select("id") if config.force_exclude else None
-    if config.quotas.minidentity > 0:
-        others = hits.filter("id <> query") if excluded is None else X.include_minus_exclude(hits.filter("id <> query"), excluded, "id")
+
+    def search(going: DataFrame | None) -> DataFrame:
+        asked = unique.withColumn("left_out", F.array().cast("array<string>")) if going is None else unique.join(going.select(F.col("query").alias("id"), F.col("names").alias("left_out")), "id")
+        found = PLUGINS.find("database", config.database)(asked, searched, config).join(ranked, "id").withColumn("score", F.col("score").cast("double"))
+        if going is not None or not config.quotas.minidentity > 0:
+            return found.withColumn("identity", F.lit(None).cast("double"))
+        found = cut(found)
+        others = found.filter("id <> query") if excluded is None else X.include_minus_exclude(found.filter("id <> query"), excluded, "id")
         first = X.top(others, ["query"], [F.col("ord"), F.col("id")], 1).select("query", "id", "seq").join(by_id, "query")
-        hits = hits.join(_identities(first).select("query", "id", "identity"), ["query", "id"], "left")
+        return found.join(_identities(first).select("query", "id", "identity"), ["query", "id"], "left")
+
     forced = None
     if config.force_include:  # a list of the options, so a handful of records
         pairs = ranked.filter(F.col("id").isin(*config.force_include)).crossJoin(by_id).filter("id <> query")
         forced = _identities(pairs).filter(F.col("identity") >= config.forceidentity).withColumn("ord", F.lit(0)).withColumn("significance", F.lit(0.0))
-    selected = cut(X.select_homologues(hits, config.quotas, config.most_hits, forced=forced, excluded=excluded))
+    selected = cut(X.select_homologues(search, config.quotas, config.most_hits, forced=forced, excluded=excluded))
     chosen = selected.filter("status = 'ok'")
     pairs = chosen.join(records.select("id", "seq", "lineage"), "id").join(by_id, "query")
     aligned = PLUGINS.find("alignment", config.alignment)(pairs)
@@ -125,7 +133,6 @@ def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = Assign
     summary = R.summarise(R.consolidate(trees, config.levels, config.prune_level))
     return {
         "duplicates": all_.filter("id <> representative"),
-        "hits": hits,
         "selected": selected,
         "clades": clades,
         "sisters": chosen_sisters(sides),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.functions import sequence as S
+from cladewise.operators.rollup import bayes_factor
 
 
 def fasta_text(title: Column, seq: Column, width: int = 100) -> Column:
@@ -58,9 +59,12 @@ def newick(summary: DataFrame) -> DataFrame:
     return now.select("query", F.lit(";").alias("newick"))
 
 
-def ascii_tree(post: DataFrame) -> DataFrame:
-    """query, line_no order by path, line: indented names with their probability."""
+def ascii_tree(post: DataFrame, priors: DataFrame | None = None) -> DataFrame:
+    """query, path, line: indented names with their probability, in order of path, and with Bayes factors where priors (query, path, prior) are given."""
     line = F.concat(F.repeat(F.lit("    "), F.col("depth") - 1), F.lit("+"), F.col("name"), F.lit(" ("), F.col("level"), F.lit(") "), S.percent(F.col("prob")))
+    if priors is not None:
+        post = post.join(priors, ["query", "path"], "left")
+        line = F.concat(line, F.when(F.col("prior").isNotNull(), F.format_string(" bf: %.2f", bayes_factor(F.col("prob"), F.col("prior")))).otherwise(""))
     return post.select("query", "path", line.alias("line"))
 
 

@@ -240,19 +240,43 @@ def test_identity_stops_a_search(spark):
     assert {r.query for r in got} == {"b"} and {r.status for r in got} == {"ok"}
 
 
+def test_hard_diversity(spark):
+    rows = [{"query": q, "ord": i, "id": f"h{i}", "seq": "ACGT"[i] * 9, "species": f"s{i}", "score": 9.0, "significance": 0.0, "genus": f"g{i}", "family": "f", "order": "o", "class": "c", "phylum": f"p{i if q == 'a' else 0}"} for q in "ab" for i in range(4)]
+    df = spark.createDataFrame(pd.DataFrame(rows)).withColumn("ord", F.col("ord").cast("int"))
+    quotas = X.Quotas(nrsignificant=1, phyla=2, classes=1, orders=1, families=1, genera=3, harddiversity=True)
+    assert {(r.query, r.status) for r in X.select_homologues(df, quotas).collect()} == {("a", "ok"), ("b", "too alike")}
+
+
+def test_subspecies(spark):
+    rows = [lineage(genus="Homo", species="Homo sapiens"), lineage(species="A b", subspecies="A b c"), lineage(species="A b"), []]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], f"i int, lineage {L.ENTRY_ARRAY}")
+    names = lambda level: {r.i: [e["name"] for e in r.l] for r in df.select("i", L.subspecies_rule(F.col("lineage"), level).alias("l")).collect()}
+    assert names(False) == {0: ["Homo", "Homo sapiens"], 1: ["A b"], 2: ["A b"], 3: []}
+    assert names(True) == {0: ["Homo", "Homo sapiens", "Homo sapiens sapiens"], 1: ["A b", "A b c"], 2: ["A b"], 3: []}
+
+
 def test_kmer_search(spark):
     rng = random.Random(12)
     texts = [("COMMONPREFIX" if i % 3 else "") + "".join(rng.choices("ACGT", k=rng.choice([3, 9, 30]))) for i in range(150)]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, seq string")
     sets = [{t[j : j + 6] for j in range(max(1, len(t) - 5))} for t in texts]
     scores = {(a, b): len(x & y) for a, x in enumerate(sets) for b, y in enumerate(sets) if x & y}
-    for most, common, block in ((7, 10, 40), (7, 1000, 4096), (None, 10, 33), (3, 2, 64)):
+    for most, common, block in ((7, 10, 40), (7, 1000, 4096), (150, 10, 33), (3, 2, 64)):
         got = {(r.query, r.id): (r.score, r.ord) for r in X.kmer_search(rows, rows, 6, most, common=common, block=block).collect()}
         want = {}
         for a in range(150):
             best = sorted((-n, b) for (x, b), n in scores.items() if x == a)[:most]
             want |= {(a, b): (-n, i) for i, (n, b) in enumerate(best, 1)}
         assert got == want
+    banned = rows.select("id", "seq", F.array(F.concat(F.lit("n"), (F.col("id") % 5).cast("string")), F.lit("n1")).alias("left_out"))
+    named = rows.select("id", "seq", F.array(F.concat(F.lit("n"), (F.col("id") % 7).cast("string"))).alias("names"))
+    for common in (3, 1000):
+        got = {(r.query, r.id): (r.score, r.ord) for r in X.kmer_search(banned, named, 6, 4, common=common, block=50).collect()}
+        want = {}
+        for a in range(150):
+            best = sorted((-n, b) for (x, b), n in scores.items() if x == a and b % 7 not in (a % 5, 1))[:4]
+            want |= {(a, b): (-n, i) for i, (n, b) in enumerate(best, 1)}
+        assert got == want
 
 
 def planted(rng, leaves_):
@@ -383,6 +407,9 @@ def test_sinks(spark, tmp_path):
     assert sinks.newick(s).first().newick == "((G_a,G_b),H_c);" or sinks.newick(s).first().newick == "(H_c,(G_a,G_b));"
     lines = sinks.ascii_tree(R.posteriors(s, R.tree_counts(trees))).orderBy("path").collect()
     assert lines[0].line == "+G (genus) 67%" and lines[1].line.startswith("    +G a")
+    priors = spark.createDataFrame([("q", "genus:G", 0.5)], "query string, path string, prior double")
+    lines = sinks.ascii_tree(R.posteriors(s, R.tree_counts(trees)), priors).orderBy("path").collect()
+    assert lines[0].line == "+G (genus) 67% bf: 2.00" and "bf" not in lines[1].line
     sinks.write_table(df.select("title"), str(tmp_path / "tsv"))
     assert files.table(spark, str(tmp_path / "tsv")).first().title == "t"
 
