@@ -150,13 +150,14 @@ def near_forest(signs: np.ndarray, known: np.ndarray, at_least: float, side: np.
     return links
 
 
-def dealt(rows: DataFrame, by: str, block: int) -> DataFrame:
+def dealt(rows: DataFrame, by: str, block: int, scratch: Scratch) -> DataFrame:
     """rows (by, node, open and others) for tasks (by, i, j), with side 0 or 1: every row stands in a block i of its group, every open one in a block j of the open ones as well, and each i meets each j.
 
     rows must be a written table.
     """
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.count_if("open").alias("_m"))
-    blocks = sizes.select(by, F.ceil(F.col("_n") / block).cast("int").alias("_n"), F.ceil(F.col("_m") / block).cast("int").alias("_m"))
+    # Written, so that the join reads both sides from shuffles of their own and Spark may split a large group's rows.
+    blocks = scratch.save(sizes.select(by, F.ceil(F.col("_n") / block).cast("int").alias("_n"), F.ceil(F.col("_m") / block).cast("int").alias("_m")))
     x = rows.hint("merge").join(blocks, by).withColumn("_h", F.xxhash64("node"))
     place, every = lambda n: F.pmod(F.col("_h"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     zero = x.withColumn("i", place("_n")).withColumn("j", every("_m")).withColumn("side", F.lit(0))
@@ -173,7 +174,7 @@ def bucket_links(shared: DataFrame, sign: DataFrame, joined: DataFrame, at_least
     # Two classes have been compared already, as one of them is the least.
     apart = scratch.save(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).filter("n > 2 and some").select("band"))
     rows = scratch.save(rows.hint("merge").join(apart, "band", "left_semi"))
-    pairs = dealt(rows, "band", block).hint("merge").join(sign, "node")
+    pairs = dealt(rows, "band", block, scratch).hint("merge").join(sign, "node")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         signs = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
@@ -270,10 +271,10 @@ def confirmed_links(sets: DataFrame, percent: int, block: int, scratch: Scratch)
     parts = components(links, scratch).select("node", F.col("component").alias("_c"))
     parts = scratch.save(large.hint("merge").join(parts.hint("merge"), "node", "left").select("grp", "node", F.coalesce("_c", "node").alias("known")))
     most = parts.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    open_ = parts.join(most.filter("parts > 1").select("grp", "main"), "grp").select("grp", F.col("node").alias("_node"), "known", (F.col("known") != F.col("main")).alias("open"))
-    open_ = scratch.save(open_.distinct())
-    rows = scratch.save(open_.withColumnRenamed("_node", "node"))
-    again = dealt(rows, "grp", block).hint("merge").join(sets.select("node", "items"), "node")
+    most = scratch.save(most.filter("parts > 1").select("grp", "main"))
+    rows = parts.join(most, "grp").select("grp", "node", "known", (F.col("known") != F.col("main")).alias("open"))
+    rows = scratch.save(rows.distinct())
+    again = dealt(rows, "grp", block, scratch).hint("merge").join(sets.select("node", "items"), "node")
     return links.unionByName(again.groupBy("grp", "i", "j").applyInPandas(link, "a long, b long"))
 
 
