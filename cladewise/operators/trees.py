@@ -20,50 +20,57 @@ for _i, _c in enumerate("ACGT", 1):
 TRIES = 10
 
 
-def k2p_matrix(columns: np.ndarray) -> np.ndarray | None:
-    """Kimura distances of the rows of a matrix of bases (1 to 4, 0 unknown); None if some pair has too few bases."""
-    n = len(columns)
-    out = np.zeros((n, n))
-    for i in range(n):
-        known = (columns[i] > 0) & (columns[i + 1 :] > 0)
-        a, b = columns[i], columns[i + 1 :]
-        size = known.sum(1)
-        if len(size) and size.min() < LEAST_ALIGNED:
-            return None
-        differ = known & (a != b)
-        same_kind = (a % 2) == (b % 2)  # A and G are 1 and 3, C and T are 2 and 4
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p, q = (differ & same_kind).sum(1) / size, (differ & ~same_kind).sum(1) / size
-            x, y = 1 - 2 * p - q, 1 - 2 * q
-            d = np.where((x <= 0) | (y <= 0), SATURATED, -0.5 * np.log(np.maximum(x, 1e-300)) - 0.25 * np.log(np.maximum(y, 1e-300)))
-        out[i, i + 1 :] = out[i + 1 :, i] = d
-    return out
+def indicators(columns: np.ndarray) -> np.ndarray:
+    """Of a matrix of bases (1 to 4 for A, C, G and T, 0 unknown): seven matrices of 0 and 1, for known, purine, pyrimidine and each base."""
+    kinds = (columns > 0, (columns == 1) | (columns == 3), (columns == 2) | (columns == 4), *(columns == i for i in (1, 2, 3, 4)))
+    return np.stack(kinds).astype(np.float32)
+
+
+def k2p_matrix(each: np.ndarray, times: np.ndarray) -> np.ndarray | None:
+    """Kimura distances of the rows from their indicators, each site counted so many times; None if some pair has too few bases. Counts are whole numbers, so products of matrices give them exactly."""
+    size, purine, pyrimidine, *same = (each * times.astype(np.float32)) @ each.transpose(0, 2, 1)
+    n = len(size)
+    off = ~np.eye(n, dtype=bool)
+    if n > 1 and size[off].min() < LEAST_ALIGNED:
+        return None
+    kind = purine + pyrimidine
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, q = ((kind - sum(same)) / size.astype(float)), ((size - kind) / size.astype(float))
+        x, y = 1 - 2 * p - q, 1 - 2 * q
+        d = np.where((x <= 0) | (y <= 0), SATURATED, -0.5 * np.log(np.maximum(x, 1e-300)) - 0.25 * np.log(np.maximum(y, 1e-300)))
+    return np.where(off, d, 0.0)
 
 
 def neighbour_joining(d: np.ndarray, names: list[str], constraints: list[frozenset[str]], rng: np.random.Generator) -> list[frozenset[str]]:
     """Clades of the tree, smallest first. Only pairs that break no constraint are joined; equal pairs are drawn from."""
-    d = d.astype(float).copy()
+    n = len(names)
+    every = np.zeros((2 * n, 2 * n))
+    every[:n, :n] = d
     nodes = [frozenset([x]) for x in names]
+    live, lower = np.arange(n), np.tri(n, dtype=bool)
     clades: list[frozenset[str]] = []
-    while len(nodes) > 3:
-        n = len(nodes)
-        q = (n - 2) * d - d.sum(0)[:, None] - d.sum(1)[None, :]
-        q[np.tril_indices(n)] = np.inf
+    while len(live) > 3:
+        n = len(live)
+        own = every[np.ix_(live, live)]
+        total = own.sum(0)
+        q = (n - 2) * own - total[:, None] - total[None, :]
+        q[lower[:n, :n]] = np.inf
         for i in range(n if constraints else 0):
             for j in range(i + 1, n):
-                u = nodes[i] | nodes[j]
+                u = nodes[live[i]] | nodes[live[j]]
                 if any(u & c and not (u <= c or c <= u) for c in constraints):
                     q[i, j] = np.inf
-        if not np.isfinite(q).any():
+        least = q.min()
+        if not np.isfinite(least):
             break
-        at = np.argwhere(q <= q.min() + 1e-12)
-        i, j = at[rng.integers(len(at))]
-        joined = nodes[i] | nodes[j]
-        rest = [k for k in range(n) if k not in (i, j)]
-        to = (d[i, rest] + d[j, rest] - d[i, j]) / 2
-        d = np.block([[d[np.ix_(rest, rest)], to[:, None]], [to[None, :], np.zeros((1, 1))]])
-        nodes = [nodes[k] for k in rest] + [joined]
-        clades.append(joined)
+        at = np.argwhere(q <= least + 1e-12)
+        i, j = at[rng.integers(len(at))] if len(at) > 1 else at[0]
+        rest = np.delete(live, (i, j))
+        new = len(nodes)
+        every[new, rest] = every[rest, new] = (every[live[i], rest] + every[live[j], rest] - own[i, j]) / 2
+        nodes.append(nodes[live[i]] | nodes[live[j]])
+        clades.append(nodes[new])
+        live = np.append(rest, new)
     return clades
 
 
@@ -94,9 +101,10 @@ def bootstrap_clades(aligned: DataFrame, replicates: int = 100, constraints: Dat
             for query, rep, rows, sets in zip(pdf["query"], pdf["rep"], pdf["rows"], pdf["sets"], strict=True):
                 names = [r["name"] for r in rows]
                 columns = np.stack([_CODE[np.frombuffer(r["aligned"].upper().encode("ascii", "replace"), np.uint8)] for r in rows])
+                each, sites = indicators(columns), columns.shape[1]
                 rng, d = _rng(seed, query, rep), None
                 for _ in range(TRIES):
-                    d = k2p_matrix(columns[:, rng.integers(columns.shape[1], size=columns.shape[1])])
+                    d = k2p_matrix(each, np.bincount(rng.integers(sites, size=sites), minlength=sites))
                     if d is not None:
                         break
                 if d is None:  # no draw gave distances of all pairs

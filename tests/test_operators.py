@@ -58,7 +58,16 @@ def test_k2p(spark):
     p, q = 2 / 40, 1 / 40
     assert got[0] == pytest.approx(-0.5 * log(1 - 2 * p - q) - 0.25 * log(1 - 2 * q)) and got[1:] == [S.SATURATED, None, 0.0]
     code = lambda s: [("ACGT".find(c) + 1) for c in s]
-    assert N.k2p_matrix(np.array([code(a), code(b)], np.uint8))[0, 1] == pytest.approx(got[0])
+    assert N.k2p_matrix(N.indicators(np.array([code(a), code(b)], np.uint8)), np.ones(40, int))[0, 1] == pytest.approx(got[0])
+    rng = np.random.default_rng(3)
+    rows = np.where(rng.random((6, 90)) < 0.2, rng.integers(0, 5, (6, 90)), rng.integers(1, 5, 90)).astype(np.uint8)
+    times = np.bincount(rng.integers(90, size=90), minlength=90)
+    letters = ["".join("NACGT"[c] for c in np.repeat(r, times)) for r in rows]
+    df = spark.createDataFrame([(i, j, letters[i], letters[j]) for i in range(6) for j in range(6) if i != j], "i int, j int, a string, b string")
+    want = {(r.i, r.j): r.d for r in df.select("i", "j", S.substitutions(F.col("a"), F.col("b")).alias("s")).select("i", "j", S.k2p(F.col("s.aligned"), F.col("s.transitions"), F.col("s.transversions")).alias("d")).collect()}
+    d = N.k2p_matrix(N.indicators(rows), times)
+    assert all(d[x] == pytest.approx(want[x]) for x in want) and not d.diagonal().any()
+    assert N.k2p_matrix(N.indicators(rows[:, :10]), np.ones(10, int)) is None
 
 
 def brute_align(a, b):
