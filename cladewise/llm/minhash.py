@@ -248,34 +248,55 @@ def full_sets(docs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(sets, "node long, grp long, items binary")
 
 
+def _stars(nodes: np.ndarray, links: list[tuple[int, int]], centre: int) -> list[tuple[int, int]]:
+    """The components of links as stars (label, node): around the centre where it belongs to one, else around its least node."""
+    root = {int(x): int(x) for x in nodes}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in links:
+        p, q = sorted((find(a), find(b)), key=lambda x: (x != centre, x))
+        root[q] = p
+    return [(find(x), x) for x in root if find(x) != x]
+
+
 def confirmed_links(sets: DataFrame, percent: int, block: int, scratch: Scratch) -> DataFrame:
-    """Spanning links (a, b) of the true components. sets: node, grp, items, a written table; an equal row may stand twice."""
+    """Links (a, b) that span the true components. sets: node, grp, items, a written table; an equal row may stand twice."""
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = ["node", "side"] if "side" in pdf else ["node"]
-        pdf = pdf.sort_values(by).drop_duplicates(by)
+    def in_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node").drop_duplicates("node")
+        nodes = pdf["node"].to_numpy()
+        links = forest([np.frombuffer(x, np.uint64) for x in pdf["items"]], nodes, percent)
+        return pd.DataFrame(_stars(nodes, links, int(pdf["least"].iloc[0])), columns=["a", "b"], dtype="int64")
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["node", "side"]).drop_duplicates(["node", "side"])
         items = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
-        extra = (pdf["known"].to_numpy(), pdf["side"].to_numpy()) if "side" in pdf else ()
-        return pd.DataFrame(forest(items, pdf["node"].to_numpy(), percent, *extra), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(forest(items, pdf["node"].to_numpy(), percent, pdf["known"].to_numpy(), pdf["side"].to_numpy()), columns=["a", "b"], dtype="int64")
 
     sizes = scratch.save(sets.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("node").alias("least")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     place = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    in_blocks = sets.hint("merge").join(sizes, "grp").select("grp", F.explode(place).alias("i"), "node", "items")
-    links = scratch.save(in_blocks.groupBy("grp", "i").applyInPandas(link, "a long, b long"))
+    blocks = sets.hint("merge").join(sizes, "grp").select("grp", "least", F.explode(place).alias("i"), "node", "items")
+    # Dealt out anew: by the join's key alone all blocks of a group would be in one task.
+    links = scratch.save(blocks.repartition("grp", "i").groupBy("grp", "i").applyInPandas(in_block, "a long, b long"))
 
-    # Groups of one block are done.
-    large = scratch.save(sets.hint("merge").join(sizes.filter("blocks > 1").select("grp"), "grp", "left_semi").select("grp", "node"))
+    # Groups of one block are done. Blocks share no other class than the least, so stars of blocks are components.
+    large = scratch.save(sets.hint("merge").join(sizes.filter("blocks > 1").select("grp"), "grp", "left_semi").select("grp", "node").distinct())
     if large.isEmpty():
         return links
-    parts = components(links, scratch).select("node", F.col("component").alias("_c"))
-    parts = scratch.save(large.hint("merge").join(parts.hint("merge"), "node", "left").select("grp", "node", F.coalesce("_c", "node").alias("known")))
+    parts = large.hint("merge").join(links.select(F.col("b").alias("node"), "a").hint("merge"), "node", "left").select("grp", "node", F.coalesce("a", "node").alias("known"))
+    parts = scratch.save(parts)
     most = parts.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.count(F.lit(1)).alias("parts"))
     most = scratch.save(most.filter("parts > 1").select("grp", "main"))
-    rows = parts.join(most, "grp").select("grp", "node", "known", (F.col("known") != F.col("main")).alias("open"))
-    rows = scratch.save(rows.distinct())
+    if most.isEmpty():
+        return links
+    rows = scratch.save(parts.join(most, "grp").select("grp", "node", "known", (F.col("known") != F.col("main")).alias("open")))
     again = dealt(rows, "grp", block, scratch).hint("merge").join(sets.select("node", "items"), "node")
-    return links.unionByName(again.groupBy("grp", "i", "j").applyInPandas(link, "a long, b long"))
+    return links.unionByName(again.groupBy("grp", "i", "j").applyInPandas(between, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 512) -> DataFrame:
