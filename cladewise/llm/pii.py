@@ -10,16 +10,21 @@ word with ``=`` or ``:`` introduces. Candidates are words with a digit or an at
 sign, without the punctuation around them. Each has lexical patterns: the two
 words before it (L), the word before and the word after (B), the label that
 introduces it (N) and its shape, if it has eight characters or more (S).
-Patterns and candidate values form a bipartite graph of distinct pairs. In each
-round a pattern's confidence is the smoothed mean score of its values, and the
-score of a value that is no seed is the mean confidence of its patterns. A value
+Patterns and candidate values form a bipartite graph of distinct pairs. A
+pattern is admitted once ``support`` of its distinct values are known: seeds, or
+found in an earlier round with a score of at least ``confidence``. In each round
+an admitted pattern's confidence is the smoothed mean score of its values, and
+the score of a value that is no seed is the mean confidence of its admitted
+patterns. What patterns of seeds discover so admits further patterns, and these
+discover more. Rounds go on until none is admitted and no confidence has moved
+by more than ``settled``; patterns are only ever added, so they end. A value
 that has the form of a card or an address but fails the check is a
 counterexample, unless a label introduces it: it scores 0 and is not marked.
-Patterns that end with a high confidence and enough distinct seeds mark their
-candidates as ``ctx``, labelled or not, known as seeds or not. Patterns and
-values are 64-bit hashes in the graph, so that long words cost no more than
-others. The graph is aggregated before it is shuffled, nothing is collected,
-and each round's scores are written out.
+Patterns that end with a high confidence mark their candidates as ``ctx``,
+labelled or not, known as seeds or not. Patterns and values are 64-bit hashes in
+the graph, so that long words cost no more than others. The graph is aggregated
+before it is shuffled, nothing is collected, and each round's scores are
+written out.
 
 Offsets count code points; ends are exclusive. Defined results: a null or empty
 text has no spans; rows that repeat each have their own result; null ids and
@@ -217,24 +222,40 @@ def _all_base() -> Column:
     return F.concat(*(F.col(k) for k, _, _ in KINDS))
 
 
-def contextual_spans(scanned: DataFrame, scratch: Scratch, *, rounds: int = 3, support: int = 3, confidence: float = 0.75) -> DataFrame:
+def contextual_spans(scanned: DataFrame, scratch: Scratch, *, rounds: int = 3, support: int = 3, confidence: float = 0.75, settled: float = 0.02) -> DataFrame:
     """(rid, s, e) of candidates that strong patterns mark. scanned must be a written table."""
     each = scratch.save(scanned.filter(F.size("cand") > 0).select("rid", F.inline("cand")))
     # Distinct pairs; a value is a seed, a base entity or refused if any of its occurrences is.
     edges = each.select(F.explode("patterns").alias("pattern"), "value", "seed", "base", "refused").groupBy("pattern", "value").agg(*(F.max(c).alias(c) for c in ("seed", "base", "refused")))
+    edges = scratch.save(edges)
     count = lambda c: F.sum(F.col(c).cast("long"))
-    useful = edges.groupBy("pattern").agg(count("seed").alias("seeds"), count("base").alias("known"), F.count(F.lit(1)).alias("degree")).filter((F.col("seeds") >= support) & (F.col("degree") > F.col("known")))
-    useful = scratch.save(useful.select("pattern"))
-    edges = scratch.save(edges.join(useful, "pattern", "left_semi").select("pattern", "value", "seed", "refused"))
-    scores = scratch.save(edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed"), F.max("refused").alias("refused")))
-    strength = None
-    for _ in range(rounds):
-        mean = edges.select("pattern", "value").join(scores.select("value", "score"), "value").groupBy("pattern").agg(F.round(F.sum("score") / (F.count(F.lit(1)) + F.lit(1.0)), 9).alias("strength"))
-        new = scratch.save(mean)
-        risen = edges.select("pattern", "value").join(new, "pattern").groupBy("value").agg(F.round(F.avg("strength"), 9).alias("risen"))
-        risen = scratch.save(scores.join(risen, "value").select("value", F.when(F.col("seed"), 1.0).when(F.col("refused"), 0.0).otherwise(F.col("risen")).alias("score"), "seed", "refused"))
-        scratch.drop(scores, *([strength] if strength is not None else []))
-        scores, strength = risen, new
+    # Patterns that have something to find and values enough; so far each has the support of its seeds.
+    able = edges.groupBy("pattern").agg(count("seed").alias("seeds"), count("base").alias("known"), F.count(F.lit(1)).alias("degree")).filter((F.col("degree") >= support) & (F.col("degree") > F.col("known")))
+    able = scratch.save(able.select("pattern", "seeds"))
+    admitted = scratch.save(able.filter(F.col("seeds") >= support).select("pattern"))
+    live, score, strength, done, old = None, None, None, 0, ()
+    while True:
+        if live is None:  # the edges of admitted patterns, and what their values score
+            live = scratch.save(edges.join(admitted, "pattern", "left_semi").select("pattern", "value", "seed", "refused"))
+        start = F.when(F.col("seed"), 1.0).otherwise(0.0)
+        now = live.withColumn("score", start) if score is None else live.join(score, "value", "left").withColumn("score", F.coalesce("score", start))
+        mean = now.groupBy("pattern").agg(F.round(F.sum("score") / (F.count(F.lit(1)) + F.lit(1.0)), 9).alias("strength"))
+        new = scratch.save(mean if strength is None else mean.join(strength.withColumnRenamed("strength", "before"), "pattern", "left"))
+        # A value is a seed, or refused, everywhere if it is so in one place.
+        risen = live.join(new.select("pattern", "strength"), "pattern").groupBy("value").agg(F.round(F.avg("strength"), 9).alias("risen"), F.max("seed").alias("seed"), F.max("refused").alias("refused"))
+        risen = scratch.save(risen.select("value", F.when(F.col("seed"), 1.0).when(F.col("refused"), 0.0).otherwise(F.col("risen")).alias("score")))
+        moved = 1.0 if strength is None else new.agg(F.max(F.abs(F.col("strength") - F.coalesce("before", F.lit(0.0))))).first()[0] or 0.0
+        scratch.drop(*old)
+        old, score, strength, done = (risen, new), risen, new.select("pattern", "strength"), done + 1
+        # What has been found supports further patterns, as seeds do.
+        found = risen.filter(F.col("score") >= confidence).select("value")
+        extra = edges.filter(~F.col("seed")).join(found, "value", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("found"))
+        more = able.join(extra, "pattern").filter(F.col("seeds") + F.col("found") >= support).select("pattern")
+        more = scratch.save(more.join(admitted, "pattern", "left_anti"))
+        if not more.isEmpty():
+            admitted, live = scratch.save(admitted.unionByName(more)), None
+        elif done >= rounds and moved <= settled:
+            break
     strong = scratch.save(strength.filter(F.col("strength") >= confidence).select("pattern"))
     marked = each.filter("not base and not refused").select("rid", "s", "e", F.explode("patterns").alias("pattern")).join(strong, "pattern", "left_semi")
     return marked.select("rid", "s", "e").distinct()
@@ -261,13 +282,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; overlapping spans by the first one's."""
-    found = find(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), *(F.transform(k, _labelled(k)).alias(k) for k in ("email", "ip", "card", "phone", "ctx")))
+    found = find(docs, id_col, text_col, **options).select("doc_id", "text_hash", *(F.transform(k, _labelled(k)).alias(k) for k in ("email", "ip", "card", "phone", "ctx")))
     spans = F.sort_array(F.concat("email", "ip", "card", "phone", "ctx"))
-    some = found.select("_id", "_hash", spans.alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["_id", "_hash"])
-    text = F.col(text_col).cast("string")
+    some = found.select(F.col("doc_id").alias("_id"), "text_hash", spans.alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["_id", "text_hash"])
+    # A row is one column until the end, so no name of its columns matters.
+    text = F.col("text")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     may = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-    keyed = docs.filter(may).withColumn("_h", F.xxhash64(text))
-    joined = keyed.join(some, keyed[id_col].eqNullSafe(some["_id"]) & (keyed["_h"] == some["_hash"]), "left")
+    keyed = rows.filter(may).withColumn("hash", F.xxhash64("text"))
+    joined = keyed.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("text_hash")), "left")
 
     def step(a: Column, x: Column) -> Column:
         new = x["s"] >= a["at"]
@@ -275,8 +298,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), out.alias("out"))
 
     rest = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest))
-    return docs.filter(~may).unionByName(joined.withColumn(text_col, clean).select(docs.columns))
+    clean = F.when(F.col("spans").isNull(), text).otherwise(F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest))
+    fields = lambda new: [(new if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return rows.filter(~may).select(fields(text)).unionByName(joined.select(fields(clean)))
 
 
 def op4_contextual_pii(spark, sf_dir: str) -> DataFrame:
