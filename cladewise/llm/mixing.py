@@ -11,15 +11,18 @@ its quality weight. A source is taken whole as often as its target allows;
 the rest of the budget goes down its documents in order of key, and the last
 one of these is taken in part, so a source's words meet its target.
 
-No task sorts a whole source. Keys fall into about sqrt(n) bins of a source of
-n documents; sums of bins find the one bin in which the budget ends, and only
-that bin's documents are sorted. The tables of sources and bins are small and
-are written out; Spark broadcasts them if they are below its threshold.
+No task sorts a whole source. Keys fall into bins, sqrt(n) for each doubling of
+the key of a source of n documents: whatever the weights, a bin holds about a
+quarter of sqrt(n). Sums of bins find the one bin in which the budget ends, and
+only that bin's documents are sorted, alike ones (of one key, id and size) as
+one with a count. The tables of sources and bins are small and are written out;
+Spark broadcasts them if they are below its threshold.
 
 Defined results: a null text has size 0 and takes 0; null ids share one draw;
 repeated rows are taken as separate documents that happen to have one key (tied
-keys go by id, then size, then alike rows in any order); an empty table gives
-no rows; columns of other names are kept by ``apply_plan`` and do not matter.
+keys go by id, then size, then alike rows in order of the table); an empty
+table gives no rows; other columns, whatever their names, are kept by
+``mixed_documents`` and do not matter.
 """
 
 from __future__ import annotations
@@ -50,16 +53,13 @@ def draw(doc_id: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", quality_col: str | None = None) -> DataFrame:
-    """The columns of docs, and _id, _source, _size and _key. quality_col: weights instead of those from the length of words; null and NaN count as 1, others as 0.001 at least."""
-    text = F.col(text_col).cast("string")
-    weight = quality_weight(F.col("_size"), text) if quality_col is None else F.greatest(F.coalesce(F.nanvl(F.col(quality_col).cast("double"), F.lit(1.0)), F.lit(1.0)), F.lit(0.001))
-    return (
-        docs.withColumn("_id", F.col(id_col))
-        .withColumn("_source", F.col(source_col))
-        .withColumn("_size", word_count(text))
-        .withColumn("_key", -F.log(draw(F.col(id_col), seed)) / weight)
-    )
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", quality_col: str | None = None, whole: bool = False) -> DataFrame:
+    """rid, _id, _source, _size and _key of each row, and row, all of its columns, if ``whole``. quality_col: weights instead of those from the length of words; null and NaN count as 1, others as 0.001 at least."""
+    given = F.lit(None).cast("double") if quality_col is None else F.col(quality_col).cast("double")
+    rows = docs.select(*([F.struct("*").alias("row")] if whole else []), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).cast("string").alias("_text"), given.alias("_given"))
+    rows = rows.withColumn("_size", word_count(F.col("_text")))
+    weight = quality_weight(F.col("_size"), F.col("_text")) if quality_col is None else F.greatest(F.coalesce(F.nanvl("_given", F.lit(1.0)), F.lit(1.0)), F.lit(0.001))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), *(["row"] if whole else []), "_id", "_source", "_size", (-F.log(draw(F.col("_id"), seed)) / weight).alias("_key"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3) -> DataFrame:
@@ -86,7 +86,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
 
 def _bin(key: Column, bins: Column) -> Column:
-    return F.least(F.floor((F.lit(1.0) - F.exp(-key)) * bins), bins - 1)
+    """Ascends with the key; the logarithm of an exponential draw has a density of at most 0.26 for each doubling, and a weight only shifts it."""
+    return F.floor(F.log2(key) * bins)
 
 
 def plan(sizes: DataFrame, scratch: Scratch, **options) -> DataFrame:
@@ -100,20 +101,28 @@ def plan(sizes: DataFrame, scratch: Scratch, **options) -> DataFrame:
 
 
 def apply_plan(keyed: DataFrame, per_source: DataFrame) -> DataFrame:
-    """The rows of ``with_keys``, with source_size, target, epochs, part (words of the last, partial pass) and taken."""
+    """The rows of ``with_keys``, a written table, with source_size, target, epochs, part (words of the last, partial pass) and taken."""
+    own = ["rid", *(["row"] if "row" in keyed.columns else []), "_id", "_size", "source_size", "target", "epochs"]
     at = keyed.join(per_source, F.col("_source").eqNullSafe(F.col("_of")), "inner").withColumn("_bin", _bin(F.col("_key"), F.col("bins")))
     ends = F.coalesce(F.col("_bin") == F.col("last_bin"), F.lit(False))
-    whole = at.filter(~ends).withColumn("part", F.when(F.col("_bin") < F.col("last_bin"), F.col("_size")).otherwise(0).cast("long"))
-    order = Window.partitionBy("_of", "_bin").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    last = at.filter(ends).withColumn("part", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("budget") - F.col("before") - (F.sum("_size").over(order) - F.col("_size")))).cast("long"))
-    out = whole.unionByName(last)
-    return out.withColumn("taken", F.col("epochs") * F.col("_size") + F.col("part")).drop("_of", "_bin", "docs", "bins", "budget", "last_bin", "before")
+    whole = at.filter(~ends).select(*own, F.when(F.col("_bin") < F.col("last_bin"), F.col("_size")).otherwise(0).cast("long").alias("part"))
+    last, alike = at.filter(ends), ["_of", "_key", "_id", "_size"]
+    order = Window.partitionBy("_of").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    words = F.col("_size") * F.col("_n")
+    sums = last.groupBy(*alike).agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.sum(words).over(order) - words)
+    sums = sums.select(*(F.col(c).alias(f"{c}2") for c in alike), "_ahead")
+    nth = F.row_number().over(Window.partitionBy(*alike).orderBy("rid")) - 1
+    numbered = last.select("rid", *alike, "budget", "before").withColumn("_nth", nth).join(sums, [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in alike])
+    left = F.col("budget") - F.col("before") - F.col("_ahead") - F.col("_nth") * F.col("_size")
+    parts = numbered.select(F.col("rid").alias("_rid"), F.greatest(F.lit(0), F.least(F.col("_size"), left)).cast("long").alias("part"))
+    last = last.join(parts, F.col("rid") == F.col("_rid")).select(*own, "part")
+    return whole.unionByName(last).withColumn("taken", F.col("epochs") * F.col("_size") + F.col("part"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row."""
     scratch = Scratch(docs.sparkSession, "mix")
-    keyed = scratch.save(with_keys(docs, **options).select("_id", "_source", "_size", "_key"))
+    keyed = scratch.save(with_keys(docs, **options))
     out = apply_plan(keyed, plan(keyed, scratch))
     return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken")
 
@@ -122,15 +131,19 @@ PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs as the mix takes them: a row for each whole pass, and one with its first words for the partial pass."""
+    """docs as the mix takes them: a row for each whole pass, and one with its first words for the partial pass.
+
+    Rows are written once with their keys; a row is one column until the end, so no name of its columns matters.
+    """
     scratch = Scratch(docs.sparkSession, "mixed")
-    keyed = with_keys(docs, text_col=text_col, **options)
-    small = scratch.save(keyed.select("_id", "_source", "_size", "_key"))
-    taken = apply_plan(keyed, plan(small, scratch))
+    keyed = scratch.save(with_keys(docs, text_col=text_col, whole=True, **options))
+    taken = apply_plan(keyed, plan(keyed, scratch))
     passes = F.concat(F.array_repeat("_size", F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    rows = taken.withColumn("_words", F.explode(passes))
-    head = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(PIECE), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    return rows.withColumn(text_col, F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col(text_col))).select(docs.columns)
+    rows = taken.select("row", "_size", F.explode(passes).alias("_words"))
+    text = F.col("row").getField(text_col)
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    cut = F.when(F.col("_words") < F.col("_size"), head).otherwise(text)
+    return rows.select(*((cut if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
