@@ -163,25 +163,30 @@ def knn_join(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
             room -= size
     wanted = sorted(groups)
     chunk = chunk_rows or min(32768, max(512, -(-n // 48)))
+    each = np.array([len(groups[j]) for j in wanted])
+    listed = np.array([g for j in wanted for g in groups[j]], np.int64)
+    begins = np.cumsum(each) - each
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cell, d = batch.column(2).to_numpy(), batch.column(3).to_numpy()[:, None]
-            need = (low[cell][:, wanted] <= d) & (d <= high[cell][:, wanted])
-            to = [sorted({g for j in np.flatnonzero(row) for g in groups[wanted[j]]}) for row in need]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(to, pa.list_(pa.int32()))], ["id", "v", "groups"])
-
-    sent = data.mapInArrow(spread, "id long, v array<long>, groups array<int>").select(F.explode("groups").alias("grp"), "id", "v")
-    # As many chunks for a group as the data that its bounds let in ask for; a row for each group.
-    chunks = {r["grp"]: -(-r["n"] // chunk) for r in sent.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not chunks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    of_group = F.create_map(*(F.lit(x) for kv in sorted(chunks.items()) for x in kv))
-    left = sent.select("grp", F.pmod(F.xxhash64("id"), of_group[F.col("grp")]).alias("chunk"), "id", "v")
-    parts = F.create_map(*(F.lit(x) for i in wanted for x in (i, groups[i][0]))), F.create_map(*(F.lit(x) for i in wanted for x in (i, len(groups[i]))))
-    grp = (parts[0][F.col("cell")] + F.pmod(F.xxhash64("id", F.lit(seed)), parts[1][F.col("cell")])).cast("int")
-    asked = queries.select(grp.alias("grp"), "id", "v").filter(of_group[F.col("grp")].isNotNull())
-    right = asked.select("grp", F.explode(F.sequence(F.lit(0), of_group[F.col("grp")] - 1).cast("array<bigint>")).alias("chunk"), "id", "v")
+            row, j = np.nonzero((low[cell][:, wanted] <= d) & (d <= high[cell][:, wanted]))
+            # All groups of each cell that a row goes to, each group once.
+            times = each[j]
+            inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            to = np.unique(np.repeat(row, times) * (at + 1) + listed[np.repeat(begins[j], times) + inside])
+            ends = np.searchsorted(to, np.arange(batch.num_rows + 1) * (at + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((to % (at + 1)).astype(np.int32)))], ["id", "v", "groups"])
+
+    sent = scratch.save(data.mapInArrow(spread, "id long, v array<long>, groups array<int>").select(F.explode("groups").alias("grp"), "id", "v"))
+    # A row for each group: as many chunks as the data that its bounds let in ask for. And one for each cell: at most as many as pivots.
+    chunks = scratch.save(sent.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks")))
+    parts = spark.createDataFrame([(i, groups[i][0], len(groups[i])) for i in wanted], "cell int, first int, parts int")
+    left = sent.join(chunks, "grp").select("grp", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "v")
+    asked = queries.join(parts, "cell").select((F.col("first") + F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts"))).cast("int").alias("grp"), "id", "v")
+    right = asked.join(chunks, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "id", "v")
 
     def solve(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(q):
