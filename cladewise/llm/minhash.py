@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import forget_tokenizers, slices
@@ -349,12 +349,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that are not kept, and with one row for each id that is (which of several is any). Rows without id stay."""
+    """docs without those that are not kept, and with one row for each id that is: of several the one whose columns hash least, so reruns agree. Rows without id stay."""
     scratch = Scratch(docs.sparkSession, "dedup")
-    gone = scratch.save(near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    named = docs.filter(F.col(id_col).isNotNull())
-    kept = named.join(gone, named[id_col] == gone["_gone"], "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    gone = scratch.save(near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("id")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    kept = rows.join(gone, "id", "left_anti")
+    several = scratch.save(docs.select(F.col(id_col).alias("id")).filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"))
+    if not several.isEmpty():  # only these rows are dealt out by id and sorted
+        order = Window.partitionBy("id").orderBy(F.xxhash64("row"))
+        one = kept.join(several, "id", "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+        kept = kept.join(several, "id", "left_anti").unionByName(one)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

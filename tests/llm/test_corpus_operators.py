@@ -322,16 +322,24 @@ def ctx_brute(texts, rounds=3, support=3, confidence=0.75):
                     known.add((p, value))
                 if refused:
                     bad.add((p, value))
-    useful = {p: v for p, v in graph.items() if sum((p, x) in seeds for x in v) >= support and any((p, x) not in known for x in v)}
-    seed = {x for p, v in useful.items() for x in v if (p, x) in seeds}
-    refused = {x for p, v in useful.items() for x in v if (p, x) in bad}
-    score = {x: float(x in seed) for v in useful.values() for x in v}
-    strength = {}
-    for _ in range(rounds):
-        strength = {p: sum(score[x] for x in v) / (len(v) + 1) for p, v in useful.items()}
-        for x in score:
-            own = [strength[p] for p, v in useful.items() if x in v]
-            score[x] = 1.0 if x in seed else 0.0 if x in refused else sum(own) / len(own)
+    able = {p for p, v in graph.items() if len(v) >= support and any((p, x) not in known for x in v)}
+    admitted = {p for p in able if sum((p, x) in seeds for x in graph[p]) >= support}
+    score, strength, done = {}, {}, 0
+    while True:
+        new = {p: sum(score.get(x, float((p, x) in seeds)) for x in graph[p]) / (len(graph[p]) + 1) for p in admitted}
+        seed = {x for p in admitted for x in graph[p] if (p, x) in seeds}
+        refused = {x for p in admitted for x in graph[p] if (p, x) in bad}
+        own = {}
+        for p in admitted:
+            for x in graph[p]:
+                own.setdefault(x, []).append(new[p])
+        score = {x: 1.0 if x in seed else 0.0 if x in refused else sum(y) / len(y) for x, y in own.items()}
+        moved = max((abs(y - strength.get(p, 0)) for p, y in new.items()), default=0) if done else 1
+        strength, done = new, done + 1
+        more = {p for p in able - admitted if sum((p, x) in seeds or score.get(x, 0) >= confidence for x in graph[p]) >= support}
+        admitted |= more
+        if not more and done >= rounds and moved <= 0.02:
+            break
     out = {}
     for doc, s, e, base, patterns in seen:
         if not base and any(strength.get(p, 0) >= confidence for p in patterns):
@@ -359,6 +367,23 @@ def test_pii_context_brute_force(spark):
     assert found > 50
 
 
+def test_pii_discovers_from_what_it_found(spark):
+    """Mails stand in one context; codes share it, and stand in a second one where further codes do: two steps from any seed."""
+    code = lambda i: "".join(chr(97 + (i * 7 + 3 * j * j + j) % 26) for j in range(5)) + str(i)
+    rows = [f"please write u{i}@x.org today" for i in range(30)] + [f"please write {code(i)} today" for i in range(30)]
+    rows += [f"ask for {code(i)} there" for i in range(60)] + [f"room {i} was cold" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id for r in pii.find(df).collect() if r.ctx}
+    assert got == set(range(30, 120)) and set(ctx_brute(rows)) == got
+
+
+def test_redact_with_clashing_names(spark):
+    names = ["_hash", "_h", "_id", "_spans", "spans", "hash", "row", "text_hash", "email", "ctx", "rid", "value", "cand", "gaps", "found", "parts"]
+    df = spark.createDataFrame([(1, "mail a@b.org now", *names), (None, None, *names), (2, "plain", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = {r[0]: tuple(r)[1:] for r in pii.redact(df).collect()}
+    assert got == {1: ("mail [EMAIL] now", *names), None: (None, *names), 2: ("plain", *names)} and pii.redact(df).columns == df.columns
+
+
 def test_pii_finds_labelled_secrets(spark):
     """Values under a label are found, and others of the same shape without one; numbers of other shapes are left alone."""
     rng = random.Random(9)
@@ -472,6 +497,17 @@ def test_near_duplicates_odd(spark, docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_id_stays(spark):
+    """Of several rows of one id the same one stays, however the table is dealt out; rows without id all stay, and names do not clash."""
+    rows = [(1, "one two three four five six", "x"), (1, "one two three four five six", "y"), (1, "other words are here now too", "z"), (2, "one two three four five six", "x"), (None, None, "n"), (None, "a b", "n"), (3, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumns({"id": F.lit("i"), "nth": F.lit(7), "n": F.lit("m")})
+    first = sorted(map(tuple, minhash.drop_near_duplicates(df).collect()), key=str)
+    assert [r[0] for r in first].count(1) == 1 and [r[0] for r in first].count(None) == 2 and 2 not in [r[0] for r in first]
+    for n in (1, 3, 7):
+        assert sorted(map(tuple, minhash.drop_near_duplicates(df.repartition(n)).collect()), key=str) == first
+    assert minhash.drop_near_duplicates(df).columns == df.columns
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5), (None, 4)]
@@ -690,6 +726,35 @@ def test_mixing_targets(spark, docs):
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixed_documents_with_clashing_names(spark):
+    names = ["target", "docs", "epochs", "before", "source_size", "part", "_id", "_words", "_size", "_source", "_key", "row", "rid", "budget", "bins", "last_bin", "taken", "_bin", "_of", "_s", "_nth", "_n", "weight", "level"]
+    rows = [(i, "w " * (i % 9 + 1), "ab"[i % 3 == 0], *names) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    out = got.collect()
+    assert out and all(tuple(r)[3:] == tuple(names) for r in out)
+    plain = mixing.mixed_documents(df.select("doc_id", "text", "source")).collect()
+    assert sorted(tuple(r)[:3] for r in out) == sorted(tuple(r) for r in plain)
+    assert mixing.mix(df).count() == 60
+
+
+def test_mixing_with_heavy_weights_and_equal_rows(spark):
+    """Weights of any size leave no bin with most of a source's documents, and rows of one draw are taken in order until the budget ends."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("w w w").alias("text"), F.lit("a").alias("source"), F.lit(1000.0).alias("q"))
+    keyed = mixing.with_keys(df, quality_col="q").withColumn("bin", mixing._bin(F.col("_key"), F.lit(142)))
+    assert keyed.groupBy("bin").count().agg(F.max("count")).first()[0] < 120
+    rows = [(None, "w w w", "a")] * 900 + [(7, "w w", "a")] * 50 + [(None, "w", "a")] * 40 + [(1, "w " * 3000, "b")]
+    same = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(same).collect()
+    a = [r for r in out if r.doc_id != 1]
+    assert abs(sum(r.taken for r in a) - a[0].target) <= 1 and max(r.taken - 3 * r.size for r in out) <= 0
+    partial = [r for r in a if r.taken % r.size]
+    assert len(partial) <= 1 and sorted(map(tuple, mixing.mix(same.repartition(3)).collect()), key=str) == sorted(map(tuple, out), key=str)
+    texts = mixing.mixed_documents(same.filter("source = 'a'").unionByName(same.filter("source = 'b'"))).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n"))
+    assert {r.source: r.n for r in texts.collect()}["a"] == sum(r.taken for r in a)
+
+
 # 8, 10 -------------------------------------------------------------------------------------------
 
 
