@@ -41,81 +41,187 @@ def k2p_matrix(each: np.ndarray, times: np.ndarray) -> np.ndarray | None:
     return np.where(off, d, 0.0)
 
 
-def neighbour_joining(d: np.ndarray, names: list[str], constraints: list[frozenset[str]], rng: np.random.Generator) -> list[frozenset[str]]:
-    """Clades of the tree, smallest first. Only pairs that break no constraint are joined; equal pairs are drawn from."""
-    n = len(names)
+class Constraints:
+    """Groups of leaves that a tree must hold together. Leaves that are in no group join any other and do not count.
+
+    A node may stand if each group lies outside of it, holds it or is held by
+    it. Nodes never change, so a pair is looked at once, when its later node is
+    made: counts of a node's leaves in each group tell it.
+    """
+
+    def __init__(self, groups: np.ndarray) -> None:
+        """groups: a row of booleans over the leaves for each."""
+        self.groups = groups.astype(np.int16)
+        self.sizes = self.groups.sum(1)
+        self.free = ~groups.any(0) if len(groups) else np.ones(groups.shape[1], bool)
+        own = (~self.free).astype(np.int16)
+        inside = self.groups.T
+        self.leaves = self.fit(inside[:, None, :] + inside[None, :, :], own[:, None] + own[None, :])
+
+    def fit(self, inside: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether nodes with so many leaves in each group, and so many in any, may stand."""
+        return ((inside == 0) | (inside == self.sizes) | (inside == own[..., None])).all(-1)
+
+
+def joined_tree(d: np.ndarray, constraints: Constraints | None, rng: np.random.Generator) -> np.ndarray:
+    """Clades of the neighbour-joining tree, smallest first: a row of booleans over the leaves for each. Only allowed pairs are joined; equal pairs are drawn from."""
+    n = len(d)
     every = np.zeros((2 * n, 2 * n))
     every[:n, :n] = d
-    nodes = [frozenset([x]) for x in names]
-    live, lower = np.arange(n), np.tri(n, dtype=bool)
-    clades: list[frozenset[str]] = []
+    members = np.zeros((2 * n, n), bool)
+    members[:n] = np.eye(n, dtype=bool)
+    live, new = np.arange(n), n
+    wall = np.where(np.tri(2 * n, dtype=bool), np.inf, 0.0)  # a pair stands once, with the older node first
+    if constraints is not None:
+        wall[:n, :n][~constraints.leaves] = np.inf
+        inside = np.zeros((2 * n, len(constraints.sizes)), np.int16)
+        inside[:n] = constraints.groups.T
+        own = np.zeros(2 * n, np.int16)
+        own[:n] = ~constraints.free
     while len(live) > 3:
-        n = len(live)
-        own = every[np.ix_(live, live)]
-        total = own.sum(0)
-        q = (n - 2) * own - total[:, None] - total[None, :]
-        q[lower[:n, :n]] = np.inf
-        for i in range(n if constraints else 0):
-            for j in range(i + 1, n):
-                u = nodes[live[i]] | nodes[live[j]]
-                if any(u & c and not (u <= c or c <= u) for c in constraints):
-                    q[i, j] = np.inf
+        m = len(live)
+        pairs = np.ix_(live, live)
+        dist = every[pairs]
+        total = dist.sum(0)
+        q = (m - 2) * dist - total[:, None] - total[None, :] + wall[pairs]
         least = q.min()
         if not np.isfinite(least):
             break
         at = np.argwhere(q <= least + 1e-12)
         i, j = at[rng.integers(len(at))] if len(at) > 1 else at[0]
         rest = np.delete(live, (i, j))
-        new = len(nodes)
-        every[new, rest] = every[rest, new] = (every[live[i], rest] + every[live[j], rest] - own[i, j]) / 2
-        nodes.append(nodes[live[i]] | nodes[live[j]])
-        clades.append(nodes[new])
+        a, b = live[i], live[j]
+        every[new, rest] = every[rest, new] = (every[a, rest] + every[b, rest] - dist[i, j]) / 2
+        members[new] = members[a] | members[b]
+        if constraints is not None:
+            inside[new], own[new] = inside[a] + inside[b], own[a] + own[b]
+            wall[rest[~constraints.fit(inside[rest] + inside[new], own[rest] + own[new])], new] = np.inf
         live = np.append(rest, new)
-    return clades
+        new += 1
+    return members[n:new]
+
+
+def neighbour_joining(d: np.ndarray, names: list[str], constraints: list[frozenset[str]], rng: np.random.Generator) -> list[frozenset[str]]:
+    """Clades of the tree by name, smallest first."""
+    groups = np.array([[x in c for x in names] for c in constraints], bool).reshape(len(constraints), len(names))
+    found = joined_tree(d, Constraints(groups) if len(groups) else None, rng)
+    return [frozenset(names[i] for i in np.flatnonzero(row)) for row in found]
 
 
 def _rng(*key: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256("\x1f".join(map(str, key)).encode()).digest()[:8], "little"))
 
 
-CLADES = "query string, rep int, clade array<string>"
+def words_of(rows: np.ndarray) -> np.ndarray:
+    """Rows of booleans as 64-bit words; bit i of word w is column 64 * w + i."""
+    n = rows.shape[1]
+    wide = np.zeros((len(rows), -(-n // 64) * 64), bool)
+    wide[:, :n] = rows
+    return np.packbits(wide, axis=1, bitorder="little").view("<i8")
 
 
-def bootstrap_clades(aligned: DataFrame, replicates: int = 100, constraints: DataFrame | None = None, seed: int = 1) -> DataFrame:
-    """query, rep, clade (sorted names) for every clade of every replicate's tree; a replicate without a clade has one empty one.
+SPLITS = "query string, rep int, clades array<array<bigint>>"
+#: Replicates that one row of work stands for: an alignment is copied once for so many.
+TOGETHER = 50
+
+
+def leaf_names(members: DataFrame) -> DataFrame:
+    """query, names: the leaves in order of name; a leaf's place is its bit."""
+    return members.groupBy("query").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
-    aligned: query, name, aligned. constraints: query, members. The replicate
-    is part of the key, so replicates of one query run in parallel; its seed
-    comes from query and number alone.
+
+def bootstrap_splits(aligned: DataFrame, replicates: int = 100, constraints: DataFrame | None = None, seed: int = 1) -> DataFrame:
+    """query, rep, clades: the clades of every replicate's tree as bit sets over ``leaf_names``; none where no draw gave distances of all pairs.
+
+    aligned: query, name, aligned. constraints: query, members. Replicates of
+    one query run in parallel; each has a seed from query and number alone.
     """
-    whole = aligned.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("name", "aligned"))).alias("rows"))  # one alignment
+    whole = aligned.groupBy("query").agg(F.array_sort(F.collect_set(F.struct("name", "aligned"))).alias("rows"))  # one alignment
     if constraints is not None:
-        whole = whole.join(constraints.groupBy("query").agg(F.collect_list("members").alias("sets")), "query", "left")
+        whole = whole.join(constraints.groupBy("query").agg(F.collect_set("members").alias("sets")), "query", "left")
     else:
         whole = whole.withColumn("sets", F.lit(None).cast("array<array<string>>"))
-    tasks = whole.select("query", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"), "rows", "sets").repartition("query", "rep")
+    tasks = whole.select("query", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(TOGETHER))).alias("first"), "rows", "sets").repartition("query", "first")
 
     def run(batches):
         for pdf in batches:
             out = []
-            for query, rep, rows, sets in zip(pdf["query"], pdf["rep"], pdf["rows"], pdf["sets"], strict=True):
+            for query, first, rows, sets in zip(pdf["query"], pdf["first"], pdf["rows"], pdf["sets"], strict=True):
                 names = [r["name"] for r in rows]
                 columns = np.stack([_CODE[np.frombuffer(r["aligned"].upper().encode("ascii", "replace"), np.uint8)] for r in rows])
                 each, sites = indicators(columns), columns.shape[1]
-                rng, d = _rng(seed, query, rep), None
-                for _ in range(TRIES):
-                    d = k2p_matrix(each, np.bincount(rng.integers(sites, size=sites), minlength=sites))
-                    if d is not None:
-                        break
-                if d is None:  # no draw gave distances of all pairs
-                    out.append((query, rep, []))
-                    continue
-                fixed = sorted((frozenset(s) for s in (sets if sets is not None else ())), key=len)
-                found = neighbour_joining(d, names, fixed, rng)
-                out += [(query, rep, sorted(c)) for c in found] or [(query, rep, [])]
-            yield pd.DataFrame(out, columns=["query", "rep", "clade"])
-
-    return tasks.mapInPandas(run, CLADES)
+                groups = np.array([np.isin(names, list(s)) for s in (sets if sets is not None else ())], bool).reshape(-1, len(names))
+                fixed = Constraints(groups) if len(groups) else None
+                for rep in range(first, min(first + TOGETHER, replicates)):
+                    rng, d = _rng(seed, query, rep), None
+                    for _ in range(TRIES if sites else 0):
+                        d = k2p_matrix(each, np.bincount(rng.integers(sites, size=sites), minlength=sites))
+                        if d is not None:
+                            break
+                    out.append((query, rep, [] if d is None else words_of(joined_tree(d, fixed, rng)).tolist()))
+            yield pd.DataFrame(out, columns=["query", "rep", "clades"])
+
+    return tasks.mapInPandas(run, SPLITS)
+
+
+def _has(clade: Column, i: Column) -> Column:
+    return F.get(clade, F.floor(i / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (i % 64).cast("int"))) != 0
+
+
+def named(clade: Column, names: Column) -> Column:
+    """The names of a bit set's leaves, in order."""
+    return F.filter(names, lambda x, i: _has(clade, i))
+
+
+def bits_of(members: Column, names: Column) -> Column:
+    """The bit set of some of the names."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), (i % 64).cast("int"))
+    word = lambda w: F.aggregate(F.sequence(w * 64, F.least(w * 64 + 63, F.size(names) - 1)), F.lit(0).cast("bigint"), lambda a, i: F.when(F.array_contains(members, F.get(names, i)), a.bitwiseOR(bit(i))).otherwise(a))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(names) - 1) / 64).cast("int")), word)
+
+
+def size_of(clade: Column) -> Column:
+    return F.aggregate(clade, F.lit(0), lambda a, w: a + F.bit_count(w))
+
+
+def within(a: Column, b: Column) -> Column:
+    """Whether one bit set is part of another."""
+    return F.forall(F.zip_with(a, b, lambda x, y: x.bitwiseAND(F.bitwise_not(y)) == 0), lambda x: x)
+
+
+def minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
+
+
+def apart(a: Column, b: Column) -> Column:
+    """Whether two bit sets have nothing in common."""
+    return F.forall(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y) == 0), lambda x: x)
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Whether two clades can stand in one rooted tree."""
+    return apart(a, b) | within(a, b) | within(b, a)
+
+
+CLADES = "query string, rep int, clade array<string>"
+
+
+def split_names(splits: DataFrame, leaves: DataFrame) -> DataFrame:
+    """query, rep, clade (sorted names), a row for each clade; a tree without a clade has one empty one. leaves: query, names."""
+    none = F.array(F.array().cast("array<bigint>"))
+    each = splits.join(leaves, "query").select("query", "rep", "names", F.explode(F.when(F.size("clades") > 0, F.col("clades")).otherwise(none)).alias("c"))
+    return each.select("query", "rep", F.when(F.size("c") > 0, named(F.col("c"), F.col("names"))).otherwise(F.array().cast("array<string>")).alias("clade"))
+
+
+def as_splits(clades: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The other way round: query, rep, clades. clades: query, rep, clade (names)."""
+    bits = F.when(F.size("clade") > 0, bits_of(F.col("clade"), F.col("names")))
+    return clades.join(leaves, "query").select("query", "rep", bits.alias("c")).groupBy("query", "rep").agg(F.array_sort(F.collect_set("c")).alias("clades"))
+
+
+def bootstrap_clades(aligned: DataFrame, replicates: int = 100, constraints: DataFrame | None = None, seed: int = 1) -> DataFrame:
+    """``bootstrap_splits`` by name: query, rep, clade, a row for each clade."""
+    return split_names(bootstrap_splits(aligned, replicates, constraints, seed), leaf_names(aligned))
 
 
 def clade_support(clades: DataFrame, replicates: int) -> DataFrame:
@@ -133,20 +239,25 @@ def complementary(a: Column, b: Column, every: Column) -> Column:
     return ~F.arrays_overlap(a, b) & (F.size(F.array_union(a, b)) == F.size(F.array_distinct(every)))
 
 
-def sister_groups(clades: DataFrame, members: DataFrame, leaf: str = "query_leaf") -> DataFrame:
-    """query, rep, sister: the names beside the query's leaf, one side for each of its two rootings.
+def sister_sets(splits: DataFrame, leaves: DataFrame) -> DataFrame:
+    """query, rep, side, sister (bit set): what stands beside the query's leaf, one side for each of its two rootings. Nothing is shuffled but a row for each query.
 
     With the leaf's least clade C, one rooting makes the rest of C the sister
-    group; the other makes it what is outside C. members: query, name, and
-    ``query_leaf``, the name of the query's own leaf.
+    group; the other makes it what is outside C. Trees have no root: a clade is
+    one side of a split. leaves: query, names, leaf (the query's own).
     """
-    names = members.groupBy("query").agg(F.sort_array(F.collect_set("name")).alias("names"), F.first(leaf).alias("leaf"))
-    around = F.when(F.array_contains("clade", F.col("leaf")), F.col("clade")).otherwise(F.array_except("names", F.col("clade")))  # trees have no root: a clade is one side of a split
-    has = clades.filter(F.size("clade") > 0).join(names, "query").withColumn("clade", F.sort_array(around)).filter(F.size("clade") > 1)
-    least = has.groupBy("query", "rep").agg(F.min_by("clade", F.struct(F.size("clade"), F.array_join("clade", ","))).alias("clade"), F.first("names").alias("names"), F.first("leaf").alias("leaf"))
-    own = F.array(F.col("leaf"))
-    side = F.array(F.array_except("clade", own), F.array_except("names", F.col("clade")))
-    return least.select("query", "rep", F.posexplode(side).alias("side", "sister"))
+    per = leaves.select("query", F.size("names").alias("n"), bits_of(F.col("names"), F.col("names")).alias("every"), bits_of(F.array("leaf"), F.col("names")).alias("own"))
+    around = F.transform("clades", lambda c: F.when(apart(c, F.col("own")), minus(F.col("every"), c)).otherwise(c))
+    least = F.array_min(F.transform(F.filter(around, lambda c: size_of(c) > 1), lambda c: F.struct(size_of(c).alias("n"), c.alias("c"))))["c"]
+    found = splits.join(per, "query").withColumn("c", least).filter("c is not null")
+    return found.select("query", "rep", F.posexplode(F.array(minus(F.col("c"), F.col("own")), minus(F.col("every"), F.col("c")))).alias("side", "sister"))
+
+
+def sister_groups(clades: DataFrame, members: DataFrame, leaf: str = "query_leaf") -> DataFrame:
+    """``sister_sets`` by name: query, rep, side, sister. clades: query, rep, clade. members: query, name, and ``query_leaf``, the name of the query's own leaf."""
+    leaves = leaf_names(members).join(members.groupBy("query").agg(F.min(leaf).alias("leaf")), "query")
+    found = sister_sets(as_splits(clades, leaves), leaves)
+    return found.join(leaves, "query").select("query", "rep", "side", named(F.col("sister"), F.col("names")).alias("sister"))
 
 
 def sister_occurrence(sisters: DataFrame) -> DataFrame:

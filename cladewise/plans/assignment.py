@@ -39,7 +39,7 @@ class AssignConfig:
     database: str = "kmer"
     alignment: str = "to-query"
     assignment: str = "neighbour-joining"
-    constrained: bool = False
+    constrained: bool = True
     seed: int = 1
 
     def __post_init__(self) -> None:
@@ -66,7 +66,7 @@ PLUGINS = Plugins()
 PLUGINS.add("database", "kmer", _by_kmers)
 PLUGINS.add("alignment", "to-query", A.align_to_query)
 PLUGINS.add("alignment", "prealigned", _prealigned)
-PLUGINS.add("assignment", "neighbour-joining", lambda aligned, sets, config: N.bootstrap_clades(aligned, config.replicates, sets, config.seed))
+PLUGINS.add("assignment", "neighbour-joining", lambda aligned, sets, config: N.bootstrap_splits(aligned, config.replicates, sets, config.seed))
 
 
 def database_records(spark: SparkSession, name: str) -> DataFrame:
@@ -134,7 +134,7 @@ def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = Assign
     return {
         "duplicates": all_.filter("id <> representative"),
         "selected": selected,
-        "clades": clades,
+        "clades": N.split_names(clades, N.leaf_names(rows)) if "clades" in clades.columns else clades,
         "sisters": chosen_sisters(sides),
         "summary": summary,
         "posterior": R.posteriors(summary, R.tree_counts(trees)),
@@ -159,13 +159,19 @@ def reports(out: dict[str, DataFrame], names: DataFrame, config: AssignConfig =
     }
 
 
+def set_lineages(sets: DataFrame, leaves: DataFrame, rows: DataFrame) -> DataFrame:
+    """query, sister, lineage: what the leaves of each distinct bit set have in common. Replicates share most sets, so each is looked at once."""
+    each = sets.select("query", "sister").distinct().join(leaves, "query").select("query", "sister", F.explode(N.named(F.col("sister"), F.col("names"))).alias("name"))
+    return R.consensus(each.join(rows.select("query", "name", "lineage"), ["query", "name"]), ["query", "sister"])
+
+
 def sister_lineages(clades: DataFrame, rows: DataFrame) -> DataFrame:
-    """query, rep, side, names, lineage: what the query's sister group has in common, for either rooting of each tree."""
-    members = rows.select("query", "name", F.col("query").alias("query_leaf"))
-    sides = N.sister_groups(clades, members)
-    each = sides.select("query", "rep", "side", F.explode("sister").alias("name"))
-    common = R.consensus(each.join(rows.select("query", "name", "lineage"), ["query", "name"]), ["query", "rep", "side"])
-    return sides.join(common, ["query", "rep", "side"], "left").select("query", "rep", "side", F.col("sister").alias("names"), F.coalesce("lineage", F.array().cast(L.ENTRY_ARRAY)).alias("lineage"))
+    """query, rep, side, names, lineage: what the query's sister group has in common, for either rooting of each tree. clades: by name, or as bit sets."""
+    leaves = N.leaf_names(rows).withColumn("leaf", F.col("query"))
+    splits = clades if "clades" in clades.columns else N.as_splits(clades, leaves)
+    sides = cut(N.sister_sets(splits, leaves))
+    common = cut(set_lineages(sides, leaves, rows))
+    return sides.join(common, ["query", "sister"], "left").join(leaves, "query").select("query", "rep", "side", N.named(F.col("sister"), F.col("names")).alias("names"), F.coalesce("lineage", F.array().cast(L.ENTRY_ARRAY)).alias("lineage"))
 
 
 def _both(sides: DataFrame) -> DataFrame:

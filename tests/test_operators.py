@@ -117,10 +117,66 @@ def test_neighbour_joining():
     full = frozenset(names)
     splits = {frozenset([c, full - c]) for c in clades}
     assert splits == {frozenset([frozenset("ab"), frozenset("cde")]), frozenset([frozenset("de"), frozenset("abc")])}
-    forced = N.neighbour_joining(d, names, [frozenset("ac")], np.random.default_rng(0))
+    forced = N.neighbour_joining(d, names, [frozenset("ac"), frozenset("bde")], np.random.default_rng(0))
     assert any(c in (frozenset("ac"), frozenset("bde")) for c in forced)
 
 
+def plain_joining(d, names, groups):
+    """Neighbour joining by sets of names; a pair may join if no group is broken, leaves in no group aside."""
+    nodes, dist, clades = [frozenset([x]) for x in names], {(i, j): d[i][j] for i in range(len(d)) for j in range(len(d))}, []
+    free, live = set(names) - set().union(*groups), list(range(len(d)))
+    while len(live) > 3:
+        r = {i: sum(dist[i, j] for j in live) for i in live}
+        ok = []
+        for i in live:
+            for j in live:
+                u = (nodes[i] | nodes[j]) - free
+                if i < j and all(not u & c or u <= c or c <= u for c in groups):
+                    ok.append(((len(live) - 2) * dist[i, j] - r[i] - r[j], i, j))
+        if not ok:
+            break
+        _, i, j = min(ok)
+        k = len(nodes)
+        live = [x for x in live if x not in (i, j)]
+        for x in live:
+            dist[k, x] = dist[x, k] = (dist[i, x] + dist[j, x] - dist[i, j]) / 2
+        dist[k, k] = 0.0
+        nodes.append(nodes[i] | nodes[j])
+        clades.append(nodes[k])
+        live.append(k)
+    return clades
+
+
+def test_joining_under_constraints():
+    """Against a plain run; groups that are nested hold in every tree, the leaf in no group stands anywhere."""
+    rng = np.random.default_rng(4)
+    names = [f"n{i:02}" for i in range(14)]
+    splits = lambda clades: {frozenset([c, frozenset(names) - c]) for c in clades}  # noqa: E731  of the last four nodes either two may be joined
+    groups = [frozenset(names[1:5]), frozenset(names[1:3]), frozenset(names[5:13]), frozenset(names[9:13]), frozenset(names[1:14])]
+    for _ in range(20):
+        x = rng.normal(size=(14, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        got = N.neighbour_joining(d, names, groups, np.random.default_rng(0))
+        assert splits(got) == splits(plain_joining(d.tolist(), names, groups))
+        own = [c - {names[0]} for c in got]
+        assert all(not c & g or c <= g or g <= c for c in own for g in groups)
+        assert splits(N.neighbour_joining(d, names, [], np.random.default_rng(0))) == splits(plain_joining(d.tolist(), names, []))
+
+
+def test_bit_sets(spark):
+    """Sets of leaves as words, beyond one word, against sets of names."""
+    rng = random.Random(3)
+    names = [f"n{i:03}" for i in range(150)]
+    sets = [sorted(rng.sample(names, rng.choice([1, 2, 70, 149]))) for _ in range(30)]
+    sets += [sets[2][: len(sets[2]) // 2 + 1], sorted(set(names) - set(sets[0])), names]
+    df = spark.createDataFrame([(i, j, a, b, names) for i, a in enumerate(sets) for j, b in enumerate(sets)], "i int, j int, a array<string>, b array<string>, names array<string>")
+    df = df.withColumn("x", N.bits_of(F.col("a"), F.col("names"))).withColumn("y", N.bits_of(F.col("b"), F.col("names")))
+    for r in df.select("*", N.size_of(F.col("x")).alias("n"), N.within(F.col("x"), F.col("y")).alias("w"), N.apart(F.col("x"), F.col("y")).alias("p"), N.compatible(F.col("x"), F.col("y")).alias("c"), N.named(N.minus(F.col("x"), F.col("y")), F.col("names")).alias("m"), N.named(F.col("x"), F.col("names")).alias("back")).collect():
+        a, b = set(r.a), set(r.b)
+        assert (r.n, r.w, r.p, r.c, set(r.m), r.back) == (len(a), a <= b, not a & b, not a & b or a <= b or b <= a, a - b, r.a)
+    member = np.array([[n in s for n in names] for s in sets])
+    assert [list(w) for w in N.words_of(member)] == [r.x for r in df.filter("j = 0").orderBy("i").select("x").collect()]
+
 def test_bootstrap_and_sister_groups(spark):
     rng = random.Random(2)
     base = "".join(rng.choices("ACGT", k=400))
