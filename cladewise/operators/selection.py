@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,9 +108,12 @@ class Quotas:
 
 
 RANKS = (("genus", "genera"), ("family", "families"), ("order", "orders"), ("class", "classes"), ("phylum", "phyla"))
+NAMED = ("species", *(rank for rank, _ in RANKS))
 HIT = "struct<id:string,ord:int,round:int,significance:double,seq:string,species:string,genus:string,family:string,`order`:string,class:string,phylum:string>"
 STATE = f"query string, taken array<{HIT}>, spare array<{HIT}>, best double, names array<string>, reason string"
-SELECTED = "query string, ord int, id string, place int, round int, status string, reason string"
+SELECTED = "query string, ord int, id string, place int, round int, status string, reason string, seq string"
+#: Hits of one query that a task holds while it goes through them again and again; queries that need more go round by round.
+HELD = 100_000
 _FIELDS = ("id", "ord", "round", "significance", "seq", "species", "genus", "family", "order", "class", "phylum")
 
 
@@ -197,7 +202,31 @@ def finish(state: dict, forced: list[dict], q: Quotas) -> list[tuple]:
     enough = sum(t["significance"] <= q.significance for t in taken) >= q.nrsignificant and len(taken) >= 3
     alike = q.harddiversity and any(len({t[rank] for t in taken} - {None}) < getattr(q, quota) for rank, quota in RANKS)
     status = "identity" if state["reason"] == "identity" else "too few" if not enough else "too alike" if alike else "ok"
-    return [(state["query"], t["ord"], t["id"], i, t["round"], status, state["reason"]) for i, t in enumerate(taken, 1)]
+    return [(state["query"], t["ord"], t["id"], i, t["round"], status, state["reason"], t["seq"]) for i, t in enumerate(taken, 1)]
+
+
+def all_rounds(query: str, feed: Iterator[dict], q: Quotas, most_hits: int, held: int) -> dict | None:
+    """Every search of one query over its hits, which come in order and are read only as far as they are asked for; None if more than ``held`` are."""
+    seen: list[dict] = []
+    state = {"query": query, "taken": [], "spare": [], "best": 0.0, "names": [], "reason": ""}
+    number = 0
+    while not state["reason"]:
+        out, found, at = set(state["names"]), [], 0
+        while len(found) < most_hits:
+            if at == len(seen):
+                more = next(feed, None)
+                if more is None:
+                    break
+                seen.append(more)
+                if len(seen) > held:
+                    return None
+            h = seen[at]
+            at += 1
+            if not out or out.isdisjoint(h[rank] for rank in NAMED):
+                found.append(h)
+        state = scan_round(state, [h | {"round": number} for h in found], q)
+        number += 1
+    return state
 
 
 def _plain(pdf: pd.DataFrame) -> list[dict]:
@@ -208,8 +237,8 @@ def _hits_in(rows) -> list[dict]:
     return [{k: x[k] for k in _FIELDS} for x in rows] if rows is not None else []
 
 
-def select_homologues(hits: DataFrame | Callable[[DataFrame | None], DataFrame], quotas: Quotas = Quotas(), most_hits: int = 200, *, forced: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
-    """Accepted hits of every query: query, ord, id, place, round, status, reason.
+def select_homologues(hits: DataFrame | Callable[[DataFrame | None], DataFrame], quotas: Quotas = Quotas(), most_hits: int = 200, *, forced: DataFrame | None = None, excluded: DataFrame | None = None, held: int = HELD) -> DataFrame:
+    """Accepted hits of every query: query, ord, id, place, round, status, reason, seq.
 
     hits: query, ord, id, score, significance, seq, species and the five ranks,
     and identity where ``minidentity`` is to be asked for. Either a table of all
@@ -217,24 +246,76 @@ def select_homologues(hits: DataFrame | Callable[[DataFrame | None], DataFrame],
     queries, or, for a table of query and names, of these queries without
     records that bear one of the names. forced: the same for what is forced in.
     excluded: ids never taken. Each round is a search without the names that a
-    query has enough of. A query's state is one row of bounded size; rounds go
-    on while any query needs one, and each must change what is left out, so
-    there are at most a few more rounds than ``alignmentlimit``.
+    query has enough of.
+
+    A table is dealt out by query and sorted once; a task goes through a query's
+    hits as a stream, all of its rounds over what it has read so far, and stops
+    reading when the quotas are met. Queries that need more than ``held`` hits,
+    and searches, go round by round, with a query's state as one row of bounded
+    size.
     """
-    ranks = [rank for rank, _ in RANKS]
-    order = [F.col("ord"), F.col("id")]
     without_excluded = lambda x: x if excluded is None else include_minus_exclude(x, excluded, "id")
-    kept = None if callable(hits) else cut(without_excluded(hits))
+    if callable(hits):
+        return _by_rounds(lambda going: cut(without_excluded(hits(going))), quotas, most_hits, forced)
+    kept = without_excluded(hits)
+    columns = ["query", "ord", "id", "score", "significance", "seq", *NAMED, "identity"]
+    shape = lambda x, first: x.select(*(F.col(c) if c in x.columns else F.lit(None).cast("double").alias(c) for c in columns), F.lit(first).alias("first"))
+    rows = shape(kept, 1) if forced is None else shape(kept, 1).unionByName(shape(forced, 0))
+    typed = {"query": "string", "ord": "int", "id": "string", "score": "double", "significance": "double", "identity": "double"}
+    rows = rows.select(*(F.col(c).cast(typed.get(c, "string")).alias(c) for c in columns), "first")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[dict]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    yield from batch.slice(start, 512).to_pylist()
+
+        out = []
+        for name, own in groupby(each(), key=lambda h: h["query"]):
+            more, first = [], None
+            for h in own:
+                if h["first"]:
+                    first = h
+                    break
+                more.append(h | {"round": -1})
+            if first is None:  # forced ones alone are no hits
+                continue
+            state = all_rounds(name, chain([first], own), quotas, most_hits, held)
+            if state is None:
+                out.append((name, None, None, None, None, "open", None, None))
+            else:
+                out += finish(state, more, quotas)
+            if len(out) >= 4096:
+                yield _selected(out)
+                out = []
+        yield _selected(out)
+
+    done = cut(rows.repartition("query").sortWithinPartitions("query", "first", "ord", "id").mapInArrow(task, SELECTED))
+    open_ = done.filter("status = 'open'").select("query")
+    if open_.isEmpty():
+        return done
+    left = cut(kept.join(open_, "query", "left_semi"))
 
     def search(going: DataFrame | None) -> DataFrame:
-        if callable(hits):
-            return cut(without_excluded(hits(going)))
-        left = kept
+        now = left
         if going is not None:
-            own = F.array_compact(F.array("species", *ranks))
-            left = kept.join(going, "query").filter(~F.arrays_overlap(own, "names")).drop("names")
-        return top(left, ["query"], order, most_hits)
+            now = left.join(going, "query").filter(~F.arrays_overlap(F.array_compact(F.array(*NAMED)), "names")).drop("names")
+        return top(now, ["query"], [F.col("ord"), F.col("id")], most_hits)
 
+    more = None if forced is None else forced.join(open_, "query", "left_semi")
+    return done.filter("status <> 'open'").unionByName(_by_rounds(search, quotas, most_hits, more))
+
+
+def _selected(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in SELECTED.split(", ")]
+    kinds = [pa.int32() if x.endswith(" int") else pa.string() for x in SELECTED.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _by_rounds(search: Callable[[DataFrame | None], DataFrame], quotas: Quotas, most_hits: int, forced: DataFrame | None) -> DataFrame:
+    """One search of all open queries after the other."""
+    ranks = [rank for rank, _ in RANKS]
     number, first = 0, search(None)
     none = [F.array().cast(f"array<{HIT}>").alias("taken"), F.array().cast(f"array<{HIT}>").alias("spare"), F.lit(0.0).alias("best"), F.array().cast("array<string>").alias("names"), F.lit("").alias("reason")]
     state = first.select("query").distinct().select("query", *none)
@@ -264,7 +345,7 @@ def select_homologues(hits: DataFrame | Callable[[DataFrame | None], DataFrame],
         for row in now.to_dict("records"):
             extra = [{**h, "round": -1} for h in _plain(more.sort_values(["ord", "id"]))]
             out += finish(row | {"taken": _hits_in(row["taken"]), "spare": _hits_in(row["spare"])}, _hits_in(extra), quotas)
-        return pd.DataFrame(out, columns=["query", "ord", "id", "place", "round", "status", "reason"])
+        return pd.DataFrame(out, columns=["query", "ord", "id", "place", "round", "status", "reason", "seq"])
 
     more = first.limit(0) if forced is None else forced
     return state.groupBy("query").cogroup(more.select("query", "ord", "id", "significance", "seq", "species", *ranks).groupBy("query")).applyInPandas(end, SELECTED)

@@ -26,19 +26,30 @@ def indicators(columns: np.ndarray) -> np.ndarray:
     return np.stack(kinds).astype(np.float32)
 
 
-def k2p_matrix(each: np.ndarray, times: np.ndarray) -> np.ndarray | None:
-    """Kimura distances of the rows from their indicators, each site counted so many times; None if some pair has too few bases. Counts are whole numbers, so products of matrices give them exactly."""
-    size, purine, pyrimidine, *same = (each * times.astype(np.float32)) @ each.transpose(0, 2, 1)
-    n = len(size)
+def k2p_matrices(each: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kimura distances of the rows from their indicators, a matrix for each row of ``times``: how often each column counts. And whether all pairs have bases enough. Counts are whole numbers, so products of matrices give them exactly."""
+    size, purine, pyrimidine, *same = np.moveaxis((each[None] * times[:, None, None, :].astype(np.float32)) @ each.transpose(0, 2, 1), 1, 0)
+    n = size.shape[-1]
     off = ~np.eye(n, dtype=bool)
-    if n > 1 and size[off].min() < LEAST_ALIGNED:
-        return None
+    enough = (size[:, off] >= LEAST_ALIGNED).all(1)
     kind = purine + pyrimidine
     with np.errstate(divide="ignore", invalid="ignore"):
         p, q = ((kind - sum(same)) / size.astype(float)), ((size - kind) / size.astype(float))
         x, y = 1 - 2 * p - q, 1 - 2 * q
         d = np.where((x <= 0) | (y <= 0), SATURATED, -0.5 * np.log(np.maximum(x, 1e-300)) - 0.25 * np.log(np.maximum(y, 1e-300)))
-    return np.where(off, d, 0.0)
+    return np.where(off, d, 0.0), enough
+
+
+def k2p_matrix(each: np.ndarray, times: np.ndarray) -> np.ndarray | None:
+    """One matrix; None if some pair has too few bases."""
+    d, enough = k2p_matrices(each, times[None])
+    return d[0] if enough[0] else None
+
+
+def patterns(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sites of an alignment, as columns, and which of them each site is."""
+    found, which = np.unique(columns.T, axis=0, return_inverse=True)
+    return found.T, which.ravel()
 
 
 class Constraints:
@@ -63,48 +74,71 @@ class Constraints:
         return ((inside == 0) | (inside == self.sizes) | (inside == own[..., None])).all(-1)
 
 
-def joined_tree(d: np.ndarray, constraints: Constraints | None, rng: np.random.Generator) -> np.ndarray:
-    """Clades of the neighbour-joining tree, smallest first: a row of booleans over the leaves for each. Only allowed pairs are joined; equal pairs are drawn from."""
-    n = len(d)
-    every = np.zeros((2 * n, 2 * n))
-    every[:n, :n] = d
-    members = np.zeros((2 * n, n), bool)
-    members[:n] = np.eye(n, dtype=bool)
-    live, new = np.arange(n), n
-    wall = np.where(np.tri(2 * n, dtype=bool), np.inf, 0.0)  # a pair stands once, with the older node first
+def joined_trees(d: np.ndarray, constraints: Constraints | None, rngs: list[np.random.Generator]) -> list[np.ndarray]:
+    """Neighbour joining of several matrices over the same leaves, all of them a step at a time.
+
+    For each its clades, smallest first: a row of booleans over the leaves.
+    Only allowed pairs are joined; equal pairs are drawn from by the matrix's
+    generator. A new node takes the place of the first it joins, and the last
+    node that of the second.
+    """
+    many, n = len(d), d.shape[-1]
+    every, nodes, at = d.astype(float), np.tile(np.eye(n, dtype=bool), (many, 1, 1)), np.arange(many)
+    lower = np.where(np.tri(n, dtype=bool), np.inf, 0.0)
+    out: list[list[np.ndarray]] = [[] for _ in range(many)]
+    which = at.copy()  # whose matrix each is; those without an allowed pair end early
     if constraints is not None:
-        wall[:n, :n][~constraints.leaves] = np.inf
-        inside = np.zeros((2 * n, len(constraints.sizes)), np.int16)
-        inside[:n] = constraints.groups.T
-        own = np.zeros(2 * n, np.int16)
-        own[:n] = ~constraints.free
-    while len(live) > 3:
-        m = len(live)
-        pairs = np.ix_(live, live)
-        dist = every[pairs]
-        total = dist.sum(0)
-        q = (m - 2) * dist - total[:, None] - total[None, :] + wall[pairs]
-        least = q.min()
-        if not np.isfinite(least):
-            break
-        at = np.argwhere(q <= least + 1e-12)
-        i, j = at[rng.integers(len(at))] if len(at) > 1 else at[0]
-        rest = np.delete(live, (i, j))
-        a, b = live[i], live[j]
-        every[new, rest] = every[rest, new] = (every[a, rest] + every[b, rest] - dist[i, j]) / 2
-        members[new] = members[a] | members[b]
+        wall = np.tile(np.where(constraints.leaves, 0.0, np.inf), (many, 1, 1))
+        inside = np.tile(constraints.groups.T, (many, 1, 1))
+        own = np.tile((~constraints.free).astype(np.int16), (many, 1))
+    for m in range(n, 3, -1):
+        total = every.sum(2)
+        q = (m - 2) * every - total[:, :, None] - total[:, None, :] + lower[:m, :m]
+        if constraints is not None:
+            q += wall
+        flat = q.reshape(len(at), m * m)
+        best = flat.argmin(1)
+        least = flat[at, best]
+        going = np.isfinite(least)
+        if not going.all():
+            which, every, nodes, flat, best, least = which[going], every[going], nodes[going], flat[going], best[going], least[going]
+            if constraints is not None:
+                wall, inside, own = wall[going], inside[going], own[going]
+            at = np.arange(len(which))
+            if not len(at):
+                break
+        equal = flat <= least[:, None] + 1e-12
+        for r in np.flatnonzero(equal.sum(1) > 1):
+            ties = np.flatnonzero(equal[r])
+            best[r] = ties[rngs[which[r]].integers(len(ties))]
+        i, j = best // m, best % m
+        row = (every[at, i] + every[at, j] - every[at, i, j][:, None]) / 2
+        row[at, i] = 0.0
+        every[at, i, :] = every[at, :, i] = row
+        every[at, j, :] = every[at, m - 1, :]
+        every[at, :, j] = every[at, :, m - 1]
+        every[at, j, j] = 0.0
+        nodes[at, i] |= nodes[at, j]
+        for r, clade in zip(which.tolist(), nodes[at, i]):
+            out[r].append(clade)
+        nodes[at, j] = nodes[:, m - 1]
+        every, nodes = every[:, : m - 1, : m - 1], nodes[:, : m - 1]
         if constraints is not None:
-            inside[new], own[new] = inside[a] + inside[b], own[a] + own[b]
-            wall[rest[~constraints.fit(inside[rest] + inside[new], own[rest] + own[new])], new] = np.inf
-        live = np.append(rest, new)
-        new += 1
-    return members[n:new]
+            inside[at, i] += inside[at, j]
+            own[at, i] += own[at, j]
+            inside[at, j], own[at, j] = inside[:, m - 1], own[:, m - 1]
+            wall[at, j, :] = wall[at, m - 1, :]
+            wall[at, :, j] = wall[at, :, m - 1]
+            inside, own, wall = inside[:, : m - 1], own[:, : m - 1], wall[:, : m - 1, : m - 1]
+            fits = constraints.fit(inside + inside[at, i][:, None], own + own[at, i][:, None])
+            wall[at, i, :] = wall[at, :, i] = np.where(fits, 0.0, np.inf)
+    return [np.array(x, bool).reshape(-1, n) for x in out]
 
 
 def neighbour_joining(d: np.ndarray, names: list[str], constraints: list[frozenset[str]], rng: np.random.Generator) -> list[frozenset[str]]:
     """Clades of the tree by name, smallest first."""
     groups = np.array([[x in c for x in names] for c in constraints], bool).reshape(len(constraints), len(names))
-    found = joined_tree(d, Constraints(groups) if len(groups) else None, rng)
+    found = joined_trees(d[None], Constraints(groups) if len(groups) else None, [rng])[0]
     return [frozenset(names[i] for i in np.flatnonzero(row)) for row in found]
 
 
@@ -148,17 +182,23 @@ def bootstrap_splits(aligned: DataFrame, replicates: int = 100, constraints: Dat
             out = []
             for query, first, rows, sets in zip(pdf["query"], pdf["first"], pdf["rows"], pdf["sets"], strict=True):
                 names = [r["name"] for r in rows]
-                columns = np.stack([_CODE[np.frombuffer(r["aligned"].upper().encode("ascii", "replace"), np.uint8)] for r in rows])
-                each, sites = indicators(columns), columns.shape[1]
+                columns, which = patterns(np.stack([_CODE[np.frombuffer(r["aligned"].upper().encode("ascii", "replace"), np.uint8)] for r in rows]))
+                each, sites = indicators(columns), len(which)
                 groups = np.array([np.isin(names, list(s)) for s in (sets if sets is not None else ())], bool).reshape(-1, len(names))
-                fixed = Constraints(groups) if len(groups) else None
-                for rep in range(first, min(first + TOGETHER, replicates)):
-                    rng, d = _rng(seed, query, rep), None
-                    for _ in range(TRIES if sites else 0):
-                        d = k2p_matrix(each, np.bincount(rng.integers(sites, size=sites), minlength=sites))
-                        if d is not None:
-                            break
-                    out.append((query, rep, [] if d is None else words_of(joined_tree(d, fixed, rng)).tolist()))
+                reps = range(first, min(first + TOGETHER, replicates))
+                rngs = [_rng(seed, query, rep) for rep in reps]
+                found: dict[int, np.ndarray] = {}
+                left = list(range(len(reps))) if sites else []
+                for _ in range(TRIES):
+                    if not left:
+                        break
+                    times = np.stack([np.bincount(which[rngs[r].integers(sites, size=sites)], minlength=columns.shape[1]) for r in left])
+                    d, enough = k2p_matrices(each, times)
+                    found |= {r: d[k] for k, r in enumerate(left) if enough[k]}
+                    left = [r for k, r in enumerate(left) if not enough[k]]
+                some = sorted(found)
+                trees = dict(zip(some, joined_trees(np.stack([found[r] for r in some]), Constraints(groups) if len(groups) else None, [rngs[r] for r in some]), strict=True)) if some else {}
+                out += [(query, rep, words_of(trees[r]).tolist() if r in trees else []) for r, rep in enumerate(reps)]
             yield pd.DataFrame(out, columns=["query", "rep", "clades"])
 
     return tasks.mapInPandas(run, SPLITS)

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladewise.functions import lineage as L
 from cladewise.functions import sequence as S
 from cladewise.operators import alignment as A
+from cladewise.operators import homology as H
 from cladewise.operators import rollup as R
 from cladewise.operators import selection as X
 from cladewise.operators import tables as T
 from cladewise.operators import trees as N
 from cladewise.operators.lineage_cut import cut
+from cladewise.plans.adapters import MAP_FROM, MAP_TO
 from cladewise.plans.registry import PluginNotFoundError, Plugins, query, table
 from cladewise.sources import files
 
@@ -26,6 +28,12 @@ class AssignConfig:
     quotas: X.Quotas = field(default_factory=lambda: X.Quotas(minidentity=0.95))
     most_hits: int = 200
     kmer: int = 8
+    word: int | None = None
+    stride: int = 4
+    minsignificance: float = 10.0
+    common: int | None = None
+    flanks: int = 0
+    truncate: bool = True
     replicates: int = 1000
     prune_level: float = 0.0
     cutoffs: tuple[int, ...] = (95,)
@@ -36,7 +44,7 @@ class AssignConfig:
     force_include: tuple[str, ...] = ()
     force_exclude: tuple[str, ...] = ()
     forceidentity: float = 0.9
-    database: str = "kmer"
+    database: str = "seeds"
     alignment: str = "to-query"
     assignment: str = "neighbour-joining"
     constrained: bool = True
@@ -47,8 +55,10 @@ class AssignConfig:
             raise ValueError("cutoffs are 50 or more")
         if self.quotas.fill_in not in ("balanced", "all", "none"):
             raise ValueError("fill_in is balanced, all or none")
-        if not 0 <= self.prune_level <= 1 or self.replicates < 1 or self.kmer < 1:
-            raise ValueError("prune_level is a share; replicates and kmer are at least 1")
+        if not 0 <= self.prune_level <= 1 or self.replicates < 1 or self.kmer < 1 or self.stride < 1 or self.flanks < 0:
+            raise ValueError("prune_level is a share; replicates, kmer and stride are at least 1, flanks at least 0")
+        if self.word is not None and not 4 <= self.word <= H.MOST_K:
+            raise ValueError(f"word is 4 to {H.MOST_K} bases")
         object.__setattr__(self, "cutoffs", tuple(sorted(set(self.cutoffs))))
         object.__setattr__(self, "force_include", tuple(x for x in dict.fromkeys(self.force_include) if x not in self.force_exclude))
 
@@ -61,9 +71,18 @@ def _by_kmers(queries: DataFrame, records: DataFrame, config: AssignConfig) -> D
     return X.kmer_search(queries, records, config.kmer, config.most_hits).withColumn("significance", F.lit(0.0))
 
 
-#: A database gives query, id, score, significance and ord, the first hits of every query, for queries (id, seq, left_out) and records (id, seq, names): no records that bear a name that the query leaves out.
+def _by_seeds(queries: DataFrame, records: DataFrame, config: AssignConfig) -> DataFrame:
+    """The index is built once; its records are those of this run."""
+    index = H.build_index(records, k=config.word, stride=config.stride)
+    return H.search(queries, index, most_evalue=config.minsignificance, common=config.common)
+
+
+_by_seeds.every_hit = True
+
+#: A database gives query, id, score, significance and ord, the first hits of every query, for queries (id, seq, left_out) and records (id, seq, names): no records that bear a name that the query leaves out. One that has the attribute ``every_hit`` is asked once and gives all hits up to its E-value; where it also gives places and strands, records are cut to the part beside the query.
 PLUGINS = Plugins()
 PLUGINS.add("database", "kmer", _by_kmers)
+PLUGINS.add("database", "seeds", _by_seeds)
 PLUGINS.add("alignment", "to-query", A.align_to_query)
 PLUGINS.add("alignment", "prealigned", _prealigned)
 PLUGINS.add("assignment", "neighbour-joining", lambda aligned, sets, config: N.bootstrap_splits(aligned, config.replicates, sets, config.seed))
@@ -105,23 +124,35 @@ def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = Assign
     searched = cut(ranked.select("id", "seq", names.alias("names")))
     excluded = records.filter(F.col("id").isin(*config.force_exclude)).select("id") if config.force_exclude else None
 
-    def search(going: DataFrame | None) -> DataFrame:
-        asked = unique.withColumn("left_out", F.array().cast("array<string>")) if going is None else unique.join(going.select(F.col("query").alias("id"), F.col("names").alias("left_out")), "id")
-        found = PLUGINS.find("database", config.database)(asked, searched, config).join(ranked, "id").withColumn("score", F.col("score").cast("double"))
-        if going is not None or not config.quotas.minidentity > 0:
+    find = PLUGINS.find("database", config.database)
+
+    def first_identities(found: DataFrame) -> DataFrame:
+        """Hits with the identity of each query's first, which decides whether there is anything like it."""
+        if not config.quotas.minidentity > 0:
             return found.withColumn("identity", F.lit(None).cast("double"))
-        found = cut(found)
         others = found.filter("id <> query") if excluded is None else X.include_minus_exclude(found.filter("id <> query"), excluded, "id")
         first = X.top(others, ["query"], [F.col("ord"), F.col("id")], 1).select("query", "id", "seq").join(by_id, "query")
         return found.join(_identities(first).select("query", "id", "identity"), ["query", "id"], "left")
 
+    def search(going: DataFrame | None) -> DataFrame:
+        asked = unique.withColumn("left_out", F.array().cast("array<string>")) if going is None else unique.join(going.select(F.col("query").alias("id"), F.col("names").alias("left_out")), "id")
+        found = find(asked, searched, config).join(ranked, "id").withColumn("score", F.col("score").cast("double"))
+        return first_identities(cut(found)) if going is None else found.withColumn("identity", F.lit(None).cast("double"))
+
+    def every_hit() -> DataFrame:
+        found = find(unique, searched, config).join(ranked, "id").withColumn("score", F.col("score").cast("double"))
+        if "q_start" in found.columns and config.truncate and config.alignment != "prealigned":
+            found = H.windowed(found.join(by_id.select("query", F.length("query_seq").alias("m")), "query"), config.flanks)
+        return first_identities(cut(found))
+
     forced = None
     if config.force_include:  # a list of the options, so a handful of records
         pairs = ranked.filter(F.col("id").isin(*config.force_include)).crossJoin(by_id).filter("id <> query")
         forced = _identities(pairs).filter(F.col("identity") >= config.forceidentity).withColumn("ord", F.lit(0)).withColumn("significance", F.lit(0.0))
-    selected = cut(X.select_homologues(search, config.quotas, config.most_hits, forced=forced, excluded=excluded))
+    hits = every_hit() if getattr(find, "every_hit", False) else search
+    selected = cut(X.select_homologues(hits, config.quotas, config.most_hits, forced=forced, excluded=excluded))
     chosen = selected.filter("status = 'ok'")
-    pairs = chosen.join(records.select("id", "seq", "lineage"), "id").join(by_id, "query")
+    pairs = chosen.join(records.select("id", "lineage"), "id").join(by_id, "query")
     aligned = PLUGINS.find("alignment", config.alignment)(pairs)
     aligned = cut(aligned.select("query", "query_seq", "id", "aligned", "lineage"))
     rows = aligned.select("query", F.col("id").alias("name"), "aligned", "lineage").unionByName(aligned.select("query", F.col("query").alias("name"), F.col("query_seq").alias("aligned"), F.array().cast(L.ENTRY_ARRAY).alias("lineage")).distinct())
@@ -133,7 +164,7 @@ def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = Assign
     summary = R.summarise(R.consolidate(trees, config.levels, config.prune_level))
     return {
         "duplicates": all_.filter("id <> representative"),
-        "selected": selected,
+        "selected": selected.drop("seq"),
         "clades": N.split_names(clades, N.leaf_names(rows)) if "clades" in clades.columns else clades,
         "sisters": chosen_sisters(sides),
         "summary": summary,
@@ -194,18 +225,80 @@ def chosen_sisters(sides: DataFrame) -> DataFrame:
     return _both(sides).select("query", "rep", F.when(a > b, F.col("names_a")).when(b > a, F.col("names_b")).otherwise(both).alias("sister"))
 
 
-def _items(spark, d):
-    x = table(spark, d, "benchmark")
-    seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BDEFHIJKLMNOPQRSUVWXYZ", "CTACTGACGTACGTACTACGTA")
-    k = F.col("item_id")
-    entry = lambda n, m: F.concat(F.lit(f"{n} "), F.floor(k / m).cast("string"))
-    lineage = L.from_columns(phylum=F.lit("Texts"), **{"class": entry("Class", 16)}, order=entry("Order", 8), family=entry("Family", 4), genus=entry("Genus", 2), species=F.concat(F.lit("Item "), k.cast("string")))
-    return x.select(F.concat(F.lit("r"), k.cast("string")).alias("id"), seq.alias("seq"), F.concat(F.lit("Item "), k.cast("string")).alias("organism"), lineage.alias("lineage"))
+def _changed(seq, share: float, *key):
+    """A sequence with about this share of its bases replaced, by a hash of key and place."""
+    h = lambda i: F.pmod(F.xxhash64(F.concat_ws(":", *(k.cast("string") for k in key)), i), F.lit(3000))
+    base = lambda c, i: F.when(h(i) < 3000 * share, F.get(F.split(F.replace(F.lit("ACGT"), c, F.lit("")), ""), (h(i) % 3).cast("int"))).otherwise(c)
+    return F.array_join(F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), base), "")
+
+
+def _families(spark, d):
+    """Queries (id, seq) and records (id, seq, organism, lineage): each item stands for a family, whose customers are individuals of its genera and species. Every third record is stored turned, every fifth between other bases."""
+    items = table(spark, d, "benchmark").select("item_id", _letters("text").alias("base")).filter(F.length("base") >= 60)
+    items = items.withColumn("i", F.row_number().over(Window.orderBy("item_id")) - 1)  # the items, a small table
+    items = cut(items)
+    n = max(1, items.count())
+    g, s = F.col("g"), F.col("s")
+    individual = lambda x: _changed(_changed(x["base"], 0.04, F.lit("g"), x["i"], g), 0.015, F.lit("s"), x["i"], g, s)
+    own = items.withColumn("g", F.col("i") % 6).withColumn("s", F.col("i") % 5)
+    queries = own.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), _changed(individual(own), 0.01, F.lit("q"), F.col("i")).alias("seq"))
+    key, turn = F.col("c_custkey"), F.floor(F.col("c_custkey") / n)
+    c = table(spark, d, "customer").select(key, (key % n).alias("j"), (turn % 6).alias("g"), (F.floor(turn / 6) % 5).alias("s"))
+    x = c.join(items, F.col("j") == F.col("i"))
+    seq = _changed(individual(x), 0.005, F.lit("c"), key)
+    seq = F.when(key % 3 == 0, S.reverse_complement(seq)).otherwise(seq)
+    around = F.translate(F.md5(key.cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    seq = F.when(key % 5 == 0, F.concat(around, seq, F.reverse(around))).otherwise(seq)
+    name = lambda kind, *parts: F.concat(F.lit(f"{kind} "), F.concat_ws(".", *(F.floor(p).cast("string") for p in parts)))
+    i = F.col("i")
+    lineage = L.from_columns(phylum=F.lit("Texts"), **{"class": name("Class", i / 16)}, order=name("Order", i / 4), family=name("Family", i), genus=name("Genus", i, g), species=name("Genus", i, g, s))
+    return queries, x.select(F.concat(F.lit("r"), key.cast("string")).alias("id"), seq.alias("seq"), name("Genus", i, g, s).alias("organism"), lineage.alias("lineage"))
 
 
 @query()
 def assign_end_to_end(spark, d):
-    """All items against each other through every stage, with the usual options. Tests compare with planted trees and a plain run of each step."""
-    records = _items(spark, d)
-    queries = records.select(F.concat(F.lit("q"), F.substring("id", 2, 9)).alias("id"), F.col("seq"))
-    return assign(queries, records)["posterior"].select("query", "path", "cnt", "n_trees", "prob")
+    """All items as queries through every stage, with the usual options, against records that Spark derives from items and customers. Tests compare with planted trees and a plain run of each step."""
+    return assign(*_families(spark, d))["posterior"].select("query", "path", "cnt", "n_trees", "prob")
+
+
+def _letters(column: str):
+    return F.translate(F.upper(F.regexp_replace(column, "[^A-Za-z]", "")), MAP_FROM, MAP_TO)
+
+
+_SEQ = f"translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{MAP_FROM}', '{MAP_TO}')"
+SEED_SQL = f"""WITH r AS (SELECT doc_id AS id, {_SEQ} AS seq FROM documents),
+q0 AS (SELECT item_id AS query, {_SEQ} AS seq FROM benchmark),
+q AS (SELECT query, 1 AS strand, seq FROM q0 UNION ALL SELECT query, -1, translate(reverse(seq), 'AGTC', 'TCAG') FROM q0),
+n AS (SELECT sum(length(seq))::BIGINT AS n FROM r),
+w AS (SELECT min(k) AS k FROM (SELECT unnest(range(11, 32)) AS k), n WHERE k = 31 OR pow(4, k) >= 16 * n),
+rs AS (SELECT id, a AS pos, substr(seq, a::INT + 1, k::INT) AS seed FROM (SELECT id, seq, k, unnest(range(0, length(seq) - k + 1, 4)) AS a FROM r, w)),
+qs AS (SELECT query, strand, a AS pos, substr(seq, a::INT + 1, k::INT) AS seed FROM (SELECT query, strand, seq, k, unnest(range(0, length(seq) - k + 1)) AS a FROM q, w)),
+qg AS (SELECT * FROM qs WHERE substr(seed, 2) <> substr(seed, 1, length(seed) - 1) AND substr(seed, 3) <> substr(seed, 1, length(seed) - 2) AND substr(seed, 4) <> substr(seed, 1, length(seed) - 3)),
+p AS (SELECT query, strand, id, rs.pos - qg.pos AS diagonal, qg.pos AS pos FROM qg JOIN rs ON rs.seed = qg.seed),
+g AS (SELECT *, coalesce(pos - lag(pos) OVER d > 40, true)::INT AS new FROM p WINDOW d AS (PARTITION BY query, strand, id, diagonal ORDER BY pos)),
+g2 AS (SELECT *, sum(new) OVER (PARTITION BY query, strand, id, diagonal ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM g),
+i AS (SELECT query, strand, id, diagonal, island, min(pos) AS a, max(pos) + (SELECT k FROM w) AS b FROM g2 GROUP BY ALL),
+s AS (SELECT i.*, length(q.seq) AS m, unnest(range(greatest(0, -diagonal), least(length(q.seq), length(r.seq) - diagonal))) AS x, q.seq AS qq, r.seq AS rr FROM i JOIN q ON q.query = i.query AND q.strand = i.strand JOIN r ON r.id = i.id),
+e AS (SELECT query, strand, id, diagonal, island, a, b, m, x, CASE WHEN substr(qq, x::INT + 1, 1) = substr(rr, (x + diagonal)::INT + 1, 1) THEN 1 ELSE -2 END AS v FROM s),
+c AS (SELECT query, strand, id, diagonal, island, a, b, m, sum(v) AS core FROM e WHERE x >= a AND x < b GROUP BY ALL),
+side AS (SELECT *, x >= b AS onward, CASE WHEN x >= b THEN x ELSE -x END AS far FROM e WHERE x >= b OR x < a),
+run AS (SELECT *, sum(v) OVER (PARTITION BY query, strand, id, diagonal, island, onward ORDER BY far ROWS UNBOUNDED PRECEDING) AS total FROM side),
+top AS (SELECT *, greatest(0, max(total) OVER (PARTITION BY query, strand, id, diagonal, island, onward ORDER BY far ROWS UNBOUNDED PRECEDING)) AS best FROM run),
+fall AS (SELECT *, max((best - total > 20)::INT) OVER (PARTITION BY query, strand, id, diagonal, island, onward ORDER BY far ROWS UNBOUNDED PRECEDING) AS fallen FROM top),
+o AS (SELECT query, strand, id, diagonal, island, onward, max(total) AS gain, min_by(far, (-total, far)) AS far FROM fall WHERE fallen = 0 GROUP BY ALL HAVING max(total) > 0),
+h AS (SELECT DISTINCT c.query, c.strand, c.id, c.diagonal, c.m, coalesce(-l.far, c.a) AS a, coalesce(r2.far + 1, c.b) AS b, core + coalesce(l.gain, 0) + coalesce(r2.gain, 0) AS raw
+  FROM c LEFT JOIN o l ON l.query = c.query AND l.strand = c.strand AND l.id = c.id AND l.diagonal = c.diagonal AND l.island = c.island AND NOT l.onward
+  LEFT JOIN o r2 ON r2.query = c.query AND r2.strand = c.strand AND r2.id = c.id AND r2.diagonal = c.diagonal AND r2.island = c.island AND r2.onward),
+f AS (SELECT *, CASE WHEN strand = 1 THEN a ELSE m - b END AS q_start, a + diagonal AS s_start, b - a AS len FROM h, n WHERE 0.620991 * m * n * exp(-1.33271 * raw) <= 10),
+z AS (SELECT *, row_number() OVER (PARTITION BY query, id ORDER BY raw DESC, strand DESC, q_start, s_start) AS i, count(*) OVER (PARTITION BY query, id) AS segments FROM f)
+SELECT query, id, strand::BIGINT AS strand, q_start::BIGINT AS q_start, s_start::BIGINT AS s_start, len::BIGINT AS length, raw::BIGINT AS raw, segments::BIGINT AS segments, row_number() OVER (PARTITION BY query ORDER BY raw DESC, id)::BIGINT AS ord FROM z WHERE i = 1"""
+
+
+@query(SEED_SQL)
+def seed_extend_hits(spark, d):
+    """All items searched in all documents on both strands: the best segment of every pair up to the E-value."""
+    records = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce(_letters("text"), F.lit("")).alias("seq"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.coalesce(_letters("text"), F.lit("")).alias("seq"))
+    found = H.search(queries, H.build_index(records))
+    whole = lambda c: F.col(c).cast("long")
+    return found.select("query", "id", whole("s_strand").alias("strand"), whole("q_start").alias("q_start"), whole("s_start").alias("s_start"), whole("q_len").alias("length"), whole("raw").alias("raw"), "segments", whole("ord").alias("ord"))

@@ -223,9 +223,27 @@ def fasta_records(spark, d):
     return table(spark, d, "part").select("p_partkey", sinks.fasta_text(F.col("p_partkey").cast("string"), F.upper("p_name")).alias("record"))
 
 
+def _event_hits(spark, d):
+    """Each user's events as hits in order of value; names repeat, and short sequences lie within longer ones."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("query"), F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")).alias("ord"), F.col("event_id").alias("n"), F.col("value").alias("score"), "event_type")
+    name = lambda k: F.concat_ws(" ", "event_type", (F.col("n") % k).cast("string"))
+    seq = F.repeat(F.concat("event_type", (F.col("n") % 3).cast("string")), (1 + F.col("n") % 4).cast("int"))
+    return e.select("query", "ord", F.col("n").cast("string").alias("id"), "score", (F.lit(1.0) / (1 + F.col("score"))).alias("significance"), seq.alias("seq"), name(12).alias("species"), F.when(F.col("n") % 7 != 0, name(6)).alias("genus"), name(4).alias("family"), name(2).alias("order"), F.col("event_type").alias("class"), F.lit("p").alias("phylum"))
+
+
+#: Quotas that a user's events rarely meet in one search of so many hits.
+MANY_ROUNDS, FEW_HITS = X.Quotas(significance=0.5, nrsignificant=3, relbitscore=0.02, besthits=8, alignmentlimit=30, individuals=2, genera=9, families=9, orders=7, classes=4), 6
+
+
+@query()
+def greedy_rounds(spark, d):
+    """Selection that needs several searches of each query, with spares, containment and stops. Tests compare it with a plain compilation."""
+    return X.select_homologues(_event_hits(spark, d), MANY_ROUNDS, FEW_HITS).drop("seq")
+
+
 @query()
 def greedy_select(spark, d):
     """The sequential scan over each user's events as hits. No SQL: each hit depends on what was accepted before."""
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("query"), F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")).alias("ord"), F.col("event_id").cast("string").alias("id"), F.col("value").alias("score"), (F.lit(1.0) / (1 + F.col("value"))).alias("significance"), F.concat("event_type", F.col("event_id").cast("string")).alias("seq"), "event_type")
     h = e.select("query", "ord", "id", "score", "significance", "seq", F.concat_ws(" ", "event_type", (F.col("id").cast("long") % 40).cast("string")).alias("species"), F.concat_ws(" ", "event_type", (F.col("id").cast("long") % 10).cast("string")).alias("genus"), F.col("event_type").alias("family"), F.col("event_type").alias("order"), F.lit("c").alias("class"), F.lit("p").alias("phylum"))
-    return X.select_homologues(h)
+    return X.select_homologues(h).drop("seq")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cladewise.functions import lineage as L
 from cladewise.functions import sequence as S
 from cladewise.operators import alignment as A
+from cladewise.operators import homology as H
 from cladewise.operators import rollup as R
 from cladewise.operators import selection as X
 from cladewise.operators import tables as T
@@ -388,6 +389,131 @@ def test_assign_on_a_planted_tree(spark):
     assert probs[first.upper(), "phylum", "P/Q"] == 1.0 and tables["querylist"].count() == len(queries)
 
 
+def turned(seq):
+    return seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_assign_finds_turned_and_shifted_records(spark):
+    """Records that are stored turned, or between other bases, are cut and turned back: the result is that of the plain ones, whatever strand; unrelated records take no part."""
+    rng = random.Random(14)
+    records, mutate = planted(rng, 2)
+    noise = lambda n: "".join(rng.choices("ACGT", k=n))
+    odd = [(i, [x, turned(x), noise(70) + x + noise(90), turned(noise(40) + x + noise(130))][k % 4], o, t) for k, (i, x, o, t) in enumerate(records)]
+    odd += [(f"z{i}", noise(300), f"Z{i} z", lineage(phylum="Z", **{"class": "Z"}, order="Z", family="Z", genus=f"Z{i}", species=f"Z{i} z")) for i in range(5)]
+    queries = [(f"q{i}", mutate(records[i][1], 0.01)) for i in (2, 9, 20)]
+    qs = spark.createDataFrame(queries, "id string, seq string")
+    config = assignment.AssignConfig(quotas=X.Quotas(minidentity=0.8, relbitscore=0.0, genera=6, individuals=2), replicates=10)
+    post = []
+    for rows in (records, odd):
+        rec = spark.createDataFrame(rows, f"id string, seq string, organism string, lineage {L.ENTRY_ARRAY}")
+        out = assignment.assign(qs, rec, config)
+        selected = {(r.query, r.id) for r in out["selected"].collect()}
+        post.append({(r.query, r.level, r["name"]): r.prob for r in out["posterior"].collect()})
+        assert not any(i.startswith("z") for _, i in selected)
+    for query, i in (("q2", 2), ("q9", 9), ("q20", 20)):
+        for p in post:
+            assert p[query, "phylum", "P/Q"] == 1.0 and p.get((query, "genus", records[i][3][4][2]), 0) > 0.5, (query, p)
+
+
+def plain_segments(q, r, places, k, x=20, gap=40):
+    """Islands of one diagonal extended letter by letter. q and r are aligned from their first letters on."""
+    score = [1 if a == b and a in "ACGT" else -2 for a, b in zip(q, r)]
+    islands = []
+    for p in sorted(places):
+        if islands and p - islands[-1][1] <= gap:
+            islands[-1][1] = p
+        else:
+            islands.append([p, p])
+    out = set()
+    for a, b in islands:
+        b += k
+        best = [0, 0]
+        for side, steps in ((1, range(b, len(score))), (0, range(a - 1, -1, -1))):
+            run = top = reach = 0
+            for n, i in enumerate(steps, 1):
+                run += score[i]
+                if max(top, 0) - run > x:
+                    break
+                if run > top:
+                    top, reach = run, n
+            best[side] = (top, reach)
+        out.add((a - best[0][1], b + best[1][1] - a + best[0][1], sum(score[a:b]) + best[0][0] + best[1][0]))
+    return out
+
+
+def test_seed_search(spark):
+    """Every segment, E-value and hit against a plain search; turned, shifted, masked and insignificant records."""
+    rng = random.Random(21)
+    noise = lambda n: "".join(rng.choices("ACGT", k=n))
+    base = noise(200)
+    change = lambda s, n: "".join(rng.choice("ACGT") if rng.random() < n else c for c in s)
+    records = [("same", base), ("turned", turned(base)), ("far", noise(50) + change(base, 0.05) + noise(60)), ("half", base[:90]), ("two", base[:80] + noise(120) + base[110:]), ("none", noise(400)), ("short", base[100:112]), ("low", "AC" * 60), ("n", base[:60] + "N" * 30 + base[90:]), ("", ""), ("tiny", "ACG")]
+    records += [(f"x{i}", noise(300)) for i in range(20)]
+    queries = [("q", base), ("r", turned(change(base, 0.03))), ("low", "AC" * 60), ("e", ""), ("lower", base.lower())]
+    rec, qs = (spark.createDataFrame(x, "id string, seq string") for x in (records, queries))
+    index = H.build_index(rec, k=11, stride=3)
+    assert index.bases == sum(len(x) for _, x in records) and H.word_size(1 << 20) == 12 and H.word_size(10) == 11 and H.word_size(1 << 62) == 31
+    simple = lambda w: any(w[p:] == w[:-p] for p in (1, 2, 3))
+    want = {}
+    for name, q0 in queries:
+        for strand in (1, -1):
+            q = q0.upper() if strand == 1 else turned(q0.upper())
+            for ident, r in records:
+                diagonals = {}
+                for j in range(0, len(r) - 10, 3):
+                    w = r[j : j + 11]
+                    if not set(w) - set("ACGT") and not simple(w):
+                        for i in range(len(q) - 10):
+                            if q[i : i + 11] == w:
+                                diagonals.setdefault(j - i, []).append(i)
+                for d, places in diagonals.items():
+                    off = max(0, -d)
+                    for start, length, raw in plain_segments(q[off:], r[max(0, d) :], [p - off for p in places], 11):
+                        want.setdefault((name, ident), []).append((-raw, -strand, (start + off) if strand == 1 else len(q) - start - off - length, start + off + d, length))
+    e = lambda m, raw: 0.620991 * m * index.bases * np.exp(-1.33271 * raw)
+    size = {n: len(s) for n, s in queries}
+    got = {}
+    for r in H.search(qs, index).collect():
+        got[r.query, r.id] = (-r.raw, -r.s_strand, r.q_start, r.s_start, r.q_len, r.segments)
+        assert r.significance == pytest.approx(e(size[r.query], r.raw)) and r.score == pytest.approx((1.33271 * r.raw - np.log(0.620991)) / np.log(2)) and r.s_len == r.q_len
+    good = {k: [x for x in v if e(size[k[0]], -x[0]) <= 10] for k, v in want.items()}
+    assert got == {k: (*min(v), len(v)) for k, v in good.items() if v}
+    assert got["q", "same"][:5] == (-200, -1, 0, 0, 200) and got["q", "turned"][1] == 1 and ("r", "same") in got and ("q", "none") not in got and ("low", "low") not in got
+    orders = {}
+    for r in H.search(qs, index).collect():
+        orders.setdefault(r.query, []).append((r.ord, -r.raw, r.id))
+    assert all(sorted(x) == [(i, *y) for i, y in enumerate(sorted(z[1:] for z in x), 1)] for x in orders.values())
+    # Windows: the part beside the query, turned to its strand.
+    hits = H.search(qs.filter("id = 'q'"), index).join(rec, "id").withColumn("m", F.lit(200))
+    cut_ = {r.id: r.seq for r in H.windowed(hits).collect()}
+    assert cut_["same"] == base and cut_["turned"] == base and len(cut_["far"]) <= 310
+    assert H.search(qs.filter("id = 'e'"), index).count() == 0
+    banned = qs.withColumn("left_out", F.array(F.lit("N1")))
+    named = H.build_index(rec.withColumn("names", F.when(F.col("id") == "same", F.array(F.lit("N1"))).otherwise(F.array(F.lit("N2")))), k=11, stride=3)
+    assert {(r.query, r.id) for r in H.search(banned, named).collect()} == {k for k in got if k[1] != "same"}
+
+
+def test_selection_over_many_rounds(spark):
+    """The registered query's rounds, spares, containment and stops against the plain compilation, and what does not fit into a task's memory the slow way."""
+    d = "/root/testdata/sf0.001"
+    from cladewise.plans import selection_queries as Q
+
+    hits = [r.asDict() for r in Q._event_hits(spark, d).collect()]
+    by = {}
+    for h in hits:
+        by.setdefault(h["query"], []).append({**h, "identity": None})
+    got = {}
+    rows = Q.greedy_rounds(spark, d).collect()
+    for r in sorted(rows, key=lambda r: (r.query, r.place)):
+        got.setdefault(r.query, ([], r.status, r.reason))[0].append(r.id)
+    for name, own in by.items():
+        want = plain_selection(own, Q.MANY_ROUNDS, Q.FEW_HITS)
+        assert got.get(name, ([], want[1], want[2])) == want, name
+    assert max(r.round for r in rows) >= 2 and len({r.reason for r in rows}) >= 2
+    few = X.select_homologues(Q._event_hits(spark, d), Q.MANY_ROUNDS, Q.FEW_HITS, held=10).drop("seq")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, rows))
+
+
 def test_tables(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, v int")
     assert T.has_row(a, {"k": " x", "v": "1"}) and not T.has_row(a, {"k": "x", "v": 2}) and not T.has_row(a, {"z": 1})
