@@ -33,10 +33,18 @@ def site_patterns(aligned: DataFrame) -> DataFrame:
     return columns.groupBy("query", "pattern").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def align_pair(a: str, b: str, match: float = 1.0, mismatch: float = 0.0, gap_open: float = -10.0, gap_extend: float = -0.5) -> tuple[str, str, float]:
-    """Global alignment with affine gaps, a row of the matrix at a time. One byte a cell is kept for the way back."""
+def align_pair(a: str, b: str, match: float = 1.0, mismatch: float = 0.0, gap_open: float = -10.0, gap_extend: float = -0.5, straight: bool = True) -> tuple[str, str, float]:
+    """Global alignment with affine gaps, a row of the matrix at a time. One byte a cell is kept for the way back.
+
+    Sequences of one length that differ in few places need no matrix: a gap in
+    one asks for a gap in the other, and both cost more than all that differs.
+    """
     n, m = len(a), len(b)
     x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
+    if straight and n == m:
+        differ = int((x != y).sum())
+        if differ * (match - mismatch) < -2 * gap_open:
+            return a, b, match * (n - differ) + mismatch * differ
     low = -1e18
     best, gap_a = np.full(m + 1, low), np.full(m + 1, low)
     steps = np.arange(m + 1)
@@ -94,7 +102,14 @@ def align_to_query(pairs: DataFrame) -> DataFrame:
             out.append("".join(d for c, d in zip(x, y, strict=True) if c != "-"))
         return pd.Series(out, dtype=object)
 
-    return pairs.withColumn("aligned", F.pandas_udf(one, "string")("query_seq", "seq"))
+    return spread(pairs, "query_seq", "seq").withColumn("aligned", F.pandas_udf(one, "string")("query_seq", "seq"))
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that are few and small but take long each, over all that can work on them; Spark would put them together by their bytes."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *keys)
 
 
 def distances(aligned: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.functions.sequence import LEAST_ALIGNED, SATURATED
+from cladewise.operators.alignment import spread
 
 _CODE = np.full(256, 0, np.uint8)
 for _i, _c in enumerate("ACGT", 1):
@@ -175,7 +176,7 @@ def bootstrap_splits(aligned: DataFrame, replicates: int = 100, constraints: Dat
         whole = whole.join(constraints.groupBy("query").agg(F.collect_set("members").alias("sets")), "query", "left")
     else:
         whole = whole.withColumn("sets", F.lit(None).cast("array<array<string>>"))
-    tasks = whole.select("query", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(TOGETHER))).alias("first"), "rows", "sets").repartition("query", "first")
+    tasks = whole.select("query", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(TOGETHER))).alias("first"), "rows", "sets")
 
     def run(batches):
         for pdf in batches:
@@ -201,7 +202,7 @@ def bootstrap_splits(aligned: DataFrame, replicates: int = 100, constraints: Dat
                 out += [(query, rep, words_of(trees[r]).tolist() if r in trees else []) for r, rep in enumerate(reps)]
             yield pd.DataFrame(out, columns=["query", "rep", "clades"])
 
-    return tasks.mapInPandas(run, SPLITS)
+    return spread(tasks, "query", "first").mapInPandas(run, SPLITS)
 
 
 def _has(clade: Column, i: Column) -> Column:

@@ -232,7 +232,7 @@ def _event_hits(spark, d):
 
 
 #: Quotas that a user's events rarely meet in one search of so many hits.
-MANY_ROUNDS, FEW_HITS = X.Quotas(significance=0.5, nrsignificant=3, relbitscore=0.02, besthits=8, alignmentlimit=30, individuals=2, genera=9, families=9, orders=7, classes=4), 6
+MANY_ROUNDS, FEW_HITS = X.Quotas(significance=0.5, nrsignificant=3, relbitscore=0.1, besthits=8, alignmentlimit=30, individuals=2, genera=9, families=9, orders=7, classes=4), 6
 
 
 @query()
