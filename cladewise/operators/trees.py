@@ -57,22 +57,28 @@ class Constraints:
     """Groups of leaves that a tree must hold together. Leaves that are in no group join any other and do not count.
 
     A node may stand if each group lies outside of it, holds it or is held by
-    it. Nodes never change, so a pair is looked at once, when its later node is
-    made: counts of a node's leaves in each group tell it.
+    it; for a group that is told from ``others``, only these two count, and it
+    is as good if the node holds all others, since the tree has no root. Nodes
+    never change, so a pair is looked at once, when its later node is made:
+    counts of a node's leaves in each group tell it.
     """
 
-    def __init__(self, groups: np.ndarray) -> None:
-        """groups: a row of booleans over the leaves for each."""
-        self.groups = groups.astype(np.int16)
-        self.sizes = self.groups.sum(1)
-        self.free = ~groups.any(0) if len(groups) else np.ones(groups.shape[1], bool)
-        own = (~self.free).astype(np.int16)
-        inside = self.groups.T
-        self.leaves = self.fit(inside[:, None, :] + inside[None, :, :], own[:, None] + own[None, :])
+    def __init__(self, groups: np.ndarray, others: np.ndarray | None = None, split: np.ndarray | None = None) -> None:
+        """groups: a row of booleans over the leaves for each; others: the same, or else all leaves of other groups; split: for each, whether it is told from others."""
+        n = groups.shape[1]
+        rest = groups.any(0) & ~groups if others is None else others
+        self.split = np.zeros(len(groups), bool) if split is None else split
+        self.inside, self.outside = groups.T.astype(np.int16), rest.T.astype(np.int16)
+        self.sizes, self.rests = self.inside.sum(0), self.outside.sum(0)
+        pair = lambda x: x[:, None, :] + x[None, :, :]
+        self.leaves = self.fit(pair(self.inside), pair(self.outside)) if n else np.ones((0, 0), bool)
 
-    def fit(self, inside: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Whether nodes with so many leaves in each group, and so many in any, may stand."""
-        return ((inside == 0) | (inside == self.sizes) | (inside == own[..., None])).all(-1)
+    def fit(self, inside: np.ndarray, outside: np.ndarray) -> np.ndarray:
+        """Whether nodes with so many leaves in each group, and so many beside it, may stand."""
+        good = (inside == 0) | (inside == self.sizes) | (outside == 0)
+        if self.split.any():
+            good |= self.split & (outside == self.rests)
+        return good.all(-1)
 
 
 def joined_trees(d: np.ndarray, constraints: Constraints | None, rngs: list[np.random.Generator]) -> list[np.ndarray]:
@@ -90,8 +96,8 @@ def joined_trees(d: np.ndarray, constraints: Constraints | None, rngs: list[np.r
     which = at.copy()  # whose matrix each is; those without an allowed pair end early
     if constraints is not None:
         wall = np.tile(np.where(constraints.leaves, 0.0, np.inf), (many, 1, 1))
-        inside = np.tile(constraints.groups.T, (many, 1, 1))
-        own = np.tile((~constraints.free).astype(np.int16), (many, 1))
+        inside = np.tile(constraints.inside, (many, 1, 1))
+        outside = np.tile(constraints.outside, (many, 1, 1))
     for m in range(n, 3, -1):
         total = every.sum(2)
         q = (m - 2) * every - total[:, :, None] - total[:, None, :] + lower[:m, :m]
@@ -104,7 +110,7 @@ def joined_trees(d: np.ndarray, constraints: Constraints | None, rngs: list[np.r
         if not going.all():
             which, every, nodes, flat, best, least = which[going], every[going], nodes[going], flat[going], best[going], least[going]
             if constraints is not None:
-                wall, inside, own = wall[going], inside[going], own[going]
+                wall, inside, outside = wall[going], inside[going], outside[going]
             at = np.arange(len(which))
             if not len(at):
                 break
@@ -125,13 +131,13 @@ def joined_trees(d: np.ndarray, constraints: Constraints | None, rngs: list[np.r
         nodes[at, j] = nodes[:, m - 1]
         every, nodes = every[:, : m - 1, : m - 1], nodes[:, : m - 1]
         if constraints is not None:
-            inside[at, i] += inside[at, j]
-            own[at, i] += own[at, j]
-            inside[at, j], own[at, j] = inside[:, m - 1], own[:, m - 1]
+            for x in (inside, outside):
+                x[at, i] += x[at, j]
+                x[at, j] = x[:, m - 1]
             wall[at, j, :] = wall[at, m - 1, :]
             wall[at, :, j] = wall[at, :, m - 1]
-            inside, own, wall = inside[:, : m - 1], own[:, : m - 1], wall[:, : m - 1, : m - 1]
-            fits = constraints.fit(inside + inside[at, i][:, None], own + own[at, i][:, None])
+            inside, outside, wall = inside[:, : m - 1], outside[:, : m - 1], wall[:, : m - 1, : m - 1]
+            fits = constraints.fit(inside + inside[at, i][:, None], outside + outside[at, i][:, None])
             wall[at, i, :] = wall[at, :, i] = np.where(fits, 0.0, np.inf)
     return [np.array(x, bool).reshape(-1, n) for x in out]
 
@@ -155,6 +161,17 @@ def words_of(rows: np.ndarray) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<i8")
 
 
+def _constraints(names: list[str], sets) -> Constraints | None:
+    """sets: rows of members and others; a group tells something if it and what it is told from have two leaves of the tree each."""
+    rows = list(sets) if sets is not None else []
+    own = np.array([np.isin(names, list(s["members"])) for s in rows], bool).reshape(-1, len(names))
+    split = np.array([s["others"] is not None for s in rows], bool)
+    told = np.array([np.isin(names, list(s["others"])) if s["others"] is not None else np.zeros(len(names), bool) for s in rows], bool).reshape(-1, len(names))
+    others = np.where(split[:, None], told & ~own, own[~split].any(0) & ~own) if len(rows) else own
+    some = (own.sum(1) > 1) & (~split | (others.sum(1) > 1))
+    return Constraints(own[some], others[some], split[some]) if some.any() else None
+
+
 SPLITS = "query string, rep int, clades array<array<bigint>>"
 #: Replicates that one row of work stands for: an alignment is copied once for so many.
 TOGETHER = 50
@@ -168,14 +185,16 @@ def leaf_names(members: DataFrame) -> DataFrame:
 def bootstrap_splits(aligned: DataFrame, replicates: int = 100, constraints: DataFrame | None = None, seed: int = 1) -> DataFrame:
     """query, rep, clades: the clades of every replicate's tree as bit sets over ``leaf_names``; none where no draw gave distances of all pairs.
 
-    aligned: query, name, aligned. constraints: query, members. Replicates of
-    one query run in parallel; each has a seed from query and number alone.
+    aligned: query, name, aligned. constraints: query, members, and where a
+    group is told from some others only, ``others``. Replicates of one query run
+    in parallel; each has a seed from query and number alone.
     """
     whole = aligned.groupBy("query").agg(F.array_sort(F.collect_set(F.struct("name", "aligned"))).alias("rows"))  # one alignment
     if constraints is not None:
-        whole = whole.join(constraints.groupBy("query").agg(F.collect_set("members").alias("sets")), "query", "left")
+        others = F.col("others") if "others" in constraints.columns else F.lit(None).cast("array<string>")
+        whole = whole.join(constraints.groupBy("query").agg(F.collect_set(F.struct("members", others.alias("others"))).alias("sets")), "query", "left")
     else:
-        whole = whole.withColumn("sets", F.lit(None).cast("array<array<string>>"))
+        whole = whole.withColumn("sets", F.lit(None).cast("array<struct<members:array<string>,others:array<string>>>"))
     tasks = whole.select("query", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(TOGETHER))).alias("first"), "rows", "sets")
 
     def run(batches):
@@ -185,7 +204,7 @@ def bootstrap_splits(aligned: DataFrame, replicates: int = 100, constraints: Dat
                 names = [r["name"] for r in rows]
                 columns, which = patterns(np.stack([_CODE[np.frombuffer(r["aligned"].upper().encode("ascii", "replace"), np.uint8)] for r in rows]))
                 each, sites = indicators(columns), len(which)
-                groups = np.array([np.isin(names, list(s)) for s in (sets if sets is not None else ())], bool).reshape(-1, len(names))
+                fixed = _constraints(names, sets)
                 reps = range(first, min(first + TOGETHER, replicates))
                 rngs = [_rng(seed, query, rep) for rep in reps]
                 found: dict[int, np.ndarray] = {}
@@ -198,7 +217,7 @@ def bootstrap_splits(aligned: DataFrame, replicates: int = 100, constraints: Dat
                     found |= {r: d[k] for k, r in enumerate(left) if enough[k]}
                     left = [r for k, r in enumerate(left) if not enough[k]]
                 some = sorted(found)
-                trees = dict(zip(some, joined_trees(np.stack([found[r] for r in some]), Constraints(groups) if len(groups) else None, [rngs[r] for r in some]), strict=True)) if some else {}
+                trees = dict(zip(some, joined_trees(np.stack([found[r] for r in some]), fixed, [rngs[r] for r in some]), strict=True)) if some else {}
                 out += [(query, rep, words_of(trees[r]).tolist() if r in trees else []) for r, rep in enumerate(reps)]
             yield pd.DataFrame(out, columns=["query", "rep", "clades"])
 

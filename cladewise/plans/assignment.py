@@ -14,6 +14,7 @@ from cladewise.operators import homology as H
 from cladewise.operators import rollup as R
 from cladewise.operators import selection as X
 from cladewise.operators import tables as T
+from cladewise.operators import tree_sets as M
 from cladewise.operators import trees as N
 from cladewise.operators.lineage_cut import cut
 from cladewise.plans.adapters import MAP_FROM, MAP_TO
@@ -104,8 +105,12 @@ def _identities(pairs: DataFrame) -> DataFrame:
     return A.align_to_query(pairs).withColumn("identity", S.similarity(F.col("aligned"), F.col("query_seq"))).drop("aligned")
 
 
-def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = AssignConfig()) -> dict[str, DataFrame]:
-    """queries: id, seq. records: id, seq, organism, lineage. Returns duplicates, selected, clades, sisters, summary, posterior, failed.
+def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = AssignConfig(), constraints: DataFrame | None = None) -> dict[str, DataFrame]:
+    """queries: id, seq. records: id, seq, organism, lineage. Returns duplicates, selected, clades, sisters, summary, posterior, counters, failed.
+
+    constraints: left, right, ids of records that stand on two sides of a split,
+    as ``files.constraints`` reads them: a list from the options. They hold in
+    every query's trees, beside the groups of the taxonomy.
 
     Each stage is a DataFrame; queries run in parallel all the way, and
     replicates of one query as well. Records with fewer levels than
@@ -158,6 +163,9 @@ def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = Assign
     rows = aligned.select("query", F.col("id").alias("name"), "aligned", "lineage").unionByName(aligned.select("query", F.col("query").alias("name"), F.col("query_seq").alias("aligned"), F.array().cast(L.ENTRY_ARRAY).alias("lineage")).distinct())
     groups = rows.select("query", F.col("name").alias("leaf"), F.inline("lineage")).filter(F.col("level") != "species")
     sets = groups.groupBy("query", "level", "name").agg(F.sort_array(F.collect_set("leaf")).alias("members")).filter(F.size("members") > 1).select("query", "members") if config.constrained else None
+    if constraints is not None:
+        asked = rows.select("query").distinct().crossJoin(constraints.select(F.col("left").alias("members"), F.col("right").alias("others")))  # a list from the options for each query
+        sets = asked if sets is None else sets.withColumn("others", F.lit(None).cast("array<string>")).unionByName(asked)
     clades = cut(PLUGINS.find("assignment", config.assignment)(A.drop_empty_columns(rows.select("query", "name", "aligned")), sets, config))
     sides = cut(sister_lineages(clades, rows))
     trees = cut(tree_lineages(clades, sides))
@@ -169,6 +177,7 @@ def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = Assign
         "sisters": chosen_sisters(sides),
         "summary": summary,
         "posterior": R.posteriors(summary, R.tree_counts(trees)),
+        "counters": R.summarise(trees.join(defining(sides, trees, clades, rows), ["query", "rep"]), "monophyletic", "ingroup") if "clades" in clades.columns else None,
         "failed": X.failed(queries.select("id"), chosen.select(F.col("query").alias("id")), all_.filter("id <> representative").select("id"), "id"),
     }
 
@@ -197,12 +206,12 @@ def set_lineages(sets: DataFrame, leaves: DataFrame, rows: DataFrame) -> DataFra
 
 
 def sister_lineages(clades: DataFrame, rows: DataFrame) -> DataFrame:
-    """query, rep, side, names, lineage: what the query's sister group has in common, for either rooting of each tree. clades: by name, or as bit sets."""
+    """query, rep, side, sister (bits), names, lineage: what the query's sister group has in common, for either rooting of each tree. clades: by name, or as bit sets."""
     leaves = N.leaf_names(rows).withColumn("leaf", F.col("query"))
     splits = clades if "clades" in clades.columns else N.as_splits(clades, leaves)
     sides = cut(N.sister_sets(splits, leaves))
     common = cut(set_lineages(sides, leaves, rows))
-    return sides.join(common, ["query", "sister"], "left").join(leaves, "query").select("query", "rep", "side", N.named(F.col("sister"), F.col("names")).alias("names"), F.coalesce("lineage", F.array().cast(L.ENTRY_ARRAY)).alias("lineage"))
+    return sides.join(common, ["query", "sister"], "left").join(leaves, "query").select("query", "rep", "side", "sister", N.named(F.col("sister"), F.col("names")).alias("names"), F.coalesce("lineage", F.array().cast(L.ENTRY_ARRAY)).alias("lineage"))
 
 
 def _both(sides: DataFrame) -> DataFrame:
@@ -218,6 +227,16 @@ def tree_lineages(clades: DataFrame, sides: DataFrame) -> DataFrame:
     return every.join(found, ["query", "rep"], "left").select("query", "rep", F.coalesce("lineage", none).alias("lineage"))
 
 
+def defining(sides: DataFrame, trees: DataFrame, clades: DataFrame, rows: DataFrame) -> DataFrame:
+    """query, rep, monophyletic, ingroup of every tree with a sister group: whether the lowest group that defines its lineage is, with the query, one side of a split, and holds more than the sister group."""
+    size = F.size(F.coalesce("lineage", F.array().cast(L.ENTRY_ARRAY)))
+    one = sides.groupBy("query", "rep").agg(F.min_by("sister", F.struct(-size, "side")).alias("sister"))
+    low = F.try_element_at("lineage", F.lit(-1))
+    chosen = one.join(trees.select("query", "rep", low["level"].alias("level"), low["name"].alias("name")), ["query", "rep"])
+    groups = rows.select("query", F.col("name").alias("leaf"), F.inline("lineage")).select("query", "level", "name", "leaf")
+    return M.defining_groups(chosen, clades, groups, N.leaf_names(rows).withColumn("leaf", F.col("query")))
+
+
 def chosen_sisters(sides: DataFrame) -> DataFrame:
     """query, rep, sister: the names of the more specific rooting's sister group, of both where they are as specific."""
     a, b = F.size("a"), F.size("b")

@@ -1,6 +1,8 @@
 """Operators against plain Python, closed forms and fixed cases."""
 
 import random
+import re
+from collections import Counter
 from math import log
 
 import numpy as np
@@ -15,10 +17,11 @@ from cladewise.operators import homology as H
 from cladewise.operators import rollup as R
 from cladewise.operators import selection as X
 from cladewise.operators import tables as T
+from cladewise.operators import tree_sets as M
 from cladewise.operators import trees as N
 from cladewise.plans import assignment
 from cladewise.plans.registry import PluginNotFoundError, Plugins
-from cladewise.sources import files, sinks
+from cladewise.sources import files, newick, sinks
 from cladewise.streaming import ingest
 
 
@@ -174,6 +177,132 @@ def test_joining_under_constraints():
         assert splits(N.neighbour_joining(d, names, [], np.random.default_rng(0))) == splits(plain_joining(d.tolist(), names, []))
 
 
+def test_joining_under_splits():
+    """Splits of some leaves from some others hold in a tree without root; leaves in neither stand anywhere."""
+    rng = np.random.default_rng(5)
+    names = [f"n{i:02}" for i in range(12)]
+    left, right = set(names[:4]), set(names[4:9])
+    sets = [{"members": sorted(left), "others": sorted(right)}, {"members": names[9:11], "others": names[0:2]}]
+    fixed = N._constraints(names, sets)
+    assert N._constraints(names, None) is None and N._constraints(names, [{"members": ["n00"], "others": None}]) is None
+    for k in range(20):
+        x = rng.normal(size=(12, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        found = N.joined_trees(np.stack([d, d.T]), fixed, [np.random.default_rng(k)] * 2)
+        for rows in found:
+            clades = [{names[i] for i in np.flatnonzero(r)} for r in rows]
+            assert len(clades) == 9
+            for a, b in ((left, right), (set(names[9:11]), set(names[:2]))):
+                for c in clades:
+                    parts = (c & a, a - c, c & b, b - c)
+                    assert not all(parts), (k, c)  # a split of the tree that crosses the asked one
+
+
+def random_newick(rng, names):
+    """A random tree as text, with the clades of its inner nodes."""
+    clades = []
+
+    def build(own):
+        if len(own) == 1:
+            return f"{rng.choice([own[0], repr(own[0])])}:{rng.random():.3f}", set(own)
+        parts, own = rng.choice([2, 2, 3]), list(own)
+        rng.shuffle(own)
+        cuts = sorted(rng.sample(range(1, len(own)), min(parts, len(own)) - 1))
+        made = [build(own[a:b]) for a, b in zip([0, *cuts], [*cuts, len(own)])]
+        clades.append(frozenset().union(*(m[1] for m in made)))
+        return f"({' , '.join(m[0] for m in made)}){rng.choice(['', ':1e-3', '87:0.5', '[x,(y)]'])}", set(own)
+
+    text, _ = build(names)
+    return text + ";", set(clades[:-1])
+
+
+def test_newick():
+    rng = random.Random(8)
+    for n in (2, 3, 9, 70):
+        names = [f"t{i}_X" for i in range(n)]
+        for _ in range(10):
+            text, want = random_newick(rng, names)
+            leaves, clades, lengths, labels, degree = newick.parse(text)
+            assert leaves == sorted(names) and len(clades) == len(lengths) == len(labels) and degree in (2, 3)
+            assert {frozenset(x for i, x in enumerate(leaves) if c >> i & 1) for c in clades} == want
+    assert newick.parse("(1,(2,3)0.9:2);", {"1": "a b", "2": "c"}) == (["3", "a b", "c"], [5], [2.0], ["0.9"], 2)
+    assert newick.parse("('it''s',b)")[0] == ["b", "it's"] and newick.parse("a;")[0] == ["a"]
+    for bad in ("((a,b);", "(a,b));", "(a,a);", "(a,,b);", "(a:x,b);", "a,b;", "", "(a,b)(c,d);"):
+        with pytest.raises(newick.NewickError):
+            newick.parse(bad)
+
+
+def plain_consensus(trees_, names):
+    """Majority clades joined by recursion, children in order of their first leaf."""
+    n, count = len(trees_), {}
+    for t in trees_:
+        for c in t:
+            count[c] = count.get(c, 0) + 1
+    major = {c: k for c, k in count.items() if 2 * k > n}
+
+    def text(own):
+        inner = [c for c in major if c < own and not any(c < d < own for d in major)]
+        loose = own - frozenset().union(*inner)
+        parts = sorted([(min(c), text(c) + str(int(100 * major[c] / n + 1e-9))) for c in inner] + [(x, x) for x in loose])
+        return "(" + ",".join(p for _, p in parts) + ")"
+
+    return text(frozenset(names)) + ";"
+
+
+def test_trees_of_files(spark, tmp_path):
+    """Nexus files, some split by Spark, against a plain run: clades, consensus, monophyly, rooting; faults are told."""
+    rng = random.Random(9)
+    names = [f"id{i}_Org" for i in range(8)]
+    base = [random_newick(rng, names) for _ in range(3)]
+    want = {}
+    for f in range(2):
+        picked = [base[0]] * (6 if f else 3) + [base[rng.randrange(3)] for _ in range(5)]
+        want[f"f{f}.nex"] = [c for _, c in picked]
+        keys = {x: str(i + 1) for i, x in enumerate(names)}
+        body = "".join(f"  tree r{i} = [&R] {re.sub('id[0-9]+_Org', lambda m: keys[m[0]], t)}\n" for i, (t, _) in enumerate(picked))
+        (tmp_path / f"f{f}.nex").write_text("#NEXUS\n[! a note; with marks]\nBEGIN TREES;\n  TRANSLATE " + ",\n ".join(f"{v} '{k}'" for k, v in keys.items()) + ";\n" + body + "END;\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        found = newick.nexus_trees(spark, str(tmp_path)).withColumn("query", F.element_at(F.split("query", "/"), -1)).cache()
+        assert found.filter("problem is not null").count() == 0 and found.select("rep").distinct().count() == sum(map(len, want.values()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    leaves = M.tree_leaves(found)
+    got = {}
+    for r in found.withColumn("c", F.transform("clades", lambda c: N.named(c, F.col("leaves")))).collect():
+        got.setdefault(r.query, []).append(frozenset(map(frozenset, r.c)))
+    assert {q: Counter(x) for q, x in got.items()} == {q: Counter(map(frozenset, x)) for q, x in want.items()}
+    assert {r.query: r.newick for r in M.consensus_newick(found, leaves).collect()} == {q: plain_consensus(x, names) for q, x in want.items()}
+    groups = [("f0.nex", "g", f"g{i}", x) for i in range(30) for x in rng.sample(names, rng.randrange(1, 8))] + [("f0.nex", "c", f"c{i}", x) for i, c in enumerate(base[0][1]) for x in c] + [("f0.nex", "h", "gone", "zz")]
+    members = {}
+    for _, lv, g, x in groups:
+        members.setdefault((lv, g), set()).add(x)
+    df = spark.createDataFrame(groups, "query string, level string, name string, leaf string")
+    for rooted in (True, False):
+        for r in M.monophyly(found, df, leaves, rooted).collect():
+            own = members[r.level, r["name"]]
+            good = lambda t: len(own) in (1, 8) or own in t or (not rooted and (set(names) - own in t or len(own) == 7))  # noqa: E731, B023
+            assert (r.size, r.n, r.n_trees) == (len(own), sum(map(good, want["f0.nex"])), len(want["f0.nex"]))
+    side = min(base[0][1], key=len)
+    out = M.rooted_by(found, leaves, spark.createDataFrame([("f1.nex", x) for x in side], "query string, name string"))
+    for r in out.join(leaves, "query").withColumn("c", F.transform("clades", lambda c: N.named(c, F.col("names")))).collect():
+        t = got["f1.nex"]
+        if r.c is not None:
+            c = set(map(frozenset, r.c))
+            assert frozenset(side) in c and frozenset(names) - side in c and all(x <= side or not x & side for x in c)
+            assert any({frozenset([x, frozenset(names) - x]) for x in tree} <= {frozenset([x, frozenset(names) - x]) for x in c} for tree in t)
+    up = {(r.query, tuple(r.c)): r.p for r in M.nested(M.majority(found), leaves).join(leaves, "query").select("query", N.named(F.col("clade"), F.col("names")).alias("c"), N.named(F.col("parent"), F.col("names")).alias("p")).collect()}
+    for (q, c), p in up.items():
+        larger = [set(x) for k, x in up if k == q and set(c) < set(x)]
+        assert (set(p or ()) or None) == (min(larger, key=len) if larger else None)
+    bad = spark.createDataFrame([("q", 1, "t", "((a,b);", None), ("q", 2, "t", None, None)], "query string, rep long, tree_name string, newick string, names map<string,string>")
+    assert {r.rep: r.problem is not None for r in newick.trees(bad).collect()} == {1: True, 2: True}
+    ids = spark.createDataFrame([("ab_X y",), ("NC_12_X",), ("zz_X",)], "n string").select(newick.leaf_id(F.col("n"), F.array(F.lit("ab"), F.lit("NC_12"))).alias("i")).collect()
+    assert [r.i for r in ids] == ["ab", "NC_12", None]
+    with pytest.raises(Exception, match="trees differ in leaves"):
+        M.tree_leaves(newick.trees(spark.createDataFrame([("q", 1, "t", "(a,b);", None), ("q", 2, "t", "(a,c);", None)], "query string, rep long, tree_name string, newick string, names map<string,string>"))).collect()
+
+
 def test_bit_sets(spark):
     """Sets of leaves as words, beyond one word, against sets of names."""
     rng = random.Random(3)
