@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.functions import sequence as S
+from cladewise.operators.lineage_cut import cut
 from cladewise.operators.tables import neighbours
 
 
@@ -105,6 +106,92 @@ def align_to_query(pairs: DataFrame) -> DataFrame:
     return spread(pairs, "query_seq", "seq").withColumn("aligned", F.pandas_udf(one, "string")("query_seq", "seq"))
 
 
+def insertions(pairs: DataFrame) -> DataFrame:
+    """Adds letters, a record's site for each of the query's, and ins, what the record has before each of these and behind the last. pairs: query_seq, seq."""
+    kind = "struct<letters:string,ins:array<string>>"
+
+    def one(q: pd.Series, s: pd.Series) -> pd.DataFrame:
+        letters, ins = [], []
+        for a, b in zip(q, s, strict=True):
+            x, y, _ = align_pair(a or "", b or "")
+            own, before = [], [[]]
+            for c, d in zip(x, y, strict=True):
+                if c == "-":
+                    before[-1].append(d)
+                else:
+                    own.append(d)
+                    before.append([])
+            letters.append("".join(own))
+            ins.append(["".join(part) for part in before])
+        return pd.DataFrame({"letters": letters, "ins": ins})
+
+    return spread(pairs, "query_seq", "seq").withColumn("_p", F.pandas_udf(one, kind)("query_seq", "seq")).withColumn("letters", F.col("_p.letters")).withColumn("ins", F.col("_p.ins")).drop("_p")
+
+
+def gap_profile(parts: DataFrame, truncate: bool = True) -> DataFrame:
+    """query, room: the longest insertion before each site of the query and behind the last, over all of its records; 0 at both ends where the alignment is cut to the query. One aggregate over the insertions there are. parts: query, letters, ins."""
+    n = parts.groupBy("query").agg(F.max(F.length("letters")).alias("n"))
+    long = parts.select("query", F.posexplode(F.transform("ins", F.length)).alias("at", "size")).filter("size > 0").groupBy("query", "at").agg(F.max("size").alias("size"))
+    some = long.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("at", "size"))).alias("m"))  # at most a query's sites
+    ends = lambda i: (i == 0) | (i == F.col("n")) if truncate else F.lit(False)
+    room = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.when(ends(i), 0).otherwise(F.coalesce(F.try_element_at("m", i), F.lit(0))))
+    return n.join(some, "query", "left").select("query", room.alias("room"))
+
+
+def spliced(letters: Column, ins: Column, room: Column) -> Column:
+    """A row with its insertions and gaps for those of others. An insertion before the first site stands beside it; others stand behind the site before."""
+    def cell(size: Column, i: Column) -> Column:
+        own = F.when(size > 0, F.coalesce(F.get(ins, i), F.lit(""))).otherwise("")
+        gap = F.repeat(F.lit("-"), size - F.length(own))
+        return F.concat(F.when(i == 0, F.concat(gap, own)).otherwise(F.concat(own, gap)), F.substring(letters, i + 1, F.lit(1)))
+
+    return F.array_join(F.transform(room, cell), "")
+
+
+def star_alignment(pairs: DataFrame, truncate: bool = True) -> DataFrame:
+    """Multiple alignment around each query: ``aligned`` of every record and ``query_seq`` with the gaps that records' insertions make. All rows of a query are of one length, and without gaps they are what they were, up to what is cut beyond the query's ends. pairs: query, query_seq, seq."""
+    parts = cut(insertions(pairs))
+    both = parts.join(gap_profile(parts, truncate), "query")
+    none = F.array().cast("array<string>")
+    return both.withColumn("aligned", spliced(F.col("letters"), F.col("ins"), F.col("room"))).withColumn("query_seq", spliced(F.col("query_seq"), none, F.col("room"))).drop("letters", "ins", "room")
+
+
+def map_to_aligned(pairs: DataFrame) -> DataFrame:
+    """The query put into an alignment of its records: it is aligned to the best of them (least ``place``), the gaps that this makes are spliced into all, and what lies beyond the query is cut. pairs: query, query_seq, seq (aligned with each other), place."""
+    best = pairs.groupBy("query").agg(F.min_by("query_seq", "place").alias("q"), F.min_by("seq", "place").alias("b"))
+    kind = "struct<row:string,room:array<int>>"
+
+    def one(q: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows, rooms = [], []
+        for a, s in zip(q, b, strict=True):
+            x, y, _ = align_pair(a, s.replace("-", ""))
+            row, room, at, new = [], [], 0, 0
+            for c, d in zip(x, y, strict=True):
+                if d == "-":  # a gap that the query brings
+                    row.append(c)
+                    new += 1
+                    continue
+                while s[at] == "-":
+                    row.append("-")
+                    room.append(new)
+                    at, new = at + 1, 0
+                row.append(c)
+                room.append(new)
+                at, new = at + 1, 0
+            for _ in s[at:]:
+                row.append("-")
+                room.append(new)
+                new = 0
+            rows.append("".join(row))
+            rooms.append([*room, new])
+        return pd.DataFrame({"row": rows, "room": rooms})
+
+    made = spread(best, "query").select("query", F.pandas_udf(one, kind)("q", "b").alias("m")).select("query", "m.*")
+    none = F.array().cast("array<string>")
+    whole = pairs.join(made, "query").withColumn("aligned", spliced(F.col("seq"), none, F.col("room")))
+    return whole.withColumn("aligned", S.cut_to(F.col("aligned"), F.col("row"))).withColumn("query_seq", S.cut_to(F.col("row"), F.col("row"))).drop("row", "room")
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows that are few and small but take long each, over all that can work on them; Spark would put them together by their bytes."""
     spark = rows.sparkSession
@@ -120,6 +207,27 @@ def distances(aligned: DataFrame) -> DataFrame:
     return x.select("query", "i", "j", S.k2p(F.col("s.aligned"), F.col("s.transitions"), F.col("s.transversions")).alias("d"))
 
 
+def mean_difference_with_self(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Like ``mean_difference_within``, with each member paired with itself as well, which adds pairs and no difference."""
+    differing = F.sum(F.col("ones") * (F.col("n") - F.col("ones")))
+    pairs = F.sum((F.col("n") * (F.col("n") + 1) / 2).cast("long"))
+    return counts.groupBy(*by).agg((differing.cast("double") / pairs).alias("difference"), F.max((F.col("n") * (F.col("n") + 1) / 2).cast("long")).alias("pairs"))
+
+
+def mean_difference_triangular(states: DataFrame, group: str, member: str) -> DataFrame:
+    """a, b, difference over the pairs of the i-th member of group a and the j-th of group b, i <= j, a < b, members in order of ``member``. states: group, member, site, state.
+
+    No pair is formed: a member meets the counts of all from its place on.
+    """
+    order = Window.partitionBy(group, "site").orderBy(member)
+    behind = order.rowsBetween(0, Window.unboundedFollowing)
+    x = states.select(group, member, "site", F.col("state").cast("long").alias("s")).withColumn("i", F.row_number().over(order)).withColumn("ones", F.sum("s").over(behind)).withColumn("n", F.count("s").over(behind))
+    a = x.select(F.col(group).alias("a"), "site", "i", F.col("s").alias("own"))
+    b = x.select(F.col(group).alias("b"), "site", "i", "ones", "n")
+    differing = F.sum(F.when(F.col("own") == 1, F.col("n") - F.col("ones")).otherwise(F.col("ones")))
+    return a.join(b, ["site", "i"]).filter("a < b").groupBy("a", "b").agg((differing.cast("double") / F.sum("n")).alias("difference"))
+
+
 def allele_counts(states: DataFrame, by: list[str]) -> DataFrame:
     """by, site, ones, n: how many of a group have a site's state. states: by, site, state (boolean)."""
     return states.groupBy(*by, "site").agg(F.count_if("state").alias("ones"), F.count(F.lit(1)).alias("n"))

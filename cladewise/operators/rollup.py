@@ -132,9 +132,12 @@ def significant_ranks(post: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def most_probable(post: DataFrame) -> DataFrame:
-    """The name with the highest probability at each main rank; of equal ones the first by name."""
-    w = Window.partitionBy("query", "level").orderBy(F.col("prob").desc(), "name", "path")
-    return post.filter(F.col("level").isin(*L.MAIN)).withColumn("r", F.row_number().over(w)).filter("r = 1").select("query", "level", "name", "prob")
+    """The name with the highest probability at each main rank; of equal ones the first by name. A genus is named only where an order or a family is known, a species only with a genus."""
+    w, all_ = Window.partitionBy("query", "level").orderBy(F.col("prob").desc(), "name", "path"), Window.partitionBy("query")
+    has = lambda *levels: F.max(F.col("level").isin(*levels)).over(all_)
+    main = post.filter(F.col("level").isin(*L.MAIN)).withColumn("_genus", has("order", "family")).withColumn("_species", F.col("_genus") & has("genus"))
+    ok = F.when(F.col("level") == "genus", F.col("_genus")).when(F.col("level") == "species", F.col("_species")).otherwise(True)
+    return main.filter(ok).withColumn("r", F.row_number().over(w)).filter("r = 1").select("query", "level", "name", "prob")
 
 
 def significant_lineage(post: DataFrame, cutoff: float) -> DataFrame:

@@ -85,6 +85,8 @@ PLUGINS = Plugins()
 PLUGINS.add("database", "kmer", _by_kmers)
 PLUGINS.add("database", "seeds", _by_seeds)
 PLUGINS.add("alignment", "to-query", A.align_to_query)
+PLUGINS.add("alignment", "star", A.star_alignment)
+PLUGINS.add("alignment", "map", A.map_to_aligned)
 PLUGINS.add("alignment", "prealigned", _prealigned)
 PLUGINS.add("assignment", "neighbour-joining", lambda aligned, sets, config: N.bootstrap_splits(aligned, config.replicates, sets, config.seed))
 
@@ -146,7 +148,7 @@ def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = Assign
 
     def every_hit() -> DataFrame:
         found = find(unique, searched, config).join(ranked, "id").withColumn("score", F.col("score").cast("double"))
-        if "q_start" in found.columns and config.truncate and config.alignment != "prealigned":
+        if "q_start" in found.columns and config.truncate and config.alignment not in ("prealigned", "map"):
             found = H.windowed(found.join(by_id.select("query", F.length("query_seq").alias("m")), "query"), config.flanks)
         return first_identities(cut(found))
 

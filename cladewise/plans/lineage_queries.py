@@ -143,7 +143,8 @@ def identified_total(spark, d):
     return _significant(spark, d).filter("cutoff = 50").agg(F.count_distinct("query").alias("identified"))
 
 
-_BEST = f"{PATHS}, b AS (SELECT query, level, name, prob, row_number() OVER (PARTITION BY query, level ORDER BY prob DESC, name, path) AS i FROM post)"
+_BEST = f"""{PATHS}, h AS (SELECT *, bool_or(level IN ('order', 'family')) OVER w AS gen, bool_or(level = 'genus') OVER w AS spe FROM post WINDOW w AS (PARTITION BY query)),
+b AS (SELECT query, level, name, prob, row_number() OVER (PARTITION BY query, level ORDER BY prob DESC, name, path) AS i FROM h WHERE NOT (level = 'genus' AND NOT gen) AND NOT (level = 'species' AND NOT (gen AND spe)))"""
 
 
 @query(f"WITH {_BEST} SELECT query, level, name, prob FROM b WHERE i = 1")

@@ -12,7 +12,7 @@ from cladewise.operators import trees as N
 from cladewise.operators.lineage_cut import new_path
 from cladewise.plans.adapters import PATHS, lineages, trees
 from cladewise.plans.registry import query, table
-from cladewise.sources.files import TAXON, sequence_records, taxonomy_rows, with_taxonomy
+from cladewise.sources.files import TAXON, sequence_records, taxonomy_rejects, taxonomy_rows, with_taxonomy
 
 
 def _post(spark, d):
@@ -78,17 +78,31 @@ def null_is_novel(spark, d):
     return X.novel(o, ["o_custkey"], "genus", ["o_orderkey"]).select("o_orderkey", "novel")
 
 
-@query("""SELECT s_suppkey::VARCHAR AS taxid, regexp_replace(s_name, '[^A-Za-z0-9_\\s]', '_', 'g') AS organism, 'kingdom:' || r_name || '/phylum:' || n_name || CASE WHEN s_acctbal >= 0 THEN '/order:Rich' ELSE '' END || '/species:' || regexp_extract(s_name, '^\\S+( \\S+)?') AS path, false AS complete
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-def taxonomy_parse(spark, d):
-    """Suppliers as taxonomy XML, read back: ranks that say nothing go, a second name of a rank goes, the species comes from the name."""
+_TAXON_SQL = "FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+def _taxa(spark, d, mark=F.lit("")):
+    """Suppliers as taxonomy XML, read back."""
     s, n, r = (table(spark, d, x) for x in ("supplier", "nation", "region"))
     x = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     taxon = lambda rank, name: F.concat(F.lit("<Taxon><TaxId>1</TaxId><ScientificName>"), name, F.lit(f"</ScientificName><Rank>{rank}</Rank></Taxon>"))
-    lineage = F.concat(taxon("no rank", F.lit("root")), taxon("kingdom", F.col("r_name")), taxon("phylum", F.col("n_name")), taxon("phylum", F.lit("Again")), F.when(F.col("s_acctbal") >= 0, taxon("order", F.lit("Rich"))).otherwise(taxon("order", F.lit("unclassified"))))
+    lineage = F.concat(taxon("no rank", F.lit("root: all")), taxon("kingdom", F.col("r_name")), taxon("phylum", F.concat("n_name", mark)), taxon("phylum", F.lit("Again")), F.when(F.col("s_acctbal") >= 0, taxon("order", F.lit("Rich"))).otherwise(taxon("order", F.lit("unclassified, poor"))))
     xml = F.concat(F.lit("<Taxon><TaxId>"), F.col("s_suppkey").cast("string"), F.lit("</TaxId><ScientificName>"), F.col("s_name"), F.lit("</ScientificName><LineageEx>"), lineage, F.lit("</LineageEx></Taxon>"))
-    rows = taxonomy_rows(x.select(F.from_xml(xml, TAXON).alias("t")).select("t.*"))
-    return rows.select("taxid", "organism", L.path(F.col("lineage")).alias("path"), "complete")
+    return x.select(F.from_xml(xml, TAXON).alias("t")).select("t.*")
+
+
+@query(f"""SELECT s_suppkey::VARCHAR AS taxid, regexp_replace(s_name, '[^A-Za-z0-9_\\s]', '_', 'g') AS organism, 'kingdom:' || r_name || '/phylum:' || n_name || CASE WHEN s_acctbal >= 0 THEN '/order:Rich' ELSE '' END || '/species:' || regexp_extract(s_name, '^\\S+( \\S+)?') AS path, false AS complete
+{_TAXON_SQL}""")
+def taxonomy_parse(spark, d):
+    """Ranks that say nothing go, a second name of a rank goes, the species comes from the name."""
+    return taxonomy_rows(_taxa(spark, d)).select("taxid", "organism", L.path(F.col("lineage")).alias("path"), "complete")
+
+
+@query(f"SELECT s_suppkey::VARCHAR AS taxid, s_name AS organism, [n_name || CASE s_suppkey % 4 WHEN 1 THEN ': x' WHEN 2 THEN ';' ELSE ', y' END] AS names {_TAXON_SQL} WHERE s_suppkey % 4 <> 0")
+def taxonomy_reject_list(spark, d):
+    """Records with marks in a name that counts are rejected, and the names told."""
+    k = F.col("s_suppkey") % 4
+    return taxonomy_rejects(_taxa(spark, d, F.when(k == 0, "").when(k == 1, ": x").when(k == 2, ";").otherwise(", y")))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN round(l_discount * 100) < 1 THEN '~0%' ELSE round(l_discount * 100)::INT::VARCHAR || '%' END AS share FROM lineitem")

@@ -212,3 +212,35 @@ def theta_within(spark, d):
 def divergence_between(spark, d):
     """Mean difference of signs over all pairs of vectors of two groups."""
     return A.mean_difference_between(_signs(spark, d), "label").select("a", "b", F.round("difference", 9).alias("divergence"))
+
+
+@query(f"WITH {_SIGNS} SELECT label::BIGINT AS label, round(sum(up * (n - up))::DOUBLE / sum(n * (n + 1) // 2), 9) AS difference, (max(n) * (max(n) + 1) // 2)::BIGINT AS pairs FROM u GROUP BY label")
+def theta_with_self(spark, d):
+    """Diversity of signs over all pairs i <= j of a group, each with itself too."""
+    return A.mean_difference_with_self(_signs(spark, d), ["label"]).withColumn("difference", F.round("difference", 9))
+
+
+@query("""WITH c AS (SELECT label, vec_id, unnest(embedding) > 0 AS s, generate_subscripts(embedding, 1) AS k FROM embeddings),
+i AS (SELECT *, row_number() OVER (PARTITION BY label, k ORDER BY vec_id) AS i FROM c)
+SELECT a.label::BIGINT AS a, b.label::BIGINT AS b, round(count(*) FILTER (WHERE a.s <> b.s)::DOUBLE / count(*), 9) AS divergence FROM i a JOIN i b ON a.k = b.k AND a.label < b.label AND a.i <= b.i GROUP BY 1, 2""")
+def divergence_triangular(spark, d):
+    """Mean difference of signs over the pairs of the i-th vector of one group and the j-th of another, i <= j."""
+    x = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", F.posexplode("embedding").alias("site", "x"))
+    return A.mean_difference_triangular(x.withColumn("state", F.col("x") > 0), "label", "vec_id").select("a", "b", F.round("difference", 9).alias("divergence"))
+
+
+_SPLICE = """l AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, rpad(l_returnflag || l_linestatus, 6, 'N') AS letters, (l_linenumber * 5 + l_partkey) % 7 AS spot, substr('acgt', 1, (l_quantity::BIGINT % 4)::INT) AS ins FROM lineitem),
+room AS (SELECT l_orderkey, spot, max(length(ins)) AS size FROM l GROUP BY 1, 2),
+c AS (SELECT rid, l.l_orderkey, l.l_linenumber, p, CASE WHEN p = 0 THEN repeat('-', (coalesce(size, 0) - CASE WHEN p = l.spot THEN length(ins) ELSE 0 END)::INT) ELSE '' END || CASE WHEN p = l.spot THEN ins ELSE '' END || CASE WHEN p > 0 THEN repeat('-', (coalesce(size, 0) - CASE WHEN p = l.spot THEN length(ins) ELSE 0 END)::INT) ELSE '' END || substr(letters, p + 1, 1) AS cell
+  FROM (SELECT *, unnest(range(7))::INT AS p FROM l) l LEFT JOIN (SELECT l_orderkey AS ro, spot AS ra, size FROM room) r ON ro = l.l_orderkey AND ra = p)"""
+
+
+@query(f"WITH {_SPLICE} SELECT l_orderkey, l_linenumber, string_agg(cell, '' ORDER BY p) AS aligned FROM c GROUP BY rid, l_orderkey, l_linenumber")
+def star_splice(spark, d):
+    """An order's lines as rows around its six sites, each with an insertion somewhere: the longest one before each site makes room in all rows."""
+    at = ((F.col("l_linenumber") * 5 + F.col("l_partkey")) % 7).cast("int")
+    own = F.substring(F.lit("acgt"), F.lit(1), (F.col("l_quantity").cast("long") % 4).cast("int"))
+    ins = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.when(i == at, own).otherwise(""))
+    parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), "l_linenumber", F.rpad(F.concat("l_returnflag", "l_linestatus"), 6, "N").alias("letters"), ins.alias("ins"))
+    rows = parts.join(A.gap_profile(parts, truncate=False), "query")
+    return rows.select(F.col("query").alias("l_orderkey"), "l_linenumber", A.spliced(F.col("letters"), F.col("ins"), F.col("room")).alias("aligned"))

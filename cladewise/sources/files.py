@@ -112,21 +112,43 @@ EMPTY_RANKS = ("no rank", "clade")
 UNCLASSIFIED = "unclassified|BOLD:"
 
 
+def _named_taxa() -> DataFrame:
+    """The taxa of a record that say something: no empty ranks, unclassified names or varieties."""
+    return F.filter("LineageEx.Taxon", lambda t: ~t["Rank"].isin(*EMPTY_RANKS) & ~t["ScientificName"].rlike(UNCLASSIFIED) & (t["Rank"] != "varietas") & L.rank_of(t["Rank"]).isNotNull())
+
+
+#: Marks that separate names in titles, so no name may hold one.
+MARKS = "[:;,]"
+
+
 def taxonomy_rows(taxa: DataFrame) -> DataFrame:
-    """taxid, organism, lineage, complete from parsed taxonomy records.
+    """taxid, organism, lineage, complete from parsed taxonomy records; those of ``taxonomy_rejects`` are left out.
 
     Ranks that say nothing, unclassified names and varieties go; of several
     names of one rank the first stays. A species comes from the organism's
     first two words if none is given. ``complete`` asks for five levels.
     """
-    all_ = F.filter("LineageEx.Taxon", lambda t: ~t["Rank"].isin(*EMPTY_RANKS) & ~t["ScientificName"].rlike(UNCLASSIFIED) & (t["Rank"] != "varietas") & L.rank_of(t["Rank"]).isNotNull())
+    all_ = _named_taxa()
     first = F.filter(all_, lambda t, i: F.size(F.filter(F.slice(all_, F.lit(1), i), lambda u: u["Rank"] == t["Rank"])) == 0)
-    made = F.transform(first, lambda t: F.struct(L.rank_of(t["Rank"]).alias("rank"), t["Rank"].alias("level"), F.regexp_replace(t["ScientificName"], "[:;,]", "").alias("name")))
+    made = F.transform(first, lambda t: F.struct(L.rank_of(t["Rank"]).alias("rank"), t["Rank"].alias("level"), t["ScientificName"].alias("name")))
     own = F.when(F.exists(made, lambda e: e["level"] == "species"), made).otherwise(F.concat(made, F.array(L.entry("species", L.two_words(F.col("ScientificName"))))))
-    out = taxa.select(F.col("TaxId").alias("taxid"), F.regexp_replace("ScientificName", r"[^\w\s]", "_").alias("organism"), F.array_sort(own).alias("lineage"))
+    out = taxa.filter(~F.coalesce(_marked(), F.lit(False))).select(F.col("TaxId").alias("taxid"), F.regexp_replace("ScientificName", r"[^\w\s]", "_").alias("organism"), F.array_sort(own).alias("lineage"))
     return out.withColumn("complete", L.minimal(F.col("lineage")))
 
 
+def _marked() -> DataFrame:
+    """Whether a record has a name with a mark; the organism's counts where it has to stand for the species."""
+    all_ = _named_taxa()
+    stands = ~F.exists(all_, lambda t: t["Rank"] == "species") & L.two_words(F.col("ScientificName")).rlike(MARKS)
+    return F.exists(all_, lambda t: t["ScientificName"].rlike(MARKS)) | stands
+
+
+def taxonomy_rejects(taxa: DataFrame) -> DataFrame:
+    """taxid, organism, names: parsed records that have names with separating marks, and these names."""
+    names = F.filter(F.transform(_named_taxa(), lambda t: t["ScientificName"]), lambda n: n.rlike(MARKS))
+    return taxa.filter(_marked()).select(F.col("TaxId").alias("taxid"), F.col("ScientificName").alias("organism"), F.when(F.size(names) > 0, names).otherwise(F.array(L.two_words(F.col("ScientificName")))).alias("names"))
+
+
 def with_taxonomy(sequences: DataFrame, taxids: DataFrame, taxonomy_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sequences with taxid and lineage, and the ids of those without one. sequences: id; taxids: id, taxid; taxonomy: taxid, lineage. Of several taxids or lineages the least taxid and the first lineage in order count."""
     one = taxids.groupBy("id").agg(F.min("taxid").alias("taxid"))

@@ -118,6 +118,46 @@ def test_align_pair_of_alike_sequences():
             assert A.align_pair(a, b)[2] == pytest.approx(brute_align(a, b)) and A.align_pair(a, b) == A.align_pair(a, b, straight=False)
 
 
+def test_star_alignment(spark):
+    """Rows of one length that are what they were without their gaps; letters that align to a site of the query stand under it."""
+    rng = random.Random(17)
+    change = lambda s: "".join(rng.choice(["", "A", c + "G", c + "TTTTTTTTTTTTTTT"]) if rng.random() < 0.04 else c for c in s)
+    rows = []
+    for q in range(3):
+        base = "".join(rng.choices("ACGT", k=90))
+        rows += [(f"q{q}", base, f"r{i}", i, change(base) if i else "GATTACA" * 3 + base + "CCAT") for i in range(6)]
+    rows.append(("alone", "ACGTAC", "same", 0, "ACGTAC"))
+    df = spark.createDataFrame(rows, "query string, query_seq string, id string, place int, seq string")
+    for truncate in (False, True):
+        got = {(r.query, r.id): r for r in A.star_alignment(df, truncate).collect()}
+        assert len(got) == len(rows)
+        for q, base, i, _, seq in rows:
+            r = got[q, i]
+            assert len(r.aligned) == len(r.query_seq) == len(got[q, [x[2] for x in rows if x[0] == q][0]].aligned)
+            assert r.query_seq.replace("-", "") == base and (truncate or r.aligned.replace("-", "") == seq) and r.aligned.replace("-", "") in seq
+            x, y, _ = A.align_pair(base, seq)
+            assert "".join(d for c, d in zip(x, y) if c != "-") == "".join(d for c, d in zip(r.query_seq, r.aligned) if c != "-")
+            assert got[q, i].query_seq == next(v.query_seq for k, v in got.items() if k[0] == q)
+
+
+def test_map_to_aligned(spark):
+    """The query beside its best record in an alignment that stands: others get the same gaps and are cut alike."""
+    base = "ACGTTGCAAC" * 4
+    stored = ["TT--" + base[:20] + "--" + base[20:] + "GG", "TTAA" + base[:20] + "CC" + base[20:] + "GG", "----" + base[:18] + "----" + base[20:] + "--"]
+    query_ = base[:30] + "TTTTTTTTTTTTTTTTTTTTTTTTTTTT" + base[30:]
+    df = spark.createDataFrame([("q", query_, f"r{i}", i, x) for i, x in enumerate(stored)], "query string, query_seq string, id string, place int, seq string")
+    got = {r.id: r for r in A.map_to_aligned(df).collect()}
+    q = got["r0"].query_seq
+    assert {len(r.aligned) for r in got.values()} == {len(q)} and q.replace("-", "") == query_ and q[0] != "-" != q[-1]
+    # Gaps apart, rows are parts of what they were, and columns stand together as before.
+    old = [i for i in range(len(q)) if any(r.aligned[i] != "-" for r in got.values())]
+    assert len(q) - len(old) >= 20
+    for i, r in got.items():
+        kept = "".join(r.aligned[k] for k in old)
+        assert kept in stored[int(i[1])] or kept.replace("-", "") in stored[int(i[1])].replace("-", "")
+    assert "AACCCACG" in got["r1"].aligned and sum(a == b != "-" for a, b in zip(q, got["r0"].aligned)) >= 32
+
+
 def additive():
     """Distances of the tree ((a,b),(c,(d,e)))."""
     d = np.array([[0, 3, 7, 8, 9], [3, 0, 8, 9, 10], [7, 8, 0, 7, 8], [8, 9, 7, 0, 5], [9, 10, 8, 5, 0]], float)
