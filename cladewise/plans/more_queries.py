@@ -12,6 +12,7 @@ from cladewise.operators import trees as N
 from cladewise.operators.lineage_cut import new_path
 from cladewise.plans.adapters import PATHS, lineages, trees
 from cladewise.plans.registry import query, table
+from cladewise.sources import database
 from cladewise.sources.files import TAXON, sequence_records, taxonomy_rejects, taxonomy_rows, with_taxonomy
 
 
@@ -163,3 +164,44 @@ def display_order(spark, d):
     """A customer's orders by price, then by priority, both from the highest."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("identity"), F.col("o_orderpriority").alias("seq"))
     return X.display_order(o).select(F.col("query").alias("o_custkey"), F.col("id").alias("o_orderkey"), F.col("place").cast("long"))
+
+
+_BATCH = """s AS (SELECT s_suppkey::VARCHAR AS id, s_suppkey AS k, s_name, n_nationkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+b AS (SELECT *, 'first' AS batch, 1 AS i FROM s WHERE k % 3 <> 0 UNION ALL SELECT *, 'second', 2 FROM s WHERE k % 3 <> 1),
+c AS (SELECT *, CASE WHEN k % 11 = 0 AND batch = 'first' THEN 'no sequence' WHEN k % 7 = 0 THEN 'no taxid' WHEN n_nationkey % 5 = 4 THEN 'no lineage' WHEN n_nationkey % 5 = 3 THEN 'mark in a name' WHEN n_nationkey % 5 = 2 THEN 'too few levels' END AS reason FROM b)"""
+
+
+def _compiled(spark, d) -> str:
+    """Two batches of suppliers that overlap, merged into one database; the first is merged again at the end of its own turn."""
+    s, n, r = (table(spark, d, x) for x in ("supplier", "nation", "region"))
+    x = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).withColumn("id", F.col("s_suppkey").cast("string"))
+    k = F.col("s_suppkey")
+    taxids = x.filter(k % 7 != 0).select("id", F.col("n_nationkey").cast("string").alias("taxid"))
+    five = L.from_columns(phylum=F.col("r_name"), **{"class": F.concat("n_name", F.when(F.col("n_nationkey") % 5 == 3, ": x").otherwise(""))}, order=F.lit("O"), family=F.lit("F"), genus=F.when(F.col("n_nationkey") % 5 != 2, F.lit("G")))
+    taxonomy = n.join(r, n.n_regionkey == r.r_regionkey).filter(F.col("n_nationkey") % 5 != 4).select(F.col("n_nationkey").cast("string").alias("taxid"), five.alias("lineage"))
+    path = new_path(spark, "compiled")
+    for name, part in (("first", k % 3 != 0), ("first", k % 3 != 0), ("second", k % 3 != 1)):
+        seq = F.when((k % 11 == 0) & F.lit(name == "first"), "").otherwise(F.concat(F.lit("ACGT"), F.lit(name)))
+        database.merge_batch(path, name, x.filter(part).select("id", F.concat_ws(" ", "s_name", F.lit(name)).alias("organism"), seq.alias("sequence")), taxids, taxonomy)
+    return path
+
+
+@query(f"WITH {_BATCH}, g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i DESC) AS last FROM c WHERE reason IS NULL) SELECT id, n_nationkey::VARCHAR AS taxid, s_name || ' ' || batch AS organism, 'phylum:' || r_name || '/class:' || n_name || '/order:O/family:F/genus:G' AS path, 'ACGT' || batch AS sequence, batch FROM g WHERE last = 1")
+def compile_database(spark, d):
+    """The records of two overlapping batches: the last good one of each id."""
+    return database.records(spark, _compiled(spark, d)).select("id", "taxid", "organism", L.path(F.col("lineage")).alias("path"), "sequence", "batch")
+
+
+@query(f"WITH {_BATCH} SELECT batch, id, reason FROM c WHERE reason IS NOT NULL")
+def compile_ledger(spark, d):
+    """What the batches' records were rejected for."""
+    return database.ledger(spark, _compiled(spark, d)).select("batch", "id", "reason")
+
+
+@query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
+def indexed_join(spark, d):
+    """All orders with the customers of a written index, which is not shuffled."""
+    path = new_path(spark, "index")
+    database.write_index(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"), path, 16)
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
+    return o.join(database.open_index(spark, path).hint("merge"), "id").select("o_orderkey", F.col("id").alias("c_custkey"), "c_name")

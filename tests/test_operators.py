@@ -21,7 +21,7 @@ from cladewise.operators import tree_sets as M
 from cladewise.operators import trees as N
 from cladewise.plans import assignment
 from cladewise.plans.registry import PluginNotFoundError, Plugins
-from cladewise.sources import files, newick, sinks
+from cladewise.sources import database, files, newick, sinks
 from cladewise.streaming import ingest
 
 
@@ -717,6 +717,74 @@ def test_tables(spark):
     assert {(r.k, r.found) for r in T.with_membership(a, a.filter("v = 1"), {"k": "k"}).collect()} == {("x", True), ("y", False)}
 
 
+def test_index_by_id(spark, tmp_path):
+    """A lookup is pushed to the files of its buckets, a join leaves the index where it is, in a session that did not write it as well; repeated ids are told."""
+    path = f"file://{tmp_path}/index"
+    rec = spark.createDataFrame([(f"r{i}", "ACGT" * (i % 5), f"o{i}") for i in range(500)], "id string, seq string, organism string")
+    database.write_index(rec, path, 8)
+    found = database.lookup(spark, path, ["r7", "r499", "none"])
+    assert {r.id for r in found.collect()} == {"r7", "r499"}
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(id" in plan
+    assert len(list((tmp_path / "index" / "rows").glob("*.parquet"))) == 8
+    spark.sql(f"DROP TABLE {database._table(path)}")  # as in another session
+    other = spark.range(1000).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"))
+    joined = other.repartition(8, "id").join(database.open_index(spark, path).hint("merge"), "id")
+    assert joined.count() == 500
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in text and "Exchange" not in text.split("+- Sort")[-1] and "Bucketed: true" in text, text
+    with pytest.raises(database.RepeatedIdError, match="r7"):
+        database.write_index(rec.union(rec.filter("id = 'r7'")), path, 8)
+
+
+def test_compiled_database(spark, tmp_path):
+    """Batches merge by id, the last wins, the same again changes nothing; a version that was not finished is not seen."""
+    path = f"file://{tmp_path}/db"
+    five = lineage(phylum="P", **{"class": "C"}, order="O", family="F", genus="G")
+    taxonomy = spark.createDataFrame([("1", five), ("2", five[:3]), ("3", lineage(phylum="a;b", **{"class": "C"}, order="O", family="F", genus="G"))], f"taxid string, lineage {L.ENTRY_ARRAY}")
+    taxids = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("d", "3"), ("e", "9"), ("g", "1"), ("", "1")], "id string, taxid string")
+    batch = lambda *rows: spark.createDataFrame(rows, "id string, organism string, sequence string")
+    with pytest.raises(FileNotFoundError):
+        database.records(spark, path)
+    one = batch(("a", "x", "AC"), ("b", "x", "GG"), ("c", "x", "A"), ("d", "x", "A"), ("e", "x", "A"), ("f", "x", "A"), ("g", "x", " "), (None, "x", "A"), ("", "y", "A"), ("a", "z", "TT"))
+    for _ in range(2):
+        database.merge_batch(path, "one", one, taxids, taxonomy)
+        got = {r.id: (r.batch, r.taxid) for r in database.records(spark, path).collect()}
+        assert got == {"a": ("one", "1"), "b": ("one", "1")}
+        assert Counter(r.reason for r in database.ledger(spark, path).collect()) == {"no id": 2, "no sequence": 1, "no taxid": 1, "no lineage": 1, "mark in a name": 1, "too few levels": 1, "id stands twice": 1}
+    database.merge_batch(path, "two", batch(("b", "new", "CCC"), ("a", "x", "")), taxids, taxonomy)
+    assert {r.id: (r.batch, r.sequence) for r in database.records(spark, path).select("id", "batch", "sequence").collect()}["b"] == ("two", "CCC")
+    assert database.records(spark, path).count() == 2 and database.versions(spark, path) == [1, 2, 3]
+    (tmp_path / "db" / "records" / "v=4").mkdir()
+    assert database.versions(spark, path) == [1, 2, 3]
+
+
+def test_assignment_goes_on(spark, tmp_path):
+    """A second run with new queries runs only these; options or records that change run all again; a run that died is not known."""
+    from cladewise.plans import resume
+
+    rng = random.Random(31)
+    records, mutate = planted(rng, 2)
+    rec = spark.createDataFrame(records, f"id string, seq string, organism string, lineage {L.ENTRY_ARRAY}")
+    asked = [(f"q{i}", mutate(records[i][1], 0.01)) for i in (1, 8, 15, 22)]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, seq string")
+    config = assignment.AssignConfig(quotas=X.Quotas(minidentity=0.8, relbitscore=0.0, genera=6, individuals=2), replicates=5)
+    path = f"file://{tmp_path}/runs"
+    first = resume.assign_more(path, frame(asked[:2]), rec, config)
+    old = {(r.query, r.path, r.prob) for r in first["posterior"].collect()}
+    runs = {r.query: r.run for r in first["posterior"].select("query", "run").distinct().collect()}
+    assert set(runs) == {"q1", "q8"}
+    second = resume.assign_more(path, frame(asked), rec, config)
+    now = {r.query: r.run for r in second["posterior"].select("query", "run").distinct().collect()}
+    assert {q: now[q] for q in runs} == runs and set(now) == {"q1", "q8", "q15", "q22"} and len(set(now.values())) == 2
+    assert old <= {(r.query, r.path, r.prob) for r in second["posterior"].collect()}
+    third = resume.assign_more(path, frame(asked), rec, config)
+    assert {r.run for r in third["selected"].select("run").distinct().collect()} == set(now.values()) and third["failed"].count() == 0
+    # Rows of a run that is not in the ledger are not read.
+    spark.read.parquet(f"{path}/posterior/run={now['q1']}").write.parquet(f"{path}/posterior/run=dead")
+    assert resume.assign_more(path, frame(asked), rec, config)["posterior"].count() == second["posterior"].count()
+
+
 def test_slashes_in_names(spark):
     trees = spark.createDataFrame([("q", lineage(phylum="A/B", genus="E%/S")), ("q", lineage(phylum="A/B", genus="T"))], f"query string, lineage {L.ENTRY_ARRAY}")
     summary = R.summarise(trees)
