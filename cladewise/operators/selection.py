@@ -44,11 +44,33 @@ def round_robin(hits: DataFrame, query: str, group: str, order: list[Column], li
     return ranked.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit)
 
 
-def contained(candidates: DataFrame, accepted: DataFrame, by: list[str], seq: str = "seq") -> DataFrame:
+def _held(rows: DataFrame, others: DataFrame, by: list[str], k: int, apart: bool) -> DataFrame:
+    """by, id, s of rows whose s is part of some other's; of another id, if ``apart``. Both: by, id, s.
+
+    A row of k letters or more looks up the one of its words that fewest others
+    of its group have, and only these are compared letter by letter; a row with
+    a word that none has is in none. Shorter rows are compared with their group.
+    """
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    if apart:
+        same = [*same, ~F.col("id").eqNullSafe(F.col("_id"))]
+    words = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k))))
+    long, short = rows.filter(F.length("s") >= k), rows.filter(F.length("s") < k)
+    own = [F.col(c).alias(f"_{c}") for c in (*by, "id", "s")]
+    held = cut(others.filter(F.length("s") >= k).select(*own, F.explode(words(F.col("s"))).alias("_w")))
+    often = held.groupBy(*(f"_{c}" for c in by), "_w").agg(F.count(F.lit(1)).alias("_n"))
+    asked = long.select(*by, "id", "s", F.explode(words(F.col("s"))).alias("w"))
+    rare = asked.join(often, [F.col("w") == F.col("_w"), *same[: len(by)]], "left").groupBy(*by, "id", "s").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "w")).alias("r")).filter("r.n > 0")
+    found = rare.select(*by, "id", "s", F.col("r.w").alias("w")).join(held, [F.col("w") == F.col("_w"), *same, F.contains(F.col("_s"), F.col("s"))], "left_semi").select(*by, "id", "s")
+    few = short.join(others.select(*own), [*same, F.contains(F.col("_s"), F.col("s"))], "left_semi").select(*by, "id", "s")
+    return found.unionByName(few)
+
+
+def contained(candidates: DataFrame, accepted: DataFrame, by: list[str], seq: str = "seq", k: int = 12) -> DataFrame:
     """Candidates whose sequence is part of an accepted one of the same group; case does not count."""
-    a = accepted.select(*(F.col(c).alias(f"_{c}") for c in by), F.upper(seq).alias("_seq"))
-    same = [F.col(c) == F.col(f"_{c}") for c in by]
-    return candidates.join(a, [*same, F.contains(F.col("_seq"), F.upper(F.col(seq)))], "left_semi")
+    shape = lambda x: x.select(*by, F.lit(0).alias("id"), F.upper(seq).alias("s")).distinct()
+    found = _held(shape(candidates), shape(accepted), by, k, False).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("s").alias("_s"))
+    return candidates.join(found, [*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.upper(seq) == F.col("_s")], "left_semi")
 
 
 def include_minus_exclude(included: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
@@ -62,11 +84,37 @@ def failed(queries: DataFrame, assigned: DataFrame, aside: DataFrame | None, key
     return include_minus_exclude(queries, known, key)
 
 
-def not_contained(rows: DataFrame, others: DataFrame, by: list[str], ident: str = "id", seq: str = "seq") -> DataFrame:
+def not_contained(rows: DataFrame, others: DataFrame, by: list[str], ident: str = "id", seq: str = "seq", k: int = 12) -> DataFrame:
     """Rows whose sequence is not part of another one's (by id) in the same group; case does not count."""
-    o = others.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(ident).alias("_id"), F.upper(seq).alias("_seq"))
-    same = [F.col(c) == F.col(f"_{c}") for c in by]
-    return rows.join(o, [*same, F.col(ident) != F.col("_id"), F.contains(F.col("_seq"), F.upper(F.col(seq)))], "left_anti")
+    shape = lambda x: x.select(*by, F.col(ident).alias("id"), F.upper(seq).alias("s")).distinct()
+    found = _held(shape(rows), shape(others), by, k, True).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("id").alias("_id"), F.col("s").alias("_s"))
+    return rows.join(found, [*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col(ident).eqNullSafe(F.col("_id")), F.upper(seq) == F.col("_s")], "left_anti")
+
+
+def diversity(hits: DataFrame, by: str, *names: str) -> DataFrame:
+    """by, hits, and for each column of names how many different ones."""
+    return hits.groupBy(by).agg(*(F.count_distinct(n).alias(n) for n in names), F.count(F.lit(1)).alias("hits"))
+
+
+def set_status(hits: DataFrame, by: str, significant: Column, least: int, name: str, names: int) -> DataFrame:
+    """by, significant, status: whether a finished set has hits enough that are significant, and names enough."""
+    x = hits.groupBy(by).agg(F.count_if(significant).alias("significant"), F.count_distinct(name).alias("_d"))
+    return x.select(by, "significant", F.when(F.col("significant") < least, "too few").when(F.col("_d") < names, "too alike").otherwise("ok").alias("status"))
+
+
+def capped(hits: DataFrame, query: str, group: str, order: list[Column], soft: int, hard: int) -> DataFrame:
+    """The first ``hard`` hits in order; beyond ``soft`` only the first of each group. Adds place and turn, the place in its group."""
+    x = hits.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(*order))).withColumn("turn", F.row_number().over(Window.partitionBy(query, group).orderBy(*order)))
+    return x.filter((F.col("place") <= hard) & ((F.col("place") <= soft) | (F.col("turn") == 1)))
+
+
+def until_low(hits: DataFrame, query: str, order: list[Column], score: str, share: float, least: int) -> DataFrame:
+    """In order, up to and with the first hit behind the first ``least`` whose score is under this share of the best so far."""
+    w = Window.partitionBy(query).orderBy(*order)
+    x = running_best(hits, [query], order, score).withColumn("_i", F.row_number().over(w))
+    low = (F.col(score) < F.col("best") * share) & (F.col("_i") > least)
+    before = F.coalesce(F.sum(low.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return x.withColumn("_b", before).filter("_b = 0").drop("_b", "_i", "best")
 
 
 def novel(df: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:

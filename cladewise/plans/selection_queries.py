@@ -33,7 +33,7 @@ def individuals_per_species(spark, d):
 
 @query(f"WITH {HITS} SELECT query, count(DISTINCT species)::BIGINT AS species, count(*)::BIGINT AS hits FROM h GROUP BY query")
 def diversity_counts(spark, d):
-    return hits(spark, d).groupBy("query").agg(F.count_distinct("species").alias("species"), F.count(F.lit(1)).alias("hits"))
+    return X.diversity(hits(spark, d), "query", "species")
 
 
 @query(f"WITH {HITS} SELECT query, id, score, max(score) OVER (PARTITION BY query ORDER BY id ROWS UNBOUNDED PRECEDING) AS best FROM h")
@@ -44,24 +44,19 @@ def running_best_score(spark, d):
 @query(f"{_RANK}, s AS (SELECT *, row_number() OVER (PARTITION BY query, species ORDER BY score DESC, id) AS k FROM r) SELECT query, id, (i <= 30)::BOOLEAN AS within_soft, k = 1 AS first_of_species FROM s WHERE i <= 50 AND (i <= 30 OR k = 1)")
 def soft_hard_cap(spark, d):
     """After 30 hits only the first of a species is taken, and none after 50."""
-    x = hits(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy(*_order()))).withColumn("k", F.row_number().over(Window.partitionBy("query", "species").orderBy(*_order())))
-    return x.filter("i <= 50 and (i <= 30 or k = 1)").select("query", "id", (F.col("i") <= 30).alias("within_soft"), (F.col("k") == 1).alias("first_of_species"))
+    x = X.capped(hits(spark, d), "query", "species", _order(), 30, 50)
+    return x.select("query", "id", (F.col("place") <= 30).alias("within_soft"), (F.col("turn") == 1).alias("first_of_species"))
 
 
 @query(f"WITH {HITS} SELECT query, count(*) FILTER (WHERE score >= 50)::BIGINT AS significant, CASE WHEN count(*) FILTER (WHERE score >= 50) < 5 THEN 'too few' WHEN count(DISTINCT species) < 3 THEN 'too alike' ELSE 'ok' END AS status FROM h GROUP BY query")
 def significant_count(spark, d):
-    x = hits(spark, d).groupBy("query").agg(F.count_if(F.col("score") >= 50).alias("significant"), F.count_distinct("species").alias("s"))
-    return x.select("query", "significant", F.when(F.col("significant") < 5, "too few").when(F.col("s") < 3, "too alike").otherwise("ok").alias("status"))
+    return X.set_status(hits(spark, d), "query", F.col("score") >= 50, 5, "species", 3)
 
 
 @query(f"WITH {HITS}, b AS (SELECT *, max(score) OVER (PARTITION BY query ORDER BY id ROWS UNBOUNDED PRECEDING) AS best, row_number() OVER (PARTITION BY query ORDER BY id) AS i FROM h), f AS (SELECT query, min(i) AS cut FROM b WHERE score < best * 0.5 AND i > 5 GROUP BY query) SELECT b.query, b.id FROM b LEFT JOIN f ON f.query = b.query WHERE i <= coalesce(cut, i)")
 def relative_score_stop(spark, d):
     """In order of id, up to the first hit after the fifth that has under half of the best score so far."""
-    w = Window.partitionBy("query").orderBy("id")
-    x = X.running_best(hits(spark, d), ["query"], [F.col("id")], "score").withColumn("i", F.row_number().over(w))
-    low = (F.col("score") < F.col("best") * 0.5) & (F.col("i") > 5)
-    before = F.coalesce(F.sum(low.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return x.withColumn("b", before).filter("b = 0").select("query", "id")
+    return X.until_low(hits(spark, d), "query", [F.col("id")], "score", 0.5, 5).select("query", "id")
 
 
 @query(f"WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query, species ORDER BY score DESC, id) AS round FROM h), p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round, score DESC, id) AS place FROM r) SELECT query, id, round::BIGINT AS round, place::BIGINT AS place FROM p WHERE place <= 12")
@@ -88,15 +83,22 @@ def lookup_with_status(spark, d):
 def seq_containment_reject(spark, d):
     """Names that are part of another name of their region."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    x = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name", F.col("n_name").alias("seq"))
-    other = x.select(F.col("n_nationkey").alias("o"), F.col("r_name").alias("_r"), F.upper("seq").alias("_s"))
-    return x.join(other, (F.col("r_name") == F.col("_r")) & (F.col("o") != F.col("n_nationkey")) & F.contains(F.col("_s"), F.upper("seq")), "left_semi").select("r_name", F.col("seq").alias("n_name")).distinct()
+    x = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("id"), "r_name", F.col("n_name").alias("seq"))
+    return X.include_minus_exclude(x, X.not_contained(x, x, ["r_name"], k=4), "id").select("r_name", F.col("seq").alias("n_name")).distinct()
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_acctbal > 0")
+@query("SELECT a.p_partkey FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_size > 40 AND contains(upper(b.p_name), upper(substr(a.p_name, 1, 14))))")
+def contained_in_accepted(spark, d):
+    """Parts of which the first letters of the name are part of the name of a large part of the same brand."""
+    p = table(spark, d, "part")
+    accepted = p.filter("p_size > 40").select("p_brand", F.col("p_name").alias("seq"))
+    return X.contained(p.select("p_partkey", "p_brand", F.substring("p_name", 1, 14).alias("seq")), accepted, ["p_brand"]).select("p_partkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) AND c_acctbal > 0")
 def failed_assignments(spark, d):
     """Queries that no later stage knows and that are not set aside."""
-    known = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    known = table(spark, d, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     aside = table(spark, d, "customer").filter("not c_acctbal > 0").select("c_custkey")
     return X.failed(table(spark, d, "customer").select("c_custkey"), known, aside, "c_custkey")
 
@@ -131,7 +133,7 @@ def row_membership(spark, d):
 
 @query("SELECT n_nationkey::BIGINT AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900")
 def set_difference(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k")).exceptAll(table(spark, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").cast("long").alias("k")).distinct())
+    return X.include_minus_exclude(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k")), table(spark, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").cast("long").alias("k")), "k")
 
 
 @query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1) // 3)::BIGINT AS chunk FROM orders")

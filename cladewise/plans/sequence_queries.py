@@ -186,7 +186,7 @@ def similarity_colour(spark, d):
 k AS (SELECT a, b, unnest(string_split(substr(x, 1, least(length(x), length(y))::BIGINT), '')) = unnest(string_split(substr(y, 1, least(length(x), length(y))::BIGINT), '')) AS same FROM p)
 SELECT a, b, count(*)::BIGINT AS sites, count(*) FILTER (WHERE same)::BIGINT AS same FROM k GROUP BY a, b""")
 def pairwise_diffs(spark, d):
-    """All pairs of the small table of items, each with itself too: this table does not grow with the corpus."""
+    """All pairs of items, each with itself too: the matrix that is asked for. Items grow slowly with the scale (40 and 200); pairs grow with their square."""
     x = benchmark_sequences(spark, d)
     pair = x.select(F.col("item_id").alias("a"), F.col("seq").alias("x")).join(x.select(F.col("item_id").alias("b"), F.col("seq").alias("y")), F.col("a") <= F.col("b"))
     n = F.least(F.length("x"), F.length("y"))

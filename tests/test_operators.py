@@ -21,7 +21,7 @@ from cladewise.operators import tree_sets as M
 from cladewise.operators import trees as N
 from cladewise.plans import assignment
 from cladewise.plans.registry import PluginNotFoundError, Plugins
-from cladewise.sources import database, files, newick, sinks
+from cladewise.sources import database, fasta_source, files, newick, sinks
 from cladewise.streaming import ingest
 
 
@@ -832,6 +832,45 @@ def test_files(spark, tmp_path):
     assert files.constraints(spark, str(tmp_path / "c.txt")).count() == 1
 
 
+def test_fasta_format(spark, tmp_path):
+    """The format reads what the text reader reads, however files are split, and writes what it reads."""
+    rng = random.Random(41)
+    text = "".join(f">t{i} some words\n" + "".join("".join(rng.choices("ACGT", k=rng.randrange(0, 40))) + rng.choice(["\n", "\r\n", "\n\n"]) for _ in range(rng.randrange(4))) for i in range(80))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fasta").write_text(text, newline="")
+    (tmp_path / "in" / "b.fasta").write_text(">only\nAC GT")
+    (tmp_path / "in" / "c.fasta").write_text("")
+    fasta_source.register(spark)
+    want = {tuple(r) for r in files.fasta(spark, str(tmp_path / "in")).collect()}
+    for split in (1, 7, 50, 1 << 20):
+        got = spark.read.format("fasta").option("split", split if split > 1 else 13).load(str(tmp_path / "in")).collect()
+        assert {tuple(r) for r in got} == want and len(got) == 81
+    for i in range(0, len(text), 3):  # every record is in one range, wherever it is cut
+        with open(tmp_path / "in" / "a.fasta", "rb") as f:
+            assert len([*fasta_source._records(f, 0, i), *fasta_source._records(f, i, len(text))]) == 80, i
+    out = f"file://{tmp_path}/out"
+    df = spark.read.format("fasta").load(f"file://{tmp_path}/in")
+    df.repartition(3).write.format("fasta").option("width", 7).mode("append").save(out)
+    again = spark.read.format("fasta").load(out)
+    assert {tuple(r)[1:] for r in again.collect()} == {w[1:] for w in want} and not list((tmp_path / "out").glob("_temporary*"))
+    assert [r.title for r in df.filter("title in ('only', 'nowhere')").collect()] == ["only"]
+
+
+def test_containment_by_rare_words(spark):
+    """Words of any length, short ones and nulls among them, against a plain search."""
+    rng = random.Random(51)
+    word = lambda n: "".join(rng.choices("abAB", k=n))
+    rows = [(i, rng.choice(["g", "h", None]), word(rng.choice([0, 1, 3, 6, 12, 30, 60]))) for i in range(250)] + [(900 + i, "g", "common" * 9) for i in range(5)] + [(999, "g", None)]
+    df = spark.createDataFrame(rows, "id int, g string, seq string")
+    up = [(i, g, None if x is None else x.upper()) for i, g, x in rows]
+    inside = {i for i, g, x in up if x is not None and any(h == g and j != i and y is not None and x in y for j, h, y in up)}
+    assert {r.id for r in X.not_contained(df, df, ["g"], k=5).collect()} == {i for i, *_ in rows} - inside
+    some = [r for r in rows if r[0] % 3 == 0]
+    acc = spark.createDataFrame(some, "id int, g string, seq string")
+    want = {i for i, g, x in up if x is not None and any(h == g and y is not None and x in y.upper() for j, h, y in some)}
+    assert {r.id for r in X.contained(df, acc, ["g"], k=5).collect()} == want
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("t", "A" * 250)], "title string, sequence string")
     sinks.write_fasta(df, str(tmp_path / "out"))
