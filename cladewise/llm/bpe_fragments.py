@@ -4,13 +4,16 @@ Two bytes that stand next to each other inside no token of the vocabulary can
 never be merged, so a text may be cut between them, and the parts encoded apart
 from each other give the ids of the whole. Cuts are made on two levels:
 
-1. In the text, where such a pair is also certain to end a word of the
-   pattern that splits texts: a printable ASCII character before ASCII white
-   space. No word of the pattern goes on behind that place and none looks back
-   over it, so each fragment is split as it is within the text. Most fragments
-   are words with the space before them; each is encoded once and remembered.
-2. In a fragment, which the library's own splitter has split into words: a
-   word is cut at every such pair, and the library's merges encode each part.
+1. In the text, where the pattern that splits texts cannot look over such a
+   pair: where characters change between letters (a-z and those of U+00C0 to
+   U+00FF), digits, marks and white space, except behind white space and behind
+   an apostrophe; and between two letters, or two digits, which stand in one
+   word on both sides. Each fragment is split as it is within the text. Most
+   are one word, with the space before it, or some marks; each is encoded once
+   and remembered.
+2. In a fragment that may be more than one word by its characters: the
+   library's own splitter splits it, a word is cut at every such pair, and the
+   library's merges encode each part.
 
 Strings of added tokens are cut out first, the leftmost and longest ones, and
 stand for their id, as in the library. A task reads and writes slices of its
@@ -37,10 +40,16 @@ from .batches import slices
 from .token_ids import tokenizer_file
 
 #: Fragments that are remembered, and the longest of them.
-KNOWN, LONGEST = 1 << 18, 64
+KNOWN, LONGEST = 1 << 19, 64
 #: Bytes that stand for themselves in vocabularies of this kind; the others are U+0100 and on, in order.
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 WHITE = [9, 10, 11, 12, 13, 32]
+#: Fragments that are one word of the pattern.
+ONE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: The first byte of U+00C0 to U+00FF, and the second of the two that are no letters.
+LATIN, TIMES, DIVISION = 0xC3, 0x97, 0xB7
+#: Kinds of characters.
+LETTER, DIGIT, MARK, SPACE = 1, 2, 3, 4
 
 
 def byte_chars() -> str:
@@ -86,11 +95,14 @@ class FragmentCoder:
         raw = {i: bytes(of_char[c] for c in t) for t, i in model["vocab"].items()}
         self.inside = self.pairs(raw.values())
         self.bytes_of = raw | {t["id"]: bytes(of_char[c] for c in t["content"]) if all(c in of_char for c in t["content"]) else t["content"].encode() for t in added}
-        self.byte_of = np.zeros(0x200, np.uint8)
-        self.byte_of[[ord(c) for c in chars]] = np.arange(256)
-        ends = np.zeros((256, 256), bool)
-        ends[np.ix_(range(0x21, 0x7F), WHITE)] = True
-        self.cuts = ends.ravel() & ~self.inside
+        self.chars = {b: c for b, c in enumerate(chars)}
+        self.joint = {chars[x >> 8] + chars[x & 255] for x in np.flatnonzero(self.inside).tolist()}
+        self.kind = np.zeros(256, np.uint8)
+        for b in range(0x21, 0x7F):
+            self.kind[b] = DIGIT if chr(b).isdigit() else LETTER if chr(b).isalpha() else MARK
+        self.kind[WHITE] = SPACE
+        self.free = ~self.inside
+        self.four = [i.to_bytes(4, "little") for i in range(max(self.bytes_of, default=0) + 1)]
         self.added = {t["content"].encode(): int(t["id"]).to_bytes(4, "little") for t in added if t["content"]}
         self.find = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
         self.known = Remembered(self.fragment)
@@ -105,20 +117,35 @@ class FragmentCoder:
         return inside
 
     def fragment(self, raw: bytes) -> bytes:
-        """Ids of a fragment: its words, cut at forced boundaries."""
-        ids = []
+        """Ids of a fragment."""
+        if ONE.fullmatch(raw):
+            return b"".join([self.four[t.id] for t in self.model.tokenize(raw.decode("latin-1").translate(self.chars))])
+        joint, ids = self.joint, []
         for word, _ in self.split.pre_tokenize_str(raw.decode()):
-            b = self.byte_of[np.frombuffer(word.encode("utf-32-le"), np.uint32)].astype(np.int64)
-            at = [0, *(np.flatnonzero(~self.inside[256 * b[:-1] + b[1:]]) + 1).tolist(), len(word)]
-            for s, e in zip(at, at[1:]):
-                ids += [t.id for t in self.model.tokenize(word[s:e])]
-        return np.array(ids, "<u4").tobytes()
+            start = 0
+            for i in range(1, len(word)):
+                if word[i - 1 : i + 1] not in joint:
+                    ids += self.model.tokenize(word[start:i])
+                    start = i
+            ids += self.model.tokenize(word[start:])
+        return b"".join([self.four[t.id] for t in ids])
+
+    def cuts(self, raw: bytes) -> np.ndarray:
+        """Where fragments of a text begin, its start aside."""
+        b = np.frombuffer(raw, np.uint8)
+        kind = self.kind[b]
+        lead = np.flatnonzero(b[:-1] == LATIN)
+        lead = lead[(b[lead + 1] != TIMES) & (b[lead + 1] != DIVISION)]
+        kind[lead] = kind[lead + 1] = LETTER
+        one, two, left = kind[:-1], kind[1:], b[:-1]
+        ends = (one != two) & ((left != ord("'")) | (two == SPACE)) | (one == two) & (one < MARK)
+        sure = ends & (one > 0) & (one < SPACE) & (two > 0) & (left != LATIN)
+        return np.flatnonzero(sure & self.free[(left.astype(np.uint16) << 8) + b[1:]]) + 1
 
     def part(self, raw: bytes) -> bytes:
         if not raw:
             return b""
-        b = np.frombuffer(raw, np.uint8).astype(np.uint16)
-        at = [0, *(np.flatnonzero(self.cuts[(b[:-1] << 8) + b[1:]]) + 1).tolist(), len(raw)]
+        at = [0, *self.cuts(raw).tolist(), len(raw)]
         return b"".join(map(self.known.__getitem__, [raw[s:e] for s, e in zip(at, at[1:])]))
 
     def encode(self, raw: bytes | None) -> bytes:

@@ -151,19 +151,27 @@ def test_bpe_as_the_library(library):
 
 
 def test_bpe_certain_cuts():
-    """No pair that a token holds is cut, all cuts are before white space, and there are some inside words too."""
+    """Cuts are where no token holds both bytes; none behind white space, within a character or before what may go on. Words that are not plain are cut too."""
     coder = bpe_fragments.FragmentCoder(tokenizer_file("byte_bpe_50k.json"))
-    assert not (coder.cuts & coder.inside).any() and coder.cuts[256 * ord("a") + 32] and not coder.cuts[256 * 32 + 32] and not coder.inside.all()
+    text = "ab cdé  'tis don't x1,2 zqzqVjQx ñÿ×÷ç e\u0301 日本 .'s \n\n a"
+    raw = text.encode()
+    at = coder.cuts(raw).tolist()
+    assert at and not coder.inside.all()
+    for i in at:
+        assert not coder.inside[256 * raw[i - 1] + raw[i]] and raw[i - 1] not in bpe_fragments.WHITE and not 0x80 <= raw[i] < 0xC0
+        assert raw[i - 1] != ord("'") or raw[i] in bpe_fragments.WHITE
+    fragments = [raw[s:e].decode() for s, e in zip([0, *at], [*at, len(raw)])]
+    assert "".join(fragments) == text and " cdé" in fragments and "ab" in fragments and "'t" in fragments and any(f in "zqzqVjQx" and len(f) < 8 for f in fragments)
     asked = []
 
     class Seen:
         def tokenize(self, part):
             asked.append(part)
-            return coder_model.tokenize(part)
+            return model.tokenize(part)
 
-    coder_model, coder.model = coder.model, Seen()
-    coder.encode(b"plain zqzqzqVj")
-    assert len(asked) > 2 and "".join(asked) == "plainĠzqzqzqVj"
+    model, coder.model = coder.model, Seen()
+    coder.fragment("日zqVj".encode())
+    assert len(asked) > 2
 
 
 def test_bpe_whole_texts(spark, library):
