@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import forget_tokenizers, slices
-from .components import components
+from .components import _parts, components_counted
 from .scratch import Scratch
 from .wordhash import mix, shingles, word_hashes
 
@@ -165,14 +165,16 @@ def dealt(rows: DataFrame, by: str, block: int, scratch: Scratch) -> DataFrame:
     return zero.unionByName(one.select(zero.columns)).drop("_n", "_m", "_h", "open")
 
 
-def bucket_links(shared: DataFrame, sign: DataFrame, joined: DataFrame, at_least: float, block: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that span what all pairs of each bucket's classes would join. shared: band, node, least; sign: node, signature; joined: node, component of what has been joined before."""
+def bucket_links(shared: DataFrame, sign: DataFrame, joined: DataFrame, at_least: float, block: int, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) that span what all pairs of each bucket's classes would join; None if there is nothing left to compare. shared: band, node, least; sign: node, signature; joined: node, component of what has been joined before."""
     known = joined.select("node", F.col("component").alias("_c"))
     rows = shared.hint("merge").join(known.hint("merge"), "node", "left").select("band", "node", "least", F.coalesce("_c", "node").alias("known"))
     rows = rows.hint("merge").join(known.withColumnRenamed("node", "least").withColumnRenamed("_c", "_l").hint("merge"), "least", "left")
     rows = scratch.save(rows.select("band", "node", "known", (F.col("known") != F.coalesce("_l", "least")).alias("open")))
     # Two classes have been compared already, as one of them is the least.
     apart = scratch.save(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).filter("n > 2 and some").select("band"))
+    if apart.isEmpty():
+        return None
     rows = scratch.save(rows.hint("merge").join(apart, "band", "left_semi"))
     pairs = dealt(rows, "band", block, scratch).hint("merge").join(sign, "node")
 
@@ -263,8 +265,8 @@ def _stars(nodes: np.ndarray, links: list[tuple[int, int]], centre: int) -> list
     return [(find(x), x) for x in root if find(x) != x]
 
 
-def confirmed_links(sets: DataFrame, percent: int, block: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that span the true components. sets: node, grp, items, a written table; an equal row may stand twice."""
+def confirmed_links(sets: DataFrame, percent: int, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Stars (a, b) around the least node of each component within a block, and links (a, b) between such components; None where these are the true components already. sets: node, grp, items, a written table; an equal row may stand twice."""
 
     def in_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node").drop_duplicates("node")
@@ -287,16 +289,16 @@ def confirmed_links(sets: DataFrame, percent: int, block: int, scratch: Scratch)
     # Groups of one block are done. Blocks share no other class than the least, so stars of blocks are components.
     large = scratch.save(sets.hint("merge").join(sizes.filter("blocks > 1").select("grp"), "grp", "left_semi").select("grp", "node").distinct())
     if large.isEmpty():
-        return links
+        return links, None
     parts = large.hint("merge").join(links.select(F.col("b").alias("node"), "a").hint("merge"), "node", "left").select("grp", "node", F.coalesce("a", "node").alias("known"))
     parts = scratch.save(parts)
     most = parts.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.count(F.lit(1)).alias("parts"))
     most = scratch.save(most.filter("parts > 1").select("grp", "main"))
     if most.isEmpty():
-        return links
+        return links, None
     rows = scratch.save(parts.join(most, "grp").select("grp", "node", "known", (F.col("known") != F.col("main")).alias("open")))
     again = dealt(rows, "grp", block, scratch).hint("merge").join(sets.select("node", "items"), "node")
-    return links.unionByName(again.groupBy("grp", "i", "j").applyInPandas(between, "a long, b long"))
+    return links, again.groupBy("grp", "i", "j").applyInPandas(between, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 512) -> DataFrame:
@@ -320,30 +322,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter(_near("sa", "sb", at_least))
         .select("a", "b")
     )
-    joined = scratch.save(components(near, scratch))
-    more = scratch.save(bucket_links(shared, sign, joined, at_least, block, scratch))
-    grouped = scratch.save(components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), scratch))
-    groups = scratch.save(grouped.select("node", F.col("component").alias("grp")).join(classes.select("node", "least", "set_id"), "node"))
+    joined, most = components_counted(near, scratch)
+    few = lambda df, rows: scratch.save(df.coalesce(_parts(scratch, rows)))  # noqa: E731  tables of so many rows at most
+    joined = few(joined, most)
+    more = bucket_links(shared, sign, joined, at_least, block, scratch)
+    more = None if more is None else scratch.save(more)
+    if more is None or more.isEmpty():
+        grouped = joined
+    else:
+        grouped, most = components_counted(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), scratch)
+        grouped = few(grouped, most)
+    groups = few(grouped.select("node", F.col("component").alias("grp")).join(classes.select("node", "least", "set_id"), "node"), most)
     sets = scratch.save(full_sets(docs, groups, k))
-    links = scratch.save(confirmed_links(sets, percent, block, scratch))
+    stars, between = confirmed_links(sets, percent, block, scratch)
+
+    # Rows of one id are one document: the classes of its rows are linked. Few ids have more than one row.
+    repeated = scratch.save(signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    texts = None
+    if not repeated.isEmpty():
+        texts = scratch.save(signed.select("doc_id", "set_id").join(repeated, "doc_id").distinct())
+        ones = texts.groupBy("doc_id").agg(F.min("set_id").alias("one"))
+        number = lambda c: classes.select(F.col("set_id").alias(c), F.col("node").alias(f"{c}_node"))
+        same = texts.join(ones, "doc_id").filter("set_id <> one").join(number("one"), "one").join(number("set_id"), "set_id").select(F.col("one_node").alias("a"), F.col("set_id_node").alias("b"))
+        between = same if between is None else between.unionByName(same)
+    if between is not None:
+        found, most = components_counted(stars.unionByName(between), scratch)
+        found = few(found, most)
+    else:  # stars of different groups share no class
+        found = stars.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
     scratch.drop(sets)
 
-    # Rows of one id are one document: the classes of its rows are linked. Few ids have more than one text.
-    of_id = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("one"), F.max("set_id").alias("other"), F.count_if(F.col("set_id").isNull()).alias("bare"))
-    several = scratch.save(of_id.filter("one is not null and (one <> other or bare > 0)").select("doc_id", "one"))
-    texts = scratch.save(signed.select("doc_id", "set_id").join(several, "doc_id").filter("set_id is not null").distinct())
-    number = lambda c: classes.select(F.col("set_id").alias(c), F.col("node").alias(f"{c}_node"))
-    same = texts.filter("set_id <> one").join(number("one"), "one").join(number("set_id"), "set_id").select(F.col("one_node").alias("a"), F.col("set_id_node").alias("b"))
-    found = scratch.save(components(links.unionByName(same), scratch))
-
     ids = found.hint("merge").join(classes.select("node", "least"), "node")
     lowest = ids.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.save(found.hint("merge").join(lowest.hint("merge"), "component").select("node", "component_id"))
+    named = few(found.hint("merge").join(lowest.hint("merge"), "component").select("node", "component_id"), most)
     label = classes.select("node", "set_id", "least").hint("merge").join(named.hint("merge"), "node", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"))
     label = scratch.save(label)
     out = signed.select("doc_id", "n_shingles", "set_id").hint("merge").join(label.hint("merge"), "set_id", "left")
-    bare = scratch.save(texts.join(label, "set_id").groupBy("doc_id").agg(F.min("component_id").alias("_of_id")))
-    out = out.join(bare, "doc_id", "left")
+    if texts is None:
+        out = out.withColumn("_of_id", F.lit(None).cast("long"))
+    else:  # a row without words goes with the other rows of its id
+        bare = scratch.save(texts.join(label, "set_id").groupBy("doc_id").agg(F.min("component_id").alias("_of_id")))
+        out = out.join(bare, "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "_of_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
