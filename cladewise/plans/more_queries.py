@@ -82,12 +82,12 @@ def null_is_novel(spark, d):
 _TAXON_SQL = "FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 
-def _taxa(spark, d, mark=F.lit("")):
+def _taxa(spark, d, mark=None):
     """Suppliers as taxonomy XML, read back."""
     s, n, r = (table(spark, d, x) for x in ("supplier", "nation", "region"))
     x = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     taxon = lambda rank, name: F.concat(F.lit("<Taxon><TaxId>1</TaxId><ScientificName>"), name, F.lit(f"</ScientificName><Rank>{rank}</Rank></Taxon>"))
-    lineage = F.concat(taxon("no rank", F.lit("root: all")), taxon("kingdom", F.col("r_name")), taxon("phylum", F.concat("n_name", mark)), taxon("phylum", F.lit("Again")), F.when(F.col("s_acctbal") >= 0, taxon("order", F.lit("Rich"))).otherwise(taxon("order", F.lit("unclassified, poor"))))
+    lineage = F.concat(taxon("no rank", F.lit("root: all")), taxon("kingdom", F.col("r_name")), taxon("phylum", F.concat("n_name", F.lit("") if mark is None else mark)), taxon("phylum", F.lit("Again")), F.when(F.col("s_acctbal") >= 0, taxon("order", F.lit("Rich"))).otherwise(taxon("order", F.lit("unclassified, poor"))))
     xml = F.concat(F.lit("<Taxon><TaxId>"), F.col("s_suppkey").cast("string"), F.lit("</TaxId><ScientificName>"), F.col("s_name"), F.lit("</ScientificName><LineageEx>"), lineage, F.lit("</LineageEx></Taxon>"))
     return x.select(F.from_xml(xml, TAXON).alias("t")).select("t.*")
 
