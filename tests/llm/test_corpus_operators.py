@@ -948,4 +948,4 @@ def test_op2_and_op4_digests(spark, docs, tmp_path):
 def test_names_are_json_safe():
     from cladewise.llm import queries
 
-    assert json.dumps(sorted(queries.QUERIES)) and set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert json.dumps(sorted(queries.QUERIES)) and set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
