@@ -1,12 +1,17 @@
 """Quality of texts by an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Words are hashed to ``2**vocab_bits`` classes. Trusted text is that of at most
-``sample_rows`` labelled documents (quality 1, not toxic), chosen by a hash of
-the id; three quarters train, one quarter sets the thresholds, so these come
-from text that the model has not seen.
+Words are hashed to ``2**vocab_bits`` classes. Trusted text is that of all
+labelled documents of quality 1 that are not toxic; by a hash of the id three
+quarters of them train, all that there are, and the others set the thresholds,
+so these come from text that the model has not seen.
+
+What ids are trusted stays a table. A Bloom filter of them, of a fixed size,
+tells where texts are read which can be trusted; the words of these are joined
+with the table by id, so only trusted ones count.
 
 Counts of pairs are merged by shard, a hash of the pair, so that a frequent
-first word makes no shard larger than others. Discounts D1, D2 and D3+ follow
+first word makes no shard larger than others; there are as many shards as the
+words ask for. Discounts D1, D2 and D3+ follow
 from the counts of counts; the lower order holds continuation counts with
 discounts of its own, down to a uniform distribution. Documents that train are
 scored by the same model and so vouch for themselves; they are trusted anyway.
@@ -42,10 +47,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import forget_tokenizers, slices
@@ -58,6 +62,10 @@ BLOCK = 1 << 20
 ONE = 1 << 20
 #: Words of a shard that one task answers.
 PER_DEAL = 16_000_000
+#: Words of all documents for which there is one shard, and the fewest and most shards.
+PER_SHARD, SHARDS = 8_000_000, (16, 1 << 15)
+#: Log perplexities are counted in bins of 1 / BINS before those of a quantile's bin are put in order.
+BINS = 1024
 #: Stands for a null id between the steps.
 NO_ID = -(1 << 63)
 
@@ -77,6 +85,14 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return (mix(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.uint16)
 
 
+def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard of the keys with their places, in the order they have."""
+    shard = _shard(keys, shards)
+    order = np.argsort(shard, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(keys) else ():
+        yield int(shard[at[0]]), at
+
+
 def _pack(x: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), 1) if len(x) else b""
 
@@ -117,24 +133,63 @@ def _record(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
 
-def count_pairs(docs: DataFrame, trusted: np.ndarray, bits: int, shards: int) -> DataFrame:
-    """(shard, keys, counts): pairs of the trusted documents, summed within blocks."""
+def trusted_ids(labels: DataFrame, seed: int) -> DataFrame:
+    """doc_id and held (sets thresholds; the others train): all documents of which every label is good and none toxic."""
+    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("doc_id is not null and q = 1 and coalesce(t, 0) = 0")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(held=mix(pdf["doc_id"].to_numpy(np.int64).astype(np.uint64) + np.uint64(seed)) % np.uint64(4) == 0)
+
+    return good.select("doc_id").mapInPandas(split, "doc_id long, held boolean")
+
+
+def id_filter(ids: DataFrame, filter_bits: int, shards: int = 64) -> PairFilter:
+    """The filter of the column doc_id, of 2**filter_bits bits."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = np.sort(pdf["doc_id"].to_numpy(np.int64))
+            yield pd.DataFrame([(s, _pack_steps(keys[at])) for s, at in _by_shard(keys, shards)], columns=["shard", "keys"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.sort(np.concatenate([_unpack_steps(x) for x in pdf["keys"]]))
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "keys": [_pack_steps(keys)]})
+
+    return known_pairs(ids.select("doc_id").mapInPandas(parts, "shard int, keys binary").groupBy("shard").applyInPandas(merge, "shard int, keys binary"), filter_bits, shards)
+
+
+def words_of(docs: DataFrame, ids: DataFrame, bits: int, filter_bits: int) -> DataFrame:
+    """doc_id and classes, packed, of the documents whose id is in ids. Texts that the filter of ids keeps back are not shuffled; over BLOCK words go in parts."""
+    shards = 64
+    may = docs.sparkSession.sparkContext.broadcast(id_filter(ids, filter_bits, shards))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_tokenizers()
-        known = pa.array(trusted)
+        for batch in slices(batches):
+            own = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array(may.value.may_have(own, _shard(own, shards))))
+            rows = [(i, _pack(c[at : at + BLOCK + 1].astype(np.uint32))) for i, c in zip(batch.column(0).to_pylist(), word_classes(batch.column(1).to_pylist(), bits), strict=True) for at in range(0, len(c) - 1, BLOCK)]
+            yield _record(["doc_id", "classes"], [pa.int64(), pa.binary()], rows)
+
+    found = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(task, "doc_id long, classes binary")
+    return found.join(ids.select("doc_id").hint("merge"), "doc_id")  # ids grow with the labels, so they are not broadcast
+
+
+def count_pairs(words: DataFrame, bits: int, shards: int) -> DataFrame:
+    """(shard, keys, counts): pairs of all rows, summed within blocks. words: classes, packed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             keys, n = _sum_up(np.concatenate(held))
-            shard = _shard(keys, shards)
-            rows = [(int(s), _pack_steps(keys[at := shard == s]), _pack(n[at].astype(np.int32))) for s in np.unique(shard)]
+            rows = [(s, _pack_steps(keys[at]), _pack(n[at].astype(np.int32))) for s, at in _by_shard(keys, shards)]
             return _record(["shard", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()], rows)
 
         for batch in slices(batches):
-            hit = batch.column(1).filter(pc.is_in(batch.column(0), value_set=known))
-            for classes in word_classes(hit.to_pylist(), bits):
-                held.append(_pair(classes, bits))
+            for packed in batch.column(0).to_pylist():
+                held.append(_pair(_unpack(packed, "<u4").astype(np.int64), bits))
                 size += len(held[-1])
                 if size > BLOCK:
                     yield flush()
@@ -142,7 +197,7 @@ def count_pairs(docs: DataFrame, trusted: np.ndarray, bits: int, shards: int) ->
         if size:
             yield flush()
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(task, "shard int, keys binary, counts binary")
+    return words.select("classes").mapInArrow(task, "shard int, keys binary, counts binary")
 
 
 def merge_counts(parts: DataFrame) -> DataFrame:
@@ -158,31 +213,26 @@ def merge_counts(parts: DataFrame) -> DataFrame:
 def _statistics(merged: DataFrame, bits: int) -> tuple[np.ndarray, ...]:
     """Arrays by word class: total, n1, n2, n3 (followers seen once, twice, more often) and before (distinct words before it); and counts of counts.
 
-    Each shard sends sparse arrays of at most 2**bits entries in ranges, which are summed by range.
+    Each task sums those of its shards in arrays of 2**bits entries and sends them in ranges, which are summed by range.
     """
     span = 1 << max(0, bits - 4)
 
-    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((5, 1 << bits), np.int64)
         for pdf in batches:
             for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
                 keys, n = _unpack_steps(k), _unpack(c, "<i4").astype(np.int64)
                 v, start = np.unique(keys >> bits, return_index=True)  # keys ascend
                 w, before = np.unique(keys & ((1 << bits) - 1), return_counts=True)
-                columns = [np.add.reduceat(x, start) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))]
-                rows = []
-                for part in range((1 << bits) // span):
-                    i, j = np.searchsorted(v, (part * span, (part + 1) * span))
-                    x, y = np.searchsorted(w, (part * span, (part + 1) * span))
-                    rows.append((part, _pack(v[i:j]), _pack(np.concatenate([col[i:j] for col in columns])), _pack(w[x:y]), _pack(before[x:y])))
-                yield pd.DataFrame(rows, columns=["part", "v", "sums", "w", "before"])
+                out[:4, v] += [np.add.reduceat(x, start) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))]
+                out[4, w] += before
+        if out.any():
+            for part in range((1 << bits) // span):
+                yield pd.DataFrame({"part": [part], "sums": [_pack(out[:, part * span : (part + 1) * span].ravel())]})
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, out = pdf["part"].iloc[0], np.zeros((5, span), np.int64)
-        for v, sums, w, before in zip(pdf["v"], pdf["sums"], pdf["w"], pdf["before"], strict=True):
-            v, w = _unpack(v, "<i8") - part * span, _unpack(w, "<i8") - part * span
-            out[:4, v] += _unpack(sums, "<i8").reshape(4, -1)
-            out[4, w] += _unpack(before, "<i8")
-        return pd.DataFrame({"part": [part], "sums": [_pack(out.ravel())]})
+        out = sum(_unpack(x, "<i8") for x in pdf["sums"])
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "sums": [_pack(out)]})
 
     def counts_of_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -190,7 +240,7 @@ def _statistics(merged: DataFrame, bits: int) -> tuple[np.ndarray, ...]:
                 n = _unpack(c, "<i4")
                 yield pd.DataFrame({"i": [1, 2, 3, 4], "n": [int((n == i).sum()) for i in (1, 2, 3, 4)]})
 
-    rows = merged.mapInPandas(sparse, "part int, v binary, sums binary, w binary, before binary").groupBy("part").applyInPandas(total, "part int, sums binary").orderBy("part").collect()  # 5 * 2**bits numbers
+    rows = merged.mapInPandas(own, "part int, sums binary").groupBy("part").applyInPandas(total, "part int, sums binary").orderBy("part").collect()  # 5 * 2**bits numbers
     table = np.concatenate([_unpack(bytes(r["sums"]), "<i8").reshape(5, -1) for r in rows], axis=1)
     often = {r["i"]: r["s"] for r in merged.mapInPandas(counts_of_counts, "i int, n long").groupBy("i").agg(F.sum("n").alias("s")).collect()}
     return *table, np.array([often.get(i, 0) for i in (1, 2, 3, 4)], float)
@@ -272,16 +322,14 @@ def _requests(keys: np.ndarray, owner: np.ndarray, shards: int) -> dict[int, tup
     """For each shard the pairs asked for: ascending keys as steps, owners of each, steps of owners, and how often each owner has the pair."""
     both, times = np.unique((keys.astype(np.uint64) << np.uint64(20)) | owner.astype(np.uint64), return_counts=True)
     keys, owner = (both >> np.uint64(20)).astype(np.int64), (both & np.uint64((1 << 20) - 1)).astype(np.int64)
-    shard = _shard(keys, shards)
     out = {}
-    for s in np.unique(shard):
-        at = shard == s
+    for s, at in _by_shard(keys, shards):
         k, o, t = keys[at], owner[at], times[at]
         fresh = np.concatenate(([True], k[1:] != k[:-1]))
         step = np.diff(o, prepend=0)
         step[fresh] = o[fresh]
         owners = np.diff(np.append(np.flatnonzero(fresh), len(k)))
-        out[int(s)] = _pack_steps(k[fresh]), _pack(owners.astype(np.uint32)), _pack(step.astype(np.uint32)), _pack(t.astype(np.uint32))
+        out[s] = _pack_steps(k[fresh]), _pack(owners.astype(np.uint32)), _pack(step.astype(np.uint32)), _pack(t.astype(np.uint32))
     return out
 
 
@@ -301,47 +349,43 @@ def _answers(keys: np.ndarray, gain: np.ndarray, n: int, steps: bytes, owners: b
     return out
 
 
-REQUESTS = ["shard", "deal", "ids", "steps", "owners", "owner_steps", "times", "words", "base", "role", "langs"]
-REQUEST_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 8, pa.list_(pa.string())]
-REQUEST_SCHEMA = "shard int, deal int, ids binary, steps binary, owners binary, owner_steps binary, times binary, words binary, base binary, role binary, langs array<string>"
-ROLES = (None, "held", "train")
+REQUESTS = ["shard", "deal", "ids", "steps", "owners", "owner_steps", "times", "words", "base", "langs"]
+REQUEST_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 7, pa.list_(pa.string())]
+REQUEST_SCHEMA = "shard int, deal int, ids binary, steps binary, owners binary, owner_steps binary, times binary, words binary, base binary, langs array<string>"
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, vocab_bits: int = 20, filter_bits: int = 27, shards: int = 16, sample_rows: int = 200_000, seed: int = 3) -> DataFrame | None:
+def perplexities(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, vocab_bits: int = 20, filter_bits: int = 27, shards: int | None = None, seed: int = 3) -> DataFrame | None:
     """doc_id, lang, words, log_ppl (mean negative log probability) and role ('train', 'held' or null). docs: doc_id long, text, lang."""
     spark = docs.sparkSession
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("doc_id is not null and q = 1 and coalesce(t, 0) = 0")
-    chosen = np.array([r[0] for r in good.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("h")).orderBy("h", "doc_id").limit(sample_rows).select("doc_id").collect()], np.int64)
-    held = mix(chosen.astype(np.uint64) + np.uint64(seed)) % np.uint64(4) == 0
-    train, held = np.sort(chosen[~held]), np.sort(chosen[held])
-    merged = scratch.save(merge_counts(count_pairs(docs, train, vocab_bits, shards)))
+    some = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # about as many words
+    shards = shards or min(max(SHARDS[0], -(-some // PER_SHARD)), SHARDS[1])
+    bits, deal = vocab_bits, max(1, -(-some // (shards * PER_DEAL)))
+    trusted = scratch.save(trusted_ids(labels, seed))
+    merged = scratch.save(merge_counts(count_pairs(words_of(docs, trusted.filter("not held"), bits, filter_bits), bits, shards)))
     if merged.isEmpty():
         return None
     total, n1, n2, n3, before, often = _statistics(merged, vocab_bits)
     model = spark.sparkContext.broadcast(Model(vocab_bits, total, n1, n2, n3, before, discounts(often)))
-    shared = spark.sparkContext.broadcast((known_pairs(merged, filter_bits, shards), train, held))
-    bits, deal = vocab_bits, max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (6 * shards * PER_DEAL)))
+    shared = spark.sparkContext.broadcast(known_pairs(merged, filter_bits, shards))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_tokenizers()
-        m, (known, train, held) = model.value, shared.value
-        train, held = pa.array(train), pa.array(held)
+        m, known = model.value, shared.value
         part, number = TaskContext.get().partitionId(), 0
         docs_, keys, owner, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             asked = _requests(np.concatenate(keys), np.concatenate(owner), shards) if keys else {}
-            ids, words, base, role, langs = zip(*docs_, strict=True)
+            ids, words, base, langs = zip(*docs_, strict=True)
             packed = _pack_steps(np.array(ids, np.int64))
-            about = _pack(np.array(words, np.int64)), _pack(np.array(base, np.int64)), _pack(np.array(role, np.int8)), langs
+            about = _pack(np.array(words, np.int64)), _pack(np.array(base, np.int64)), langs
             home = (part + number) % shards  # one row of each block tells what is known of its documents
             asked.setdefault(home, (b"",) * 4)
             to = (part + number // shards) % deal
-            return _record(REQUESTS, REQUEST_TYPES, [(s, to, packed, *x, *(about if s == home else (None,) * 4)) for s, x in asked.items()])
+            return _record(REQUESTS, REQUEST_TYPES, [(s, to, packed, *x, *(about if s == home else (None,) * 3)) for s, x in asked.items()])
 
         for batch in slices(batches):
-            roles = np.where(pc.is_in(batch.column(0), value_set=train), 2, np.where(pc.is_in(batch.column(0), value_set=held), 1, 0))
-            for i, c, role, lang in zip(batch.column(0).to_pylist(), word_classes(batch.column(1).to_pylist(), bits), roles, batch.column(2).to_pylist(), strict=True):
+            for i, c, lang in zip(batch.column(0).to_pylist(), word_classes(batch.column(1).to_pylist(), bits), batch.column(2).to_pylist(), strict=True):
                 # A text of over BLOCK words goes in parts; each is a row of the same id.
                 for at in range(0, max(1, len(c) - 1), BLOCK):
                     own = c[at : at + BLOCK + 1]
@@ -350,7 +394,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, vocab_
                     if len(k):
                         keys.append(k)
                         owner.append(np.full(len(k), len(docs_)))
-                    docs_.append((NO_ID if i is None else i, len(own) - 1, int(m.base(own).sum()), int(role), lang))
+                    docs_.append((NO_ID if i is None else i, len(own) - 1, int(m.base(own).sum()), lang))
                     size += len(k) + 1
                     if size > BLOCK >> 1:
                         yield flush()
@@ -365,7 +409,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, vocab_
         if len(right):
             keys = _unpack_steps(right["keys"].iloc[0])
             gain = m.gains(keys, _unpack(right["counts"].iloc[0], "<i4").astype(np.int64))
-        out = {k: [] for k in ("doc_id", "lang", "words", "score", "role")}
+        out = {k: [] for k in ("doc_id", "lang", "words", "score")}
         for r in left.itertuples():
             ids = _unpack_steps(r.ids)
             sums = _answers(keys, gain, len(ids), r.steps, r.owners, r.owner_steps, r.times)
@@ -376,16 +420,31 @@ def perplexities(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, vocab_
             out["lang"].append(np.array(r.langs, object) if home else np.full(n, None))
             out["words"].append(_unpack(r.words, "<i8") if home else np.zeros(n, np.int64))
             out["score"].append(sums + _unpack(r.base, "<i8") if home else sums[some])
-            out["role"].append(np.array(ROLES, object)[_unpack(r.role, "i1")] if home else np.full(n, None))
         if not len(left):
-            return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "lang": pd.Series([], dtype=object), "words": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="int64"), "role": pd.Series([], dtype=object)})
+            return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "lang": pd.Series([], dtype=object), "words": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="int64")})
         return pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
 
     asked = docs.select("doc_id", "text", "lang").mapInArrow(score, REQUEST_SCHEMA)
     dealt = merged.select("shard", "keys", "counts", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))).alias("deal"))
-    sums = asked.groupBy("shard", "deal").cogroup(dealt.groupBy("shard", "deal")).applyInPandas(answer, "doc_id long, lang string, words long, score long, role string")
-    each = sums.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.sum("words").alias("words"), F.sum("score").alias("score"), F.max("role").alias("role"))
-    return each.select("doc_id", "lang", "words", F.when(F.col("words") > 0, -F.col("score") / F.lit(float(ONE)) / F.col("words")).alias("log_ppl"), "role")
+    sums = asked.groupBy("shard", "deal").cogroup(dealt.groupBy("shard", "deal")).applyInPandas(answer, "doc_id long, lang string, words long, score long")
+    each = sums.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.sum("words").alias("words"), F.sum("score").alias("score"))
+    role = F.when(F.col("held"), "held").when(~F.col("held"), "train").alias("role")
+    return each.join(trusted, "doc_id", "left").select("doc_id", "lang", "words", F.when(F.col("words") > 0, -F.col("score") / F.lit(float(ONE)) / F.col("words")).alias("log_ppl"), role)
+
+
+def quantile_of(values: DataFrame, by: str, value: str, quantile: float) -> DataFrame:
+    """by, cut (the interpolated quantile, as F.percentile gives it) and n, for any number of values: they are counted in bins, and only those of the bins that the quantile lies in are put in order."""
+    each = values.groupBy(by, F.floor(F.col(value) * BINS).alias("bin"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    bins = each.groupBy(by, "bin").agg(F.sum("k").alias("k"))
+    group = Window.partitionBy(by)
+    bins = bins.withColumn("upto", F.sum("k").over(group.orderBy("bin"))).withColumn("n", F.sum("k").over(group)).withColumn("at", (F.col("n") - 1) * F.lit(quantile))
+    hit = bins.filter((F.col("upto") > F.floor("at")) & (F.col("upto") - F.col("k") <= F.ceil("at"))).select(F.col(by).alias("_by"), F.col("bin").alias("_bin"), (F.col("upto") - F.col("k")).alias("base"), "n", "at")
+    upto = F.col("base") + F.sum("k").over(Window.partitionBy(by, "bin").orderBy("v"))
+    inside = each.join(hit, F.col(by).eqNullSafe(F.col("_by")) & (F.col("bin") == F.col("_bin"))).withColumn("upto", upto)
+    has = lambda place: F.max(F.when((F.col("upto") - F.col("k") <= place) & (F.col("upto") > place), F.col("v")))
+    ends = inside.groupBy(by).agg(has(F.floor("at")).alias("a"), has(F.ceil("at")).alias("b"), F.first("at").alias("at"), F.first("n").alias("n"))
+    between = (F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b")
+    return ends.select(by, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("cut"), "n")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.99, margin: float = 1.5, spread: float = 3.0, least_docs: int = 50, **options) -> DataFrame:
@@ -399,9 +458,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.99, marg
         return docs.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.lit(None).cast("long").alias("words"), none.alias("perplexity"), none.alias("threshold"), F.max(words).alias("keep"))
     scored = scratch.save(scored)
     held = scored.filter("role = 'held' and log_ppl is not null")
-    cut = F.percentile("log_ppl", F.lit(quantile))  # of at most sample_rows values
-    by = scratch.save(held.groupBy("lang").agg(cut.alias("cut"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs).select(F.col("lang").alias("_lang"), "cut"))
-    every = held.agg(cut).first()[0]
+    by = scratch.save(quantile_of(held, "lang", "log_ppl", quantile).filter(F.col("n") >= least_docs).select(F.col("lang").alias("_lang"), "cut"))
+    every = next((r["cut"] for r in quantile_of(held.withColumn("every", F.lit(0)), "every", "log_ppl", quantile).collect()), None)
     limit = F.coalesce(F.col("cut"), F.lit(every).cast("double")) + F.log(F.lit(float(margin))) + F.lit(spread) / F.sqrt(F.greatest("words", F.lit(1)))
     out = scored.join(by, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("limit", limit)
     keep = F.col("log_ppl").isNotNull() & F.coalesce(F.col("log_ppl") <= F.col("limit"), F.lit(True))

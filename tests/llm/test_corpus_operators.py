@@ -237,6 +237,31 @@ def test_quality_separates_and_survives(spark, docs):
     assert kneser_ney.classify(docs.limit(0), labels, vocab_bits=12).count() == 0
 
 
+def test_kneser_ney_counts_all_trusted_documents(spark):
+    """More documents than the bound of former versions: every trusted one trains or sets thresholds, whatever the shards."""
+    n = 210_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("x"), F.col("id") % 5)).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 100 == 1, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    scratch = Scratch(spark, "test")
+    out = scratch.save(kneser_ney.perplexities(docs, labels, scratch, vocab_bits=12))
+    assert out.count() == n and out.filter("role is not null").count() == n - n // 100 and out.filter("role is null and doc_id % 100 <> 1").count() == 0
+    trusted = kneser_ney.trusted_ids(labels, 3).filter("not held")
+    # A filter that is full keeps nothing back; the join leaves only trusted ids.
+    merged = kneser_ney.merge_counts(kneser_ney.count_pairs(kneser_ney.words_of(docs, trusted, 12, 9), 12, 5)).collect()
+    counted = sum(int(kneser_ney._unpack(bytes(r.counts), "<i4").sum()) for r in merged)
+    assert counted == 2 * trusted.count() == 2 * out.filter("role = 'train'").count()
+
+
+def test_kneser_ney_quantile(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice([3.25, rng.gauss(5, 2)])) for k in ("a", "b", None) for _ in range(rng.randrange(1, 900))] + [("one", 2.5), ("two", 1.0), ("two", 9.0)]
+    df = spark.createDataFrame(rows, "lang string, v double")
+    for q in (0.0, 0.37, 0.99, 1.0):
+        got = {r.lang: (r.cut, r.n) for r in kneser_ney.quantile_of(df, "lang", "v", q).collect()}
+        want = {r.lang: (r.c, r.n) for r in df.groupBy("lang").agg(F.percentile("v", F.lit(q)).alias("c"), F.count("v").alias("n")).collect()}
+        assert got == want
+
+
 # 4 -----------------------------------------------------------------------------------------------
 
 
