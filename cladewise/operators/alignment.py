@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,18 +220,85 @@ def mean_difference_with_self(counts: DataFrame, by: list[str]) -> DataFrame:
     return counts.groupBy(*by).agg((differing.cast("double") / pairs).alias("difference"), F.max((F.col("n") * (F.col("n") + 1) / 2).cast("long")).alias("pairs"))
 
 
-def mean_difference_triangular(states: DataFrame, group: str, member: str) -> DataFrame:
-    """a, b, difference over the pairs of the i-th member of group a and the j-th of group b, i <= j, a < b, members in order of ``member``. states: group, member, site, state.
+#: Members whose states at a site make one row of bits, and places of a group that are compared at once.
+RUN = 4096
+
+
+def _runs(vectors: DataFrame, group: str, member: str) -> DataFrame:
+    """group, site, part, run, n and bits: for each run of members, in order, those that have the site, as a bit each for true and for false."""
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, owner = TaskContext.get().partitionId(), 0, [], None
+
+        def flush() -> pa.RecordBatch:
+            x = pa.concat_arrays(held)
+            size = x.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            state = np.full((int(size.max(initial=0)), len(size)), 3, np.uint8)  # 0, 1, 2 for null, 3 where there is no such site
+            state[column, row] = pc.fill_null(x.flatten().cast(pa.uint8()), 2).to_numpy()
+            rows = [(site, own.size, np.packbits(own == 1).tobytes() + np.packbits(own == 0).tobytes()) for site, own in enumerate(r[r < 3] for r in state)]
+            site, n, bits = zip(*rows, strict=True) if rows else ((), (), ())
+            same = lambda v, t: pa.array([v] * len(rows), t)
+            return pa.RecordBatch.from_arrays([same(owner, kind), pa.array(site, pa.int32()), same(part, pa.int32()), same(number, pa.int32()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], [group, "site", "part", "run", "n", "bits"])
+
+        for batch in batches:
+            kind, groups, at = batch.schema.field(0).type, batch.column(0).to_pylist(), 0
+            while at < len(groups):
+                if held and (groups[at] != owner or sum(map(len, held)) == RUN):
+                    yield flush()
+                    held, number = [], number + 1
+                owner, end = groups[at], bisect_right(groups, groups[at], at, min(len(groups), at + RUN - sum(map(len, held))))
+                held.append(batch.column(1).slice(at, end - at))
+                at = end
+        if held:
+            yield flush()
+
+    dealt = vectors.filter(F.col(group).isNotNull() & F.col("states").isNotNull()).repartitionByRange(parts, group, member).sortWithinPartitions(group, member)
+    return dealt.select(group, "states").mapInArrow(task, f"{group} {dict(vectors.dtypes)[group]}, site int, part int, run int, n long, bits binary")
+
+
+def mean_difference_triangular(vectors: DataFrame, group: str, member: str) -> DataFrame:
+    """a, b, difference over the pairs of the i-th member of group a and the j-th of group b that have a site, i <= j, a < b, members in order of ``member``. vectors: group, member, states (array of boolean). A pair with an unknown state counts and does not differ.
 
-    No pair is formed: a member meets the counts of all from its place on.
+    No pair is formed. Members are dealt out by ranges and become rows of bits by
+    site; a group's places are cut into blocks. Within a block all groups meet as
+    matrices; across blocks a block's counts meet those of all places behind it.
     """
-    order = Window.partitionBy(group, "site").orderBy(member)
-    behind = order.rowsBetween(0, Window.unboundedFollowing)
-    x = states.select(group, member, "site", F.col("state").cast("long").alias("s")).withColumn("i", F.row_number().over(order)).withColumn("ones", F.sum("s").over(behind)).withColumn("n", F.count("s").over(behind))
-    a = x.select(F.col(group).alias("a"), "site", "i", F.col("s").alias("own"))
-    b = x.select(F.col(group).alias("b"), "site", "i", "ones", "n")
-    differing = F.sum(F.when(F.col("own") == 1, F.col("n") - F.col("ones")).otherwise(F.col("ones")))
-    return a.join(b, ["site", "i"]).filter("a < b").groupBy("a", "b").agg((differing.cast("double") / F.sum("n")).alias("difference"))
+    kind = dict(vectors.dtypes)[group]
+    runs = cut(_runs(vectors, group, member))
+    start = F.sum("n").over(Window.partitionBy(group, "site").orderBy("part", "run")) - F.col("n")
+    placed = runs.filter("n > 0").withColumn("start", start)
+    placed = placed.withColumn("block", F.explode(F.sequence(F.expr(f"start div {RUN}"), F.expr(f"(start + n - 1) div {RUN}"))))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf[group]))
+        at, first = {g: i for i, g in enumerate(names)}, int(pdf["block"].iloc[0]) * RUN
+        state, size = np.zeros((2, len(names), RUN)), np.zeros(len(names), np.int64)
+        for g, n, bits, begin in zip(pdf[group], pdf["n"], pdf["bits"], pdf["start"], strict=True):
+            both = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(2, -1), axis=1, count=n)
+            x, y = max(0, first - begin), min(n, first + RUN - begin)
+            state[:, at[g], begin + x - first : begin + y - first] = both[:, x:y]
+            size[at[g]] += y - x
+        behind = np.cumsum(state[:, :, ::-1], axis=2)[:, :, ::-1]
+        differing = state[0] @ behind[1].T + state[1] @ behind[0].T
+        less = np.minimum(size[:, None], size)
+        pairs = less * size - less * (less - 1) // 2  # of i < size a: size b - i, while that is not below 0
+        own = pd.DataFrame({"a": names, "b": None, "differing": state[0].sum(axis=1), "n": size, "zeros": state[1].sum(axis=1)})
+        i, j = np.triu_indices(len(names), 1)
+        met = pd.DataFrame({"a": [names[k] for k in i], "b": [names[k] for k in j], "differing": differing[i, j], "n": pairs[i, j], "zeros": 0})
+        out = pd.concat([own.astype({"b": object}), met.astype({"b": object})], ignore_index=True)
+        return out.astype({"differing": np.int64, "zeros": np.int64}).assign(site=pdf["site"].iloc[0], block=pdf["block"].iloc[0])
+
+    # A row without b holds a block's own counts: ones, zeros and members.
+    met = cut(placed.groupBy("site", "block").applyInPandas(compare, f"a {kind}, b {kind}, differing long, n long, zeros long, site int, block long"))
+    later = Window.partitionBy("site", "a").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    own = met.filter("b is null").drop("b").withColumnRenamed("differing", "ones")
+    behind = own.select("site", "block", F.col("a").alias("b"), *(F.sum(c).over(later).alias(f"{c}_behind") for c in ("ones", "zeros", "n"))).filter("n_behind > 0")
+    across = own.join(behind, ["site", "block"]).filter("a < b").select("a", "b", F.expr("ones * zeros_behind + zeros * ones_behind").alias("differing"), F.expr("n * n_behind").alias("n"))
+    every = met.filter("b is not null").select("a", "b", "differing", "n").unionByName(across)
+    return every.groupBy("a", "b").agg((F.sum("differing").cast("double") / F.sum("n")).alias("difference"))
 
 
 def allele_counts(states: DataFrame, by: list[str]) -> DataFrame:

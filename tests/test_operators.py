@@ -935,3 +935,20 @@ def test_stream(spark, tmp_path):
     q = ingest.grow_summary(spark.readStream.schema(trees.schema).parquet(str(tmp_path / "trees")), str(tmp_path / "sum"), str(tmp_path / "c2"))
     assert q.awaitTermination(60)
     assert {r.path: r.cnt for r in ingest.read_summary(spark, str(tmp_path / "sum")).collect()} == {"genus:G": 1, "genus:H": 1}
+
+
+def test_difference_triangular_by_blocks(spark, monkeypatch):
+    """Against all pairs: groups of different sizes over several blocks, ragged and null vectors, unknown states."""
+    monkeypatch.setattr(A, "RUN", 8)
+    rng = random.Random(21)
+    rows = [(g, i, rng.choices([True, False, None], [5, 5, 1], k=rng.choice([0, 3, 5, 5, 5]))) for g, n in ((1, 45), (2, 3), (3, 30), (4, 1)) for i in rng.sample(range(1000), n)] + [(2, 2000, None), (None, 1, [True])]
+    df = spark.createDataFrame(rows, "g long, m long, states array<boolean>")
+    got = {(r.a, r.b): r.difference for r in A.mean_difference_triangular(df, "g", "m").collect()}
+    want = {}
+    at = lambda g, k: [s[k] for h, m, s in sorted((r for r in rows if r[0] == g and r[2]), key=lambda r: r[1]) if len(s) > k]
+    for a in range(1, 5):
+        for b in range(a + 1, 5):
+            pairs = [(x, y) for k in range(5) for i, x in enumerate(at(a, k)) for y in at(b, k)[i:]]
+            if pairs:
+                want[a, b] = sum(x is not None and y is not None and x != y for x, y in pairs) / len(pairs)
+    assert got == pytest.approx(want) and len(want) > 3
