@@ -14,6 +14,7 @@ from cladewise.plans.adapters import PATHS, lineages, trees
 from cladewise.plans.registry import query, table
 from cladewise.sources import database
 from cladewise.sources.files import TAXON, sequence_records, taxonomy_rejects, taxonomy_rows, with_taxonomy
+from cladewise.sources.sinks import write_xml
 
 
 def _post(spark, d):
@@ -141,7 +142,7 @@ def sequence_xml_parse(spark, d):
     seqids = F.array(F.lit("gb|ABC"), F.lit("gi|0"), F.concat(F.lit("gi|"), F.col("s_suppkey").cast("string")))
     x = table(spark, d, "supplier").select(F.replace("s_name", F.lit("#"), F.lit("")).alias("GBSeq_sequence"), F.struct(seqids.alias("GBSeqid")).alias("GBSeq_other-seqids"), F.struct(F.array(F.struct(F.struct(quals.alias("GBQualifier")).alias("GBFeature_quals"))).alias("GBFeature")).alias("GBSeq_feature-table"))
     path = new_path(spark, "sequences")
-    x.write.format("xml").option("rootTag", "GBSet").option("rowTag", "GBSeq").save(path)
+    write_xml(x, path, "GBSet", "GBSeq")
     return sequence_records(spark, path)[0]
 
 

@@ -164,7 +164,7 @@ def xml_hits(spark, d):
     one = lambda score: F.struct(score.alias("Hsp_bit-score"), F.lit(0.001).alias("Hsp_evalue"), q1.alias("Hsp_query-from"), q2.alias("Hsp_query-to"), F.when(rev, q2).otherwise(q1).alias("Hsp_hit-from"), F.when(rev, q1).otherwise(q2).alias("Hsp_hit-to"))
     found = li.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("Hit_id"), q2.alias("Hit_len"), F.struct(F.array(one(F.col("l_extendedprice")), one(F.lit(1.0))).alias("Hsp")).alias("Hit_hsps"))
     path = new_path(spark, "hits")
-    found.write.format("xml").option("rootTag", "Hits").option("rowTag", "Hit").save(path)
+    sinks.write_xml(found, path, "Hits", "Hit")
     x = files.search_results(spark, path)
     key = F.split("id", ":")
     return x.select(key[0].cast("long").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber"), F.col("q_start").cast("long"), F.col("q_len").cast("long"), F.col("s_strand").cast("long"), "score")

@@ -44,9 +44,15 @@ def taxon_index(records: DataFrame) -> DataFrame:
 
 
 def search_results(spark: SparkSession, path: str) -> DataFrame:
-    """Hits of search XML: the first segment of each, 0-based, with strands."""
-    hits = spark.read.format("xml").option("rowTag", "Hit").schema(HIT).load(path)
-    return hit_rows(hits)
+    """Hits of search XML: the first segment of each, 0-based, with strands.
+
+    The text is cut at the end tags, so that a large file is read by many tasks;
+    Spark's XML reader reads a file in one. Such tags count in comments as well.
+    """
+    raw = spark.read.option("lineSep", "</Hit>").text(path)
+    inner = F.regexp_extract("value", r"(?s)<Hit(?:\s[^>]*)?>(.*)$", 1)
+    hits = raw.filter(F.col("value").rlike(r"<Hit(\s[^>]*)?>")).select(F.from_xml(F.concat(F.lit("<Hit>"), inner, F.lit("</Hit>")), HIT).alias("h"))
+    return hit_rows(hits.select("h.*"))
 
 
 def hit_rows(hits: DataFrame) -> DataFrame:

@@ -74,3 +74,12 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path)
+
+
+#: Records of an XML file: Spark's reader takes a file in one task, whatever its size.
+PER_FILE = 20_000
+
+
+def write_xml(df: DataFrame, path: str, root: str, row: str) -> None:
+    """XML files of at most PER_FILE records, written by as many tasks as there are records for, not as the table's few small files are read by."""
+    df.repartition(max(1, -(-df.count() // PER_FILE))).write.format("xml").option("rootTag", root).option("rowTag", row).option("maxRecordsPerFile", PER_FILE).save(path)

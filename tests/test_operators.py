@@ -952,3 +952,16 @@ def test_difference_triangular_by_blocks(spark, monkeypatch):
             if pairs:
                 want[a, b] = sum(x is not None and y is not None and x != y for x, y in pairs) / len(pairs)
     assert got == pytest.approx(want) and len(want) > 3
+
+
+def test_search_results_of_one_file_are_split(spark, tmp_path):
+    one = "<Hit>\n <Hit_id>g{0}</Hit_id><Hit_len>9</Hit_len><Hit_hsps><Hsp><Hsp_bit-score>{0}.5</Hsp_bit-score><Hsp_evalue>0.1</Hsp_evalue><Hsp_query-from>3</Hsp_query-from><Hsp_query-to>7</Hsp_query-to><Hsp_hit-from>9</Hsp_hit-from><Hsp_hit-to>5</Hsp_hit-to></Hsp></Hit_hsps>\n</Hit>\n"
+    (tmp_path / "h.xml").write_text("<Hits>\n" + "".join(one.format(i) for i in range(3000)) + "</Hits>\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        h = files.search_results(spark, str(tmp_path / "h.xml"))
+        assert h.rdd.getNumPartitions() > 10
+        assert sorted((r.id, r.score, r.q_start, r.s_strand) for r in h.collect()) == sorted((f"g{i}", i + 0.5, 2, -1) for i in range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
