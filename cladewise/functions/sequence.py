@@ -156,6 +156,18 @@ def _mark(seq: str, query: str) -> str:
     return "".join(p.lower() if p == q else p for p, q in zip(seq[:n], query[:n], strict=True)) + seq[n:]
 
 
+def mapped(s: Column, to: dict[str, str]) -> Column:
+    """Each character replaced as told; others go. Keys and values are ASCII, so bytes are looked at: Spark's translate takes some hundred times as long."""
+    table = bytes.maketrans("".join(to).encode(), "".join(to.values()).encode())
+    gone = bytes(i for i in range(256) if chr(i) not in to)
+
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else v.encode().translate(table, gone).decode() for v in x], dtype=object)
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(s)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Equal sites over sites that are not a gap in both, within the common window; null without any."""
     return _of_pairs(_similarity, "double")(a, b)

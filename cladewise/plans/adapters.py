@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from string import ascii_letters
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.functions import lineage as L
+from cladewise.functions import sequence as S
 from cladewise.plans.registry import table
 
 MAP_FROM, MAP_TO = "BDEFHIJKLMNOPQRSUVWXYZ", "CTACTGACGTACGTACTACGTA"
+#: Letters of either case in capitals, and as bases.
+_UPPER = {c: c.upper() for c in ascii_letters}
+BASES = {c: u.translate(str.maketrans(MAP_FROM, MAP_TO)) for c, u in _UPPER.items()}
 
 
 def trees(spark: SparkSession, d: str) -> DataFrame:
@@ -78,8 +84,7 @@ HITS = "h AS (SELECT user_id AS query, event_id AS id, event_type AS species, va
 def sequences(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, source, raw and seq: a document's letters in upper case as bases, spaces as gaps, other marks dropped; whole texts."""
     x = table(spark, d, "documents")
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z ~.]", ""))
-    return x.select("doc_id", "source", letters.alias("raw"), F.translate(F.regexp_replace(letters, "[~.]", ""), MAP_FROM + " ", MAP_TO + "-").alias("seq"))
+    return x.select("doc_id", "source", S.mapped(F.col("text"), {**_UPPER, " ": " ", "~": "~", ".": "."}).alias("raw"), S.mapped(F.col("text"), {**BASES, " ": "-"}).alias("seq"))
 
 
 SEQUENCES = f"""

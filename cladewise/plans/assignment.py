@@ -17,7 +17,7 @@ from cladewise.operators import tables as T
 from cladewise.operators import tree_sets as M
 from cladewise.operators import trees as N
 from cladewise.operators.lineage_cut import cut
-from cladewise.plans.adapters import MAP_FROM, MAP_TO
+from cladewise.plans.adapters import BASES, MAP_FROM, MAP_TO
 from cladewise.plans.registry import PluginNotFoundError, Plugins, query, table
 from cladewise.sources import files
 
@@ -283,7 +283,7 @@ def assign_end_to_end(spark, d):
 
 
 def _letters(column: str):
-    return F.translate(F.upper(F.regexp_replace(column, "[^A-Za-z]", "")), MAP_FROM, MAP_TO)
+    return S.mapped(F.col(column), BASES)
 
 
 _SEQ = f"translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{MAP_FROM}', '{MAP_TO}')"

@@ -19,7 +19,7 @@ from cladewise.operators import selection as X
 from cladewise.operators import tables as T
 from cladewise.operators import tree_sets as M
 from cladewise.operators import trees as N
-from cladewise.plans import assignment
+from cladewise.plans import adapters, assignment
 from cladewise.plans.registry import PluginNotFoundError, Plugins
 from cladewise.sources import database, fasta_source, files, newick, sinks
 from cladewise.streaming import ingest
@@ -965,3 +965,12 @@ def test_search_results_of_one_file_are_split(spark, tmp_path):
         assert sorted((r.id, r.score, r.q_start, r.s_strand) for r in h.collect()) == sorted((f"g{i}", i + 0.5, 2, -1) for i in range(3000))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_mapped_letters(spark):
+    """As regexp_replace, upper and translate give it, without their time for each character."""
+    texts = ["Ab.c~ Zz9\t\n-é ß ı ſ K 😀 xyz", "", None, "the quick brown fox JUMPS", "~~..  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    plain = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), adapters.MAP_FROM, adapters.MAP_TO)
+    got = df.select(S.mapped(F.col("text"), adapters.BASES).alias("a"), plain.alias("b"))
+    assert all(r.a == r.b for r in got.collect()) and "translate" not in got.select("a")._jdf.queryExecution().executedPlan().toString()
