@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from cladewise.llm import kneser_ney
 from pyspark.sql import functions as F
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,3 +52,13 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_trains_on_all_trusted_documents(spark, tmp_path, monkeypatch):
+    n, seen = 210_000, []
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.col("id") % 7).alias("text"), F.lit("en").alias("lang"))
+    docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(str(tmp_path / "labels.parquet"))
+    counted = kneser_ney.count_pairs
+    monkeypatch.setattr(kneser_ney, "count_pairs", lambda words, *a: seen.append(words.count()) or counted(words, *a))
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == n
+    assert seen == [kneser_ney.trusted_ids(spark.read.parquet(str(tmp_path / "labels.parquet")), 3).filter("not held").count()] and seen[0] > 150_000
