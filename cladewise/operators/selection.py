@@ -399,10 +399,31 @@ def _by_rounds(search: Callable[[DataFrame | None], DataFrame], quotas: Quotas,
     return state.groupBy("query").cogroup(more.select("query", "ord", "id", "significance", "seq", "species", *ranks).groupBy("query")).applyInPandas(end, SELECTED)
 
 
-def _kmers(df: DataFrame, k: int) -> DataFrame:
-    """id, kmers: the distinct k-mers of a sequence as hashes, of a shorter one the whole."""
+def _kmers(df: DataFrame, k: int, *more: str) -> DataFrame:
+    """id, kmers, more: the distinct k-mers of a sequence as hashes, ascending; of a shorter one the whole. Null sequences go."""
     starts = F.sequence(F.lit(1), F.greatest(F.length("seq") - k + 1, F.lit(1)))
-    return df.select("id", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("seq"), i, F.lit(k))))).alias("kmers"))
+    words = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("seq"), i, F.lit(k)))))
+    return df.filter("seq is not null").select("id", F.sort_array(words).alias("kmers"), *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in more))
+
+
+#: Pairs of a query and a record that one task forms.
+PAIRS = 1 << 20
+#: The first look at a query's rarest k-mers stops before so many times ``most`` records.
+FIRST_LOOK = 4
+
+
+def _sharing(words: DataFrame, held: DataFrame) -> DataFrame:
+    """query, id of all pairs that share one of the words, each once. words: query, kmer, n (records that have it); held: id, kmers.
+
+    Pairs are far more than the rows they come from, so the work is dealt out by
+    their number: a k-mer of many pairs goes to several tasks.
+    """
+    load = cut(words.groupBy("kmer").agg((F.count(F.lit(1)) * F.first("n")).alias("pairs")))
+    parts = max(1, -(-(load.agg(F.sum("pairs")).first()[0] or 0) // PAIRS))
+    deals = load.select("kmer", F.ceil(F.col("pairs") / PAIRS).cast("int").alias("deals"))
+    asked = words.join(deals, "kmer").select("query", "kmer", F.pmod(F.xxhash64("query"), F.col("deals")).cast("int").alias("deal"))
+    known = held.select("id", F.explode("kmers").alias("kmer")).join(deals, "kmer").select("id", "kmer", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    return asked.repartition(parts, "kmer", "deal").join(known.repartition(parts, "kmer", "deal"), ["kmer", "deal"]).select("query", "id").distinct()
 
 
 def kmer_search(queries: DataFrame, records: DataFrame, k: int = 8, most: int = 200, *, common: int = 1000, block: int = 4096) -> DataFrame:
@@ -411,40 +432,61 @@ def kmer_search(queries: DataFrame, records: DataFrame, k: int = 8, most: int =
     Where queries have ``left_out`` and records have ``names``, both arrays, a
     query does not see records that bear a name that it leaves out.
 
-    K-mers of at most ``common`` records are joined. Those of more would join
-    nearly everything with everything; they only count where a pair shares a
-    rarer one, by intersecting the two sets of such pairs. A record that shares
-    none with a query scores at most the number of the query's common k-mers, so
-    a query whose last place scores more than that is done. The rest meets all
+    Queries of the same k-mers have the same result and are searched once. Of
+    records of the same k-mers (and names) only the first ``most`` can be in a
+    result; the others are behind them for every query.
+
+    A query's k-mers are looked up from the rarest on. The first look gives a
+    score that ``most`` records reach. A record that reaches it too misses few
+    of the query's k-mers, so it has one of the rarest that are more than these;
+    only they are looked up then. K-mers of more than ``common`` records would
+    join nearly everything with everything: a record that shares no rarer one
+    with a query scores at most the number of the query's common k-mers, so a
+    query whose last place scores more than that is done. The rest meets all
     records in blocks, and only the best of each block leave it.
     """
-    q, r = cut(_kmers(queries, k)), cut(_kmers(records, k))
     bans = "left_out" in queries.columns and "names" in records.columns
-    often = cut(r.select(F.explode("kmers").alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > common).select("kmer"))
-    each = q.select(F.col("id").alias("query"), F.explode("kmers").alias("kmer"))
-    rare = each.join(often, "kmer", "left_anti")
-    pairs = rare.join(r.select("id", F.explode("kmers").alias("kmer")).join(often, "kmer", "left_anti"), "kmer").groupBy("query", "id").agg(F.count(F.lit(1)).alias("rare"))
-    if bans:
-        seen = pairs.join(queries.select(F.col("id").alias("query"), "left_out"), "query").join(records.select("id", "names"), "id")
-        pairs = seen.filter(~F.coalesce(F.arrays_overlap("names", "left_out"), F.lit(False))).drop("names", "left_out")
+    mine, theirs = [c for c in ("left_out",) if bans], [c for c in ("names",) if bans]
+    q = cut(_kmers(queries, k, *mine))
+    copies = Window.partitionBy("kmers", *theirs).orderBy("id")
+    r = cut(_kmers(records, k, *theirs).withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= most).drop("copy"))
+    sets = cut(q.groupBy("kmers", *mine).agg(F.min("id").alias("query")))
+    known = r.select(F.explode("kmers").alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    rarest = Window.partitionBy("query").orderBy("n", "kmer")
+    each = sets.select("query", F.explode("kmers").alias("kmer")).join(known, "kmer")
+    each = each.withColumn("at", F.row_number().over(rarest)).withColumn("upto", F.sum("n").over(rarest.rowsBetween(Window.unboundedPreceding, 0)))
+    each = cut(each.withColumn("early", (F.col("n") <= common) & ((F.col("at") == 1) | (F.col("upto") <= FIRST_LOOK * most))))
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
-    if often.isEmpty():
-        return _ranked(pairs.withColumnRenamed("rare", "score"), w, most)
-    crowded = cut(each.join(often, "kmer").groupBy("query").agg(F.count(F.lit(1)).alias("bound")))
-    whole = pairs.join(q.select(F.col("id").alias("query"), F.col("kmers").alias("_q")), "query").join(r.select("id", F.col("kmers").alias("_r")), "id")
-    scored = cut(_ranked(whole.select("query", "id", F.size(F.array_intersect("_q", "_r")).cast("long").alias("score")), w, most))
-    last = scored.filter(F.col("ord") == most).select("query", F.col("score").alias("last"))
-    open_ = cut(crowded.join(last, "query", "left").filter(F.coalesce(F.col("last") <= F.col("bound"), F.lit(True))).select("query"))
-    done = scored.join(open_, "query", "left_anti")
-    n, m = open_.count(), r.count()
+
+    def scored(words: DataFrame) -> DataFrame:
+        whole = _sharing(words.select("query", "kmer", "n"), r).join(sets.withColumnRenamed("kmers", "_q"), "query").join(r.withColumnRenamed("kmers", "_r"), "id")
+        if bans:
+            whole = whole.filter(~F.coalesce(F.arrays_overlap("names", "left_out"), F.lit(False)))
+        return whole.select("query", "id", F.size(F.array_intersect("_q", "_r")).cast("long").alias("score"))
+
+    last = lambda df: df.filter(F.col("ord") == most).select("query", F.col("score").alias("last"))
+    found = cut(_ranked(scored(each.filter("early")), w, most))
+    # Who has none of the query's m rarest k-mers scores at most its number of k-mers less m.
+    upto = each.groupBy("query").agg(F.max("at").alias("size")).join(last(found), "query", "left").select("query", (F.col("size") - F.coalesce("last", F.lit(1)) + 1).alias("upto_at"))
+    rest = cut(each.filter((F.col("n") <= common) & ~F.col("early")).join(upto, "query").filter("at <= upto_at").select("query", "kmer", "n"))
+    if not rest.isEmpty():
+        found = cut(_ranked(found.select("query", "id", "score").unionByName(scored(rest)).distinct(), w, most))
+    crowded = each.filter(F.col("n") > common).groupBy("query").agg(F.count(F.lit(1)).alias("bound"))
+    open_ = cut(crowded.join(last(found), "query", "left").filter(F.coalesce(F.col("last") <= F.col("bound"), F.lit(True))).select("query"))
+    n = open_.count()
+    if n:
+        left = sets.join(open_, "query", "left_semi").withColumnRenamed("query", "id")
+        found = found.join(open_, "query", "left_anti").unionByName(_ranked(_in_blocks(left, r, n, most, block), w, most))
+    return found.join(q.join(sets, ["kmers", *mine]).select("query", F.col("id").alias("_member")), "query").select(F.col("_member").alias("query"), "id", "score", "ord")
+
+
+def _in_blocks(left: DataFrame, r: DataFrame, n: int, most: int, block: int) -> DataFrame:
+    """query, id, score: of every block of records the best ``most`` for each of the n queries. left: id, kmers, maybe left_out; r: id, kmers, maybe names."""
+    m, bans = r.count(), "left_out" in left.columns
     deal = lambda df, rows, name: df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows // block)))).cast("int"))
     over = lambda rows, name: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-rows // block)) - 1))).alias(name)
-    left = q.join(open_, q["id"] == open_["query"], "left_semi")
-    if bans:
-        left, r = left.join(queries.select("id", "left_out"), "id"), r.join(records.select("id", "names"), "id")
-    more = [c for c in ("left_out",) if bans], [c for c in ("names",) if bans]
-    a = deal(left, n, "i").select("id", "kmers", *more[0], "i", over(m, "j"))
-    b = deal(r, m, "j").select("id", "kmers", *more[1], "j", over(n, "i"))
+    a = deal(left, n, "i").select(*left.columns, "i", over(m, "j"))
+    b = deal(r, m, "j").select(*r.columns, "j", over(n, "i"))
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -468,9 +510,8 @@ def kmer_search(queries: DataFrame, records: DataFrame, k: int = 8, most: int =
                 out += [(ident, y["id"][i], int(score[i])) for i in first if score[i]]
         return pd.DataFrame(out, columns=["query", "id", "score"])
 
-    kind = dict(queries.dtypes)["id"], dict(records.dtypes)["id"]
-    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(best, f"query {kind[0]}, id {kind[1]}, score long")
-    return done.unionByName(_ranked(found, w, most))
+    kind = dict(left.dtypes)["id"], dict(r.dtypes)["id"]
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(best, f"query {kind[0]}, id {kind[1]}, score long")
 
 
 def _ranked(scored: DataFrame, w, most: int) -> DataFrame:
