@@ -129,36 +129,66 @@ def build_index(records: DataFrame, path: str | None = None, *, k: int | None =
     return SeedIndex(path, k, stride, bases)
 
 
+#: Cells of a table of scores beside islands, and letters of rows, that are looked at together.
+CELLS = 1 << 20
+
+
 def extend(query: str, part: str, offset: int, places: list[int], k: int, s: Scoring) -> list[tuple[int, int, int]]:
     """Segments (start in the query, length, score) of one diagonal. part: the record's letters beside the query's from ``offset`` on; places: where seeds begin in the query."""
-    a = np.frombuffer(query[offset : offset + len(part)].encode("ascii", "replace"), np.uint8)
-    b = np.frombuffer(part.encode("ascii", "replace"), np.uint8)
-    each = np.where((a == b) & (_TWO_BITS[a] < 4), s.match, s.mismatch)
-    at = np.sort(np.array(places)) - offset
-    new = np.flatnonzero(np.concatenate(([True], np.diff(at) > s.gap)))
-    out = set()
-    for i, j in zip(new, np.append(new[1:], len(at))):
-        start, end = int(at[i]), int(at[j - 1]) + k
-        score = int(each[start:end].sum())
-        right, r = _side(each[end:], s.drop)
-        left, n = _side(each[:start][::-1], s.drop)
-        out.add((start - n + offset, end + r - start + n, score + right + left))
-    return sorted(out)
-
-
-def _side(each: np.ndarray, drop: int) -> tuple[int, int]:
-    """The best score of a start of these, 0 if none is better, and how many it takes; what lies behind a fall is not looked at."""
-    if not len(each):
-        return 0, 0
-    run = np.cumsum(each)
-    best = np.maximum(np.maximum.accumulate(run), 0)
-    low = np.flatnonzero(best - run > drop)
-    if len(low):
-        run = run[: low[0]]
-        if not len(run):
-            return 0, 0
-    at = int(run.argmax())
-    return (int(run[at]), at + 1) if run[at] > 0 else (0, 0)
+    return extend_all([(query, part, offset, places)], k, s)[0]
+
+
+def extend_all(rows: list[tuple], k: int, s: Scoring) -> list[list[tuple[int, int, int]]]:
+    """The segments of each row of query, part, offset and places, as ``extend`` has them."""
+    out, group, size = [], [], 0
+    for row in rows:
+        group.append(row)
+        size += len(row[1])
+        if size > CELLS:
+            out += _extend_group(group, k, s)
+            group, size = [], 0
+    return out + (_extend_group(group, k, s) if group else [])
+
+
+def _extend_group(rows: list[tuple], k: int, s: Scoring) -> list[list[tuple[int, int, int]]]:
+    a = np.frombuffer("".join(q[o : o + len(p)] for q, p, o, _ in rows).encode("ascii", "replace"), np.uint8)
+    b = np.frombuffer("".join(p for _, p, _, _ in rows).encode("ascii", "replace"), np.uint8)
+    each = np.where((a == b) & (_TWO_BITS[a] < 4), s.match, s.mismatch).astype(np.int64)
+    sums = np.concatenate(([0], np.cumsum(each)))
+    size, offset = (np.array(x, np.int64) for x in ([len(r[1]) for r in rows], [r[2] for r in rows]))
+    base = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+    at = np.concatenate([np.asarray(r[3], np.int64) for r in rows]) - offset[row]
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order]
+    new = np.concatenate((np.ones(min(1, len(at)), bool), (np.diff(at) > s.gap) | (np.diff(row) > 0)))
+    first = np.flatnonzero(new)
+    row, start, end = row[first], at[first], at[np.append(first[1:], len(at)) - 1] + k
+    here = base[row]
+    score = sums[here + end] - sums[here + start]
+    right, r = _sides(each, here + end, 1, size[row] - end, s.drop)
+    left, n = _sides(each, here + start - 1, -1, start, s.drop)
+    out = [set() for _ in rows]
+    for i, x in zip(row.tolist(), zip((start - n + offset[row]).tolist(), (end + r - start + n).tolist(), (score + right + left).tolist(), strict=True), strict=True):
+        out[i].add(x)
+    return [sorted(x) for x in out]
+
+
+def _sides(each: np.ndarray, first: np.ndarray, step: int, size: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the ``size`` scores from ``first`` on in steps: the best score of a start of these, 0 if none is better, and how many it takes; what lies behind a fall is not looked at."""
+    best, taken = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    wide = np.arange(int(size.max(initial=0)))
+    rows = max(1, CELLS // max(1, len(wide)))
+    for low in range(0, len(first) if len(wide) else 0, rows):
+        part = slice(low, low + rows)
+        inside = wide < size[part, None]
+        run = np.where(inside, each[np.where(inside, first[part, None] + step * wide, 0)], 0).cumsum(axis=1)
+        fallen = np.maximum(np.maximum.accumulate(run, axis=1), 0) - run > drop
+        run[np.logical_or.accumulate(fallen | ~inside, axis=1)] = 0
+        at = run.argmax(axis=1)
+        best[part] = np.maximum(run[np.arange(len(run)), at], 0)
+        taken[part] = np.where(best[part] > 0, at + 1, 0)
+    return best, taken
 
 
 SEGMENTS = "array<struct<start:int,length:int,raw:int>>"
@@ -189,7 +219,8 @@ def segments(queries: DataFrame, index: SeedIndex, scoring: Scoring = Scoring(),
     k = index.k
 
     def run(q: pd.Series, part: pd.Series, off: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "length": n, "raw": r} for a, n, r in extend(*x, k, scoring)] for x in zip(q, part, off, places, strict=True)], dtype=object)
+        found = extend_all(list(zip(q, part, off, places, strict=True)), k, scoring)
+        return pd.Series([[{"start": a, "length": n, "raw": r} for a, n, r in x] for x in found], dtype=object)
 
     found = rows.withColumn("found", F.pandas_udf(run, SEGMENTS)("q_seq", "part", "offset", "places"))
     return found.select("query", "id", "strand", "m", "diagonal", F.inline("found")).select("query", "id", "strand", "start", "length", "raw", (F.col("start") + F.col("diagonal")).alias("s_start"), "m")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,10 +127,11 @@ def assign(queries: DataFrame, records: DataFrame, config: AssignConfig = Assign
     records = records.filter(L.minimal(F.col("lineage"), config.minimaltaxonomy)).withColumn("lineage", L.subspecies_rule(F.col("lineage"), config.subspecieslevel))
     if config.exclude:
         records = records.filter(~F.arrays_overlap(F.transform("lineage", lambda e: e["name"]), F.array(*map(F.lit, config.exclude))))
+    records = cut(records)  # read again by each step below
     level = {k: L.name_at(F.col("lineage"), k) for k in L.MAIN}
     ranked = records.select("id", "seq", F.coalesce(L.species_tag(level["species"], L.name_at(F.col("lineage"), "subspecies"), config.subspecieslevel), F.col("organism")).alias("species"), *(level[k].alias(k) for k in ("genus", "family", "order", "class", "phylum")))
     names = F.array_compact(F.array("species", *(r for r, _ in X.RANKS)))
-    searched = cut(ranked.select("id", "seq", names.alias("names")))
+    searched = ranked.select("id", "seq", names.alias("names"))
     excluded = records.filter(F.col("id").isin(*config.force_exclude)).select("id") if config.force_exclude else None
 
     find = PLUGINS.find("database", config.database)
@@ -246,11 +249,40 @@ def chosen_sisters(sides: DataFrame) -> DataFrame:
     return _both(sides).select("query", "rep", F.when(a > b, F.col("names_a")).when(b > a, F.col("names_b")).otherwise(both).alias("sister"))
 
 
+#: The odd factors of xxhash64.
+_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5 + 4)]
+
+
+def _hashed(i: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a column of which ``seed`` is the hash, and an int."""
+    h = (seed.view(np.uint64) + _P[3]) ^ (i.astype(np.uint64) * _P[0])
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * _P[1] + _P[2]
+    h = (h ^ h >> np.uint64(33)) * _P[1]
+    h = (h ^ h >> np.uint64(29)) * _P[2]
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+_ACGT = np.frombuffer(b"ACGT", np.uint8)
+_CODE = np.full(256, 4, np.uint8)
+_CODE[_ACGT] = range(4)
+
+
 def _changed(seq, share: float, *key):
-    """A sequence with about this share of its bases replaced, by a hash of key and place."""
-    h = lambda i: F.pmod(F.xxhash64(F.concat_ws(":", *(k.cast("string") for k in key)), i), F.lit(3000))
-    base = lambda c, i: F.when(h(i) < 3000 * share, F.get(F.split(F.replace(F.lit("ACGT"), c, F.lit("")), ""), (h(i) % 3).cast("int"))).otherwise(c)
-    return F.array_join(F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), base), "")
+    """A sequence with about this share of its bases replaced, by a hash of key and place. All of a batch's bases at a time."""
+
+    def run(x: pd.Series, seed: pd.Series) -> pd.Series:
+        texts = [v or "" for v in x]
+        size = np.array([len(t) for t in texts], np.int64)
+        flat = np.frombuffer("".join(texts).encode("ascii"), np.uint8)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        h = _hashed(at, np.repeat(seed.to_numpy(np.int64), size)) % 3000
+        other = (h % 3).astype(np.uint8)
+        text = np.where(h < 3000 * share, _ACGT[other + (other >= _CODE[flat])], flat).tobytes().decode()
+        end = np.cumsum(size).tolist()
+        return pd.Series([None if v is None else text[e - n : e] for v, e, n in zip(x, end, size.tolist(), strict=True)], dtype=object)
+
+    run.__annotations__ = {"x": pd.Series, "seed": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(seq, F.xxhash64(F.concat_ws(":", *(k.cast("string") for k in key))))
 
 
 def _families(spark, d):
@@ -260,13 +292,14 @@ def _families(spark, d):
     items = cut(items)
     n = max(1, items.count())
     g, s = F.col("g"), F.col("s")
-    individual = lambda x: _changed(_changed(x["base"], 0.04, F.lit("g"), x["i"], g), 0.015, F.lit("s"), x["i"], g, s)
-    own = items.withColumn("g", F.col("i") % 6).withColumn("s", F.col("i") % 5)
-    queries = own.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), _changed(individual(own), 0.01, F.lit("q"), F.col("i")).alias("seq"))
+    each = items.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    kinds = cut(each.select("item_id", "i", "g", "s", _changed(_changed(F.col("base"), 0.04, F.lit("g"), F.col("i"), g), 0.015, F.lit("s"), F.col("i"), g, s).alias("base")))  # 30 of each item, so customers need not work them out
+    own = kinds.filter((g == F.col("i") % 6) & (s == F.col("i") % 5))
+    queries = own.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), _changed(F.col("base"), 0.01, F.lit("q"), F.col("i")).alias("seq"))
     key, turn = F.col("c_custkey"), F.floor(F.col("c_custkey") / n)
-    c = table(spark, d, "customer").select(key, (key % n).alias("j"), (turn % 6).alias("g"), (F.floor(turn / 6) % 5).alias("s"))
-    x = c.join(items, F.col("j") == F.col("i"))
-    seq = _changed(individual(x), 0.005, F.lit("c"), key)
+    c = table(spark, d, "customer").select(key, (key % n).alias("_i"), (turn % 6).alias("_g"), (F.floor(turn / 6) % 5).alias("_s"))
+    x = A.spread(c, "c_custkey").join(F.broadcast(kinds), (F.col("_i") == F.col("i")) & (F.col("_g") == g) & (F.col("_s") == s))
+    seq = _changed(F.col("base"), 0.005, F.lit("c"), key)
     seq = F.when(key % 3 == 0, S.reverse_complement(seq)).otherwise(seq)
     around = F.translate(F.md5(key.cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
     seq = F.when(key % 5 == 0, F.concat(around, seq, F.reverse(around))).otherwise(seq)

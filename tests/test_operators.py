@@ -999,3 +999,51 @@ def test_mapped_letters(spark):
     plain = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), adapters.MAP_FROM, adapters.MAP_TO)
     got = df.select(S.mapped(F.col("text"), adapters.BASES).alias("a"), plain.alias("b"))
     assert all(r.a == r.b for r in got.collect()) and "translate" not in got.select("a")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extension_of_many_rows(spark, monkeypatch):
+    """Rows together give what each gives alone, and what counting gives, however they are cut."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(60):
+        query = "".join(rng.choices("ACGT", k=rng.randint(30, 80)))
+        offset = rng.choice([0, 3])
+        part = "".join(c if rng.random() > 0.1 else rng.choice("ACGTN") for c in query[offset : len(query) - rng.randint(0, 9)])
+        rows.append((query, part, offset, [offset + rng.randint(0, len(part) - 11) for _ in range(rng.randint(1, 4))]))
+
+    def side(x):
+        best, n, total = 0, 0, 0
+        for i, v in enumerate(x, 1):
+            total += v
+            if total > best:
+                best, n = total, i
+            if best - total > 20:
+                break
+        return best, n
+
+    want = []
+    for query, part, offset, places in rows:
+        each = [1 if a == b else -2 for a, b in zip(query[offset:], part)]  # noqa: B905
+        islands, found = [], set()
+        for p in sorted(places):
+            if not islands or p - islands[-1][1] > 40:
+                islands.append([p, p])
+            islands[-1][1] = p
+        for a, b in islands:
+            a, b = a - offset, b - offset + 11
+            (right, r), (left, n) = side(each[b:]), side(each[:a][::-1])
+            found.add((a - n + offset, b + r - a + n, sum(each[a:b]) + right + left))
+        want.append(sorted(found))
+    assert H.extend_all(rows, 11, H.Scoring()) == want == [H.extend(*x, 11, H.Scoring()) for x in rows]
+    monkeypatch.setattr(H, "CELLS", 200)
+    assert H.extend_all(rows, 11, H.Scoring()) == want
+
+
+def test_derived_records_are_dealt_over_tasks(spark):
+    """Places are hashed as Spark does it, and what customers ask for is not worked out in one task."""
+    df = spark.createDataFrame([(f"k{i}", i, 3 * i) for i in range(50)], "k string, i int, j int")
+    got = df.select(F.xxhash64("k").alias("seed"), "j", F.xxhash64("k", "j").alias("h")).toPandas()
+    assert (assignment._hashed(got["j"].to_numpy(), got["seed"].to_numpy()) == got["h"].to_numpy()).all()
+    _, records = assignment._families(spark, "/root/testdata/sf0.001")
+    sizes = records.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1
