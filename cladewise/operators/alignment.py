@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from cladewise.functions import sequence as S
 from cladewise.operators.lineage_cut import cut
-from cladewise.operators.tables import neighbours
 
 
 def sites(aligned: DataFrame) -> DataFrame:
@@ -321,8 +320,34 @@ def mean_difference_between(counts: DataFrame, group: str) -> DataFrame:
     return x.groupBy("a", "b").agg((differing.cast("double") / F.sum(F.col("n_a") * F.col("n_b"))).alias("difference"))
 
 
+#: Rows of one range for which a further one is made, up to the session's number of shuffle partitions.
+PER_RANGE = 1024
+
+
 def neighbours_in_order(df: DataFrame, by: list[str], ident: str, seq: str) -> DataFrame:
-    """Each row with the sequence that follows it in its group, in order of a unique id. Only ids are dealt out in order; sequences are joined by id."""
-    pairs = neighbours(df, by, [ident], ident).select(F.col(ident).alias("_id"), F.col(f"next_{ident}").alias("_next")).filter("_next is not null")
-    other = df.select(F.col(ident).alias("_next"), F.col(seq).alias(f"next_{seq}"))
-    return df.join(pairs, df[ident] == F.col("_id")).join(other, "_next").drop("_id", "_next")
+    """Each row with the sequence that follows it in its group, in order of a unique id, nulls last; rows that no sequence follows go.
+
+    Where ranges of group and id begin comes from these columns alone, one key a
+    range. Each row goes to its range, and the first of a range to the one before
+    as well, so windows of single ranges see all neighbours: sequences are made
+    once and shuffled once.
+    """
+    keys = [*by, ident]
+    ids = df.select(*keys)
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + ids.count() // PER_RANGE)
+    key = F.struct(*(x for i, c in enumerate(keys) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))))
+    firsts = ids.repartitionByRange(parts, key).groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("k")).orderBy("p")
+    begins = [tuple(k.values()) for k in firsts.toArrow()["k"].to_pylist()]  # one a range, ascending
+
+    def ranges(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in columns:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch), strict=True):
+                k = tuple(x for v in row for x in (v is None, v))
+                at = max(0, bisect_right(begins, k) - 1)
+                out.append([at, at - 1] if at and begins[at] == k else [at])
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    dealt = df.withColumn("_to", F.arrow_udf(ranges, "array<int>")(*keys)).select("*", F.explode("_to").alias("_range"))
+    after = F.lead(seq).over(Window.partitionBy("_range", *by).orderBy(F.col(ident).asc_nulls_last()))
+    return dealt.withColumn(f"next_{seq}", after).filter((F.col("_range") == F.col("_to")[0]) & F.col(f"next_{seq}").isNotNull()).drop("_to", "_range")

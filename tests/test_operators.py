@@ -742,6 +742,25 @@ def test_tables(spark):
     assert {(r.k, r.found) for r in T.with_membership(a, a.filter("v = 1"), {"k": "k"}).collect()} == {("x", True), ("y", False)}
 
 
+def test_neighbours_in_order(spark, tmp_path, monkeypatch):
+    """Neighbours meet across ranges and not across groups, and sequences are read and shuffled once."""
+    monkeypatch.setattr(A, "PER_RANGE", 20)
+    rng = random.Random(3)
+    rows = [(rng.choice("xyz") if i % 3 else None, i, None if i % 29 == 5 else f"s{i}") for i in rng.sample(range(2000), 400)] + [("one", 5000, "a")]
+    spark.createDataFrame(rows, "g string, i long, s string").repartition(5).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    found = A.neighbours_in_order(df, ["g"], "i", "s")
+    want = set()
+    for g in ("x", "y", "z", "one", None):
+        own = sorted((i, s) for h, i, s in rows if h == g)
+        want |= {(g, *a, b[1]) for a, b in zip(own, own[1:], strict=False) if b[1] is not None}
+    got = [tuple(r) for r in found.collect()]
+    assert found.columns == ["g", "i", "s", "next_s"] and len(got) == len(want) and set(got) == want
+    plan = A.neighbours_in_order(df, ["g"], "i", "s")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1, plan
+    assert A.neighbours_in_order(df.limit(0), ["g"], "i", "s").count() == 0
+
+
 def test_index_by_id(spark, tmp_path):
     """A lookup is pushed to the files of its buckets, a join leaves the index where it is, in a session that did not write it as well; repeated ids are told."""
     path = f"file://{tmp_path}/index"
