@@ -761,6 +761,15 @@ def test_neighbours_in_order(spark, tmp_path, monkeypatch):
     assert A.neighbours_in_order(df.limit(0), ["g"], "i", "s").count() == 0
 
 
+def test_next_documents_read_texts_once(spark):
+    """Every query on a document and the next one reads and maps the texts once."""
+    from cladewise.plans import catalog
+
+    for name in ("k2p_stats", "k2p_distance", "mark_matches", "similarity_pairs", "force_identity", "truncate_to_query"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "Join" not in plan, name
+
+
 def test_index_by_id(spark, tmp_path):
     """A lookup is pushed to the files of its buckets, a join leaves the index where it is, in a session that did not write it as well; repeated ids are told."""
     path = f"file://{tmp_path}/index"
