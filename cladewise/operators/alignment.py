@@ -327,27 +327,19 @@ PER_RANGE = 1024
 def neighbours_in_order(df: DataFrame, by: list[str], ident: str, seq: str) -> DataFrame:
     """Each row with the sequence that follows it in its group, in order of a unique id, nulls last; rows that no sequence follows go.
 
-    Where ranges of group and id begin comes from these columns alone, one key a
-    range. Each row goes to its range, and the first of a range to the one before
-    as well, so windows of single ranges see all neighbours: sequences are made
-    once and shuffled once.
+    Where ranges of a group begin comes from these columns alone, one id a range,
+    and is broadcast. Each row goes to its range, and the first of a range to the
+    one before as well, so windows of single ranges see all neighbours: sequences
+    are made once and shuffled once.
     """
-    keys = [*by, ident]
-    ids = df.select(*keys)
+    ids = df.select(*by, ident).filter(F.col(ident).isNotNull())
     parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + ids.count() // PER_RANGE)
-    key = F.struct(*(x for i, c in enumerate(keys) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))))
-    firsts = ids.repartitionByRange(parts, key).groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("k")).orderBy("p")
-    begins = [tuple(k.values()) for k in firsts.toArrow()["k"].to_pylist()]  # one a range, ascending
-
-    def ranges(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for batch in columns:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch), strict=True):
-                k = tuple(x for v in row for x in (v is None, v))
-                at = max(0, bisect_right(begins, k) - 1)
-                out.append([at, at - 1] if at and begins[at] == k else [at])
-            yield pa.array(out, pa.list_(pa.int32()))
-
-    dealt = df.withColumn("_to", F.arrow_udf(ranges, "array<int>")(*keys)).select("*", F.explode("_to").alias("_range"))
-    after = F.lead(seq).over(Window.partitionBy("_range", *by).orderBy(F.col(ident).asc_nulls_last()))
-    return dealt.withColumn(f"next_{seq}", after).filter((F.col("_range") == F.col("_to")[0]) & F.col(f"next_{seq}").isNotNull()).drop("_to", "_range")
+    firsts = ids.repartitionByRange(parts, *by, ident).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(F.struct(*by, ident)).alias("_k")).select("_k.*")
+    begins = firsts.groupBy(*(F.col(c).alias(f"_{i}") for i, c in enumerate(by))).agg(F.collect_list(ident).alias("_begins"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]
+    own = F.when(F.col(ident).isNull(), F.size("_begins")).otherwise(F.size(F.filter("_begins", lambda b: b <= F.col(ident))))
+    both = F.array_contains("_begins", F.col(ident))
+    dealt = df.join(F.broadcast(begins), same, "left").withColumn("_own", F.when(F.col("_begins").isNull(), 0).otherwise(own))
+    dealt = dealt.select(*df.columns, "_own", F.explode(F.when(both, F.array(F.col("_own"), F.col("_own") - 1)).otherwise(F.array("_own"))).alias("_range"))
+    after = F.lead(seq).over(Window.partitionBy(*by, "_range").orderBy(F.col(ident).asc_nulls_last()))
+    return dealt.withColumn(f"next_{seq}", after).filter((F.col("_range") == F.col("_own")) & F.col(f"next_{seq}").isNotNull()).drop("_own", "_range")
