@@ -14,7 +14,7 @@ from cladewise.plans.adapters import PATHS, lineages, trees
 from cladewise.plans.registry import query, table
 from cladewise.sources import database
 from cladewise.sources.files import TAXON, sequence_records, taxonomy_rejects, taxonomy_rows, with_taxonomy
-from cladewise.sources.sinks import write_xml
+from cladewise.sources.sinks import dealt, write_xml
 
 
 def _post(spark, d):
@@ -140,7 +140,7 @@ def sequence_xml_parse(spark, d):
     tax = F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("taxon:"), F.col("s_nationkey").cast("string"))).otherwise("BOLD:x")
     quals = F.array(qualifier(F.lit("other:1")), qualifier(tax), qualifier(F.lit("BOLD:taxon:77")))
     seqids = F.array(F.lit("gb|ABC"), F.lit("gi|0"), F.concat(F.lit("gi|"), F.col("s_suppkey").cast("string")))
-    x = table(spark, d, "supplier").select(F.replace("s_name", F.lit("#"), F.lit("")).alias("GBSeq_sequence"), F.struct(seqids.alias("GBSeqid")).alias("GBSeq_other-seqids"), F.struct(F.array(F.struct(F.struct(quals.alias("GBQualifier")).alias("GBFeature_quals"))).alias("GBFeature")).alias("GBSeq_feature-table"))
+    x = dealt(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")).select(F.replace("s_name", F.lit("#"), F.lit("")).alias("GBSeq_sequence"), F.struct(seqids.alias("GBSeqid")).alias("GBSeq_other-seqids"), F.struct(F.array(F.struct(F.struct(quals.alias("GBQualifier")).alias("GBFeature_quals"))).alias("GBFeature")).alias("GBSeq_feature-table"))
     path = new_path(spark, "sequences")
     write_xml(x, path, "GBSet", "GBSeq")
     return sequence_records(spark, path)[0]

@@ -158,7 +158,7 @@ def kv_load(spark, d):
 @query("SELECT l_orderkey, l_linenumber, (l_linenumber - 1)::BIGINT AS q_start, l_quantity::BIGINT AS q_len, CASE WHEN l_returnflag = 'R' AND l_quantity > 1 THEN -1 ELSE 1 END::BIGINT AS s_strand, l_extendedprice AS score FROM lineitem")
 def xml_hits(spark, d):
     """Search results written as XML files and read back: positions from 0, strand from the order of the ends, the first segment only."""
-    li = table(spark, d, "lineitem")
+    li = sinks.dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_extendedprice"))
     q1, q2 = F.col("l_linenumber"), F.col("l_linenumber") + F.col("l_quantity").cast("int") - 1
     rev = F.col("l_returnflag") == "R"
     one = lambda score: F.struct(score.alias("Hsp_bit-score"), F.lit(0.001).alias("Hsp_evalue"), q1.alias("Hsp_query-from"), q2.alias("Hsp_query-to"), F.when(rev, q2).otherwise(q1).alias("Hsp_hit-from"), F.when(rev, q1).otherwise(q2).alias("Hsp_hit-to"))

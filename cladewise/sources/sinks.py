@@ -76,10 +76,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path)
 
 
-#: Records of an XML file: Spark's reader takes a file in one task, whatever its size.
+#: Records of an XML file. It is compressed, so one task reads it whole.
 PER_FILE = 20_000
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as there are files of PER_FILE records for. They stay where they are if no task has more than one and a half times its share; a shuffle would put them on disk once more."""
+    rows = df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
+    parts = max(1, -(-rows["n"] // PER_FILE))
+    even = rows["most"] * min(parts, df.sparkSession.sparkContext.defaultParallelism) <= 1.5 * rows["n"]
+    return df if even else df.repartition(parts)
+
+
 def write_xml(df: DataFrame, path: str, root: str, row: str) -> None:
-    """XML files of at most PER_FILE records, written by as many tasks as there are records for, not as the table's few small files are read by."""
-    df.repartition(max(1, -(-df.count() // PER_FILE))).write.format("xml").option("rootTag", root).option("rowTag", row).option("maxRecordsPerFile", PER_FILE).save(path)
+    """XML files of at most PER_FILE records, one to a line and compressed, as tags are most of their text. Each task writes the rows it has; ``dealt`` shares out those of few large partitions, best before the records are made."""
+    df.write.format("xml").options(rootTag=root, rowTag=row, indent="", compression="gzip").option("maxRecordsPerFile", PER_FILE).save(path)

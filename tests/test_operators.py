@@ -1020,6 +1020,25 @@ def test_search_results_of_one_file_are_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_search_xml_takes_little_disk(spark, tmp_path, monkeypatch):
+    """Hits take some ten bytes each for their numbers, not hundreds for their tags, and none is lost; rows of even partitions are not shuffled."""
+    from cladewise.plans import catalog, selection_queries
+
+    monkeypatch.setattr(selection_queries, "new_path", lambda _, name: f"{tmp_path}/{name}")
+    n = catalog.QUERIES["xml_hits"](spark, "/root/testdata/sf0.001").count()
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < 60 * n == 60 * spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+    monkeypatch.setattr(sinks, "PER_FILE", 100)
+    hit = F.struct(F.col("id").cast("double").alias("Hsp_bit-score"), F.lit(0.1).alias("Hsp_evalue"), *(F.lit(i).alias(c) for i, c in enumerate(("Hsp_query-from", "Hsp_query-to", "Hsp_hit-from", "Hsp_hit-to"), 3)))
+    made = lambda x: x.select(F.concat(F.lit("g<&"), "id").alias("Hit_id"), F.struct(F.array(hit).alias("Hsp")).alias("Hit_hsps"))
+    for i, (rows, parts) in enumerate(((spark.range(0, 1000, 1, 1), 10), (spark.range(0, 1000, 1, 7), 7), (spark.range(0, 1000, 1, 3), 3), (spark.range(1000, 1050, 1, 2), 2), (spark.range(0), None))):
+        x = sinks.dealt(rows)
+        assert parts in (None, x.rdd.getNumPartitions()), i
+        sinks.write_xml(made(x), f"{tmp_path}/{i}", "Hits", "Hit")
+        assert sorted((r.id, r.score) for r in files.search_results(spark, f"{tmp_path}/{i}").collect()) == sorted((f"g<&{r.id}", float(r.id)) for r in rows.collect())
+        assert all(n <= 100 for n in (r[0] for r in spark.read.option("recursiveFileLookup", True).text(f"{tmp_path}/{i}").filter("value like '%<Hit>%'").groupBy(F.col("_metadata.file_name")).count().select("count").collect()))
+
+
 def test_mapped_letters(spark):
     """As regexp_replace, upper and translate give it, without their time for each character."""
     texts = ["Ab.c~ Zz9\t\n-é ß ı ſ K 😀 xyz", "", None, "the quick brown fox JUMPS", "~~..  "]
